@@ -24,6 +24,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_VALUE = np.random.default_rng(20260101).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _LONG = 512
+BLOCK = 4 << 20
 
 
 class Powers:
@@ -75,19 +76,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
-    data, off = text_bytes(column)
+def _words_in(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of the words of some bytes; rows begin at the cuts."""
     n = len(data)
-    if lower:
-        data = _LOWER[data]
-    if not n:
-        none = np.empty(0, np.int64)
-        return Words(data, none, none, np.empty(0, _U), np.zeros(len(off), np.int64))
     inside = ~_SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
-    cuts = off[1:-1]
-    cuts = cuts[cuts < n]
     first[cuts] = inside[cuts]
     last = inside.copy()
     last[:-1] &= ~inside[1:]
@@ -101,6 +95,30 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     h = mix((sums[end] - sums[start]) * down[start] + size.astype(_U) * _U(0xA24BAED4963EE407))
     for i in np.flatnonzero(size > _LONG):
         h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return start, end, h
+
+
+def words_of(column: pa.Array, lower: bool = False) -> Words:
+    """Words of a text column. Works through the bytes in blocks that end in white space."""
+    data, off = text_bytes(column)
+    n = len(data)
+    if lower:
+        data = _LOWER[data]
+    found, a = [], 0
+    cuts = off[:-1]
+    while a < n:
+        b = min(n, a + BLOCK)
+        while b < n and not (ends := np.flatnonzero(_SPACE[data[b : b + 4096]])).size:
+            b = min(n, b + 4096)
+        b = min(n, b + int(ends[0])) if b < n else n
+        inner = cuts[np.searchsorted(cuts, a) : np.searchsorted(cuts, b)] - a
+        start, end, h = _words_in(data[a:b], inner)
+        found.append((start + a, end + a, h))
+        a = b
+    if not found:
+        none = np.empty(0, np.int64)
+        return Words(data, none, none, np.empty(0, _U), np.zeros(len(off), np.int64))
+    start, end, h = (np.concatenate(x) for x in zip(*found, strict=True))
     return Words(data, start, end, h, np.searchsorted(start, off))
 
 
