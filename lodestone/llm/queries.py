@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, media_columns, ngram_join, packing, sentencepiece_codec, substring_dedup, warc_normaliser
+from lodestone.llm import exact_dedup, line_dedup, media_columns, ngram_join, packing, sentencepiece_codec, substring_dedup, warc_normaliser
 
 
 def tokenizer_file(name: str) -> str:
@@ -33,6 +33,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("text_sha256", F.lower(F.hex("text_sha256")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_lines(_documents(spark, sf_dir)).drop("kept_text")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_normaliser.warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op9_sentencepiece": op9_sentencepiece,
@@ -90,4 +95,17 @@ ORACLE_SQL = {
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM n WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op6_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p
+                   FROM documents WHERE text IS NOT NULL AND text <> ''),
+        c AS (SELECT doc_id, p, line, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS j FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        w AS (SELECT doc_id, j, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS run FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY j)),
+        r AS (SELECT doc_id, j, row_number() OVER (PARTITION BY run ORDER BY doc_id, j) AS k FROM w WHERE run IS NOT NULL),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(j, j + 3)) AS j FROM r WHERE k > 1),
+        g AS (SELECT doc_id, p FROM c JOIN gone USING (doc_id, j)),
+        t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS kept FROM l ANTI JOIN g USING (doc_id, p) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce((SELECT count(*) FROM c WHERE c.doc_id = d.doc_id), 0) AS n_lines,
+               coalesce((SELECT count(*) FROM g WHERE g.doc_id = d.doc_id), 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+        FROM documents d LEFT JOIN t USING (doc_id)
+    """,
 }

@@ -186,7 +186,7 @@ def _marks(records: np.ndarray, kind: int | np.ndarray) -> np.ndarray:
     return out
 
 
-def _deal_marks(marks: np.ndarray, parts: int) -> pa.RecordBatch:
+def deal_marks(marks: np.ndarray, parts: int) -> pa.RecordBatch:
     marks = merged(marks)
     return deal(_MARKS, marks, marks["key"].view(np.uint64) % np.uint64(parts))
 
@@ -197,7 +197,7 @@ def _local_groups(g: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     same = _same(g["sym"], g["all"])
     head = np.flatnonzero(np.diff(same, prepend=-1))
     many = np.bincount(same) > 1
-    yield _deal_marks(_marks(g[many[same]], REPEATED), parts)
+    yield deal_marks(_marks(g[many[same]], REPEATED), parts)
     one = g[head]
     one["flag"] = many * np.uint8(_MANY)
     sym = _same(one["sym"])
@@ -243,7 +243,7 @@ def _local_names(w: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     same = _same(w["one"], w["two"])
     head = np.flatnonzero(np.diff(same, prepend=-1))
     again = (np.bincount(same) > 1) | (np.bincount(same, weights=w["flag"]) > 0)
-    yield _deal_marks(_marks(w[again[same] & (w["flag"] == 0)], REPEATED), parts)
+    yield deal_marks(_marks(w[again[same] & (w["flag"] == 0)], REPEATED), parts)
     one = w[head]
     one["flag"] = again
     yield deal(_RECORDS, one, mix(one["two"]) % np.uint64(parts))
@@ -262,14 +262,14 @@ def _settling(kind: np.dtype, settle, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in split(batches, {_RECORDS: kind}, (_MARKS,)):
             if isinstance(got, dict):
-                yield _deal_marks(settle(got[_RECORDS]), parts)
+                yield deal_marks(settle(got[_RECORDS]), parts)
             else:
                 yield got
 
     return run
 
 
-def _with_marks(batches: Iterator[pa.RecordBatch], wanted: tuple[int, ...]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+def with_marks(batches: Iterator[pa.RecordBatch], wanted: tuple[int, ...]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
     """(marks of this partition sorted by key, batch of its documents); marks come first."""
     held: list[np.ndarray] = []
     marks = None
@@ -285,18 +285,18 @@ def _with_marks(batches: Iterator[pa.RecordBatch], wanted: tuple[int, ...]) -> I
             yield marks, b.filter(pa.array(is_doc)) if not is_doc.all() else b
 
 
-def _of_rows(marks: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def marks_of_rows(marks: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions in ``marks`` of the marks of each row, one after the other, and the row of each."""
     a, b = np.searchsorted(marks["key"], keys, "left"), np.searchsorted(marks["key"], keys, "right")
     rows = np.repeat(np.arange(len(keys)), b - a)
     return np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange(len(rows)), rows
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
 
 
-def _beside_marks(keyed: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
+def beside_marks(keyed: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
     """Documents and the marks of their keys in one partition, marks first."""
     part = F.expr(f"cast(pmod(pmod(key, {parts}L) + if(key < 0, {2**64 % parts}L, 0L), {parts}L) as int)")
     docs = keyed.select(F.lit(1).alias("doc"), part.alias("part"), F.lit(None).cast("binary").alias("data"), "doc_id", "key", "text")
@@ -328,11 +328,11 @@ def repeated_marks(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        for marks, batch in _with_marks((b.select([0, 1, 3, 4]) for b in batches if b.num_rows), (VERIFY, VERIFY_KNOWN)):
+        for marks, batch in with_marks((b.select([0, 1, 3, 4]) for b in batches if b.num_rows), (VERIFY, VERIFY_KNOWN)):
             asked = batch.filter(pa.array(np.isin(batch.column(2).to_numpy(), marks["key"])))
             for b in slices(asked.select([2, 3]), SLICE):
                 w, keys = words_of(b.column(1)), b.column(0).to_numpy()
-                at, rows = _of_rows(marks, keys)
+                at, rows = marks_of_rows(marks, keys)
                 m = marks[at]
                 n = m["n"].astype(np.int64)
                 within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -351,7 +351,7 @@ def repeated_marks(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
 
     found = keyed.select("key", "text").mapInArrow(first_pass, SCHEMA)
     marks = stage(by_part(found, parts).mapInArrow(_settling(GROUP, _settle_groups, parts), SCHEMA).select("part", "data"), "substring-groups", "lz4")
-    named = _beside_marks(keyed, marks, parts).mapInArrow(second_pass, SCHEMA)
+    named = beside_marks(keyed, marks, parts).mapInArrow(second_pass, SCHEMA)
     more = stage(by_part(named, parts).mapInArrow(_settling(NAMED, _settle_names, parts), SCHEMA).select("part", "data"), "substring-windows", "lz4")
     return marks.unionByName(more)
 
@@ -369,15 +369,15 @@ def kept_bytes(w: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = keyed_documents(docs, id_col, text_col)
     parts = partitions(docs.sparkSession)
     marks = repeated_marks(keyed, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for marks, batch in _with_marks((b for b in batches if b.num_rows), (REPEATED,)):
+        for marks, batch in with_marks((b for b in batches if b.num_rows), (REPEATED,)):
             for b in slices(batch, SLICE):
                 w, keys = words_of(b.column(4)), b.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
-                at, rows = _of_rows(marks, keys)
+                at, rows = marks_of_rows(marks, keys)
                 begin = w.row[rows] + marks["at"][at]
                 edge = np.bincount(begin, minlength=len(w.hash) + 1) - np.bincount(begin + marks["n"][at] + window - 1, minlength=len(w.hash) + 1)
                 gone = np.cumsum(edge)[: len(w.hash)] > 0
@@ -391,4 +391,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 yield pa.record_batch(cols, names=names)
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    return _beside_marks(keyed, marks, parts).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return beside_marks(keyed, marks, parts).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
