@@ -76,10 +76,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def _words_in(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _words_in(data: np.ndarray, cuts: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and hash of the words of some bytes; rows begin at the cuts."""
     n = len(data)
-    inside = ~_SPACE[data]
+    inside = ~apart[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     first[cuts] = inside[cuts]
@@ -98,8 +98,11 @@ def _words_in(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, h
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
-    """Words of a text column. Works through the bytes in blocks that end in white space."""
+def words_of(column: pa.Array, lower: bool = False, apart: np.ndarray = _SPACE) -> Words:
+    """Words of a text column. Works through the bytes in blocks that end between words.
+
+    ``apart``: for each byte value, whether it stands between words; white space by default.
+    """
     data, off = text_bytes(column)
     n = len(data)
     if lower:
@@ -108,11 +111,11 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     cuts = off[:-1]
     while a < n:
         b = min(n, a + BLOCK)
-        while b < n and not (ends := np.flatnonzero(_SPACE[data[b : b + 4096]])).size:
+        while b < n and not (ends := np.flatnonzero(apart[data[b : b + 4096]])).size:
             b = min(n, b + 4096)
         b = min(n, b + int(ends[0])) if b < n else n
         inner = cuts[np.searchsorted(cuts, a) : np.searchsorted(cuts, b)] - a
-        start, end, h = _words_in(data[a:b], inner)
+        start, end, h = _words_in(data[a:b], inner, apart)
         found.append((start + a, end + a, h))
         a = b
     if not found:
