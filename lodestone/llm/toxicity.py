@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.wordhash import mix, slices, words_of
 
@@ -374,7 +375,7 @@ def with_scores(docs: DataFrame, network: Network | None, name: str = "score", t
                 yield pa.record_batch([*b.columns, pa.array(model.value.score(b.columns[-1]), pa.float64())], names=[*b.schema.names, name])
 
     arranged = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`"))
-    out = arranged.mapInArrow(run, arranged.schema.add(name, "double"))
+    out = arranged.mapInArrow(run, T.StructType([*arranged.schema.fields, T.StructField(name, T.DoubleType())]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], name)
 
 
