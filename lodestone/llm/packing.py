@@ -11,7 +11,7 @@ How it runs: one pass tokenises each text once and stages (key, count, ids as 16
 numbers). Block bounds on the curve are quantiles of the staged keys; since the key ends in a
 hash of the document id, a key that a third of all rows share is cut as finely as any other.
 The totals of the blocks, a bounded number of rows, give each block its start in the stream,
-and a window inside a block gives each document its position. The ids shuffle once, by block.
+and a running sum inside a block gives each document its position. The ids shuffle once, by block.
 
 Defined cases: a null text is empty and consists of the closing id alone; documents with equal
 id and text may change places but give the same pieces; a null id stays null; an empty table
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.storage import partitions, stage
@@ -150,57 +150,61 @@ def tokenised(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text
     return stage(rows.withColumn("key", F.shiftleft("curve", 31).bitwiseOR(low)).drop("curve"), "packing-ids")
 
 
-def positions(tokens: DataFrame) -> DataFrame:
-    """Adds ``at``, the place of each document's first id in the stream of all ids."""
-    spark = tokens.sparkSession
+def curve_blocks(tokens: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
+    """Bounds of the blocks of the curve, and the place of each block's first id in the stream."""
     total = tokens.agg(F.sum("n")).first()[0] or 0
-    blocks = max(BLOCKS_A_PARTITION * partitions(spark), total // BLOCK_TOKENS)
+    blocks = max(BLOCKS_A_PARTITION * partitions(tokens.sparkSession), total // BLOCK_TOKENS)
     cuts = tokens.agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], max(10_000, 4 * blocks))).first()[0] or []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*map(F.lit, cuts)).cast("array<long>")
-    # the number of bounds below the key, by halving
-    block = F.expr("0")
-    step = 1 << max(0, len(cuts).bit_length())
-    tagged = tokens.withColumn("__bounds", bounds) if cuts else tokens
-    while cuts and step:
-        tagged = tagged.withColumn("__b", block)
-        block = F.expr(f"if(__b + {step} <= {len(cuts)} and element_at(__bounds, cast(least(__b + {step}, {len(cuts)}) as int)) < key, __b + {step}, __b)")
-        step >>= 1
-    dealt = tagged.withColumn("block", block).drop("__b", "__bounds")
-    sums = sorted((r[0], r[1]) for r in dealt.groupBy("block").agg(F.sum("n")).collect())  # a row for each block
-    starts, at = [], 0
-    for b, n in sums:
-        starts.append((b, at))
+    bounds = np.unique(np.array(cuts, np.int64))
+    sums = tokens.select("key", "n").mapInArrow(_tagging(bounds), "key long, n long, block int").groupBy("block").agg(F.sum("n"))
+    starts, at = {}, 0
+    for block, n in sorted(tuple(r) for r in sums.collect()):  # a row for each block
+        starts[block] = at
         at += n
-    table = spark.createDataFrame(starts, "block int, start long")
-    order = Window.partitionBy("block").orderBy("key", "doc_id", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = dealt.join(F.broadcast(table), "block").withColumn("at", F.col("start") + F.sum("n").over(order) - F.col("n"))
-    return placed.select("doc_id", "n", "ids", "at")
+    return bounds, starts
 
 
-def pieces(placed: DataFrame, tokenizer_file: str, length: int = LENGTH) -> DataFrame:
+def _tagging(bounds: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block = np.searchsorted(bounds, b.column("key").to_numpy())
+            yield pa.record_batch([*b.columns, pa.array(block, pa.int32())], names=[*b.schema.names, "block"])
+
+    return run
+
+
+def pieces(tokens: DataFrame, tokenizer_file: str, length: int = LENGTH) -> DataFrame:
     """One row per piece: where it comes from, where it lies, and a CRC of its ids."""
+    bounds, starts = curve_blocks(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 2 if encoder(tokenizer_file).size <= 1 << 16 else 4
+        block, at = -1, 0
         for b in batches:
             out: list[tuple] = []
+            blocks = b.column(3).to_pylist()
             for row in range(b.num_rows):
                 ids = memoryview(np.frombuffer(b.column(2)[row].as_buffer(), f"<u{width}").astype("<u4").tobytes())
-                n, at = b.column(1)[row].as_py(), b.column(3)[row].as_py()
-                start = 0
+                n, start = b.column(1)[row].as_py(), 0
+                if blocks[row] != block:
+                    block = blocks[row]
+                    at = starts[block]
                 while start < n:
                     offset = (at + start) % length
                     size = min(length - offset, n - start)
                     out.append((row, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n, (at + start) // length, offset))
                     start += size
+                at += n
             if out:
                 rows, *cols = (pa.array(c, pa.int64()) for c in zip(*out, strict=True))
                 yield pa.record_batch([b.column(0).take(rows), *cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    kind = placed.schema["doc_id"].dataType.simpleString()
-    return placed.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    parts = partitions(tokens.sparkSession)
+    tagged = tokens.select("doc_id", "n", "ids", "key").mapInArrow(_tagging(bounds), f"doc_id {kind}, n long, ids binary, key long, block int")
+    dealt = tagged.repartitionById(parts, F.expr(f"block % {parts}")).sortWithinPartitions("block", "key", "doc_id", "n")
+    return dealt.select("doc_id", "n", "ids", "block").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return pieces(positions(tokenised(docs, tokenizer_file, id_col, text_col)), tokenizer_file, length)
+    return pieces(tokenised(docs, tokenizer_file, id_col, text_col), tokenizer_file, length)
