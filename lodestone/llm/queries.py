@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, line_dedup, media_columns, ngram_join, packing, sentencepiece_codec, substring_dedup, toxicity, warc_normaliser
+from lodestone.llm import exact_dedup, line_dedup, media_columns, ngram_join, packing, pii, sentencepiece_codec, substring_dedup, toxicity, warc_normaliser
 
 
 def tokenizer_file(name: str) -> str:
@@ -33,6 +33,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("text_sha256", F.lower(F.hex("text_sha256")))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(_documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_warc": op7_warc,
