@@ -1,14 +1,15 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine, their SQL, and the flagship query."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from lodestone.plans import queries as own
+
+QUERIES = own.QUERIES
+ORACLE_SQL = own.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source")
+    """Hybrid retrieval for all questions at once."""
+    return own.hybrid_retrieve(spark, sf_dir)
