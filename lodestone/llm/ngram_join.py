@@ -52,7 +52,8 @@ SLICE = 2 << 20
 HELD = 1 << 21
 _BYTES = 5
 
-HEAD = np.dtype([("tok", "<u4"), ("n", "<u4"), ("cls", "<i8")])
+HEAD = np.dtype([("tok", "<u8"), ("n", "<u4"), ("cls", "<i8")])
+FILTER_WORDS = 1 << 18
 
 
 def ngram_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -264,7 +265,7 @@ def _route(docs: DataFrame, levels, words: int, percent: int, parts: int, id_col
 
         def flush(id_type) -> Iterator[pa.RecordBatch]:
             r = np.concatenate(held)
-            part = (mix(r["tok"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            part = (mix(r["tok"]) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             r, part = r[order], part[order]
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
@@ -287,7 +288,7 @@ def _route(docs: DataFrame, levels, words: int, percent: int, parts: int, id_col
                     seen.add(cls)
                     first = first_grams(grams, levels.value, percent)
                     r = np.empty(len(first), HEAD)
-                    r["tok"], r["n"], r["cls"] = mix(first, 2) >> np.uint64(32), len(grams), cls
+                    r["tok"], r["n"], r["cls"] = mix(first, 2), len(grams), cls
                     held.append(r)
                     size += len(r)
                 home = pa.array(np.array(names, np.int64).view(np.uint64) % np.uint64(parts)).cast(pa.int32())
@@ -320,6 +321,18 @@ def _route(docs: DataFrame, levels, words: int, percent: int, parts: int, id_col
     return stage(routed, "ngram-routed")
 
 
+def _only(keyed: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows whose key may be among the targets', by a Bloom filter of ``FILTER_WORDS`` words.
+
+    At most 4 MB are broadcast. It spares most other texts the shuffle as long as the targets
+    are few; when it fills up, more texts shuffle and the result is the same.
+    """
+    word, bit = F.expr(f"key & {FILTER_WORDS - 1}L"), F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 40) & 63 as int))")
+    plane = targets.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    tested = keyed.withColumn("__word", word).join(F.broadcast(plane), "__word")
+    return tested.where(F.col("__bits").bitwiseAND(bit) != 0).select("key", "text")
+
+
 def _compared(docs: DataFrame, members: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Links found in groups ``members(pivot, block, cls, key, label)``, staged."""
     targets = members.groupBy("key").agg(F.collect_list(F.struct("pivot", "block", "cls", "label")).alias("groups"))
@@ -333,7 +346,7 @@ def _compared(docs: DataFrame, members: DataFrame, words: int, percent: int, id_
                     cols = [pa.array([g[k] for g in where], pa.int64()) for k in ("pivot", "block", "cls", "label")]
                     yield pa.record_batch([*cols, pa.array([data] * len(where), pa.binary())], names=["pivot", "block", "cls", "label", "data"])
 
-    sent = keyed.join(targets, "key").select("groups", "text").mapInArrow(sets, "pivot long, block long, cls long, label long, data binary")
+    sent = _only(keyed, targets).join(targets.hint("merge"), "key").select("groups", "text").mapInArrow(sets, "pivot long, block long, cls long, label long, data binary")
     dealt = sent.repartition("pivot", "block").sortWithinPartitions("pivot", "block")
     return stage(dealt.mapInArrow(_compare_groups(percent), "a long, b long"), "ngram-links")
 
