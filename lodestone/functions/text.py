@@ -96,7 +96,7 @@ def citation_labels(text: Column) -> Column:
 def claim_fragments(text: Column) -> Column:
     """Sentences and lines that are not blank."""
     parts = F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n+")
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def page_label(start: Column, end: Column) -> Column:
@@ -148,7 +148,7 @@ def is_usable_text(text: Column, least: int = 20, alnum: float = 0.35) -> Column
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def suggests_table(text: Column) -> Column:

@@ -25,15 +25,15 @@ SEARCHED = ["id", "content", "title", "section_path", "summary", "file_path", "s
 def conform(records: DataFrame, model: str = "", dim: int | None = None) -> DataFrame:
     """The record columns with defaults and types; a vector is cut or padded to the dimension."""
     given = set(records.columns)
-    out: list[Column] = []
+    out: dict[str, Column] = {}
     for name, (kind, default) in RECORD.items():
         value = F.col(name).cast(kind) if name in given else F.lit(None).cast(kind)
-        out.append(F.coalesce(value, F.array().cast(kind) if default is None else F.lit(default).cast(kind)).alias(name))
+        out[name] = F.coalesce(value, F.array().cast(kind) if default is None else F.lit(default).cast(kind))
     if dim is not None:
-        out = [c for c in out if not str(c).endswith(("embedding_model'", "embedding_dim'"))]
-        vector = F.col("vector") if "vector" in given else F.array().cast("array<float>")
-        out += [F.lit(model).alias("embedding_model"), F.lit(dim).cast("long").alias("embedding_dim"), fit_dimension(F.coalesce(vector.cast("array<float>"), F.array().cast("array<float>")), dim).alias("vector")]
-    return records.select(*out)
+        vector = F.col("vector").cast("array<float>") if "vector" in given else F.lit(None).cast("array<float>")
+        out |= {"embedding_model": F.lit(model), "embedding_dim": F.lit(dim).cast("long")}
+        out["vector"] = fit_dimension(F.coalesce(vector, F.array().cast("array<float>")), dim)
+    return records.select(*[c.alias(name) for name, c in out.items()])
 
 
 def matches(search: str, columns: list[str] | None = None, tags: str | None = "tags") -> Column:

@@ -57,7 +57,7 @@ def headings(docs: DataFrame, text_col: str = "content", id_col: str = "doc_id")
             out = []
             for doc, text in zip(f.iloc[:, 0], f.iloc[:, 1], strict=True):
                 rows = heading_rows(text or "")
-                ends = [r[0] for r in rows[1:]] + [len(text or "")]
+                ends = [*(r[0] for r in rows[1:]), len(text or "")][: len(rows)]
                 out += [(doc, i, at, level, title, text[at:end].strip()) for i, ((at, level, title), end) in enumerate(zip(rows, ends, strict=True))]
             yield pd.DataFrame(out, columns=["doc_id", "ord", "offset", "level", "title", "body"])
 

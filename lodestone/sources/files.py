@@ -18,7 +18,7 @@ SIDECAR_VERSION = 1
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files of a folder: (doc_id, title, file_path, content), in the order of their names."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path).select(F.input_file_name().alias("file_path"), F.col("value").alias("content"))
+    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.input_file_name().alias("file_path"), F.col("value").alias("content"))
     stem = F.regexp_replace(F.url_decode(F.element_at(F.split("file_path", "/"), -1)), r"\.md$", "")
     return files.select(tx.stable_id("doc", stem).alias("doc_id"), stem.alias("title"), "file_path", "content").orderBy("file_path")
 
