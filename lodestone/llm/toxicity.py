@@ -40,7 +40,7 @@ from lodestone.llm.wordhash import mix, slices, words_of
 
 WINDOW, STEP, PIECE = 32, 16, 24
 BUCKETS, WORD_DIM, CHAR_DIM, CHAR_STATE, STATE, ATTEND = 4096, 8, 8, 10, 12, 12
-MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 1000, 3000, 1 << 17
+MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 1000, 3000, 1 << 15
 FOLDS = 5
 ROUNDS, EPOCHS, BATCH, RATE = 3, 2, 128, 6e-3
 SLICE = 1 << 20
@@ -358,7 +358,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = [F.xxhash64("id"), F.col("id"), F.col("y")]
     picked = usable.where("y = 1").orderBy(*order).limit(MOST_TOXIC).unionByName(usable.where("y = 0").orderBy(*order).limit(MOST_CLEAN))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text").between(1, MOST_BYTES))
-    rows = texts.join(F.broadcast(picked), "id").orderBy(*order, "text").limit(MOST_TOXIC + MOST_CLEAN).collect()  # bounded: 6000 rows
+    rows = texts.join(F.broadcast(picked), "id").orderBy(*order, "text").limit(MOST_TOXIC + MOST_CLEAN).collect()  # bounded: 4000 rows, 128 MB
     return train([r["text"] for r in rows], [r["y"] for r in rows])
 
 
