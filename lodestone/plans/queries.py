@@ -11,9 +11,10 @@ from lodestone import corpus
 from lodestone.corpus import RECORDS_SQL, keywords_sql, table
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vec
-from lodestone.operators import ann, blocks, documents, retrieval
+from lodestone.functions import hints
+from lodestone.operators import ann, blocks, documents, lifecycle, retrieval
 from lodestone.operators import records as rec
-from lodestone.plans import sections
+from lodestone.plans import context, sections
 from lodestone.sources import files
 from lodestone.streaming import incremental
 
@@ -495,3 +496,89 @@ def sidecar_round_trip(spark, sf):
 def progress_parse(spark, sf):
     body = F.to_json(F.struct(F.col("event_type").alias("phase"), F.col("event_id").alias("done"), F.col("user_id").alias("total"), F.lit("rows").alias("unit")))
     return incremental.progress_events(table(spark, sf, "events").select(F.concat(F.lit(incremental.PROGRESS_MARK), body).alias("value")))
+
+
+# --- hints, lifecycle, context
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents), t AS (SELECT doc_id, raw, trim(raw) AS x FROM l WHERE trim(raw) <> ''),
+    c AS (SELECT doc_id, raw, regexp_matches(x, '(?i)^(def|class|import|from|return|async\s+def|await)\b') OR regexp_matches(x, '(?i)^(for|while|if|elif|else|try|except|finally|with)\b.*:') OR regexp_matches(x, '(?i)^(const|let|var|function|return|export|import)\b')
+        OR regexp_matches(x, '(?i)^(public|private|protected|static|class|interface|void|int|double|float|bool|string)\b') OR regexp_matches(x, '(?i)^#\s*include\b') OR regexp_matches(x, '(?i)^(SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP)\b')
+        OR regexp_matches(x, '(?i)^(fn|let|mut|impl|pub|use|struct|enum|trait)\b') OR (regexp_matches(x, '[{};]$') AND regexp_matches(x, '[A-Za-z_]')) OR regexp_matches(x, '(->|=>|::|:=|==|!=|&&|\|\|)') OR regexp_matches(x, '^</?[A-Za-z][A-Za-z0-9-]*(\s+[^>]*)?>') AS code,
+        regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_.$\[\]]*\s*=\s*[^=]') AS assigns FROM t),
+    n AS (SELECT doc_id, count(*) AS lines, count(*) FILTER (code) AS code, count(*) FILTER (regexp_matches(raw, '^(    |\t)') AND (code OR assigns)) AS indented FROM c GROUP BY doc_id)
+    SELECT d.doc_id, regexp_matches(text, '(?m)^\s*(```|~~~)') OR regexp_matches(text, '(?m)^\s*(>>>|\.\.\.|In \[\d+\]:|\$ )') OR coalesce(code >= 3 OR (code >= 2 AND lines <= 12) OR indented >= 2, false) AS code_like FROM documents d LEFT JOIN n USING (doc_id)""")
+def code_hint(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", hints.suggests_code(F.col("text")).alias("code_like"))
+
+
+@query()
+def asset_hints(spark, sf):
+    """Kinds of assets that every document's text suggests."""
+    return table(spark, sf, "documents").select("doc_id", hints.asset_hints(F.col("text"), F.col("doc_id") % 4 == 0).alias("kinds"))
+
+
+@query("""WITH n AS (SELECT user_id, arg_max(event_type, (ts, event_type)) AS status, min(ts) AS recorded_at FROM events GROUP BY user_id)
+    SELECT user_id AS job_id, status FROM n WHERE status NOT IN ('purchase', 'click')""")
+def ledger_pending(spark, sf):
+    e = table(spark, sf, "events")
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "click", "failed").otherwise(F.col("event_type"))
+    log = e.select(F.col("user_id").alias("job_id"), status.alias("status"), F.col("ts").alias("recorded_at"), "event_type")
+    last = log.groupBy("job_id").agg(F.max(F.struct("recorded_at", "event_type", "status")).alias("l")).select("job_id", "l.status", "l.recorded_at")
+    return lifecycle.pending(last).select("job_id", "status")
+
+
+@query("""SELECT o_orderkey AS key, CASE WHEN l.n IS NULL THEN o_orderstatus ELSE 'L' END AS status, coalesce(l.n, 0) AS n FROM orders FULL JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY ALL) l ON l_orderkey = o_orderkey""")
+def upsert_rows(spark, sf):
+    old = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.lit(0).cast("long").alias("n"))
+    new = table(spark, sf, "lineitem").where("l_quantity > 45").groupBy(F.col("l_orderkey").alias("key")).agg(F.count(F.lit(1)).alias("n")).withColumn("status", F.lit("L"))
+    return lifecycle.upsert(old, new, ["key"])
+
+
+@query("""SELECT 'documents' AS name, count(*) AS n FROM documents WHERE source NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND quality = 0)
+    UNION ALL SELECT 'labels', count(*) FROM labels JOIN documents USING (doc_id) WHERE source NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND quality = 0)""")
+def cascade_delete(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    labels = table(spark, sf, "labels").join(docs, "doc_id")
+    left = lifecycle.cascade({"documents": docs, "labels": labels}, labels.where("toxic = 1 AND quality = 0"), "source")
+    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, t in left.items()]
+    return counts[0].unionByName(counts[1])
+
+
+@query(r"""WITH t AS (SELECT doc_id, 'see [[image:img_' || (doc_id % 50) || ']] and [[image:img_' || (doc_id % 7) || ']] or [[image:img_' || (doc_id % 50) || ']]' AS text FROM documents),
+    m AS (SELECT doc_id, unnest(ids) AS asset, unnest(range(0, len(ids))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\[\[image:([A-Za-z0-9_.-]+)\]\]', 1) AS ids FROM t)),
+    f AS (SELECT doc_id, asset, min(i) AS i FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place FROM f)
+    SELECT doc_id AS id, place, asset AS asset_id FROM r WHERE CAST(substr(asset, 5) AS INT) < 40""")
+def asset_markers(spark, sf):
+    d = F.col("doc_id")
+    mark = lambda n: F.concat(F.lit("[[image:img_"), d % n, F.lit("]]"))
+    texts = table(spark, sf, "documents").select(d.alias("id"), F.concat(F.lit("see "), mark(50), F.lit(" and "), mark(7), F.lit(" or "), mark(50)).alias("content"))
+    assets = spark.range(40).select(F.concat(F.lit("img_"), "id").alias("asset_id"))
+    return lifecycle.assets_in(texts, assets).select("id", F.col("place").cast("long").alias("place"), "asset_id")
+
+
+@query("""WITH a AS (SELECT conv_id, turn AS seq, role AS key FROM conversations), f AS (SELECT conv_id, key, min(seq) AS s FROM a GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY s, key) AS k FROM f)
+    SELECT conv_id, seq, key, '[S' || k || ']' AS label FROM a JOIN n USING (conv_id, key)""")
+def citation_numbers(spark, sf):
+    return context.cited(table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("seq"), F.col("role").alias("key"))).select("conv_id", "seq", "key", "label")
+
+
+@query("SELECT conv_id, sum(64 + ceil(length(role) / 4.0)::BIGINT + ceil(length(text) / 4.0)::BIGINT)::BIGINT AS tokens, greatest(0, greatest(1, floor(8192 * 0.6)) - sum(64 + ceil(length(role) / 4.0)::BIGINT + ceil(length(text) / 4.0)::BIGINT))::BIGINT AS budget FROM conversations GROUP BY ALL")
+def prompt_budget(spark, sf):
+    used = context.prompt_tokens(table(spark, sf, "conversations").select("conv_id", "role", F.col("text").alias("content")))
+    return used.withColumn("budget", context.context_budget(F.lit(8192), F.lit(0.9), F.col("tokens")))
+
+
+@query()
+def planned_queries(spark, sf):
+    """Search queries of all benchmark items, from replies in the forms that planners give."""
+    b = table(spark, sf, "benchmark")
+    reply = F.when(F.col("item_id") % 3 == 0, F.to_json(F.array(F.lit("alpha?"), F.col("text")))).when(F.col("item_id") % 3 == 1, F.lit('```json\n["beta"]\n```')).otherwise("gamma\ndelta")
+    return context.planned_queries(b.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), reply.alias("reply")))
+
+
+@query()
+def extractive_answers(spark, sf):
+    """Answers of all questions from the records within their budgets."""
+    kept = context_budget(spark, sf)
+    return context.extractive_answer(kept.withColumn("label", F.concat(F.lit("[S"), "place", F.lit("]"))))
