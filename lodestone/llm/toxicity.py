@@ -288,11 +288,12 @@ def typical(t: Tokens, label: np.ndarray) -> np.ndarray:
     row = np.repeat(np.arange(len(label)), np.diff(t.row))
     best = np.full(len(t.size), -np.inf)
     for size in (3, 4, 5, 6, PIECE):
-        _, kind = np.unique(np.where(np.arange(PIECE)[None] < size, t.chars, 0), axis=0, return_inverse=True)
-        seen = np.unique(np.stack([kind.ravel()[t.index], row]), axis=1)
-        bad, good = (np.bincount(seen[0][label[seen[1]] == y], minlength=kind.max() + 1) for y in (1, 0))
+        _, kind = np.unique(np.ascontiguousarray(np.where(np.arange(PIECE)[None] < size, t.chars, 0)).view(f"V{PIECE}").ravel(), return_inverse=True)
+        kind = kind.ravel()
+        seen = np.unique(kind[t.index] * len(label) + row)  # each kind of token once a text
+        bad, good = (np.bincount(seen[label[seen % len(label)] == y] // len(label), minlength=int(kind.max()) + 1) for y in (1, 0))
         odds = np.log((bad + 0.5) / (label == 1).sum()) - np.log((good + 0.5) / (label == 0).sum())
-        best = np.maximum(best, (odds * np.sqrt(bad))[kind.ravel()])
+        best = np.maximum(best, (odds * np.sqrt(bad))[kind])
     return best
 
 

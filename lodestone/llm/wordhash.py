@@ -24,7 +24,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_VALUE = np.random.default_rng(20260101).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _LONG = 512
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 class Powers:
