@@ -283,14 +283,15 @@ def context_budget(spark, sf):
     return retrieval.within_budget(best.join(pool.select("qid", "id", "content"), ["qid", "id"]), 2048)
 
 
-@query(f"""WITH {RECORDS_SQL}, top AS (SELECT id, doc_id, node_type, number, row_number() OVER (ORDER BY number, node_type, chunk_index, id) AS rank FROM records WHERE number % 20 = 0),
-    e AS (SELECT id, rank, 0 AS within FROM top WHERE node_type = 'chunk' UNION ALL SELECT c.id, rank, row_number() OVER (PARTITION BY top.id ORDER BY c.chunk_index, c.id) FROM top JOIN chunks c USING (doc_id) WHERE top.node_type = 'document_summary'),
-    o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank, within) AS k FROM e WHERE within <= 80) SELECT id, row_number() OVER (ORDER BY rank, within, id) AS place FROM o WHERE k = 1""")
+@query(f"""WITH {RECORDS_SQL}, top AS (SELECT source_hash AS qid, id, doc_id, node_type, row_number() OVER (PARTITION BY source_hash ORDER BY number DESC, node_type, chunk_index, id) AS rank FROM records),
+    e AS (SELECT qid, id, rank, 0 AS within FROM top WHERE node_type = 'chunk' UNION ALL SELECT qid, c.id, rank, row_number() OVER (PARTITION BY qid, top.id ORDER BY c.chunk_index, c.id) FROM top JOIN chunks c USING (doc_id) WHERE top.node_type = 'document_summary'),
+    o AS (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY rank, within) AS k FROM e WHERE within <= 80) SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank, within, id) AS place FROM o WHERE k = 1""")
 def children_expand(spark, sf):
+    """All records of each source as one ranking, summaries before chunks of later documents."""
     every = corpus.records(spark, sf)
-    top = every.where("number % 20 = 0").withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("number", "node_type", "chunk_index", "id")))
-    out = retrieval.expand_summaries(top.select(F.lit(0).alias("qid"), "id", "rank", F.lit(1.0).alias("vector_score")), every)
-    return out.select("id", F.col("place").cast("long").alias("place"))
+    rank = F.row_number().over(Window.partitionBy("source_hash").orderBy(F.desc("number"), "node_type", "chunk_index", "id"))
+    top = every.select(F.col("source_hash").alias("qid"), "id", rank.alias("rank"), F.lit(1.0).alias("vector_score"))
+    return retrieval.expand_summaries(top, every).select("qid", "id", F.col("place").cast("long").alias("place"))
 
 
 # --- aggregates, hierarchies, documents
