@@ -103,3 +103,18 @@ def unknown_citations(answers: DataFrame, valid: DataFrame) -> DataFrame:
     """Labels that an answer cites and that its sources don't have."""
     cited = answers.select("answer_id", F.explode(F.array_distinct(tx.citation_labels(F.col("text")))).alias("label"))
     return cited.join(valid.select("answer_id", "label"), ["answer_id", "label"], "left_anti")
+
+
+def listing(registry: DataFrame, source_map: DataFrame, manifests: DataFrame, trust: DataFrame) -> DataFrame:
+    """The list of documents: what registry or source map know of a source, with its manifest and trust.
+
+    ``registry(source_hash, filename, status)``, ``source_map(source_hash, filename)``. A source
+    that only the map knows counts as ingested, one whose manifest has chunks as indexed. Ungrouped
+    sources come first, then the order of names.
+    """
+    known = registry.select("source_hash", F.col("filename").alias("__r"), "status").join(source_map.select("source_hash", F.col("filename").alias("__m")), "source_hash", "full")
+    joined = known.join(manifests, "source_hash", "left").join(trust, "source_hash", "left")
+    state = F.when(F.coalesce("chunk_count", F.lit(0)) > 0, "indexed").otherwise(F.coalesce("status", F.lit("ingested")))
+    group = F.coalesce("source_group", F.lit("ungrouped"))
+    out = joined.select("source_hash", F.coalesce("__r", "__m").alias("filename"), state.alias("status"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), group.alias("source_group"))
+    return out.orderBy(F.when(F.col("source_group") == "ungrouped", 0).otherwise(1), "filename", "source_hash")

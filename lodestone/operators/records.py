@@ -158,6 +158,21 @@ def node_counts(edges: DataFrame) -> DataFrame:
     return below.groupBy(F.col("ancestor").alias("node")).agg(F.count_if(F.col("depth") == 1).alias("child_count"), F.count(F.lit(1)).alias("descendant_count"))
 
 
+def summaries_matching(rows: DataFrame, search: str) -> DataFrame:
+    """Summary records that match a search themselves or through a record below them.
+
+    Below a document summary are all records of its document, below others their descendants.
+    """
+    hits = rows.where(matches(search)).select("id", "doc_id")
+    above = descendants(rows.where("parent_id <> ''").select(F.col("parent_id").alias("parent"), F.col("id").alias("node")))
+    over = above.join(hits.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("ancestor").alias("id"))
+    docs = hits.select("doc_id").distinct().withColumn("node_type", F.lit("document_summary"))
+    summary = rows.where(F.col("node_type") != "chunk")
+    by_id = summary.join(hits.select("id").unionByName(over).distinct(), "id", "left_semi")
+    by_doc = summary.join(docs, ["doc_id", "node_type"], "left_semi").select(*rows.columns)
+    return by_id.unionByName(by_doc.join(by_id.select("id"), "id", "left_anti").select(*by_id.columns))
+
+
 def newest(table: DataFrame, key: list[str], order: list[Column], keep: int = 1) -> DataFrame:
     """The newest rows of each key."""
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))

@@ -51,6 +51,21 @@ def json_tokens(value: object) -> int:
     return -(-len(json.dumps(value, ensure_ascii=False)) // 4) + tx.OVERHEAD_TOKENS
 
 
+def fitted_field(item: dict, field: str, budget: int, flag: str = "content_truncated") -> tuple[dict | None, bool]:
+    """The item with one text field cut so that its JSON keeps to a budget; None if not even an empty one does."""
+    if json_tokens(item) <= budget:
+        return item, False
+    text = str(item.get(field) or "")
+    made = lambda n: {**item, field: text[:n].rstrip() + tx.TRUNCATION_NOTICE, flag: True}
+    if budget < tx.LEAST_BLOCK_TOKENS or json_tokens(made(0)) > budget:
+        return None, True
+    low, high = 0, len(text)
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if json_tokens(made(mid)) <= budget else (low, mid - 1)
+    return made(low), True
+
+
 def prompt_tokens(messages: DataFrame) -> DataFrame:
     """Tokens of each conversation's messages (conv_id, role, content)."""
     each = tx.OVERHEAD_TOKENS + tx.token_estimate(F.col("role")) + tx.token_estimate(F.col("content"))

@@ -583,3 +583,18 @@ def extractive_answers(spark, sf):
     """Answers of all questions from the records within their budgets."""
     kept = context_budget(spark, sf)
     return context.extractive_answer(kept.withColumn("label", F.concat(F.lit("[S"), "place", F.lit("]"))))
+
+
+@query(f"WITH {RECORDS_SQL} SELECT id FROM summaries WHERE doc_id IN (SELECT doc_id FROM records WHERE contains(lower(concat_ws(chr(10), id, content, title, section_path, summary, file_path, source_hash, source_pdf_name, source_pdf_path, doc_id, array_to_string(tags, ' '))), 'license'))")
+def summary_search(spark, sf):
+    return rec.summaries_matching(corpus.records(spark, sf), "license").select("id")
+
+
+@query("""SELECT coalesce(c_custkey, s_suppkey) AS source_hash, coalesce(c_name, s_name) AS filename, CASE WHEN coalesce(o.n, 0) > 0 THEN 'indexed' WHEN c_custkey IS NULL THEN 'ingested' ELSE c_mktsegment END AS status, coalesce(o.n, 0) AS chunk_count,
+    CASE WHEN p_partkey IS NULL THEN 'ungrouped' ELSE p_brand END AS source_group FROM customer FULL JOIN supplier ON c_custkey = s_suppkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL) o ON o_custkey = coalesce(c_custkey, s_suppkey) LEFT JOIN part ON p_partkey = coalesce(c_custkey, s_suppkey)""")
+def document_list(spark, sf):
+    t = lambda name: table(spark, sf, name)
+    key = lambda c: F.col(c).alias("source_hash")
+    registry = t("customer").select(key("c_custkey"), F.col("c_name").alias("filename"), F.col("c_mktsegment").alias("status"))
+    manifests = t("orders").groupBy(key("o_custkey")).agg(F.count(F.lit(1)).alias("chunk_count"))
+    return documents.listing(registry, t("supplier").select(key("s_suppkey"), F.col("s_name").alias("filename")), manifests, t("part").select(key("p_partkey"), F.col("p_brand").alias("source_group")))

@@ -29,6 +29,12 @@ def binaries(spark: SparkSession, path: str, glob: str = "*.{pdf,PDF}") -> DataF
     return files.select("path", "length", "modificationTime", F.sha2("content", 256).alias("source_hash"), "content")
 
 
+def folder_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """One row: number and total size of the files below a folder; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("length").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
 def output_names(files: DataFrame) -> DataFrame:
     """Adds output_name: the stem, made unique by a part of the path's hash where stems clash."""
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")

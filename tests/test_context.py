@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import hints
 from lodestone.operators import lifecycle
-from lodestone.plans import context
+from lodestone.plans import context, sections
+from lodestone.sources import files
 
 
 def texts(spark, *values):
@@ -77,3 +78,24 @@ def test_context_and_answer(spark):
     df = spark.createDataFrame(rows, "qid int, place int, label string, source string, section_path string, content string")
     assert context.context_blocks(df).first().context == "[S1] f\nfirst  text\n\n[S2] f :: p\nsecond"
     assert context.extractive_answer(df).first().answer == "[S1] first text\n[S2] second"
+
+
+def test_fitted_field():
+    item = {"id": "a", "content": "word " * 2000}
+    short, cut = context.fitted_field(item, "content", 256)
+    assert cut and short["content_truncated"] and context.json_tokens(short) <= 256 < context.json_tokens(item)
+    longer = {**short, "content": short["content"].replace("word word", "word word word", 1)}
+    assert context.json_tokens(longer) > 254
+    assert context.fitted_field(item, "content", 10) == (None, True) and context.fitted_field({"content": "x"}, "content", 256)[1] is False
+
+
+def test_heading_trims():
+    assert sections.without_front_matter("Cover\n1 Contents here\nx\n2 Real Start\nbody") == "2 Real Start\nbody"
+    assert sections.without_front_matter("# Only\n\ntext") == "# Only\n\ntext"
+    assert sections.between_headings("lead\n7.1 Review\ntext\n7.2 Changes\nmore", "Review", "Changes") == "7.1 Review\ntext"
+    assert sections.collapsed_blank_lines("a  \r\n\n\n\nb") == "a\n\nb"
+
+
+def test_folder_bytes(spark, tmp_path):
+    (tmp_path / "x").write_bytes(b"12345")
+    assert tuple(files.folder_bytes(spark, str(tmp_path)).first()) == (1, 5)
