@@ -46,9 +46,9 @@ def matches(search: str, columns: list[str] | None = None, tags: str | None = "t
 
 def page(rows: DataFrame, order: list[Column], offset: int, limit: int, most: int = 200) -> DataFrame:
     """One page of rows in an order, the limit held to 1..most, with the total as a column."""
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    total = rows.agg(F.count(F.lit(1)).alias("total")).scalar()
     size = max(1, min(int(limit), most))
-    return rows.orderBy(*order).offset(max(0, int(offset))).limit(size).crossJoin(F.broadcast(total))  # one row of total
+    return rows.orderBy(*order).offset(max(0, int(offset))).limit(size).withColumn("total", total)
 
 
 def of_source(hashes: list[str], paths: list[str] | None = None, docs: list[str] | None = None) -> Column:

@@ -126,7 +126,7 @@ def bm25(docs: DataFrame, text: Column, queries: DataFrame, k1: float = K1, b: f
     hits = each.join(asked, ["qid", "term"] if "qid" in by else ["term"])
     df = each.join(asked.select("term").distinct(), "term", "left_semi").groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
     full = hits.join(df, [*by, "term"])
-    full = full.join(stats, by) if by else full.join(F.broadcast(stats))  # one row of totals
+    full = full.join(stats, by) if by else full.withColumns({"n": stats.select("n").scalar(), "mean_dl": stats.select("mean_dl").scalar()})
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean = F.when(F.col("mean_dl") <= 0, 1.0).otherwise(F.col("mean_dl"))
     weight = idf * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("dl") / mean))
