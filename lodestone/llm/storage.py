@@ -31,8 +31,19 @@ def shared_folder(spark: SparkSession) -> str:
     return named if "://" in named else "file://" + named if named.startswith("/") else named
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Where this application stages its tables."""
+    return f"{shared_folder(spark).rstrip('/')}/lodestone/{spark.sparkContext.applicationId}"
+
+
 def fresh_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/lodestone/{tag}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has staged; results that still read it must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
