@@ -45,6 +45,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_lines(_documents(spark, sf_dir)).drop("kept_text")
 
 
+def op6_single_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every later copy of a line, also among differing neighbours and in documents of 1 or 2 lines."""
+    return line_dedup.remove_lines(_documents(spark, sf_dir), run=1).drop("kept_text")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_normaliser.warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
+    "op6_single_line_dedup": op6_single_line_dedup,
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op9_sentencepiece": op9_sentencepiece,
@@ -118,4 +124,13 @@ ORACLE_SQL = {
                coalesce((SELECT count(*) FROM g WHERE g.doc_id = d.doc_id), 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
         FROM documents d LEFT JOIN t USING (doc_id)
     """,
+    "op6_single_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p
+                   FROM documents WHERE text IS NOT NULL AND text <> ''),
+        c AS (SELECT doc_id, p, row_number() OVER (PARTITION BY line ORDER BY doc_id, p) AS k FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        n AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k > 1) AS n_removed FROM c GROUP BY doc_id),
+        t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS kept FROM l ANTI JOIN (SELECT doc_id, p FROM c WHERE k > 1) USING (doc_id, p) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
 }

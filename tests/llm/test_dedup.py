@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from lodestone.llm import exact_dedup, line_dedup, ngram_join, substring_dedup
+from lodestone.llm import exact_dedup, line_dedup, ngram_join, queries, substring_dedup
 from lodestone.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -136,6 +136,25 @@ def test_lines_match_brute_force(spark, run):
     assert sorted(map(tuple, got), key=str) == brute_lines(rows, run)
 
 
+def test_registered_query_removes_single_lines(spark, tmp_path):
+    rows = [(1, "once\ncommon"), (2, "common"), (3, "other\n\ncommon\nonce"), (4, "common")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op6_single_line_dedup"](spark, str(tmp_path)).collect()
+    kept = {1: "once\ncommon", 2: "", 3: "other\n", 4: ""}
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got} == {d: (n, hashlib.sha256(kept[d].encode()).hexdigest()) for d, n in {1: 0, 2: 1, 3: 2, 4: 1}.items()}
+
+
+def test_single_lines_match_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    oracle = duckdb.connect()
+    oracle.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    wanted = oracle.sql(queries.ORACLE_SQL["op6_single_line_dedup"]).fetchall()
+    got = queries.QUERIES["op6_single_line_dedup"](spark, sf).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(wanted) and sum(r[2] for r in wanted) > 0
+
+
 def brute_groups(rows):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
