@@ -90,6 +90,18 @@ def test_ann_recall(spark):
     assert len(found & exact) / len(exact) >= 0.9
 
 
+def test_ann_recall_with_many_lists(spark):
+    v = np.random.default_rng(4).standard_normal((3000, 64))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<float>")
+    queries = df.where("id % 20 = 0").select(F.col("id").alias("qid"), "vector")
+    index = ann.build(df, lists=600)
+    assert ann.PROBES < ann.probes_for(index, queries, 10) < 600
+    found = {(r.qid, r.id) for r in ann.search(index, queries, 10).collect()}
+    exact = {(r.qid, r.id) for r in retrieval.knn(df, queries, 10).collect()}
+    assert len(found & exact) / len(exact) >= 0.9
+    assert ann.search(index, queries.where("false"), 10).count() == 0
+
+
 def test_vectors(spark):
     pair = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0], [3.0, 4.0, 9.0])], "a array<float>, z array<float>, w array<float>")
     row = pair.select(vec.cosine(F.col("a"), F.col("z")).alias("zero"), vec.cosine(F.col("a"), F.col("w")).alias("same"), vec.normalised(F.col("z")).alias("n"), vec.fit_dimension(F.col("a"), 3).alias("f")).first()
