@@ -129,7 +129,7 @@ def top_rows(records: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(best), F.col("__rank") == F.col("__best")).drop("__rank", "__best", "__parent")  # one row
 
 
-def descendants(edges: DataFrame, most_levels: int = 32) -> DataFrame:
+def descendants(edges: DataFrame) -> DataFrame:
     """All (ancestor, node, depth) of a forest of edges (parent, node), nearest depth, safe against cycles.
 
     Paths double in length each round, so a deep tree takes few joins. The rounds end when no
@@ -140,8 +140,9 @@ def descendants(edges: DataFrame, most_levels: int = 32) -> DataFrame:
     while True:
         more = known.alias("a").join(known.alias("b"), F.col("a.node") == F.col("b.ancestor"))
         more = more.select(F.col("a.ancestor").alias("ancestor"), F.col("b.node").alias("node"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        joined = known.unionByName(more.where((F.col("ancestor") != F.col("node")) & (F.col("depth") <= most_levels)))
-        known = joined.groupBy("ancestor", "node").agg(F.min("depth").alias("depth")).checkpoint() if _can_checkpoint(edges) else joined.groupBy("ancestor", "node").agg(F.min("depth").alias("depth"))
+        joined = known.unionByName(more.where("ancestor <> node"))
+        least = joined.groupBy("ancestor", "node").agg(F.min("depth").alias("depth"))
+        known = least.checkpoint() if _can_checkpoint(edges) else least.localCheckpoint()  # else plans double each round
         now = known.count()
         if now == size:
             return known

@@ -135,6 +135,13 @@ def test_tree_with_a_cycle(spark):
     assert ("a", "d") in got and ("d", "a") not in got and ("a", "a") not in got
 
 
+def test_deep_tree(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(70)], "parent long, node long")
+    got = {(r.ancestor, r.node, r.depth) for r in records.descendants(edges).collect()}
+    assert got == {(a, b, b - a) for a in range(71) for b in range(a + 1, 71)}
+    assert {r.node: r.descendant_count for r in records.node_counts(edges).collect()} == {i: 70 - i for i in range(70)}
+
+
 def test_manifest(spark):
     rows = records.conform(spark.createDataFrame([("1", "chunk", "abc", "h", 1, 2), ("2", "section_summary", "d", "h", 0, 3), ("3", "chunk", "", "", 0, 0)], "id string, node_type string, content string, source_hash string, page_start int, page_end int"))
     got = {r.source_key: r for r in records.manifest(rows).collect()}
