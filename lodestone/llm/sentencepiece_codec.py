@@ -21,6 +21,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,6 +122,18 @@ class Normaliser:
                 del out[-len(self.space) :], begin[-len(self.space) :], end[-len(self.space) :]
         return bytes(out), begin, end
 
+    def bounds(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The spans of ``aligned``; where only spaces change, by running sums over the bytes."""
+        if not self.plain:
+            _, begin, end = self.aligned(text)
+            return np.array(begin, np.int64), np.array(end, np.int64)
+        data = np.frombuffer(text.encode(), np.uint8)
+        first = np.flatnonzero(data & 0xC0 != 0x80)
+        size = np.diff(first, append=len(data))
+        width = np.where(data[first] == 0x20, len(self.space), size)
+        front = np.zeros(len(self.space) * (self.dummy and bool(text)), np.int64)
+        return np.concatenate([front, np.repeat(first, width)]), np.concatenate([front, np.repeat(first + size, width)])
+
 
 class Codec:
     """Encoder and decoder of one model file."""
@@ -144,6 +157,7 @@ class Codec:
         spec.name, spec.precompiled_charsmap = "identity", b""
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = False
         self.segmenter = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+        self._sizes = np.array([1 if t == _BYTE else len(p.encode()) for t, p in zip(self.types, self.pieces, strict=True)], np.int64)
         self._decimal = [str(i) for i in range(len(self.pieces))]
         self._shown = {i: p.replace(MARK, " ") for i, p in enumerate(self.pieces) if self.types[i] == _NORMAL}
 
@@ -152,23 +166,20 @@ class Codec:
 
     def encode_spans(self, text: str | None) -> list[tuple[int, int, int]]:
         """(id, start, end) of each token: bytes of the original text; byte tokens share their character's span."""
-        norm, begin, end = self.normaliser.aligned(text or "")
-        out, at, held = [], 0, 0
-        for i in self.encode(text):
-            if self.types[i] == _BYTE:
-                lead = norm[at]
-                size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                out.append((i, begin[at], end[at + size - 1]))
-                held += 1
-                if held == size:
-                    at, held = at + size, 0
-                continue
-            if self.types[i] == _UNKNOWN:
-                raise ValueError("spans need a model with byte fallback")
-            size = len(self.pieces[i].encode())
-            out.append((i, begin[at], end[at + size - 1]))
-            at += size
-        return out
+        ids, starts, ends = self.spans(text)
+        return list(zip(ids, starts.tolist(), ends.tolist(), strict=True))
+
+    def spans(self, text: str | None, unknown: bool = False) -> tuple[list[int], np.ndarray | None, np.ndarray | None]:
+        """Ids, starts and ends of ``encode_spans``; no spans at an unknown token if ``unknown``."""
+        ids = self.encode(text)
+        if any(self.types[i] == _UNKNOWN for i in set(ids)):
+            if unknown:
+                return ids, None, None
+            raise ValueError("spans need a model with byte fallback")
+        begin, end = self.normaliser.bounds(text or "")
+        size = self._sizes[np.array(ids, np.int64)]
+        stop = np.cumsum(size)
+        return ids, begin[stop - size], end[stop - 1]
 
     def decode(self, ids: list[int], begin: bool = True) -> str:
         """Text of the ids. ``begin``: the ids start a text, so the prefix mark goes."""
@@ -194,7 +205,16 @@ class Codec:
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids as decimals joined by commas, SHA-256 of the decoded text."""
-        ids = self.encode(text)
+        return self._digest(self.encode(text))
+
+    def digest_spans(self, text: str | None) -> tuple[int, str, str, str | None]:
+        """``digest`` and the SHA-256 of the starts and then the ends of all tokens as 64-bit
+        little-endian numbers; null where a token is unknown, as it has no span."""
+        ids, starts, ends = self.spans(text, unknown=True)
+        spans = None if starts is None else hashlib.sha256(np.concatenate([starts, ends]).astype("<i8").tobytes()).hexdigest()
+        return *self._digest(ids), spans
+
+    def _digest(self, ids: list[int]) -> tuple[int, str, str]:
         decimal, shown = self._decimal, self._shown
         try:
             back = "".join([shown[i] for i in ids])
@@ -243,7 +263,7 @@ def encode_column(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
 
 
 def digest_column(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256.
 
     Encodes and decodes every whole text in one narrow pass; nothing shuffles.
     """
@@ -251,9 +271,9 @@ def digest_column(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     def run(batches):
         c = codec(model_file)
         for b in batches:
-            got = [c.digest(t.as_py()) for t in b.column(1)]
-            cols = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
-            yield pa.record_batch([b.column(0), *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            got = [c.digest_spans(t.as_py()) for t in b.column(1)]
+            cols = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), *(pa.array([g[k] for g in got], pa.string()) for k in (2, 3))]
+            yield pa.record_batch([b.column(0), *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")

@@ -173,6 +173,21 @@ def test_codec_columns(spark):
     assert digest_column(docs.where("false"), path).count() == 0
 
 
+def test_query_digests_spans(spark, tmp_path):
+    from lodestone.llm.queries import QUERIES, tokenizer_file
+
+    texts = ["two  words", " edge ", "z\u00fcrich \u65e5\u672c \u2581 \U0001f9ea\n", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op9_sentencepiece"](spark, str(tmp_path)).collect()}
+    codec = Codec(tokenizer_file("piece_bpe_32k.model"))
+    for d, text in enumerate(texts):
+        aligned = codec.normaliser.aligned(text or "")
+        assert [x.tolist() for x in codec.normaliser.bounds(text or "")] == [aligned[1], aligned[2]]
+        spans = codec.encode_spans(text)
+        numbers = [s for _, s, _ in spans] + [e for _, _, e in spans]
+        assert got[d].spans_sha256 == hashlib.sha256(np.array(numbers, "<i8").tobytes()).hexdigest()
+
+
 def test_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
