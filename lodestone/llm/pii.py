@@ -3,7 +3,8 @@
 The fixed patterns (e-mail, IP address, payment card, telephone number) give the base spans and
 are the seeds. Around each seed, and around each other identifier-like token (6 to 64 characters
 with a digit, outside the base spans), two lexical patterns are read off: the two words before
-it, and the word before with the word after; letters in lower case, digits as 0.
+it, and the word before with the word after; letters in lower case, digits as 0. Where the text
+starts instead, a mark stands for each missing word.
 
 Patterns and instances (the tokens' own texts) form a graph whose distinct edges Spark scores in
 rounds: a pattern scores the mean of its instances' scores, shrunk by ``SHRINK`` unknown ones;
@@ -45,6 +46,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"(?<!\S)(?=\S*[0-9])\S++")
 WORD = re.compile(r"\S+")
+_START = "\x02"  # in patterns, for each word that the start of the text leaves out
 _EDGE = ".,;:!?\"'()[]{}<>«»|"
 _DIGITS = str.maketrans("123456789", "000000000")
 
@@ -135,8 +137,8 @@ def mentions(text: str, base: list[Span]) -> list[tuple[int, int, str, int, int,
         before = _words_before(text, begin)
         after = WORD.search(text, end)
         around = _plain(after.group()[:256]) if after and text[end : after.start()].isspace() else ""
-        if len(before) == 2:
-            out.append((begin, end, kind, _name(text[begin:end]), _name("before", *before), _name("around", before[0], around)))
+        before += [_START] * (2 - len(before))
+        out.append((begin, end, kind, _name(text[begin:end]), _name("before", *before), _name("around", before[0], around)))
     return out
 
 

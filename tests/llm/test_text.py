@@ -64,6 +64,14 @@ def test_contexts_find_identifiers_and_leave_others(spark):
     assert pii.mask(docs.where("false")).count() == 0 and pii.extract(docs.where("false")).count() == 0
 
 
+def test_contexts_reach_the_start_of_a_text(spark):
+    rows = [(i, f"Call {f'+44 20 7946 {1000 + i}' if i % 3 else f'ext-{7000 + i}'} now or never") for i in range(30)]
+    rows += [(100 + i, f"{f'+44 20 7946 {2000 + i}' if i % 3 else f'ext-{8000 + i}'} rings") for i in range(30)]
+    got = {r.doc_id: r for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].n_found == (i % 3 == 0) and got[100 + i].n_found == (i % 3 == 0) for i in range(30))
+    assert got[0].spans == "context_phone:5:13" and got[100].spans == "context_phone:0:8"
+
+
 def test_gradients():
     net = toxicity.Network(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
