@@ -14,11 +14,11 @@ How it runs: pass 1 counts fingerprints, reduced in map tasks. Those that hold m
 ``1 / HOT`` part of all places, at most ``HOT`` of them, are the hot ones; they are broadcast.
 Pass 2 deals the places by fingerprint, but places of hot ones by the hash of each run, so a
 very common line among ever new neighbours spreads over all tasks. Copies inside a map task are
-settled there. Pass 3 deletes.
+settled there. Pass 3 deletes; only texts that may have marks shuffle to them.
 
 Defined cases: null and empty texts have no lines and stay; a null id counts as later than all
-others; rows with equal id and text count as one place, so both keep or lose the same lines;
-other columns are not touched; an empty table gives no rows.
+others; rows with equal id and text count as one place, so both keep or lose the same lines; ids order
+the copies and must be whole numbers, others are refused; texts may be of any length; other columns are not touched; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.packed import SCHEMA, by_part, deal, split
-from lodestone.llm.storage import partitions, stage
-from lodestone.llm.substring_dedup import MARK, REPEATED, beside_marks, deal_marks, keyed_documents, marks_of_rows, with_marks
+from lodestone.llm.packed import FINE, SCHEMA, by_part, deal, split
+from lodestone.llm.storage import partitions, stage, whole_number_ids
+from lodestone.llm.substring_dedup import MARK, REPEATED, deal_marks, keyed_documents, marks_of_rows, over_marks
 from lodestone.llm.wordhash import mix
 
 RUN = 3
@@ -42,6 +42,7 @@ HOT = 4096
 HELD = 1 << 19
 _LAST = np.iinfo(np.int64).max
 _PLACES, _RUNS = 0, 2
+_BLANK = " \t\n\v\f\r"
 
 RUNS = np.dtype([("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("at", "<u4")])
 
@@ -53,7 +54,7 @@ def place_type(run: int) -> np.dtype:
 def line_hashes(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """All lines of a text, the positions of those that count, and their hashes (never 0)."""
     lines = (text or "").split("\n") if text else []
-    counted = [i for i, x in enumerate(lines) if x.strip(" \t\n\v\f\r")]
+    counted = [i for i, x in enumerate(lines) if x.strip(_BLANK)]
     return lines, np.array(counted, np.int64), np.array([xxhash.xxh3_64_intdigest(lines[i]) | 1 for i in counted], np.uint64)
 
 
@@ -117,6 +118,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, st
 def common_prints(keyed: DataFrame, run: int) -> np.ndarray:
     """Fingerprints of more than a 1/HOT part of all places, sorted; at most HOT of them."""
     parts = partitions(keyed.sparkSession)
+    fine = parts * FINE
     kind = np.dtype([("print", "<u8"), ("n", "<i8")])
 
     def summed(r: np.ndarray) -> np.ndarray:
@@ -142,7 +144,7 @@ def common_prints(keyed: DataFrame, run: int) -> np.ndarray:
         r = np.empty(len(prints), kind)
         r["print"], r["n"] = prints, 1
         r = summed(r)
-        return deal(_PLACES, r, mix(r["print"]) % np.uint64(parts))
+        return deal(_PLACES, r, mix(r["print"]) % np.uint64(fine))
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in split(batches, {_PLACES: kind}):
@@ -166,6 +168,7 @@ def common_prints(keyed: DataFrame, run: int) -> np.ndarray:
 def later_runs(keyed: DataFrame, run: int = RUN) -> DataFrame:
     """Staged marks (part, data) of runs that also start earlier, by the key of their document."""
     parts = partitions(keyed.sparkSession)
+    fine = parts * FINE
     kind = place_type(run)
     hot = keyed.sparkSession.sparkContext.broadcast(common_prints(keyed, run))
 
@@ -173,7 +176,7 @@ def later_runs(keyed: DataFrame, run: int = RUN) -> DataFrame:
         p = np.concatenate(held)
         often = np.isin(p["print"], hot.value)
         runs, later = _earliest(_runs(p[often], run))
-        yield deal(_RUNS, runs, mix(runs["one"]) % np.uint64(parts))
+        yield deal(_RUNS, runs, mix(runs["one"]) % np.uint64(fine))
         rest = p[~often]
         # places with the same lines around them: the earliest goes on, the others are later
         name = np.zeros(len(rest), np.uint64)
@@ -185,9 +188,9 @@ def later_runs(keyed: DataFrame, run: int = RUN) -> DataFrame:
         new[1:] = name[1:] != name[:-1]
         lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(rest) else np.empty(0, np.int64)
         equal = (rest["doc"] == rest["doc"][lead]) & (rest["key"] == rest["key"][lead]) & (rest["at"] == rest["at"][lead])
-        yield deal_marks(np.concatenate([_marks(later), _marks(_runs(rest[~equal], run))]), parts)
+        yield deal_marks(np.concatenate([_marks(later), _marks(_runs(rest[~equal], run))]), fine)
         sent = rest[new]
-        yield deal(_PLACES, sent, mix(sent["print"]) % np.uint64(parts))
+        yield deal(_PLACES, sent, mix(sent["print"]) % np.uint64(fine))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -207,7 +210,7 @@ def later_runs(keyed: DataFrame, run: int = RUN) -> DataFrame:
         for got in split(batches, {_PLACES: kind, _RUNS: RUNS}, (1,)):
             if isinstance(got, dict):
                 runs = np.concatenate([_runs(got[_PLACES], run), got[_RUNS]])
-                yield deal_marks(_marks(_earliest(runs)[1]), parts)
+                yield deal_marks(_marks(_earliest(runs)[1]), fine)
             else:
                 yield got
 
@@ -217,27 +220,30 @@ def later_runs(keyed: DataFrame, run: int = RUN) -> DataFrame:
 def remove_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines (that count), n_removed, kept_sha256, kept_text."""
     keyed = keyed_documents(docs, id_col, text_col)
-    parts = partitions(docs.sparkSession)
-    marks = later_runs(keyed.withColumn("doc_id", F.col("doc_id").cast("long")), run)
-
-    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for marks, b in with_marks((b for b in batches if b.num_rows), (REPEATED,)):
-            keys = b.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
-            at, rows = marks_of_rows(marks, keys)
-            bounds = np.searchsorted(rows, np.arange(len(keys) + 1))
-            counts, removed, texts = [], [], []
-            for i in range(b.num_rows):
-                lines, counted, h = line_hashes(b.column(4)[i].as_py())
-                gone = np.zeros(len(h) + 1, np.int64)
-                for m in marks[at[bounds[i] : bounds[i + 1]]]:
-                    gone[m["at"]] += 1
-                    gone[m["at"] + m["n"] + run - 1] -= 1
-                drop = {int(x) for x in counted[np.cumsum(gone)[:-1] > 0]}
-                counts.append(len(h))
-                removed.append(len(drop))
-                texts.append("\n".join(x for j, x in enumerate(lines) if j not in drop))
-            cols = [b.column(2), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()), pa.array(texts, pa.string())]
-            yield pa.record_batch(cols, names=["doc_id", "n_lines", "n_removed", "kept_sha256", "kept_text"])
+    marks = later_runs(keyed.withColumn("doc_id", whole_number_ids(keyed, "doc_id")), run)
+
+    def change(marks: np.ndarray, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        at, rows = marks_of_rows(marks, b.column(1).to_numpy(zero_copy_only=False).astype(np.int64))
+        bounds = np.searchsorted(rows, np.arange(b.num_rows + 1))
+        counts, removed, texts = [], [], []
+        for i in range(b.num_rows):
+            own = marks[at[bounds[i] : bounds[i + 1]]]
+            text = b.column(2)[i].as_py() or ""
+            lines = text.split("\n")
+            counted = [j for j, x in enumerate(lines) if x.strip(_BLANK)]
+            counts.append(len(counted))
+            if not len(own):
+                removed.append(0)
+                texts.append(text)
+                continue
+            gone = np.zeros(len(counted) + 1, np.int64)
+            np.add.at(gone, own["at"], 1)
+            np.add.at(gone, own["at"] + own["n"] + run - 1, -1)
+            drop = set(np.array(counted)[np.cumsum(gone)[:-1] > 0].tolist())
+            removed.append(len(drop))
+            texts.append("\n".join(x for j, x in enumerate(lines) if j not in drop))
+        cols = [b.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()), pa.array(texts, pa.string())]
+        yield pa.record_batch(cols, names=["doc_id", "n_lines", "n_removed", "kept_sha256", "kept_text"])
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    return beside_marks(keyed, marks, parts).mapInArrow(delete, f"doc_id {kind}, n_lines long, n_removed long, kept_sha256 string, kept_text string")
+    return over_marks(keyed, marks, change, f"doc_id {kind}, n_lines long, n_removed long, kept_sha256 string, kept_text string")

@@ -7,6 +7,7 @@ costs the re-read of a file and not a recomputation of everything before it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,14 @@ _OWN_FOLDERS: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share.
 
-    Read from the session; only where the session names none (local tests) a
-    temporary folder of this machine is made, once for each application.
+    Read from the session. A session that names none must be a local one: for it a temporary
+    folder of this machine is made, once for each application. On a cluster it is an error, as
+    executors would not see each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_FOLDERS:
             _OWN_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-shared-")
@@ -72,3 +76,11 @@ def partitions(spark: SparkSession) -> int:
 def row_key(doc_id: Column, text: Column) -> Column:
     """A 64-bit key of a row's id and text (null text counts as empty), the same in every scan."""
     return F.xxhash64(doc_id.cast("string"), F.coalesce(text, F.lit("")))
+
+
+def whole_number_ids(df: DataFrame, id_col: str) -> Column:
+    """The id column as long. Ids of any other kind than whole numbers are refused, never turned into null."""
+    kind = df.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"{id_col} is of type {kind}; this operator needs ids that are whole numbers")
+    return F.col(id_col).cast("long")

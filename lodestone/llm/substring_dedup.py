@@ -22,7 +22,8 @@ by window with 128-bit names, one copy standing for all groups of equal words.
 How it runs: three passes over the text. (1) Groups, first settled inside each map task; one
 record for each distinct name goes to the shuffle, packed. (2) Names of the windows that need
 verification, settled in the same way. (3) The removal. The marks of each document travel by a
-hash of its id and text. A passage that a third of all documents share leaves each task once,
+hash of its id and text; in passes 2 and 3 only texts that may have marks shuffle to them (a
+Bloom filter of fixed size tells), all others stay where they are read. A passage that a third of all documents share leaves each task once,
 and a frequent anchor with ever new surroundings is dealt by the surroundings, so no key
 gathers in one task. Names are 64 bits for anchors and 128 bits for what is removed.
 
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.packed import SCHEMA, by_part, deal, split
+from lodestone.llm.packed import FINE, SCHEMA, by_part, deal, parted, split, stretches
 from lodestone.llm.storage import partitions, row_key, stage
 from lodestone.llm.wordhash import Ranges, Words, mix, slices, words_of
 
@@ -270,19 +271,22 @@ def _settling(kind: np.dtype, settle, parts: int):
 
 
 def with_marks(batches: Iterator[pa.RecordBatch], wanted: tuple[int, ...]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
-    """(marks of this partition sorted by key, batch of its documents); marks come first."""
-    held: list[np.ndarray] = []
-    marks = None
+    """(marks of a part sorted by key, batch of its documents), from rows in which each part's marks come first."""
+    at, held, marks = None, [], None
     for b in batches:
-        is_doc = b.column(0).to_numpy() == 1
-        for i in np.flatnonzero(~is_doc):
-            m = np.frombuffer(b.column(1)[i].as_buffer(), MARK)
-            held.append(m[np.isin(m["kind"], wanted)])
-        if is_doc.any():
-            if marks is None:
-                marks = np.concatenate(held) if held else np.empty(0, MARK)
-                marks = marks[np.argsort(marks["key"], kind="stable")]
-            yield marks, b.filter(pa.array(is_doc)) if not is_doc.all() else b
+        is_doc = b.column("doc").to_numpy() == 1
+        for part, a, z in stretches(b.column("part").to_numpy()):
+            if part != at:
+                at, held, marks = part, [], None
+            piece, docs = b.slice(a, z - a), is_doc[a:z]
+            for i in np.flatnonzero(~docs):
+                m = np.frombuffer(piece.column("data")[i].as_buffer(), MARK)
+                held.append(m[np.isin(m["kind"], wanted)])
+            if docs.any():
+                if marks is None:
+                    marks = np.concatenate(held) if held else np.empty(0, MARK)
+                    marks = marks[np.argsort(marks["key"], kind="stable")]
+                yield marks, piece.filter(pa.array(docs)) if not docs.all() else piece
 
 
 def marks_of_rows(marks: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,17 +301,49 @@ def keyed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def beside_marks(keyed: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
-    """Documents and the marks of their keys in one partition, marks first."""
-    part = F.expr(f"cast(pmod(pmod(key, {parts}L) + if(key < 0, {2**64 % parts}L, 0L), {parts}L) as int)")
+    """Documents and the marks of their keys in one partition, part by part, marks first."""
+    fine = parts * FINE
+    part = F.expr(f"cast(pmod(pmod(key, {fine}L) + if(key < 0, {2**64 % fine}L, 0L), {fine}L) as int)")
     docs = keyed.select(F.lit(1).alias("doc"), part.alias("part"), F.lit(None).cast("binary").alias("data"), "doc_id", "key", "text")
     kind = keyed.schema["doc_id"].dataType
     other = marks.select(F.lit(0).alias("doc"), "part", "data", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("string").alias("text"))
-    return by_part(docs.unionByName(other), parts).sortWithinPartitions("doc").select("doc", "data", "doc_id", "key", "text")
+    return by_part(docs.unionByName(other), parts, "doc").select("part", "doc", "data", "doc_id", "key", "text")
+
+
+def marked_keys(marks: DataFrame, wanted: tuple[int, ...]) -> DataFrame:
+    """Keys of the documents that have marks of some kinds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0):
+                m = np.frombuffer(data.as_buffer(), MARK)
+                yield pa.record_batch([pa.array(np.unique(m["key"][np.isin(m["kind"], wanted)]))], names=["key"])
+
+    return marks.select("data").mapInArrow(run, "key long")
+
+
+def over_marks(keyed: DataFrame, marks: DataFrame, change, schema: str, wanted: tuple[int, ...] = (REPEATED,)) -> DataFrame:
+    """``change(marks, batch of doc_id, key, text)`` over all documents, those without marks in place."""
+    hit, rest = parted(keyed, marked_keys(marks, wanted))
+    none = np.empty(0, MARK)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, b in with_marks((b for b in batches if b.num_rows), wanted):
+            yield from change(found, b.select(["doc_id", "key", "text"]))
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield from change(none, b)
+
+    beside = beside_marks(hit, marks, partitions(keyed.sparkSession)).mapInArrow(marked, schema)
+    return rest.select("doc_id", "key", "text").mapInArrow(plain, schema).unionByName(beside)
 
 
 def repeated_marks(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     """Staged marks (part, data) of all windows that repeat, by the key of their document."""
     parts = partitions(keyed.sparkSession)
+    fine = parts * FINE
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -321,16 +357,17 @@ def repeated_marks(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
                     g["sym"], g["all"], g["key"], g["at"], g["n"], g["flag"] = sym, whole, keys[doc], at + a - w.row[doc], n, 0
                     held.append(g)
                 if sum(map(len, held)) >= HELD:
-                    yield from _local_groups(np.concatenate(held), parts)
+                    yield from _local_groups(np.concatenate(held), fine)
                     held = []
         if held and sum(map(len, held)):
-            yield from _local_groups(np.concatenate(held), parts)
+            yield from _local_groups(np.concatenate(held), fine)
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        for marks, batch in with_marks((b.select([0, 1, 3, 4]) for b in batches if b.num_rows), (VERIFY, VERIFY_KNOWN)):
-            asked = batch.filter(pa.array(np.isin(batch.column(2).to_numpy(), marks["key"])))
-            for b in slices(asked.select([2, 3]), SLICE):
+        for marks, batch in with_marks((b for b in batches if b.num_rows), (VERIFY, VERIFY_KNOWN)):
+            keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
+            asked = pa.record_batch([pa.array(keys), batch.column("text")], names=["key", "text"]).filter(pa.array(np.isin(keys, marks["key"])))
+            for b in slices(asked, SLICE):
                 w, keys = words_of(b.column(1)), b.column(0).to_numpy()
                 at, rows = marks_of_rows(marks, keys)
                 m = marks[at]
@@ -344,15 +381,16 @@ def repeated_marks(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
                 x["key"], x["at"], x["flag"] = np.repeat(keys[rows], n), start, np.repeat(m["kind"] == VERIFY_KNOWN, n)
                 held.append(x)
                 if sum(map(len, held)) >= HELD:
-                    yield from _local_names(np.concatenate(held), parts)
+                    yield from _local_names(np.concatenate(held), fine)
                     held = []
         if held and sum(map(len, held)):
-            yield from _local_names(np.concatenate(held), parts)
+            yield from _local_names(np.concatenate(held), fine)
 
     found = keyed.select("key", "text").mapInArrow(first_pass, SCHEMA)
-    marks = stage(by_part(found, parts).mapInArrow(_settling(GROUP, _settle_groups, parts), SCHEMA).select("part", "data"), "substring-groups", "lz4")
-    named = beside_marks(keyed, marks, parts).mapInArrow(second_pass, SCHEMA)
-    more = stage(by_part(named, parts).mapInArrow(_settling(NAMED, _settle_names, parts), SCHEMA).select("part", "data"), "substring-windows", "lz4")
+    marks = stage(by_part(found, parts).mapInArrow(_settling(GROUP, _settle_groups, fine), SCHEMA).select("part", "data"), "substring-groups", "lz4")
+    asked = parted(keyed, marked_keys(marks, (VERIFY, VERIFY_KNOWN)))[0]
+    named = beside_marks(asked, marks, parts).mapInArrow(second_pass, SCHEMA)
+    more = stage(by_part(named, parts).mapInArrow(_settling(NAMED, _settle_names, fine), SCHEMA).select("part", "data"), "substring-windows", "lz4")
     return marks.unionByName(more)
 
 
@@ -370,25 +408,23 @@ def kept_bytes(w: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
     keyed = keyed_documents(docs, id_col, text_col)
-    parts = partitions(docs.sparkSession)
     marks = repeated_marks(keyed, window)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for marks, batch in with_marks((b for b in batches if b.num_rows), (REPEATED,)):
-            for b in slices(batch, SLICE):
-                w, keys = words_of(b.column(4)), b.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
-                at, rows = marks_of_rows(marks, keys)
-                begin = w.row[rows] + marks["at"][at]
-                edge = np.bincount(begin, minlength=len(w.hash) + 1) - np.bincount(begin + marks["n"][at] + window - 1, minlength=len(w.hash) + 1)
-                gone = np.cumsum(edge)[: len(w.hash)] > 0
-                data, off = kept_bytes(w, ~gone)
-                texts = [data[a : max(a, z - 1)].tobytes() for a, z in zip(off[:-1], off[1:], strict=True)]
-                lost = np.concatenate([[0], np.cumsum(gone)])
-                cols = [b.column(2), pa.array(np.diff(w.row)), pa.array(np.diff(lost[w.row])), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
-                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-                if with_text:
-                    cols, names = [*cols, pa.array(texts, pa.binary()).cast(pa.string())], [*names, "kept_text"]
-                yield pa.record_batch(cols, names=names)
+    def change(marks: np.ndarray, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for b in slices(batch, SLICE):
+            w, keys = words_of(b.column(2)), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            at, rows = marks_of_rows(marks, keys)
+            begin = w.row[rows] + marks["at"][at]
+            edge = np.bincount(begin, minlength=len(w.hash) + 1) - np.bincount(begin + marks["n"][at] + window - 1, minlength=len(w.hash) + 1)
+            gone = np.cumsum(edge)[: len(w.hash)] > 0
+            data, off = kept_bytes(w, ~gone)
+            texts = [data[a : max(a, z - 1)].tobytes() for a, z in zip(off[:-1], off[1:], strict=True)]
+            lost = np.concatenate([[0], np.cumsum(gone)])
+            cols = [b.column(0), pa.array(np.diff(w.row)), pa.array(np.diff(lost[w.row])), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
+            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+            if with_text:
+                cols, names = [*cols, pa.array(texts, pa.binary()).cast(pa.string())], [*names, "kept_text"]
+            yield pa.record_batch(cols, names=names)
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    return beside_marks(keyed, marks, parts).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return over_marks(keyed, marks, change, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
