@@ -1,7 +1,8 @@
 """N-gram Jaccard join by signature trees, and the groups that its links form.
 
 Two documents link when their sets of word n-grams have a Jaccard similarity of at least
-``percent`` hundredths. No link is lost: every step below keeps each pair that can link.
+``percent`` hundredths. No link is lost: every step below keeps each pair that can link, and each
+link is verified on the whole sets of 64-bit n-gram hashes.
 
 1. Classes. Documents with equal sets are one class, named by a hash of the set.
 2. Routing. Linked sets share one of their first ``n - ceil(0.75 n) + 1`` n-grams in any fixed
@@ -9,26 +10,32 @@ Two documents link when their sets of word n-grams have a Jaccard similarity of
    megabyte, the only broadcast; any sketch gives right results, a good one small buckets). An
    n-gram that several classes hold among their first ones makes a bucket; buckets break where
    neighbouring sizes lie too far apart. All buckets with the same smallest class form a
-   neighbourhood, so each pair that shares a bucket meets in one.
-3. Signature trees. In each neighbourhood the sets, ordered by size, are leaves of a tree whose
-   nodes hold the OR of their bitmaps, the range of their sizes, and the most n-grams that share
-   bits in one of them. Traversing the tree against itself, a pair of nodes is dropped if its
-   sizes are too far apart, if the bits in common bound the overlap below what a link needs, or
-   if all its leaves are in one component already. Leaf pairs that remain are compared exactly.
-   So copies cost one comparison each and are not expanded into pairs.
-4. A neighbourhood of too many members is dealt out in blocks that each hold its smallest class;
-   only if its members are not one component after that, pairs of blocks are compared as well.
-5. Connected components of the links, by alternating stars, with checkpoints.
+   neighbourhood, so each pair that shares a bucket meets in one. N-grams of hot cells of the
+   sketch (over 1/65,536 of all n-grams) are not gathered: their smallest class is reduced in map
+   tasks, so an n-gram that a third of all documents share lies in no single task.
+3. Signature trees. A neighbourhood first gets only summaries of its sets: size and bitmap (some
+   two bits for each n-gram). The summaries, ordered by size, are leaves of a tree whose nodes hold
+   the OR of their bitmaps, the range of their sizes, and the most n-grams that share bits in one
+   of them. Traversing the tree against itself, a pair of nodes is dropped if its sizes are too far
+   apart, if the bits in common bound the overlap below what a link needs, or if all its leaves
+   are in one group already. Leaf pairs that remain join into groups of sets that may link, and
+   sets without any such partner go no further.
+4. Verification. The whole sets of each group meet, in a tree again, and the leaf pairs that remain
+   are counted exactly, many at once. So copies cost one comparison each and are not expanded into
+   pairs.
+5. A neighbourhood of too many members is dealt out in blocks that each hold its smallest class;
+   only if its members are not one component after that, the summaries of pairs of blocks meet too.
+6. Connected components of the links, by alternating stars, with checkpoints.
 
 Defined cases: null and empty texts have an empty set and link with nothing; a text of fewer
 than n words has its whole sequence as the one member of its set; repeated rows are in one
-class; a null id never names a component unless all ids of the component are null; other
-columns are left alone; an empty table gives no rows.
+class; a null id never names a component unless all ids of the component are null; texts may be of
+any length; other columns are left alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.packed import by_part
+from lodestone.llm.packed import FINE, by_part, parted
 from lodestone.llm.storage import partitions, row_key, stage
 from lodestone.llm.wordhash import Ranges, mix, slices, words_of
 
@@ -44,16 +51,16 @@ WORDS = 5
 PERCENT = 75
 CELLS = 1 << 20
 SEGMENT = 1 << 16
+HOT_CELLS, LEAST_HOT = 1 << 16, 32
 BITMAP = 2048
 FAN = 16
-MOST_MEMBERS = 2048
+MOST_MEMBERS = 1024
 MOST_NGRAMS = 4 << 20
+DENSE = 64 << 20
 SLICE = 2 << 20
 HELD = 1 << 21
-_BYTES = 5
 
 HEAD = np.dtype([("tok", "<u8"), ("n", "<u4"), ("cls", "<i8")])
-FILTER_WORDS = 1 << 18
 
 
 def ngram_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -82,8 +89,9 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).cast("string").alias("text"))
 
 
-def frequency_levels(docs: DataFrame, words: int = WORDS, text_col: str = "text") -> np.ndarray:
-    """Quantised counts of n-grams in a sketch of ``CELLS`` cells, one byte each."""
+def frequency_levels(docs: DataFrame, words: int = WORDS, text_col: str = "text") -> tuple[np.ndarray, int]:
+    """Quantised counts of n-grams in a sketch of ``CELLS`` cells, one byte each, and the level from which
+    a cell holds more than a ``1 / HOT_CELLS`` part of all n-grams."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
@@ -105,14 +113,18 @@ def frequency_levels(docs: DataFrame, words: int = WORDS, text_col: str = "text"
                 totals.setdefault(part, np.zeros(SEGMENT, np.int64))
                 totals[part] += np.frombuffer(data.as_buffer(), "<u2")
         for part, total in totals.items():
-            level = (4 * np.log2(total + 1)).astype(np.uint8)
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["part", "data"])
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([_level(total).tobytes()], pa.binary()), pa.array([int(total.sum())], pa.int64())], names=["part", "data", "n"])
 
-    sums = by_part(_texts(docs, text_col).mapInArrow(count, "part int, data binary"), CELLS // SEGMENT).mapInArrow(add, "part int, data binary")
-    levels = np.zeros(CELLS, np.uint8)
-    for part, data in sums.collect():  # one megabyte, whatever the input
+    sums = by_part(_texts(docs, text_col).mapInArrow(count, "part int, data binary"), CELLS // SEGMENT).mapInArrow(add, "part int, data binary, n long")
+    levels, every = np.zeros(CELLS, np.uint8), 0
+    for part, data, n in sums.collect():  # one megabyte, whatever the input
         levels[part * SEGMENT : (part + 1) * SEGMENT] = np.frombuffer(data, np.uint8)
-    return levels
+        every += n
+    return levels, max(int(_level(np.array([every / HOT_CELLS]))[0]), LEAST_HOT)
+
+
+def _level(count: np.ndarray) -> np.ndarray:
+    return (4 * np.log2(count + 1)).astype(np.uint8)
 
 
 def first_grams(grams: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
@@ -145,26 +157,41 @@ def neighbourhoods(heads: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndar
     return found[0], found[1], found[2]
 
 
-def bitmap(grams: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP, bool)
-    bits[(grams % np.uint64(BITMAP)).astype(np.int64)] = True
-    return np.packbits(bits).view(np.uint64)
+def bitmap_bits(n: int) -> int:
+    """Bits of the bitmap of a set: a power of 8 times ``BITMAP``, so that at most half of them are used."""
+    bits = BITMAP
+    while 4 * n > 3 * bits:
+        bits *= 8
+    return bits
+
+
+def bitmap(grams: np.ndarray, size: int) -> np.ndarray:
+    bits = np.zeros(size, bool)
+    bits[(grams & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap as the words of a smaller one of ``size`` bits."""
+    return np.bitwise_or.reduce(bits.reshape(-1, size // 8), axis=0).view(np.uint64)
 
 
 class SignatureTree:
-    """Sets in the order of size under nodes of OR-ed bitmaps and ranges of sizes."""
+    """Sets in the order of size under nodes of OR-ed bitmaps and ranges of sizes.
 
-    def __init__(self, sets: list[np.ndarray], percent: int, labels: np.ndarray | None = None):
-        size = np.array([len(s) for s in sets])
-        low = np.array([s[0] for s in sets])
-        self.order = np.lexsort((low, size))
-        self.sets = [sets[i] for i in self.order]
+    ``group``: what is joined already; pairs of one group are not looked at. ``apart``: sets of which
+    no two are to be paired here.
+    """
+
+    def __init__(self, bits: np.ndarray, size: np.ndarray, percent: int, group: np.ndarray, apart: np.ndarray | None = None):
+        self.order = np.argsort(size, kind="stable")
         self.percent = percent
-        self.label = (np.arange(len(sets)) if labels is None else labels)[self.order].copy()
-        bits = np.stack([bitmap(s) for s in self.sets])
-        size = size[self.order]
+        self.size = size[self.order].astype(np.int64)
+        self.group = group[self.order].copy()
+        self.apart = None if apart is None else apart[self.order]
+        bits = bits[self.order]
         # levels of (bitmaps, smallest and largest size, most n-grams beyond one a bit)
-        self.levels = [(bits, size, size, size - np.bitwise_count(bits).sum(axis=1, dtype=np.int64))]
+        self.levels = [(bits, self.size, self.size, self.size - np.bitwise_count(bits).sum(axis=1, dtype=np.int64))]
         while len(self.levels[-1][0]) > 1:
             b, lo, hi, over = self.levels[-1]
             at = np.arange(0, len(b), FAN)
@@ -180,175 +207,274 @@ class SignatureTree:
         return near & (most * (100 + p) >= p * (lo[a][:, None] + lo[b][None]))
 
     def _one(self, level: int, a: int, b: int) -> bool:
-        """Whether all leaves below two nodes are in one component."""
+        """Whether all leaves below two nodes are in one group."""
         width = FAN**level
-        x, y = self.label[a * width : (a + 1) * width], self.label[b * width : (b + 1) * width]
+        x, y = self.group[a * width : (a + 1) * width], self.group[b * width : (b + 1) * width]
         return bool((x == x[0]).all() and (y == x[0]).all())
 
-    def links(self) -> list[tuple[int, int]]:
-        """Links that connect all that is connected: positions in the given sets."""
-        found = []
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Leaf pairs that can link and are in different groups, some at a time; the caller joins groups meanwhile."""
         stack = [(len(self.levels) - 1, 0, 0)]
         while stack:
             level, a, b = stack.pop()
-            if level == 0:
-                found += self._compare(a, b)
-                continue
-            if self._one(level, a, b):
+            if level == 0 or self._one(level, a, b):
                 continue
             width = len(self.levels[level - 1][0])
             below_a, below_b = (np.arange(FAN * x, min(FAN * x + FAN, width)) for x in (a, b))
-            for i, j in np.argwhere(self._possible(level - 1, below_a, below_b)):
-                x, y = int(below_a[i]), int(below_b[j])
-                if x < y or (x == y and level > 1):
-                    stack.append((level - 1, x, y))
-        return found
-
-    def _compare(self, a: int, b: int) -> list[tuple[int, int]]:
-        x, y = self.label[a], self.label[b]
-        if x == y:
-            return []
-        u, v = self.sets[a], self.sets[b]
-        both = len(np.intersect1d(u, v, assume_unique=True))
-        if 100 * both < self.percent * (len(u) + len(v) - both):
-            return []
-        self.label[self.label == y] = x
-        return [(int(self.order[a]), int(self.order[b]))]
-
-
-def _short(grams: np.ndarray) -> bytes:
-    """Sorted n-gram hashes cut to 40 bits each: enough to tell two sets' members apart."""
-    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - _BYTES :].tobytes()
-
-
-def _long(data: np.ndarray) -> np.ndarray:
-    wide = np.zeros((len(data) // _BYTES, 8), np.uint8)
-    wide[:, :_BYTES] = data.reshape(-1, _BYTES)
-    return np.unique(wide.view("<u8").ravel())
-
-
-def _compare_groups(percent: int):
-    def settle(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        by_class = {cls: (data, label) for cls, label, data in rows}
-        if len(by_class) < 2:
-            return
-        ids = sorted(by_class)
-        names = {x: i for i, x in enumerate(sorted({by_class[c][1] for c in ids}))}
-        labels = np.array([names[by_class[c][1]] for c in ids])
-        tree = SignatureTree([_long(np.frombuffer(by_class[c][0], np.uint8)) for c in ids], percent, labels)
-        if found := tree.links():
-            yield pa.record_batch([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], names=["a", "b"])
+            i, j = np.nonzero(self._possible(level - 1, below_a, below_b))
+            x, y = below_a[i], below_b[j]
+            if level > 1:
+                stack += [(level - 1, int(u), int(v)) for u, v in zip(x, y, strict=True) if u <= v]
+                continue
+            wanted = (x < y) & (self.group[x] != self.group[y])
+            if self.apart is not None:
+                wanted &= ~(self.apart[x] & self.apart[y])
+            if wanted.any():
+                yield x[wanted], y[wanted]
+
+    def join(self, a: int, b: int) -> bool:
+        """Put two leaves in one group; whether that was new."""
+        x, y = self.group[a], self.group[b]
+        if x != y:
+            self.group[self.group == y] = x
+        return bool(x != y)
+
+
+def possible_groups(size: np.ndarray, bits: list[np.ndarray], label: np.ndarray, percent: int) -> np.ndarray:
+    """For each set the group of sets that it may link to, by summaries alone; -1 without any.
+
+    Sets of one label are linked already and need no partner among each other. Bitmaps of
+    different sizes meet in the smaller size.
+    """
+    up = np.arange(len(size))
+    met = np.zeros(len(size), bool)
+    width = np.array([8 * len(b) for b in bits])
+    for w in np.unique(width):
+        own = width == w
+        at = np.flatnonzero(own | ((width == 8 * w) & (percent * size <= 100 * size[own].max())))
+        tree = SignatureTree(np.stack([folded(bits[i], int(w)) for i in at]), size[at], percent, up[at], ~own[at])
+        names = label[at][tree.order]
+        for x, y in tree.pairs():
+            differ = names[x] != names[y]
+            for a, b in zip(x[differ].tolist(), y[differ].tolist(), strict=True):
+                tree.join(a, b)
+                met[at[tree.order[[a, b]]]] = True
+        if not met[at].any():
+            continue
+        # what one tree joined holds for the next
+        found = np.empty(len(at), np.int64)
+        found[tree.order] = tree.group
+        for g in np.unique(found):
+            names_of = np.unique(up[at[found == g]])
+            up[np.isin(up, names_of)] = names_of[0]
+    return np.where(met, up, -1)
+
+
+def _dense(sets: list[np.ndarray]) -> np.ndarray | None:
+    """Bitmaps over the n-grams that several sets hold, exact; None where they would take too much memory."""
+    every = np.concatenate(sets)
+    grams, at, count = np.unique(every, return_inverse=True, return_counts=True)
+    often = count > 1
+    width = -(-int(often.sum()) // 64) * 64
+    if not width or len(sets) * width // 8 > DENSE:
+        return np.zeros((len(sets), 1), np.uint64) if not width else None
+    place = np.where(often, np.cumsum(often) - 1, -1)[at]
+    out = np.empty((len(sets), width // 64), np.uint64)
+    ends = np.cumsum([len(x) for x in sets])
+    for i, (a, z) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        row = np.zeros(width, bool)
+        mine = place[a:z]
+        row[mine[mine >= 0]] = True
+        out[i] = np.packbits(row).view(np.uint64)
+    return out
+
+
+def links(sets: list[np.ndarray], percent: int, label: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect all that is connected, verified on the whole sets: positions in the given sets."""
+    size = np.array([len(x) for x in sets])
+    tree = SignatureTree(np.stack([bitmap(x, BITMAP).view(np.uint64) for x in sets]), size, percent, label)
+    sets = [sets[i] for i in tree.order]
+    dense = _dense(sets)
+    found = []
+    for x, y in tree.pairs():
+        if dense is not None:
+            both = np.bitwise_count(dense[x] & dense[y]).sum(axis=1, dtype=np.int64)
+            good = 100 * both >= percent * (tree.size[x] + tree.size[y] - both)
+            x, y = x[good], y[good]
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            if tree.group[a] == tree.group[b]:
+                continue
+            if dense is None:
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * both < percent * int(tree.size[a] + tree.size[b] - both):
+                    continue
+            tree.join(a, b)
+            found.append((int(tree.order[a]), int(tree.order[b])))
+    return found
+
+
+def _by_group(keys: int, settle: Callable[[list[list]], Iterator[pa.RecordBatch]]):
+    """Runs of rows with equal first ``keys`` columns, each given to ``settle`` as one list for each other column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
+        group, held = None, []
         for b in batches:
-            pivot, block, cls, label = (b.column(i).to_pylist() for i in range(4))
-            for i in range(b.num_rows):
-                if (pivot[i], block[i]) != group:
-                    yield from settle(rows)
-                    group, rows = (pivot[i], block[i]), []
-                rows.append((cls[i], label[i], b.column(4)[i].as_py()))
-        yield from settle(rows)
+            names = list(zip(*(b.column(i).to_pylist() for i in range(keys)), strict=True))
+            for i, name in enumerate(names):
+                if name != group:
+                    if len(held) > 1:
+                        yield from settle(group, held)
+                    group, held = name, []
+                held.append([b.column(k)[i].as_py() for k in range(keys, b.num_columns)])
+        if len(held) > 1:
+            yield from settle(group, held)
 
     return run
 
 
+def _summarised(members: DataFrame, percent: int) -> DataFrame:
+    """Of ``members(pivot, block, cls, key, n, bits, label)`` those that may link, staged: (pivot, block, part, cls, key, label)."""
+
+    def settle(group: tuple, rows: list[list]) -> Iterator[pa.RecordBatch]:
+        once = list({r[0]: r for r in rows}.values())
+        names = {x: i for i, x in enumerate(sorted({r[4] for r in once}))}
+        part = possible_groups(np.array([r[2] for r in once]), [np.frombuffer(r[3], np.uint8) for r in once], np.array([names[r[4]] for r in once]), percent)
+        kept = [(*group, int(p), r[0], r[1], r[4]) for p, r in zip(part, once, strict=True) if p >= 0]
+        if kept:
+            cols = zip(*kept, strict=True)
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["pivot", "block", "part", "cls", "key", "label"])
+
+    dealt = members.select("pivot", "block", "cls", "key", "n", "bits", "label").repartition("pivot", "block").sortWithinPartitions("pivot", "block")
+    return stage(dealt.mapInArrow(_by_group(2, settle), "pivot long, block long, part long, cls long, key long, label long"), "ngram-possible")
+
+
+def _verified(docs: DataFrame, possible: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links of the groups that ``_summarised`` gives, staged."""
+    targets = possible.groupBy("key").agg(F.collect_list(F.struct("pivot", "block", "part", "cls", "label")).alias("groups"))
+    keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    where = ("pivot", "block", "part", "cls", "label")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, SLICE):
+                for groups, grams in zip(b.column(0).to_pylist(), ngram_sets(b.column(1), words), strict=True):
+                    cols = [pa.array([g[k] for g in groups], pa.int64()) for k in where]
+                    yield pa.record_batch([*cols, pa.array([grams.tobytes()] * len(groups), pa.binary())], names=[*where, "data"])
+
+    def settle(group: tuple, rows: list[list]) -> Iterator[pa.RecordBatch]:
+        once = list({r[0]: r for r in rows}.values())
+        names = {x: i for i, x in enumerate(sorted({r[1] for r in once}))}
+        found = links([np.frombuffer(r[2], np.uint64) for r in once], percent, np.array([names[r[1]] for r in once]))
+        if found:
+            yield pa.record_batch([pa.array([once[i][0] for i, _ in found], pa.int64()), pa.array([once[j][0] for _, j in found], pa.int64())], names=["a", "b"])
+
+    wanted = parted(keyed, possible.select("key"))[0]
+    sent = wanted.join(targets.hint("merge"), "key").select("groups", "text").mapInArrow(sets, ", ".join(f"{k} long" for k in where) + ", data binary")
+    dealt = sent.repartition("pivot", "block", "part").sortWithinPartitions("pivot", "block", "part")
+    return stage(dealt.mapInArrow(_by_group(3, settle), "a long, b long"), "ngram-links")
+
+
+_HOME, _HOT, _NEAR = 0, 1, 2
+
+
 def _route(docs: DataFrame, levels, words: int, percent: int, parts: int, id_col: str, text_col: str) -> DataFrame:
-    """Classes of documents, and neighbourhoods of classes: staged rows (what, doc_id, key, cls, n, pivot)."""
+    """Staged rows (what, doc_id, key, tok, cls, n, bits): documents with their class, classes of hot n-grams,
+    and members of neighbourhoods (``tok`` is the neighbourhood's smallest class)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"part int, data binary, doc_id {kind}, key long, cls long, n long"
+    fine = parts * FINE
+    names = ["part", "data", "what", "doc_id", "key", "tok", "cls", "n", "bits"]
+    schema = f"part int, data binary, what int, doc_id {kind}, key long, tok long, cls long, n long, bits binary"
+
+    def rows(id_type, part, data=None, what=_NEAR, doc_id=None, key=None, tok=None, cls=None, n=None, bits=None) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.binary(), pa.int32(), id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        size = len(part)
+        given = [part, data, [what] * size, doc_id, key, tok, cls, n, bits]
+        return pa.record_batch([pa.nulls(size, t) if c is None else c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(given, kinds, strict=True)], names=names)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level, hot_from = levels.value
         seen: set[int] = set()
         held: list[np.ndarray] = []
         size = 0
 
         def flush(id_type) -> Iterator[pa.RecordBatch]:
             r = np.concatenate(held)
-            part = (mix(r["tok"]) % np.uint64(parts)).astype(np.int64)
+            part = (mix(r["tok"]) % np.uint64(fine)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             r, part = r[order], part[order]
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            n = len(cuts)
-            data = [r[a:z].tobytes() for a, z in zip(cuts, [*cuts[1:], len(r)], strict=True)]
-            none = pa.nulls(n, pa.int64())
-            yield pa.record_batch([pa.array(part[cuts], pa.int32()), pa.array(data, pa.binary()), pa.nulls(n, id_type), none, none, none], names=["part", "data", "doc_id", "key", "cls", "n"])
+            yield rows(id_type, part[cuts], [r[a:z].tobytes() for a, z in zip(cuts, [*cuts[1:], len(r)], strict=True)])
 
         id_type = pa.int64()
         for batch in batches:
             for b in slices(batch, SLICE):
-                names, sizes = [], []
+                own, sizes, maps = [], [], []
                 id_type = b.column(0).type
+                often: list[np.ndarray] = []
                 for grams in ngram_sets(b.column(2), words):
                     cls = class_name(grams)
-                    names.append(cls)
+                    own.append(cls)
                     sizes.append(len(grams))
+                    maps.append(None)
                     if cls in seen or not len(grams):
                         continue
                     seen.add(cls)
-                    first = first_grams(grams, levels.value, percent)
+                    maps[-1] = bitmap(grams, bitmap_bits(len(grams))).tobytes()
+                    first = first_grams(grams, level, percent)
                     r = np.empty(len(first), HEAD)
                     r["tok"], r["n"], r["cls"] = mix(first, 2), len(grams), cls
-                    held.append(r)
-                    size += len(r)
-                home = pa.array(np.array(names, np.int64).view(np.uint64) % np.uint64(parts)).cast(pa.int32())
-                yield pa.record_batch([home, pa.nulls(len(names), pa.binary()), b.column(0), b.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int64())], names=["part", "data", "doc_id", "key", "cls", "n"])
+                    hot = level[(first & np.uint64(CELLS - 1)).astype(np.int64)] >= hot_from
+                    often.append(r[hot])
+                    held.append(r[~hot])
+                    size += len(held[-1])
+                home = np.array(own, np.int64).view(np.uint64) % np.uint64(fine)
+                yield rows(id_type, home.astype(np.int64), None, _HOME, b.column(0), b.column(1), None, own, sizes, maps)
+                if sum(map(len, often)):
+                    r = np.concatenate(often)
+                    spread = (mix(r["tok"] + r["cls"].view(np.uint64)) % np.uint64(fine)).astype(np.int64)
+                    yield rows(id_type, spread, None, _HOT, None, None, r["tok"].view(np.int64), r["cls"], r["n"].astype(np.int64))
                 if size > HELD:
                     yield from flush(id_type)
                     held, size = [], 0
                     seen = set()
-        if held:
+        if size:
             yield from flush(id_type)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        id_type = None
-        names = ["pivot", "doc_id", "key", "cls", "n"]
-        for b in batches:
-            id_type = b.column(2).type
-            packed = b.column(1).is_valid()
-            for data in b.column(1).filter(packed):
-                held.append(np.frombuffer(data.as_buffer(), HEAD))
-            rest = b.filter(b.column(1).is_null())
-            if rest.num_rows:
-                yield pa.record_batch([pa.nulls(rest.num_rows, pa.int64()), *(rest.column(i) for i in (2, 3, 4, 5))], names=names)
-        pivot, member, n = neighbourhoods(np.concatenate(held), percent) if held else ([], [], [])
-        if len(pivot):
-            yield pa.record_batch([pa.array(pivot, pa.int64()), pa.nulls(len(pivot), id_type), pa.nulls(len(pivot), pa.int64()), pa.array(member, pa.int64()), pa.array(n, pa.int64())], names=names)
-
-    rows = docs.select(F.col(id_col), row_key(F.col(id_col), F.col(text_col)), F.col(text_col).cast("string").alias("text"))
-    routed = by_part(rows.mapInArrow(heads, schema), parts).mapInArrow(meet, f"pivot long, doc_id {kind}, key long, cls long, n long")
-    return stage(routed, "ngram-routed")
-
-
-def _only(keyed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Rows whose key may be among the targets', by a Bloom filter of ``FILTER_WORDS`` words.
-
-    At most 4 MB are broadcast. It spares most other texts the shuffle as long as the targets
-    are few; when it fills up, more texts shuffle and the result is the same.
-    """
-    word, bit = F.expr(f"key & {FILTER_WORDS - 1}L"), F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 40) & 63 as int))")
-    plane = targets.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    tested = keyed.withColumn("__word", word).join(F.broadcast(plane), "__word")
-    return tested.where(F.col("__bits").bitwiseAND(bit) != 0).select("key", "text")
+        at = id_type = None
 
+        def close() -> Iterator[pa.RecordBatch]:
+            pivot, member, n = neighbourhoods(np.concatenate(held), percent)
+            held.clear()
+            if len(pivot):
+                yield rows(id_type, np.zeros(len(pivot), np.int64), tok=pivot, cls=member, n=n)
 
-def _compared(docs: DataFrame, members: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Links found in groups ``members(pivot, block, cls, key, label)``, staged."""
-    targets = members.groupBy("key").agg(F.collect_list(F.struct("pivot", "block", "cls", "label")).alias("groups"))
-    keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+        for b in batches:
+            id_type = b.column(3).type
+            packed = b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            parts_of = b.column(0).to_numpy()
+            for i in np.flatnonzero(packed):
+                if parts_of[i] != at and held:
+                    yield from close()
+                at = parts_of[i]
+                held.append(np.frombuffer(b.column(1)[i].as_buffer(), HEAD))
+            if not packed.all():
+                yield b.filter(pa.array(~packed))
+        if held:
+            yield from close()
+
+    texts = docs.select(F.col(id_col), row_key(F.col(id_col), F.col(text_col)), F.col(text_col).cast("string").alias("text"))
+    routed = by_part(texts.mapInArrow(heads, schema), parts).mapInArrow(meet, schema)
+    return stage(routed.drop("part", "data"), "ngram-routed")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, SLICE):
-                for groups, grams in zip(b.column(0), ngram_sets(b.column(1), words), strict=True):
-                    data, where = _short(grams), groups.as_py()
-                    cols = [pa.array([g[k] for g in where], pa.int64()) for k in ("pivot", "block", "cls", "label")]
-                    yield pa.record_batch([*cols, pa.array([data] * len(where), pa.binary())], names=["pivot", "block", "cls", "label", "data"])
 
-    sent = _only(keyed, targets).join(targets.hint("merge"), "key").select("groups", "text").mapInArrow(sets, "pivot long, block long, cls long, label long, data binary")
-    dealt = sent.repartition("pivot", "block").sortWithinPartitions("pivot", "block")
-    return stage(dealt.mapInArrow(_compare_groups(percent), "a long, b long"), "ngram-links")
+def _neighbourhood_pairs(routed: DataFrame) -> DataFrame:
+    """Distinct (pivot, cls, n) of all neighbourhoods; a pivot is no member of its own."""
+    near = routed.where(F.col("what") == _NEAR).select(F.col("tok").alias("pivot"), "cls", "n")
+    hot = routed.where(F.col("what") == _HOT).select("tok", "cls", "n")
+    least = hot.groupBy("tok").agg(F.min("cls").alias("pivot"))
+    return near.unionByName(hot.join(least, "tok").where("cls <> pivot").select("pivot", "cls", "n")).distinct()
 
 
 def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", most_members: int = MOST_MEMBERS) -> tuple[DataFrame, DataFrame]:
@@ -356,27 +482,26 @@ def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     spark: SparkSession = docs.sparkSession
     levels = spark.sparkContext.broadcast(frequency_levels(docs, words, text_col))
     routed = _route(docs, levels, words, percent, partitions(spark), id_col, text_col)
-    classed = routed.where("pivot IS NULL").select("doc_id", "key", "cls", "n")
-    pairs = routed.where("pivot IS NOT NULL").select("pivot", "cls", "n").distinct()
+    classed = routed.where(F.col("what") == _HOME).select("doc_id", "key", "cls", "n", "bits")
+    pairs = _neighbourhood_pairs(routed)
     sizes = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("m") / most_members), F.ceil(F.col("total") / MOST_NGRAMS)).cast("long")
     sizes = sizes.select("pivot", blocks.alias("blocks"))
-    homes = classed.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"))
     own = pairs.join(sizes, "pivot").select("pivot", "blocks", F.expr("pmod(xxhash64(cls), blocks)").alias("block"), "cls")
     lead = sizes.select("pivot", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("cls"))
-    members = stage(own.unionByName(lead).join(homes, "cls"), "ngram-members")
-    links = _compared(docs, members.withColumn("label", F.col("cls")), words, percent, id_col, text_col)
+    homes = classed.where("bits IS NOT NULL").groupBy("cls").agg(F.min(F.struct("key", "n", "bits")).alias("home"))
+    members = stage(own.unionByName(lead).join(homes, "cls").select("pivot", "blocks", "block", "cls", "home.key", "home.n", "home.bits"), "ngram-members")
+    links = _verified(docs, _summarised(members.withColumn("label", F.col("cls")), percent), words, percent, id_col, text_col)
     found = components(links)
     wide = members.where("blocks > 1")
-    if wide.limit(1).count():
+    if not wide.isEmpty():
         named = wide.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
         split = named.groupBy("pivot").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("pivot")
-        open_ = named.join(split, "pivot")
-        # each member to the pairs of its block with every other block of the neighbourhood
+        # each member's summary to the pairs of its block with every other block of the neighbourhood
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-        paired = open_.where("cls <> pivot").select("pivot", "blocks", "block", "cls", "key", "label", other).where("other <> block")
+        paired = named.join(split, "pivot").where("cls <> pivot").select("*", other).where("other <> block")
         paired = paired.withColumn("block", F.expr("least(block, other) * blocks + greatest(block, other)"))
-        more = _compared(docs, paired.select("pivot", "block", "cls", "key", "label"), words, percent, id_col, text_col)
+        more = _verified(docs, _summarised(paired, percent), words, percent, id_col, text_col)
         found = components(links.unionByName(more))
     return classed.select("doc_id", "cls", "n"), found
 

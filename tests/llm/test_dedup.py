@@ -180,8 +180,9 @@ def brute_groups(rows):
     return sorted(((rows[i][0], len(sets[i]), low_id[find(i)]) for i in range(len(rows))), key=str)
 
 
-@pytest.mark.parametrize("members", [2048, 16])
-def test_near_copies_match_brute_force(spark, members):
+@pytest.mark.parametrize("members, hot", [(2048, 32), (16, 32), (16, 1)])
+def test_near_copies_match_brute_force(spark, monkeypatch, members, hot):
+    monkeypatch.setattr(ngram_join, "LEAST_HOT", hot)
     g = random.Random(7)
     base = [[f"b{k}_{i}" for i in range(50)] for k in range(3)]
     rows = []
@@ -195,14 +196,16 @@ def test_near_copies_match_brute_force(spark, members):
     assert sorted(map(tuple, got), key=str) == brute_groups(rows)
 
 
-def test_tree_finds_all_components():
+@pytest.mark.parametrize("dense", [1 << 26, 0])
+def test_tree_finds_all_components(monkeypatch, dense):
+    monkeypatch.setattr(ngram_join, "DENSE", dense)
     g = np.random.default_rng(3)
     base = np.unique(g.integers(0, 2**60, 400, dtype=np.uint64))
     sets = []
     for _ in range(90):
         keep = base[g.random(len(base)) < g.choice([0.97, 0.8, 0.5])]
         sets.append(np.unique(np.concatenate([keep, g.integers(0, 2**60, g.integers(1, 60), dtype=np.uint64)])))
-    links = ngram_join.SignatureTree(sets, 75).links()
+    links = ngram_join.links(sets, 75, np.arange(90))
     jaccard = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
     up = list(range(90))
 
@@ -217,6 +220,28 @@ def test_tree_finds_all_components():
     assert all(find(i) == find(j) for i in range(90) for j in range(i) if jaccard(i, j) >= 0.75)
 
 
+def test_summaries_keep_every_link():
+    """Sets that link are in one possible group, also across sizes of bitmaps; sets far from all others have none."""
+    g = np.random.default_rng(4)
+    sets, wide = [], np.unique(g.integers(0, 2**63, 1800, dtype=np.uint64))
+    for n in (1400, 1500, 1530, 1540, 1600, 1800):  # bitmaps of 2,048 and of 16,384 bits
+        sets.append(wide[:n])
+    small = np.unique(g.integers(0, 2**63, 60, dtype=np.uint64))
+    for _ in range(40):
+        sets.append(np.unique(np.concatenate([small[g.random(len(small)) < 0.93], g.integers(0, 2**63, 3, dtype=np.uint64)])))
+    alone = [np.unique(g.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 50, 1500, 3000)]
+    sets += alone
+    bits = [ngram_join.bitmap(s, ngram_join.bitmap_bits(len(s))) for s in sets]
+    assert len({len(b) for b in bits}) == 2
+    group = ngram_join.possible_groups(np.array([len(s) for s in sets]), bits, np.arange(len(sets)), 75)
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                assert group[i] == group[j] >= 0
+    assert (group[-len(alone) :] == -1).all()
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
