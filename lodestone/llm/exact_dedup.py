@@ -6,6 +6,10 @@ kept. Pass 2 tests each row: if any of its bits lacks in the second plane, no ot
 its text and it goes straight through; the other rows, the possibly repeated ones, shuffle
 by digest and are settled exactly, so false positives cost a shuffle and never a result.
 
+Large groups: the groups of the possibly repeated rows are reduced in map tasks and staged, a
+narrow row each. Those of more than a ``1 / HOT`` part of all rows, fewer than ``HOT``, join by
+broadcast, so a text that a third of all rows hold is in no single task; the others join by shuffle.
+
 Scale: the filter has a word of 64 bits for each four rows and at most ``MAX_WORDS`` words.
 Its second plane is the only broadcast, of 16 bytes for each word that it keeps, 64 MB at
 most whatever the input. Beyond 16 million rows it fills up: more rows shuffle, narrow ones,
@@ -26,6 +30,7 @@ from lodestone.llm.storage import stage
 
 MAX_WORDS = 1 << 22
 ROWS_A_WORD = 4
+HOT = 4096
 
 
 def normal_form(text: Column) -> Column:
@@ -65,6 +70,19 @@ def with_maybe(df: DataFrame, plane: DataFrame, words: int) -> DataFrame:
     return joined.withColumn("__maybe", F.expr("coalesce((__twice & __mask) = __mask, false)")).drop("__word", "__mask", "__twice")
 
 
+def joined_groups(rows: DataFrame, groups: DataFrame, size: str, every: int) -> DataFrame:
+    """Rows with the columns of their group, by ``__digest``. ``size``: the column of a group's number of rows.
+
+    Groups of more than ``every / HOT`` rows are fewer than ``HOT`` and are broadcast.
+    """
+    hot = F.col(size) * HOT > every
+    names = [*rows.columns, *(c for c in groups.columns if c != "__digest")]
+    marked = rows.join(F.broadcast(groups.where(hot).withColumn("__hot", F.lit(True))), "__digest", "left")
+    large = marked.where("__hot").select(*names)
+    rest = marked.where("__hot IS NULL").select(*rows.columns).join(groups.where(~hot), "__digest").select(*names)
+    return large.unionByName(rest)
+
+
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256 (bytes).
 
@@ -72,15 +90,16 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("__digest"))
     digests = stage(narrow.withColumn("__row", F.monotonically_increasing_id()), "exact-digests")
-    plane, words = repeated_plane(digests.select("__digest"), digests.count())
+    every = digests.count()
+    plane, words = repeated_plane(digests.select("__digest"), every)
     tested = with_maybe(digests, plane, words)
     once = tested.where(~F.col("__maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("__digest").alias("text_sha256")
     )
     maybe = tested.where("__maybe")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")))
-    groups = maybe.groupBy("__digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    settled = maybe.join(groups, "__digest").select(
+    groups = stage(maybe.groupBy("__digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
+    settled = joined_groups(maybe, groups, "group_size", every).select(
         "doc_id", F.col("first.id").alias("keep_id"), "group_size", (F.col("__row") == F.col("first.row")).alias("kept"), F.col("__digest").alias("text_sha256")
     )
     return once.unionByName(settled)

@@ -5,17 +5,19 @@
   id is a ``response``, the others are ``revisit`` records that name it and carry no payload.
 * ``normalise`` inflates each such stream once, front to back and in pieces, rewrites every
   record as a gzip member of its own, and writes beside the archive a sidecar index with the
-  offset and length of each member.
-* ``read_records`` deals the sidecar's members out in runs of bytes, so a reader starts in the
-  middle of an archive; a large file is no longer one task.
+  offset and length of each member, in lines of equal width.
+* ``read_records`` deals out runs of ``RUN`` members. A task seeks to its lines of the sidecar,
+  which tell where its members are, so a reader starts in the middle of an archive; a large file
+  is no longer one task, and no index passes through Spark or the driver.
 
 A file is named by the attempt that wrote it and only files that a successful task reports are
 used, so lost executors leave nothing that is read. Memory: one piece of 256 KB of the stream
 and one record. Inflating a whole-file stream can't be split; that is why it is done once.
 
 Defined cases: null html is an empty payload; a null id is never referred to; rows with the
-smallest id of their payload are all responses, also when the row is repeated; an empty table
-gives no archives and no rows. Smaller payloads than ``least`` bytes are always responses.
+smallest id of their payload are all responses, also when the row is repeated; ids must be whole
+numbers, others are refused; other columns are left alone; an empty table gives no archives and no
+rows. Smaller payloads than ``least`` bytes are always responses.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.exact_dedup import repeated_plane, with_maybe
-from lodestone.llm.storage import fresh_folder, stage
+from lodestone.llm.exact_dedup import joined_groups, repeated_plane, with_maybe
+from lodestone.llm.storage import fresh_folder, stage, whole_number_ids
 
 PIECE = 256 << 10
-MEMBERS_MB = 8
+RUN = 64
+LINE = 32  # bytes of a line of the sidecar: offset, space, length, line feed
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
@@ -131,20 +133,21 @@ def assign_types(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """Rows (page_id, url, html, revisit, refers_to).
 
     A Bloom filter of the digests tells which payloads may repeat; the rows of all others pass
-    without a shuffle. The rest is joined to the smallest id of its digest, a join that adaptive
-    execution splits when one payload holds many rows; the ids are reduced in map tasks first.
+    without a shuffle. The rest is joined to the smallest id of its digest; the ids are reduced in
+    map tasks first, and payloads of very many rows join by a broadcast of bounded size.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     digest = F.unhex(F.sha1(html.cast("binary")))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), digest.alias("__digest"))
+    rows = pages.select(whole_number_ids(pages, id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), digest.alias("__digest"))
     sized = F.octet_length("html") >= least
-    plane, words = repeated_plane(rows.select("__digest"), pages.count())
+    every = pages.count()
+    plane, words = repeated_plane(rows.select("__digest"), every)
     tested = with_maybe(rows, plane, words)
     plain = tested.where(~(F.col("__maybe") & sized)).select("page_id", "url", "html", F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("refers_to"))
     maybe = tested.where(F.col("__maybe") & sized)
-    groups = maybe.groupBy("__digest").agg(F.min("page_id").alias("first"))
+    groups = stage(maybe.groupBy("__digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")), "warc-payloads")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    settled = maybe.join(groups, "__digest").select("page_id", "url", "html", again.alias("revisit"), F.when(again, F.col("first")).alias("refers_to"))
+    settled = joined_groups(maybe, groups, "n", every).select("page_id", "url", "html", again.alias("revisit"), F.when(again, F.col("first")).alias("refers_to"))
     return plain.unionByName(settled)
 
 
@@ -172,10 +175,10 @@ def write_monolithic(typed: DataFrame, folder: str) -> DataFrame:
 
 
 def normalise(files: DataFrame, source: str, target: str) -> DataFrame:
-    """Rewrite each archive with a member for each record. Returns the staged sidecar index.
+    """Rewrite each archive with a member for each record. Returns the staged list of archives (name, members).
 
-    Columns: name, offset, length. The same index lies beside each archive as JSON lines. The
-    task deletes the monolithic file when its own archive is complete.
+    The sidecar ``<name>.idx`` beside each archive has a line of ``LINE`` bytes for each member. The
+    monolithic files go when all archives are complete.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,25 +187,34 @@ def normalise(files: DataFrame, source: str, target: str) -> DataFrame:
         store.create_dir(there, recursive=True)
         for b in batches:
             for mono in b.column(0).to_pylist():
-                name = f"norm-{uuid.uuid4().hex}.warc.gz"
-                offsets, lengths, at = [], [], 0
-                with store.open_input_stream(f"{here}/{mono}", compression=None) as f, store.open_output_stream(f"{there}/{name}", compression=None) as out:
+                name, at, n = f"norm-{uuid.uuid4().hex}.warc.gz", 0, 0
+                with (
+                    store.open_input_stream(f"{here}/{mono}", compression=None) as f,
+                    store.open_output_stream(f"{there}/{name}", compression=None) as out,
+                    store.open_output_stream(f"{there}/{name}.idx", compression=None) as side,
+                ):
                     for record in records(inflated(f)):
                         member = gzip.compress(record, 4, mtime=0)
                         out.write(member)
-                        offsets.append(at)
-                        lengths.append(len(member))
+                        side.write(b"%018d %012d\n" % (at, len(member)))
                         at += len(member)
-                with store.open_output_stream(f"{there}/{name}.idx") as side:
-                    for pair in zip(offsets, lengths, strict=True):
-                        side.write(json.dumps(pair).encode() + b"\n")
-                yield pa.record_batch([pa.array([name] * len(offsets)), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], names=["name", "offset", "length"])
+                        n += 1
+                yield pa.record_batch([pa.array([name]), pa.array([n], pa.int64())], names=["name", "members"])
 
     spark = files.sparkSession
     dealt = files.select("name").repartitionByRange(max(1, files.count()), "name")
-    index = stage(dealt.mapInArrow(run, "name string, offset long, length long"), "warc-index")
+    archives = stage(dealt.mapInArrow(run, "name string, members long"), "warc-archives")
     _delete(spark, source)
-    return index
+    return archives
+
+
+def sidecar_lines(side, first: int, n: int) -> list[tuple[int, int]]:
+    """(offset, length) of ``n`` members from the ``first`` on, from an open sidecar."""
+    side.seek(first * LINE)
+    data = side.read(n * LINE)
+    if len(data) != n * LINE or data[LINE - 1 :: LINE] != b"\n" * n:
+        raise ValueError("the sidecar is cut short or damaged")
+    return [(int(data[a : a + 18]), int(data[a + 19 : a + 31])) for a in range(0, len(data), LINE)]
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -210,33 +222,29 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to) of the indexed members.
+def read_records(archives: DataFrame, folder: str) -> DataFrame:
+    """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to) of the archives (name, members).
 
-    Members are dealt out by archive and run of ``MEMBERS_MB`` MB and read in offset order.
+    Runs of ``RUN`` members are dealt out by archive and first member; offsets come from the sidecars.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = _filesystem(folder)
         kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
-        f = opened = None
         for b in batches:
-            got = []
-            for name, offset, length in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if name != opened:
-                    if f is not None:
-                        f.close()
-                    f, opened = store.open_input_file(f"{at}/{name}"), name
-                f.seek(offset)
-                got.append(parse_record(gzip.decompress(f.read(length))))
-            yield pa.record_batch([pa.array([g[k] for g in got], t) for k, t in kinds.items()], names=list(kinds))
-        if f is not None:
-            f.close()
-
-    part = F.floor(F.col("offset") / (MEMBERS_MB << 20))
-    dealt = index.select("name", "offset", "length").withColumn("run", part).repartition(F.col("name"), F.col("run"))
-    ordered = dealt.sortWithinPartitions("name", "offset").select("name", "offset", "length")
-    return ordered.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+            for name, first, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                with store.open_input_file(f"{at}/{name}.idx") as side, store.open_input_file(f"{at}/{name}") as f:
+                    got = []
+                    for offset, length in sidecar_lines(side, first, n):
+                        f.seek(offset)
+                        got.append(parse_record(gzip.decompress(f.read(length))))
+                yield pa.record_batch([pa.array([g[k] for g in got], t) for k, t in kinds.items()], names=list(kinds))
+
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("members") - 1, F.lit(RUN).cast("long"))).alias("first")
+    runs = archives.where("members > 0").select("name", "members", first)
+    runs = runs.select("name", "first", F.least(F.lit(RUN).cast("long"), F.col("members") - F.col("first")).alias("n"))
+    dealt = runs.repartition(F.col("name"), F.col("first"))
+    return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def warc_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
