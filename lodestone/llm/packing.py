@@ -8,14 +8,17 @@ order, and the stream is cut at every multiple of the sequence length. Only the
 is short.
 
 How it runs: one pass tokenises each text once and stages (key, count, ids as 16- or 32-bit
-numbers). Block bounds on the curve are quantiles of the staged keys; since the key ends in a
-hash of the document id, a key that a third of all rows share is cut as finely as any other.
-The totals of the blocks, a bounded number of rows, give each block its start in the stream,
-and a running sum inside a block gives each document its position. The ids shuffle once, by block.
+numbers). Spark deals the staged rows by ranges of the curve, as many as the session has shuffle
+partitions, sorts within each and stages them again with a running sum of counts; the key ends in
+a hash of the document id and then in a number of the row, so rows that share a key are cut as
+finely as any others. The total of each range, a row for each shuffle partition whatever the
+input, gives the range its start in the stream; start and running sum are a document's place, and
+from there each document's pieces follow without its neighbours. The ids shuffle once.
 
 Defined cases: a null text is empty and consists of the closing id alone; documents with equal
 id and text may change places but give the same pieces; a null id stays null; an empty table
-gives no pieces; a text of any length is cut into as many pieces as it needs.
+gives no pieces; a text of any length is cut into as many pieces as it needs; other columns are
+left alone.
 """
 
 from __future__ import annotations
@@ -30,14 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.storage import partitions, stage
+from lodestone.llm.storage import discard, partitions, stage
 
 LENGTH = 1024
 CLOSING = 0
 DIMS = 4
 BITS = 7
-BLOCK_TOKENS = 1 << 20
-BLOCKS_A_PARTITION = 8
 #: The pre-tokenisation rule of the byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -147,63 +148,53 @@ def tokenised(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, curve long, n long, ids binary")
     low = F.expr("xxhash64(cast(doc_id as string)) & 2147483647L")
-    return stage(rows.withColumn("key", F.shiftleft("curve", 31).bitwiseOR(low)).drop("curve"), "packing-ids")
+    return stage(rows.withColumns({"key": F.shiftleft("curve", 31).bitwiseOR(low), "row": F.monotonically_increasing_id()}).drop("curve"), "packing-ids")
 
 
-def curve_blocks(tokens: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
-    """Bounds of the blocks of the curve, and the place of each block's first id in the stream."""
-    total = tokens.agg(F.sum("n")).first()[0] or 0
-    blocks = max(BLOCKS_A_PARTITION * partitions(tokens.sparkSession), total // BLOCK_TOKENS)
-    cuts = tokens.agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], max(10_000, 4 * blocks))).first()[0] or []
-    bounds = np.unique(np.array(cuts, np.int64))
-    sums = tokens.select("key", "n").mapInArrow(_tagging(bounds), "key long, n long, block int").groupBy("block").agg(F.sum("n"))
-    starts, at = {}, 0
-    for block, n in sorted(tuple(r) for r in sums.collect()):  # a row for each block
-        starts[block] = at
-        at += n
-    return bounds, starts
+def along_curve(tokens: DataFrame) -> DataFrame:
+    """Staged rows (doc_id, n, ids, range, before): documents dealt by ranges of the curve, with the ids
+    that lie before each in its range."""
 
-
-def _tagging(bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
         for b in batches:
-            block = np.searchsorted(bounds, b.column("key").to_numpy())
-            yield pa.record_batch([*b.columns, pa.array(block, pa.int32())], names=[*b.schema.names, "block"])
+            n = b.column("n").to_numpy()
+            stop = before + np.cumsum(n)
+            yield pa.record_batch([*b.columns, pa.array(stop - n, pa.int64())], names=[*b.schema.names, "before"])
+            before = int(stop[-1]) if len(stop) else before
 
-    return run
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    dealt = tokens.repartitionByRange(partitions(tokens.sparkSession), "key", "row").sortWithinPartitions("key", "row")
+    tagged = dealt.select("doc_id", "n", "ids", F.spark_partition_id().alias("range"))
+    return stage(tagged.mapInArrow(run, f"doc_id {kind}, n long, ids binary, range int, before long"), "packing-ranges")
 
 
 def pieces(tokens: DataFrame, tokenizer_file: str, length: int = LENGTH) -> DataFrame:
     """One row per piece: where it comes from, where it lies, and a CRC of its ids."""
-    bounds, starts = curve_blocks(tokens)
+    ranged = along_curve(tokens)
+    discard(tokens)
+    totals = sorted(tuple(r) for r in ranged.groupBy("range").agg(F.sum("n")).collect())  # a row for each shuffle partition
+    starts = dict(zip([r for r, _ in totals], np.cumsum([0, *(n for _, n in totals)])[:-1].tolist(), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 2 if encoder(tokenizer_file).size <= 1 << 16 else 4
-        block, at = -1, 0
         for b in batches:
             out: list[tuple] = []
-            blocks = b.column(3).to_pylist()
-            for row in range(b.num_rows):
-                ids = memoryview(np.frombuffer(b.column(2)[row].as_buffer(), f"<u{width}").astype("<u4").tobytes())
-                n, start = b.column(1)[row].as_py(), 0
-                if blocks[row] != block:
-                    block = blocks[row]
-                    at = starts[block]
+            counts, places = b.column("n").to_pylist(), zip(b.column("range").to_pylist(), b.column("before").to_pylist(), strict=True)
+            for row, (n, (part, before)) in enumerate(zip(counts, places, strict=True)):
+                ids = memoryview(np.frombuffer(b.column("ids")[row].as_buffer(), f"<u{width}").astype("<u4").tobytes())
+                at, start = starts[part] + before, 0
                 while start < n:
                     offset = (at + start) % length
                     size = min(length - offset, n - start)
                     out.append((row, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n, (at + start) // length, offset))
                     start += size
-                at += n
             if out:
                 rows, *cols = (pa.array(c, pa.int64()) for c in zip(*out, strict=True))
-                yield pa.record_batch([b.column(0).take(rows), *cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                yield pa.record_batch([b.column("doc_id").take(rows), *cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    parts = partitions(tokens.sparkSession)
-    tagged = tokens.select("doc_id", "n", "ids", "key").mapInArrow(_tagging(bounds), f"doc_id {kind}, n long, ids binary, key long, block int")
-    dealt = tagged.repartitionById(parts, F.expr(f"block % {parts}")).sortWithinPartitions("block", "key", "doc_id", "n")
-    return dealt.select("doc_id", "n", "ids", "block").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranged.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

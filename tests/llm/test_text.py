@@ -43,7 +43,7 @@ def test_base_spans():
 
 def test_long_texts_are_linear():
     for text in ("1" * 200_000, "a" * 200_000 + "@", "@" * 50_000, "+1" + "(" * 200_000, "a@b." * 20_000):
-        pii.mentions(text, pii.base_spans(text))
+        assert pii.Contexts(pa.array([text])).base == [pii.base_spans(text)]
 
 
 def test_contexts_find_identifiers_and_leave_others(spark):
@@ -72,6 +72,34 @@ def test_contexts_reach_the_start_of_a_text(spark):
     assert got[0].spans == "context_phone:5:13" and got[100].spans == "context_phone:0:8"
 
 
+def test_candidates_may_be_of_any_kind(spark):
+    """Words without digits, with inner signs, in quotes, and of any length are found in trusted slots; ordinary slots stay."""
+    mail = lambda i: f"user{i}@mail{i}.example"
+    odd = ["@handle", "john(at)doe", "k" * 5000, "日本語-id", "a"]
+    rows = [(i, f"write to {mail(i)} today, w{i} fine") for i in range(40)] + [(100 + i, f'write to "{x}" today, all fine') for i, x in enumerate(odd)]
+    rows += [(200 + i, f"it is {mail(i)} or not") for i in range(5)] + [(300 + i, f"it is word{i} or not") for i in range(40)]
+    rows += [(400, None), (401, ""), (None, "write to me today"), (402, "write to me today"), (402, "write to me today")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    docs = docs.withColumns({c: F.lit("x") for c in ("key", "found", "base", "mentions", "pattern", "n_email")})
+    got = pii.extract(docs).collect()
+    assert len(got) == len(rows)
+    spans = {r.doc_id: r.spans for r in got}
+    for i, x in enumerate(odd):
+        a, words = 10, [x] if "(" not in x else ["john", "doe"]
+        assert spans[100 + i].startswith(f"context_email:{a}:{a + len(words[0])}"), x
+    assert all(r.n_found == 0 for r in got if r.doc_id is not None and (r.doc_id < 100 or 200 <= r.doc_id < 402))
+    assert [r.n_found for r in got if r.doc_id == 402] == [1, 1] and [r.n_found for r in got if r.doc_id is None] == [1]
+    assert pii.mask(docs).columns == docs.columns
+
+
+def test_words_lose_points_at_their_ends():
+    c = pii.Contexts(pa.array(["...a.b!? (c) ::", None, ".", "d. e@f.gh, i"]))
+    w = c.words
+    assert [bytes(c.raw[a:b]) for a, b in zip(w.start, w.end, strict=True)] == [b"a.b", b"c", b"d", b"@f.g", b"i"] and w.row.tolist() == [0, 2, 2, 2, 5]
+
+
 def test_gradients():
     net = toxicity.Network(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -247,6 +275,37 @@ def test_packing_places_every_id_once(spark, length):
     assert packing.pack(docs.where("false"), path, length).count() == 0
 
 
+def packed_ids(got, length):
+    """Checks that pieces fill sequences without gaps but for the last one; the lengths of documents by id, as a list of rows."""
+    by_sequence = {}
+    for r in got:
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    ends = []
+    for parts in by_sequence.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        ends.append(at)
+    assert sum(e < length for e in ends) <= 1 and set(by_sequence) == set(range(len(by_sequence)))
+
+
+def test_packing_of_awkward_rows(spark):
+    """Null ids, repeated rows (ties of the curve), clashing columns and a very long text."""
+    from pyspark.sql import functions as F
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    rows = [(1, "same text here")] * 50 + [(None, "no id")] * 3 + [(2, "word " * 60_000), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit("k"), "n": F.lit(1), "row": F.lit(2), "range": F.lit(3), "before": F.lit(4), "ids": F.lit("x")})
+    got = packing.pack(docs, path).collect()
+    packed_ids(got, 1024)
+    e = packing.encoder(path)
+    wanted = {i: len(e.encode(t or "")) + 1 for i, t in rows}
+    assert {r.doc_id: r.doc_tokens for r in got} == wanted
+    assert sum(r.length for r in got) == sum(wanted[i] for i, _ in rows)
+    assert sum(r.start == 0 for r in got) == len(rows)
+
+
 def test_word_blocks_do_not_change_words(monkeypatch):
     text = pa.array([" ".join(f"w{i}" for i in range(3000)), None, "a" * 9000, "x"])
     whole = wordhash.words_of(text)
