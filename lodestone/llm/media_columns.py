@@ -2,10 +2,12 @@
 
 ``pack_media`` writes each payload as a grey PNG of 64 samples a row into ZIP archives, one or
 more for each task, through the writer of the data source ``media_archive``. A task writes
-under a name of its own attempt; the commit lists the files of the tasks that succeeded in a
-manifest, so what a lost or repeated task left behind is never read.
+under a name of its own attempt; each commit lists the files of the tasks that succeeded in a
+manifest of its own, so what a lost or repeated task left behind is never read, an append adds to
+what is there, and a commit is there whole or not at all. Overwriting first drops the manifests
+of before; a write that fails takes its archives away.
 
-The reader plans on the driver from the manifest alone (path and size of each archive) and
+The reader plans on the driver from the manifests alone (path and size of each archive) and
 cuts every archive into byte ranges of at most ``split`` bytes. A task reads the archive's
 directory at its end, takes the members whose header begins in its range, and streams their
 payloads in Arrow batches of at most 4 MB. Each member is checked against its CRC and, if the
@@ -14,8 +16,8 @@ members around it. ``on_error`` says whether a member that stays unreadable fail
 ('fail') or becomes a row with a null payload and the error's text ('null').
 
 Defined cases: a null text is an empty payload of 64 zero bytes; repeated rows are stored
-twice; a null id stays null; an empty table gives an empty archive folder and no rows. A
-payload of any length is one member (ZIP64 where needed).
+twice; a null id stays null; ids must be whole numbers, others are refused; other columns are left
+alone; an empty table gives an empty archive folder and no rows. A payload of any length is one member (ZIP64 where needed).
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import time
 import uuid
 import zipfile
 import zlib
@@ -35,14 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from lodestone.llm.storage import fresh_folder
+from lodestone.llm.storage import fresh_folder, whole_number_ids
 
 WIDTH = 64
 SPLIT = 32 << 20
 ARCHIVE = 128 << 20
 _BATCH = 4 << 20
 _SIGN = b"\x89PNG\r\n\x1a\n"
-_MANIFEST = "manifest.json"
+_MANIFEST = "manifest-"
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -118,8 +121,8 @@ class _Range(InputPartition):
 
 
 class _ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, options):
-        self.folder, self.most = options["path"], int(options.get("archive", ARCHIVE))
+    def __init__(self, options, overwrite: bool):
+        self.folder, self.most, self.overwrite = options["path"], int(options.get("archive", ARCHIVE)), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         store, folder = _filesystem(self.folder)
@@ -154,9 +157,34 @@ class _ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         store, folder = _filesystem(self.folder)
         store.create_dir(folder, recursive=True)
-        files = sorted(f for m in messages if m for f in m.files)
-        with store.open_output_stream(f"{folder}/{_MANIFEST}") as f:
-            f.write(json.dumps(files).encode())
+        old = manifests(store, folder) if self.overwrite else []
+        name = f"{folder}/{_MANIFEST}{time.time_ns():020d}-{uuid.uuid4().hex}.json"
+        with store.open_output_stream(f"{name}.part") as f:
+            f.write(json.dumps(sorted(f for m in messages if m for f in m.files)).encode())
+        store.move(f"{name}.part", name)
+        for path in old:
+            gone = listed_archives(store, path)
+            store.delete_file(path)
+            for archive, _ in gone:
+                store.delete_file(f"{folder}/{archive}")
+
+    def abort(self, messages) -> None:
+        store, folder = _filesystem(self.folder)
+        for archive, _ in (f for m in messages if m for f in m.files):
+            store.delete_file(f"{folder}/{archive}")
+
+
+def manifests(store, folder: str) -> list[str]:
+    """Paths of the committed manifests of a folder, oldest first."""
+    from pyarrow import fs
+
+    found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return sorted(i.path for i in found if i.base_name.startswith(_MANIFEST) and i.base_name.endswith(".json"))
+
+
+def listed_archives(store, path: str) -> list[tuple[str, int]]:
+    with store.open_input_stream(path) as f:
+        return [tuple(x) for x in json.loads(f.read())]
 
 
 def directory(f: pa.NativeFile) -> list[zipfile.ZipInfo]:
@@ -186,8 +214,10 @@ class _ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[_Range]:
         store, folder = _filesystem(self.folder)
-        with store.open_input_stream(f"{folder}/{_MANIFEST}") as f:
-            files = json.loads(f.read())
+        found = manifests(store, folder)
+        if not found:
+            raise FileNotFoundError(f"no committed archives in {self.folder}")
+        files = [x for m in found for x in listed_archives(store, m)]
         cuts = [_Range(name, a, min(a + self.split, size)) for name, size in files for a in range(0, size, self.split)]
         return cuts or [_Range("", 0, 0)]
 
@@ -244,14 +274,14 @@ class MediaArchive(DataSource):
         return _ArchiveReader(self.options)
 
     def writer(self, schema, overwrite) -> DataSourceArrowWriter:
-        return _ArchiveWriter(self.options)
+        return _ArchiveWriter(self.options, overwrite)
 
 
-def pack_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write each row's text, in UTF-8 and padded, into the archives of a folder."""
+def pack_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", mode: str = "append") -> None:
+    """Write each row's text, in UTF-8 and padded, into the archives of a folder; ``mode``: append or overwrite."""
     docs.sparkSession.dataSource.register(MediaArchive)
     payload = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    docs.select(F.col(id_col).cast("long").alias("id"), payload.alias("payload")).write.format("media_archive").mode("append").option("path", folder).save()
+    docs.select(whole_number_ids(docs, id_col).alias("id"), payload.alias("payload")).write.format("media_archive").mode(mode).option("path", folder).save()
 
 
 def read_media(spark: SparkSession, folder: str, **options: str) -> DataFrame:

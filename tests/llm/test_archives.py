@@ -105,3 +105,58 @@ def test_pipeline_stages(spark):
         assert docs.columns == columns and 0 < docs.count() <= before
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_appends_add_and_overwrites_replace(spark):
+    """Each commit has a manifest of its own; columns with names used inside and very long texts are no matter."""
+    from pyspark.sql import functions as F
+
+    folder = fresh_folder(spark, "media-appends")
+    docs = lambda *ids: spark.createDataFrame([(i, f"text {i} " * (200_000 if i == 3 else 1)) for i in ids], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "payload", "media", "error")})
+    media_columns.pack_media(docs(1, 2), folder)
+    media_columns.pack_media(docs(3), folder)
+    assert sorted(r.id for r in media_columns.read_media(spark, folder).collect()) == [1, 2, 3]
+    got = {r.doc_id: r.n_bytes for r in media_columns.media_features(spark, folder).collect()}
+    assert got == {i: len(f"text {i} ") * (200_000 if i == 3 else 1) for i in (1, 2, 3)}
+    media_columns.pack_media(docs(4), folder, mode="overwrite")
+    assert [r.id for r in media_columns.read_media(spark, folder).collect()] == [4]
+    assert len(glob.glob(folder.removeprefix("file://") + "/*")) == 2  # one archive, one manifest
+
+
+def test_failed_write_leaves_nothing(spark, tmp_path):
+    writer = media_columns._ArchiveWriter({"path": f"file://{tmp_path}"}, False)
+    import pyarrow as pa
+
+    message = writer.write(iter([pa.record_batch([pa.array([1]), pa.array([b"a"])], names=["id", "payload"])]))
+    assert glob.glob(f"{tmp_path}/*.zip")
+    writer.abort([message, None])
+    assert not glob.glob(f"{tmp_path}/*")
+
+
+def test_ids_must_be_whole_numbers(spark):
+    pages = spark.createDataFrame([("a", "u", "h")], "page_id string, url string, html string")
+    docs = spark.createDataFrame([("a", "t")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="whole numbers"):
+        warc_normaliser.warc_round_trip(pages)
+    with pytest.raises(TypeError, match="whole numbers"):
+        media_columns.media_columns(docs)
+
+
+def test_warc_reads_the_sidecars(spark, monkeypatch):
+    """Runs of members start in the middle of archives; a damaged sidecar is an error; clashing columns are no matter."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(warc_normaliser, "RUN", 7)
+    pages = spark.createDataFrame([(i, "u", f"<p>{i % 50}</p>") for i in range(300)], "page_id long, url string, html string").coalesce(2)
+    pages = pages.withColumns({c: F.lit("x") for c in ("name", "first", "n", "refers_to", "revisit", "__digest")})
+    mono, norm = fresh_folder(spark, "mono"), fresh_folder(spark, "norm")
+    archives = warc_normaliser.normalise(warc_normaliser.write_monolithic(warc_normaliser.assign_types(pages), mono), mono, norm)
+    got = warc_normaliser.read_records(archives, norm).collect()
+    assert sorted(r.page_id for r in got) == list(range(300)) and sum(r.record_type == "response" for r in got) == 50
+    side = next(f for f in glob.glob(norm.removeprefix("file://") + "/*.idx") if len(open(f).read()) > 0)
+    lines = open(side).read().splitlines()
+    assert all(len(x) == warc_normaliser.LINE - 1 for x in lines)
+    with open(side, "w") as f:
+        f.write("\n".join(lines)[:-3])
+    with pytest.raises(Exception, match="sidecar"):
+        warc_normaliser.read_records(archives, norm).count()
