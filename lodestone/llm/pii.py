@@ -1,22 +1,29 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped contextual extraction.
 
 The fixed patterns (e-mail, IP address, payment card, telephone number) give the base spans and
-are the seeds. Around each seed, and around each other identifier-like token (6 to 64 characters
-with a digit, outside the base spans), two lexical patterns are read off: the two words before
-it, and the word before with the word after; letters in lower case, digits as 0. Where the text
-starts instead, a mark stands for each missing word.
-
-Patterns and instances (the tokens' own texts) form a graph whose distinct edges Spark scores in
-rounds: a pattern scores the mean of its instances' scores, shrunk by ``SHRINK`` unknown ones;
-an instance that is no seed scores the chance that at least one of its patterns is right. Seeds
-stay at 1. After ``ROUNDS`` rounds, a pattern of at least ``LEAST_SCORE`` with ``LEAST_SEEDS``
-different seeds is trusted, and every token that stands in a trusted pattern is found, under the
-kind of seed that the pattern has most, as ``context_<kind>``. Base spans always stay.
-
-How it runs: one pass over the text stages base spans and mentions, narrow rows; the scoring
-reads only those. Distinct edges are reduced in map tasks, so a context that a third of all
-documents share is one edge for each instance; scores meet edges in joins that adaptive
-execution splits where hot. Each round is staged in the shared folder.
+are the seeds. Words are what stands between white space, quotes, brackets, commas, semicolons,
+bars and equals signs, without points and such at its ends; they may have any length
+and any characters. Around each seed two lexical patterns are read off: the two words before it,
+and the word before with the word after; A-Z in lower case, digits as 0, other seeds as one mark. Where the text starts or
+ends instead, a mark stands for each missing word.
+
+Bootstrapping. Patterns that ``LEAST_SEEDS`` different seeds have become seeded ones. A second
+pass takes as candidate every word that stands in the slot of a seeded pattern, whatever it looks
+like. Patterns and instances (the seeds' and the candidates' own texts) form a graph whose
+distinct edges Spark scores in rounds: a pattern scores the mean of its instances' scores, shrunk
+by ``SHRINK`` unknown ones; an instance that is no seed scores ``TRUST`` times the chance that at
+least one of its patterns is right, so patterns can't lift each other without seeds. Seeds stay at 1. After ``ROUNDS`` rounds a pattern of at least ``LEAST_SCORE`` is
+trusted, and every word that stands in its slot is found, under the kind of seed that the pattern
+has most, as ``context_<kind>``. A slot that ordinary words fill as well scores low, so the score
+alone decides. Base spans always stay. An identifier of several words is found word by word, in
+slots of its own.
+
+How it runs: two passes over the text. The first stages base spans and the seeds' patterns, narrow
+rows. The second tests the patterns of all words, as arrays, against a Bloom filter of the seeded
+patterns (``FILTER_BITS`` bits, the only broadcast; a false hit is dropped by an exact join) and
+stages the hits. The scoring reads only those. Distinct edges are reduced in map tasks, so a
+context that a third of all documents share is one edge for each instance; scores meet edges in
+joins that adaptive execution splits where hot. Each round is staged in the shared folder.
 
 Defined cases: null and empty texts have no spans; rows may repeat and give equal results; a
 null id stays null; other columns are left alone; an empty table gives no rows. All scans are
@@ -29,26 +36,34 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.storage import discard, row_key, stage
+from lodestone.llm.wordhash import mix, slices, text_bytes, words_of
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SHRINK, LEAST_SCORE, LEAST_SEEDS = 3, 1.0, 0.7, 4
+ROUNDS, SHRINK, TRUST, LEAST_SCORE, LEAST_SEEDS = 3, 1.0, 0.5, 0.7, 4
 #: What the base kinds look like. Possessive, as giving back can't help here.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TOKEN = re.compile(r"(?<!\S)(?=\S*[0-9])\S++")
-WORD = re.compile(r"\S+")
-_START = "\x02"  # in patterns, for each word that the start of the text leaves out
-_EDGE = ".,;:!?\"'()[]{}<>«»|"
-_DIGITS = str.maketrans("123456789", "000000000")
+FILTER_BITS = 1 << 22
+SLICE = 1 << 20
+_APART = np.zeros(256, bool)
+_APART[[0x20, *range(0x09, 0x0E), *b",;=|()[]{}<>\"'"]] = True
+_EDGE = np.zeros(256, bool)
+_EDGE[[*b".:!?"]] = True
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_FOLD[49:58] = 48
+_NONE = np.uint64(0x5BD1E995A0F3C27B)  # in patterns, for each word that the text's start or end leaves out
+_SEED = np.uint64(0x2545F4914F6CDD1D)  # in patterns, for each base span
 
 Span = tuple[str, int, int]
 
@@ -97,103 +112,185 @@ def listed(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _plain(word: str) -> str:
-    return word.strip(_EDGE).lower().translate(_DIGITS)
+class Contexts:
+    """Words and base spans of some texts, with the patterns around each."""
+
+    def __init__(self, column: pa.Array):
+        self.texts = [t or "" for t in column.to_pylist()]
+        self.base = [base_spans(t) for t in self.texts]
+        data, self.off = text_bytes(column)
+        self.raw = data
+        cut = _FOLD[data]
+        spans: list[tuple[int, int, int, str]] = []  # row, first byte, end, kind
+        for row, found in enumerate(self.base):
+            if found:
+                at = self._bytes_of(row)
+                spans += [(row, int(at[a]), int(at[b]), kind) for kind, a, b in found]
+        for _, a, b, _ in spans:
+            cut[a:b] = 0x20
+            cut[a + 1 : b - 1] = 0x01  # a word of its own, apart from what it is glued to
+        self._strip(cut)
+        self.words = words_of(pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(self.off.astype(np.int64)), pa.py_buffer(cut)]), apart=_APART)
+        self.spans = spans
+        inside = np.zeros(len(self.words.start) + 1, np.int64)
+        np.add.at(inside, np.searchsorted(self.words.start, [s[1] for s in spans]), 1)
+        np.add.at(inside, np.searchsorted(self.words.start, [s[2] for s in spans]), -1)
+        self.seed = np.cumsum(inside)[:-1] > 0
+        self.words.hash[self.seed] = _SEED
+
+    def _bytes_of(self, row: int) -> np.ndarray:
+        """The byte at which each code point of a row begins, and the row's end."""
+        a, z = self.off[row], self.off[row + 1]
+        return a + np.append(np.flatnonzero(self.raw[a:z] & 0xC0 != 0x80), z - a)
+
+    def _strip(self, cut: np.ndarray) -> None:
+        """Blank points and such at the ends of words."""
+        apart = _APART[cut]
+        edge = _EDGE[cut]
+        if not edge.any():
+            return
+        n = len(cut)
+        solid = np.concatenate([[0], np.cumsum(~apart & ~edge)])
+        stops = np.unique(np.concatenate([np.flatnonzero(apart), self.off]))  # a word lies between two stops
+        at = np.flatnonzero(edge)
+        after = np.searchsorted(stops, at, side="right")
+        begin = np.where(after > 0, stops[np.maximum(after - 1, 0)], 0)
+        end = np.append(stops, n)[after]
+        cut[at[(solid[at] == solid[begin]) | (solid[at] == solid[end])]] = 0x20
+
+    def _patterns(self, before: np.ndarray, after: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names of both patterns of a slot: ``before`` is the last word before it and ``after`` the first behind it,
+        in a text whose words are low to high. 0 where no word is about."""
+        h = np.append(self.words.hash, _NONE)
+        pick = lambda i, good: h[np.where(good, i, len(h) - 1)]
+        one, two = pick(before, before >= low), pick(before - 1, before - 1 >= low)
+        three = pick(after, after < high)
+        word = lambda x: (x != _NONE) & (x != _SEED)
+        left, around = mix(mix(one, 1) + two, 2), mix(mix(one, 3) + three, 4)
+        return np.where(word(one) | word(two), left, 0).astype(np.uint64), np.where(word(one) | word(three), around, 0).astype(np.uint64)
+
+    def seeds(self) -> list[tuple[int, str, int, int, int]]:
+        """(row, kind, instance, pattern before, pattern around) of each base span."""
+        if not self.spans:
+            return []
+        row = np.array([s[0] for s in self.spans])
+        w = self.words
+        before = np.searchsorted(w.end, [s[1] for s in self.spans], side="right") - 1
+        after = np.searchsorted(w.start, [s[2] for s in self.spans])
+        left, around = self._patterns(before, after, w.row[row], w.row[row + 1])
+        names = [_name(self.raw[a:b].tobytes()) for _, a, b, _ in self.spans]
+        return [(s[0], s[3], n, x, y) for s, n, x, y in zip(self.spans, names, left.view(np.int64).tolist(), around.view(np.int64).tolist(), strict=True)]
+
+    def candidates(self, bits: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(row, start, stop, instance, pattern) of the words in slots that the filter knows, in code points."""
+        w = self.words
+        at = np.arange(len(w.hash))
+        row = np.repeat(np.arange(len(w.row) - 1), np.diff(w.row))
+        out = []
+        starts: dict[int, np.ndarray] = {}
+        for pattern in self._patterns(at - 1, at + 1, w.row[row], w.row[row + 1]):
+            one, two = _spots(pattern)
+            for i in np.flatnonzero(bits[one] & bits[two] & ~self.seed & (pattern != 0)):
+                r, a, b = int(row[i]), int(w.start[i]), int(w.end[i])
+                if r not in starts:
+                    starts[r] = self._bytes_of(r)
+                start, stop = np.searchsorted(starts[r], [a, b])
+                out.append((r, int(start), int(stop), _name(self.raw[a:b].tobytes()), int(pattern[i].view(np.int64))))
+        return out
+
+
+def _name(raw: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(raw) - 2**63
+
+
+def _spots(pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    most = np.uint64(FILTER_BITS - 1)
+    return (pattern & most).astype(np.int64), ((pattern >> np.uint64(32)) & most).astype(np.int64)
+
+
+_MENTION = "struct<kind:string,instance:long,before:long,around:long>"
+_SCANNED = f"n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, mentions array<{_MENTION}>"
 
 
-def _words_before(text: str, at: int, most: int = 2) -> list[str]:
-    """The last words before a position, nearest first; looks back over 256 characters for each."""
-    found = []
-    end = at
-    while len(found) < most:
-        while end > 0 and text[end - 1].isspace():
-            end -= 1
-        begin = end
-        while begin > max(0, end - 256) and not text[begin - 1].isspace():
-            begin -= 1
-        if begin == end:
-            break
-        found.append(_plain(text[begin:end]))
-        end = begin
-    return found
-
-
-def _name(*parts: str) -> int:
-    return xxhash.xxh3_64_intdigest("\0".join(parts)) - 2**63
-
-
-def mentions(text: str, base: list[Span]) -> list[tuple[int, int, str, int, int, int]]:
-    """(start, end, kind or '', instance, pattern before, pattern around) of seeds and candidates."""
-    taken = [(a, b) for _, a, b in base]
-    spots: list[tuple[int, int, str]] = [(a, b, k) for k, a, b in base]
-    for m in TOKEN.finditer(text):
-        raw = m.group()
-        begin = m.start() + len(raw) - len(raw.lstrip(_EDGE))
-        end = begin + len(raw.strip(_EDGE))
-        if 6 <= end - begin <= 64 and not any(a < end and begin < b for a, b in _near(taken, begin, end)):
-            spots.append((begin, end, ""))
-    out = []
-    for begin, end, kind in spots:
-        before = _words_before(text, begin)
-        after = WORD.search(text, end)
-        around = _plain(after.group()[:256]) if after and text[end : after.start()].isspace() else ""
-        before += [_START] * (2 - len(before))
-        out.append((begin, end, kind, _name(text[begin:end]), _name("before", *before), _name("around", before[0], around)))
-    return out
-
-
-def _near(taken: list[tuple[int, int]], begin: int, end: int) -> list[tuple[int, int]]:
-    """The base spans that can overlap a stretch: they are sorted by start, and few overlap each other."""
-    low, high = 0, len(taken)
-    while low < high:
-        mid = (low + high) // 2
-        if taken[mid][0] < end:
-            low = mid + 1
-        else:
-            high = mid
-    return taken[max(0, low - 8) : low]
-
-
-_MENTION = "struct<start:long,stop:long,kind:string,instance:long,before:long,around:long>"
-_SCANNED = f"n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, mentions array<{_MENTION}>"
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Staged: base spans and mentions of each row, with a number and a key of the row."""
+    """Staged: base spans of each row, the patterns of its seeds, and a key of the row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mention = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string()), ("instance", pa.int64()), ("before", pa.int64()), ("around", pa.int64())])
+        mention = pa.struct([("kind", pa.string()), ("instance", pa.int64()), ("before", pa.int64()), ("around", pa.int64())])
         names = ["doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "mentions"]
-        for b in batches:
-            rows = []
-            for value in b.column(2):
-                text = value.as_py() or ""
-                base = base_spans(text)
-                line = listed(base)
-                counts = [sum(s[0] == k for s in base) for k in KINDS]
-                rows.append((*counts, hashlib.sha256(line.encode()).hexdigest(), line, [dict(zip(("start", "stop", "kind", "instance", "before", "around"), m, strict=True)) for m in mentions(text, base)]))
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(mention)]
-            cols = zip(*rows, strict=True) if rows else [()] * 7
-            yield pa.record_batch([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=names)
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(run, f"doc_id {kind}, key long, {_SCANNED}")
-    return stage(out.withColumn("row", F.monotonically_increasing_id()), "pii-scanned")
-
-
-def trusted_patterns(scanned: DataFrame) -> DataFrame:
-    """Rows (pattern, kind) of the patterns that the scored graph makes trustworthy."""
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(mention)]
+        for batch in batches:
+            for b in slices(batch, SLICE):
+                c = Contexts(b.column(2))
+                seeds: list[list[dict]] = [[] for _ in c.base]
+                for row, *m in c.seeds():
+                    seeds[row].append(dict(zip(("kind", "instance", "before", "around"), m, strict=True)))
+                lines = [listed(x) for x in c.base]
+                counts = [[sum(s[0] == k for s in x) for x in c.base] for k in KINDS]
+                cols = [*counts, [hashlib.sha256(x.encode()).hexdigest() for x in lines], lines, seeds]
+                yield pa.record_batch([b.column(0), b.column(1), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], names=names)
+
+    return stage(_keyed(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, key long, {_SCANNED}"), "pii-scanned")
+
+
+def seed_edges(scanned: DataFrame) -> DataFrame:
+    """Staged distinct edges (pattern, instance, kind) of the seeds in seeded patterns."""
     each = scanned.select(F.explode("mentions").alias("m"))
-    sides = each.select("m.instance", "m.kind", F.explode(F.array("m.before", "m.around")).alias("pattern"))
-    edges = stage(sides.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
+    sides = each.select("m.instance", "m.kind", F.explode(F.array("m.before", "m.around")).alias("pattern")).where("pattern <> 0")
+    edges = sides.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+    often = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SEEDS).select("pattern")
+    return stage(edges.join(often, "pattern"), "pii-seeds")
+
+
+def filter_of(patterns: DataFrame) -> np.ndarray:
+    """A Bloom filter of patterns, ``FILTER_BITS`` bits whatever their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for b in batches:
+            for spots in _spots(b.column(0).to_numpy().view(np.uint64)):
+                bits[spots] = True
+        words = np.packbits(bits).view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(words[at])], names=["at", "word"])
+
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    for at, word in patterns.select("pattern").mapInArrow(run, "at int, word long").groupBy("at").agg(F.bit_or("word")).collect():
+        words[at] = word  # 64 thousand rows at most
+    return np.unpackbits(words.view(np.uint8)).astype(bool)
+
+
+def slots(docs: DataFrame, seeded: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Staged candidates (key, start, stop, instance, pattern): words in slots of seeded patterns."""
+    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(filter_of(seeded)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(bits.value).astype(bool)
+        names = ["key", "start", "stop", "instance", "pattern"]
+        for batch in batches:
+            for b in slices(batch, SLICE):
+                if found := Contexts(b.column(1)).candidates(known):
+                    row, *cols = zip(*found, strict=True)
+                    yield pa.record_batch([b.column(0).take(pa.array(row)), *(pa.array(c, pa.int64()) for c in cols)], names=names)
+
+    hits = _keyed(docs, id_col, text_col).select("key", "text").mapInArrow(run, "key long, start long, stop long, instance long, pattern long")
+    return stage(hits.join(seeded.select("pattern").distinct(), "pattern", "left_semi"), "pii-slots")
+
+
+def trusted_patterns(edges: DataFrame) -> DataFrame:
+    """Rows (pattern, kind) of the patterns that the scored graph of distinct edges (pattern, instance, kind) makes trustworthy."""
     seeds = edges.groupBy("instance").agg(F.max("kind").alias("kind")).select("instance", F.when(F.col("kind") != "", 1.0).otherwise(0.0).alias("score"))
     scores = stage(seeds, "pii-scores")
     for _ in range(ROUNDS):
         met = edges.join(scores, "instance")
         patterns = met.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + SHRINK)).alias("p"))
         judged = edges.join(patterns, "pattern").groupBy("instance").agg(
-            F.max("kind").alias("kind"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))).alias("score")
+            F.max("kind").alias("kind"), (TRUST * (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6))))))).alias("score")
         )
         after = stage(judged.select("instance", F.when(F.col("kind") != "", 1.0).otherwise(F.col("score")).alias("score")), "pii-scores")
         discard(scores)
@@ -202,24 +299,24 @@ def trusted_patterns(scanned: DataFrame) -> DataFrame:
     count = lambda k: F.sum((F.col("kind") == k).cast("long")).alias(k)
     rated = met.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + SHRINK)).alias("p"), *[count(k) for k in KINDS])
     most = F.greatest(*[F.struct(F.col(k).alias("n"), F.lit(-i).alias("rank"), F.lit(k).alias("kind")) for i, k in enumerate(KINDS)])
-    enough = sum(F.col(k) for k in KINDS) >= LEAST_SEEDS
-    return rated.where((F.col("p") >= LEAST_SCORE) & enough).select("pattern", F.concat(F.lit("context_"), most["kind"]).alias("kind"))
+    return rated.where(F.col("p") >= LEAST_SCORE).select("pattern", F.concat(F.lit("context_"), most["kind"]).alias("kind"))
 
 
-def found_spans(scanned: DataFrame) -> DataFrame:
-    """Rows (row, key, found) with the sorted spans (start, stop, kind) that trusted patterns add."""
-    each = scanned.select("row", "key", F.explode("mentions").alias("m")).where("m.kind = ''")
-    sides = each.select("row", "key", "m.start", "m.stop", F.explode(F.array("m.before", "m.around")).alias("pattern"))
-    hit = sides.join(stage(trusted_patterns(scanned), "pii-patterns"), "pattern")
-    spans = hit.groupBy("row", "key", "start", "stop").agg(F.min("kind").alias("kind"))
-    return spans.groupBy("row", "key").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind"))).alias("found"))
+def found_spans(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (key, found) with the sorted spans (start, stop, kind) that trusted patterns add to the rows of a key."""
+    seeds = seed_edges(scanned)
+    candidates = slots(docs, seeds, id_col, text_col)
+    every = seeds.unionByName(candidates.select("pattern", "instance", F.lit("").alias("kind")))
+    edges = stage(every.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
+    hit = candidates.join(stage(trusted_patterns(edges), "pii-patterns"), "pattern")
+    spans = hit.groupBy("key", "start", "stop").agg(F.min("kind").alias("kind"))
+    return spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind"))).alias("found"))
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, counts of base spans, base_sha256, spans (base and found), n_found."""
     scanned = scan(docs, id_col, text_col)
-    found = found_spans(scanned).drop("key")
-    joined = scanned.drop("mentions", "key").join(found, "row", "left")
+    joined = scanned.drop("mentions").join(found_spans(docs, scanned, id_col, text_col), "key", "left")
     ranks = F.expr(
         """transform(array_sort(concat(
              transform(filter(split(base, ','), x -> x <> ''), x -> named_struct('start', cast(split(x, ':')[1] as long),
@@ -245,7 +342,7 @@ def masked(text: str | None, extra: list[Span]) -> str | None:
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same rows and columns with personal data masked in the text."""
     scanned = scan(docs, id_col, text_col)
-    extra = stage(found_spans(scanned).groupBy("key").agg(F.first("found").alias("found")), "pii-found")
+    extra = stage(found_spans(docs, scanned, id_col, text_col), "pii-found")
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     packed = docs.select(row.alias("r"), row_key(F.col(id_col), F.col(text_col)).alias("key"))
