@@ -427,7 +427,7 @@ def _route(docs: DataFrame, levels, words: int, percent: int, parts: int, id_col
                     often.append(r[hot])
                     held.append(r[~hot])
                     size += len(held[-1])
-                home = np.array(own, np.int64).view(np.uint64) % np.uint64(fine)
+                home = b.column(1).to_numpy().view(np.uint64) % np.uint64(fine)  # rows of one class need not meet
                 yield rows(id_type, home.astype(np.int64), None, _HOME, b.column(0), b.column(1), None, own, sizes, maps)
                 if sum(map(len, often)):
                     r = np.concatenate(often)

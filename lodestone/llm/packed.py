@@ -92,8 +92,8 @@ def key_filter(keys: DataFrame) -> DataFrame:
     return keys.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
 
 
-def parted(keyed: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``keyed`` whose ``key`` may be among ``keys``, and the rows whose key surely isn't.
+def flagged(keyed: DataFrame, keys: DataFrame, flag: str) -> DataFrame:
+    """Adds a column that is false for rows of ``keyed`` whose ``key`` surely isn't among ``keys``.
 
     The filter is the only broadcast, ``FILTER_WORDS`` words whatever the input. As long as few
     keys are wanted most rows stay where they are; when it fills up, more rows count as possible
@@ -101,5 +101,10 @@ def parted(keyed: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     word, bit = _place()
     tested = keyed.withColumn("__word", word).join(F.broadcast(key_filter(keys)), "__word", "left")
-    maybe = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
-    return tested.where(maybe).select(*keyed.columns), tested.where(~maybe).select(*keyed.columns)
+    return tested.select(*keyed.columns, F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False)).alias(flag))
+
+
+def parted(keyed: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``keyed`` whose ``key`` may be among ``keys``, and the rows whose key surely isn't."""
+    tested = flagged(keyed, keys, "__maybe")
+    return tested.where("__maybe").select(*keyed.columns), tested.where("NOT __maybe").select(*keyed.columns)

@@ -7,9 +7,10 @@ and any characters. Around each seed two lexical patterns are read off: the two
 and the word before with the word after; A-Z in lower case, digits as 0, other seeds as one mark. Where the text starts or
 ends instead, a mark stands for each missing word.
 
-Bootstrapping. Patterns that ``LEAST_SEEDS`` different seeds have become seeded ones. A second
-pass takes as candidate every word that stands in the slot of a seeded pattern, whatever it looks
-like. Patterns and instances (the seeds' and the candidates' own texts) form a graph whose
+Bootstrapping. Patterns that ``LEAST_SEEDS`` different seeds have become seeded ones if seeds fill
+at least ``LEAST_SHARE`` of all places in the corpus where they stand, so words that are common
+everywhere make none. A further pass takes as candidate every word that stands in the slot of a
+seeded pattern, whatever it looks like. Patterns and instances (the seeds' and the candidates' own texts) form a graph whose
 distinct edges Spark scores in rounds: a pattern scores the mean of its instances' scores, shrunk
 by ``SHRINK`` unknown ones; an instance that is no seed scores ``TRUST`` times the chance that at
 least one of its patterns is right, so patterns can't lift each other without seeds. Seeds stay at 1. After ``ROUNDS`` rounds a pattern of at least ``LEAST_SCORE`` is
@@ -18,10 +19,12 @@ has most, as ``context_<kind>``. A slot that ordinary words fill as well scores
 alone decides. Base spans always stay. An identifier of several words is found word by word, in
 slots of its own.
 
-How it runs: two passes over the text. The first stages base spans and the seeds' patterns, narrow
-rows. The second tests the patterns of all words, as arrays, against a Bloom filter of the seeded
-patterns (``FILTER_BITS`` bits, the only broadcast; a false hit is dropped by an exact join) and
-stages the hits. The scoring reads only those. Distinct edges are reduced in map tasks, so a
+How it runs: three passes over the text. The first stages base spans and the seeds' patterns, narrow
+rows. The second counts, summed up in the tasks, where the patterns of many seeds stand; the third
+stages the words in slots of seeded patterns. Both test the patterns of all words, as arrays,
+against a Bloom filter (``FILTER_BITS`` bits; a false hit is dropped by an exact join) and look for
+base spans only in rows that may have any, by another filter of fixed size. The scoring reads only
+the staged hits. Distinct edges are reduced in map tasks, so a
 context that a third of all documents share is one edge for each instance; scores meet edges in
 joins that adaptive execution splits where hot. Each round is staged in the shared folder.
 
@@ -42,11 +45,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.packed import flagged
 from lodestone.llm.storage import discard, row_key, stage
 from lodestone.llm.wordhash import mix, slices, text_bytes, words_of
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SHRINK, TRUST, LEAST_SCORE, LEAST_SEEDS = 3, 1.0, 0.5, 0.7, 4
+ROUNDS, SHRINK, TRUST, LEAST_SCORE, LEAST_SEEDS, LEAST_SHARE = 3, 1.0, 0.5, 0.7, 4, 0.3
 #: What the base kinds look like. Possessive, as giving back can't help here.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -55,6 +59,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 FILTER_BITS = 1 << 22
 SLICE = 1 << 20
+HELD = 1 << 21
 _APART = np.zeros(256, bool)
 _APART[[0x20, *range(0x09, 0x0E), *b",;=|()[]{}<>\"'"]] = True
 _EDGE = np.zeros(256, bool)
@@ -113,11 +118,10 @@ def listed(spans: list[Span]) -> str:
 
 
 class Contexts:
-    """Words and base spans of some texts, with the patterns around each."""
+    """Words and base spans of some texts, with the patterns around each. ``base``: the spans, where they are known."""
 
-    def __init__(self, column: pa.Array):
-        self.texts = [t or "" for t in column.to_pylist()]
-        self.base = [base_spans(t) for t in self.texts]
+    def __init__(self, column: pa.Array, base: list[list[Span]] | None = None):
+        self.base = [base_spans(t or "") for t in column.to_pylist()] if base is None else base
         data, self.off = text_bytes(column)
         self.raw = data
         cut = _FOLD[data]
@@ -181,21 +185,28 @@ class Contexts:
         names = [_name(self.raw[a:b].tobytes()) for _, a, b, _ in self.spans]
         return [(s[0], s[3], n, x, y) for s, n, x, y in zip(self.spans, names, left.view(np.int64).tolist(), around.view(np.int64).tolist(), strict=True)]
 
-    def candidates(self, bits: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(row, start, stop, instance, pattern) of the words in slots that the filter knows, in code points."""
+    def hits(self, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(words, their rows, their patterns) of the words, but base spans, in slots that the filter knows."""
         w = self.words
         at = np.arange(len(w.hash))
         row = np.repeat(np.arange(len(w.row) - 1), np.diff(w.row))
-        out = []
-        starts: dict[int, np.ndarray] = {}
         for pattern in self._patterns(at - 1, at + 1, w.row[row], w.row[row + 1]):
             one, two = _spots(pattern)
-            for i in np.flatnonzero(bits[one] & bits[two] & ~self.seed & (pattern != 0)):
-                r, a, b = int(row[i]), int(w.start[i]), int(w.end[i])
+            found = np.flatnonzero(bits[one] & bits[two] & ~self.seed & (pattern != 0))
+            yield found, row[found], pattern[found].view(np.int64)
+
+    def candidates(self, bits: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(row, start, stop, instance, pattern) of the words in slots that the filter knows, in code points."""
+        w = self.words
+        out = []
+        starts: dict[int, np.ndarray] = {}
+        for found, rows, patterns in self.hits(bits):
+            for i, r, p in zip(found.tolist(), rows.tolist(), patterns.tolist(), strict=True):
+                a, b = int(w.start[i]), int(w.end[i])
                 if r not in starts:
                     starts[r] = self._bytes_of(r)
                 start, stop = np.searchsorted(starts[r], [a, b])
-                out.append((r, int(start), int(stop), _name(self.raw[a:b].tobytes()), int(pattern[i].view(np.int64))))
+                out.append((r, int(start), int(stop), _name(self.raw[a:b].tobytes()), p))
         return out
 
 
@@ -226,12 +237,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(mention)]
         for batch in batches:
             for b in slices(batch, SLICE):
-                c = Contexts(b.column(2))
-                seeds: list[list[dict]] = [[] for _ in c.base]
-                for row, *m in c.seeds():
-                    seeds[row].append(dict(zip(("kind", "instance", "before", "around"), m, strict=True)))
-                lines = [listed(x) for x in c.base]
-                counts = [[sum(s[0] == k for s in x) for x in c.base] for k in KINDS]
+                base = [base_spans(t or "") for t in b.column(2).to_pylist()]
+                some = [i for i, x in enumerate(base) if x]
+                seeds: list[list[dict]] = [[] for _ in base]
+                for at, *m in Contexts(b.column(2).take(pa.array(some, pa.int64())), [base[i] for i in some]).seeds():
+                    seeds[some[at]].append(dict(zip(("kind", "instance", "before", "around"), m, strict=True)))
+                lines = [listed(x) for x in base]
+                counts = [[sum(s[0] == k for s in x) for x in base] for k in KINDS]
                 cols = [*counts, [hashlib.sha256(x.encode()).hexdigest() for x in lines], lines, seeds]
                 yield pa.record_batch([b.column(0), b.column(1), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], names=names)
 
@@ -239,14 +251,55 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def seed_edges(scanned: DataFrame) -> DataFrame:
-    """Staged distinct edges (pattern, instance, kind) of the seeds in seeded patterns."""
+    """Staged distinct edges (pattern, instance, kind, places) of the seeds in patterns that enough different seeds have."""
     each = scanned.select(F.explode("mentions").alias("m"))
     sides = each.select("m.instance", "m.kind", F.explode(F.array("m.before", "m.around")).alias("pattern")).where("pattern <> 0")
-    edges = sides.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+    edges = sides.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("places"))
     often = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SEEDS).select("pattern")
     return stage(edges.join(often, "pattern"), "pii-seeds")
 
 
+def _texts(docs: DataFrame, scanned: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (key, text, spans): ``spans`` is false for texts without base spans."""
+    keyed = _keyed(docs, id_col, text_col).select("key", "text")
+    return flagged(keyed, scanned.where("base <> ''").select("key"), "spans").select("key", "spans", "text")
+
+
+def _contexts(b: pa.RecordBatch) -> Contexts:
+    return Contexts(b.column(2), [base_spans(t) if maybe and t else [] for maybe, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)])
+
+
+def seeded_edges(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The edges of ``seed_edges`` whose pattern is filled by seeds in enough of the places where it stands, staged."""
+    edges = seed_edges(scanned)
+    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(filter_of(edges)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(bits.value).astype(bool)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def close() -> pa.RecordBatch:
+            pattern, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.record_batch([pa.array(pattern), pa.array(n)], names=["pattern", "n"])
+
+        for batch in batches:
+            for b in slices(batch, SLICE):
+                for _, _, patterns in _contexts(b).hits(known):
+                    held.append(patterns)
+                    size += len(patterns)
+                if size > HELD:
+                    yield close()
+                    held, size = [], 0
+        if size:
+            yield close()
+
+    others = _texts(docs, scanned, id_col, text_col).mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("others"))
+    own = edges.groupBy("pattern").agg(F.sum("places").alias("own"))
+    good = own.join(others, "pattern", "left").where(F.col("own") >= LEAST_SHARE * (F.col("own") + F.coalesce("others", F.lit(0))))
+    return stage(edges.drop("places").join(good.select("pattern"), "pattern"), "pii-seeded")
+
+
 def filter_of(patterns: DataFrame) -> np.ndarray:
     """A Bloom filter of patterns, ``FILTER_BITS`` bits whatever their number."""
 
@@ -265,7 +318,7 @@ def filter_of(patterns: DataFrame) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8)).astype(bool)
 
 
-def slots(docs: DataFrame, seeded: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def slots(docs: DataFrame, scanned: DataFrame, seeded: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Staged candidates (key, start, stop, instance, pattern): words in slots of seeded patterns."""
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(filter_of(seeded)))
 
@@ -274,11 +327,11 @@ def slots(docs: DataFrame, seeded: DataFrame, id_col: str = "doc_id", text_col:
         names = ["key", "start", "stop", "instance", "pattern"]
         for batch in batches:
             for b in slices(batch, SLICE):
-                if found := Contexts(b.column(1)).candidates(known):
+                if found := _contexts(b).candidates(known):
                     row, *cols = zip(*found, strict=True)
                     yield pa.record_batch([b.column(0).take(pa.array(row)), *(pa.array(c, pa.int64()) for c in cols)], names=names)
 
-    hits = _keyed(docs, id_col, text_col).select("key", "text").mapInArrow(run, "key long, start long, stop long, instance long, pattern long")
+    hits = _texts(docs, scanned, id_col, text_col).mapInArrow(run, "key long, start long, stop long, instance long, pattern long")
     return stage(hits.join(seeded.select("pattern").distinct(), "pattern", "left_semi"), "pii-slots")
 
 
@@ -304,8 +357,8 @@ def trusted_patterns(edges: DataFrame) -> DataFrame:
 
 def found_spans(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (key, found) with the sorted spans (start, stop, kind) that trusted patterns add to the rows of a key."""
-    seeds = seed_edges(scanned)
-    candidates = slots(docs, seeds, id_col, text_col)
+    seeds = seeded_edges(docs, scanned, id_col, text_col)
+    candidates = slots(docs, scanned, seeds, id_col, text_col)
     every = seeds.unionByName(candidates.select("pattern", "instance", F.lit("").alias("kind")))
     edges = stage(every.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
     hit = candidates.join(stage(trusted_patterns(edges), "pii-patterns"), "pattern")
