@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no support for a claim (fixed values).
-SUPPORT_STOPWORDS = (
-    "about above after also because before being between could every from have into more only same should "
-    "source sources than that their there these this through using when where which with would"
-).split()
+SUPPORT_STOPWORDS = [
+    "about", "above", "after", "also", "because", "before", "being", "between", "could", "every", "from", "have", "into", "more", "only", "same", "should",
+    "source", "sources", "than", "that", "their", "there", "these", "this", "through", "using", "when", "where", "which", "with", "would",
+]
 #: Words that are no tags (fixed values).
-TAG_STOPWORDS = "and for the with from into this that lecture optional reading section summary".split()
+TAG_STOPWORDS = ["and", "for", "the", "with", "from", "into", "this", "that", "lecture", "optional", "reading", "section", "summary"]
 KEYWORD = "[A-Za-z][A-Za-z0-9_-]{2,}"
 LABEL = r"\[[SW][0-9]+\]"
 OVERHEAD_TOKENS = 64
@@ -39,6 +39,15 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end, line ends included."""
+    return F.regexp_replace(text, r"^[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+|[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+$", "")
+
+
+def right_stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+$", "")
+
+
 def duplicate_group(text: Column) -> Column:
     """Name of the group of texts that differ in case and punctuation only."""
     plain = F.regexp_replace(F.lower(normalized(text)), r"[^\p{L}\p{N}_]+", " ")
@@ -61,14 +70,14 @@ def word_count(text: Column) -> Column:
 def fitted(text: Column, budget: Column) -> Column:
     """Text cut to a token budget with a notice; empty if the budget is below the least block."""
     room = F.greatest(F.lit(0), 4 * (budget - OVERHEAD_TOKENS) - len(TRUNCATION_NOTICE)).cast("int")
-    cut = F.rtrim(F.substring(text, F.lit(1), room))
+    cut = right_stripped(F.substring(text, F.lit(1), room))
     short = F.when(cut == "", F.lit("")).otherwise(F.concat(cut, F.lit(TRUNCATION_NOTICE)))
     return F.when(context_estimate(text) <= budget, text).when(budget < LEAST_BLOCK_TOKENS, F.lit("")).otherwise(short)
 
 
 def snippet(text: Column, limit: int = 360) -> Column:
     flat = normalized(text)
-    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, limit - 1)), F.lit("...")))
+    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(right_stripped(F.substring(flat, 1, limit - 1)), F.lit("...")))
 
 
 def keywords(text: Column) -> Column:
@@ -132,11 +141,13 @@ def is_noise_line(line: Column) -> Column:
 def normalize_page(text: Column) -> Column:
     """Lines without trailing space, noise lines, or a first or last line that occurs over twice."""
     raw = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n")
-    lines = F.filter(F.transform(raw, lambda x: F.rtrim(x)), lambda x: ~is_noise_line(x))
-    often = lambda v: F.size(F.filter(lines, lambda x: F.trim(x) == F.trim(v))) > 2
-    size = F.size(lines)
-    kept = F.filter(lines, lambda x, i: (F.trim(x) != "") & ~(((i == 0) | (i == size - 1)) & often(x)))
-    return F.trim(F.array_join(F.when(size < 4, lines).otherwise(kept), "\n"))
+    lines = F.filter(F.transform(raw, right_stripped), lambda x: ~is_noise_line(x))
+    count = lambda v: F.size(F.filter(lines, lambda x: F.trim(x) == F.trim(v)))
+    size, first = F.size(lines), F.try_element_at(lines, F.lit(1))
+    first_goes = count(first) > 2  # and then counts no more for the last line
+    last_goes = lambda v: count(v) - F.when(first_goes & (F.trim(first) == F.trim(v)), 1).otherwise(0) > 2
+    kept = F.filter(lines, lambda x, i: (F.trim(x) != "") & ~((i == 0) & first_goes) & ~((i == size - 1) & last_goes(x)))
+    return stripped(F.array_join(F.when(size < 4, lines).otherwise(kept), "\n"))
 
 
 def is_usable_text(text: Column, least: int = 20, alnum: float = 0.35) -> Column:
@@ -191,6 +202,69 @@ def asset_marker(asset_id: Column) -> Column:
     return F.concat(F.lit("[[image:"), asset_id, F.lit("]]"))
 
 
-def summary_sentence(title: Column, path: Column, start: Column, end: Column, tag_list: Column) -> Column:
+def summary_sentence(title: Column, path: Column, start: Column, end: Column, tag_list: Column, mode: str = "hybrid") -> Column:
     listed = F.when(F.size(tag_list) > 0, F.array_join(F.slice(tag_list, 1, 8), ", ")).otherwise("general content")
-    return F.concat(title, F.lit(". outline/heading-derived summary for "), path, F.lit(". Pages "), page_range(start, end), F.lit(". Tags: "), listed, F.lit("."))
+    origin = "deterministic fallback" if mode == "llm" else "outline/heading-derived"
+    return F.concat(title, F.lit(f". {origin} summary for "), path, F.lit(". Pages "), page_range(start, end), F.lit(". Tags: "), listed, F.lit("."))
+
+
+def file_name(path: Column) -> Column:
+    """The last part of a path, with either kind of slash."""
+    return F.element_at(F.split(path, r"[/\\\\]"), -1)
+
+
+def source_name(name: Column, source_path: Column, file_path: Column) -> Column:
+    """Name of a record's source: its own, else that of its path, else of its file, else 'source'."""
+    filled = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    return F.coalesce(filled(name), file_name(filled(source_path)), file_name(filled(file_path)), F.lit("source"))
+
+
+def percent_encoded(value: Column) -> Column:
+    """A path part with every byte but letters, digits and _.-~ as %XX."""
+    form = F.url_encode(value)
+    return F.replace(F.replace(F.replace(form, F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def pdf_url(source_hash: Column, mode: str, page: Column | None = None) -> Column:
+    """Where a source's PDF is shown or downloaded; empty without a source. A view opens at its page."""
+    base = F.concat(F.lit("/api/pdfs/"), percent_encoded(source_hash), F.lit(f"/{mode}"))
+    url = base if page is None or mode != "view" else F.when(F.coalesce(page, F.lit(0)) > 0, F.concat(base, F.lit("#page="), page.cast("string"))).otherwise(base)
+    return F.when(F.coalesce(source_hash, F.lit("")) == "", F.lit("")).otherwise(url)
+
+
+def whole_number(value: Column, default: int, least: int = 1, most: int | None = None) -> Column:
+    """A number read from text and held to bounds; the default where it is none."""
+    read = F.greatest(F.lit(least).cast("long"), value.try_cast("long"))
+    held = read if most is None else F.least(read, F.lit(most).cast("long"))
+    return F.when(value.try_cast("long").isNull(), F.lit(default).cast("long")).otherwise(held)
+
+
+def share(value: Column, default: float, least: float = 0.0, most: float = 1.0) -> Column:
+    """A fraction read from text and held to bounds; the default, held likewise, where it is none."""
+    read = F.coalesce(value.try_cast("double"), F.lit(float(default)))
+    return F.least(F.lit(most), F.greatest(F.lit(least), read))
+
+
+def change_mark(*parts: Column) -> Column:
+    """A mark that changes when one of the parts does: MD5 of the parts joined by bars."""
+    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+
+
+def modality(label: Column, kind: Column) -> Column:
+    """What a parsed item is, from its label and the name of its class."""
+    value = F.lower(F.concat_ws(" ", F.coalesce(label, F.lit("")), F.coalesce(kind, F.lit(""))))
+    has = lambda *words: value.rlike("|".join(words))
+    return (
+        F.when(has("table"), "table").when(has("formula", "equation"), "equation").when(has("chart"), "chart")
+        .when(has("picture", "figure", "image"), "figure").when(has("section", "heading", "title"), "section_header").otherwise("text")
+    )
+
+
+def usable_description(text: Column) -> Column:
+    """Whether a vision model has said something about an image."""
+    bare = F.trim(F.coalesce(text, F.lit("")))
+    return (bare != "") & ~bare.isin(*FAILED_DESCRIPTIONS)
+
+
+#: What failed descriptions of images read (fixed values).
+FAILED_DESCRIPTIONS = ["[Image description failed]", "[Image description empty]", "[Vision analysis disabled]"]

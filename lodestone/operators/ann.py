@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: an inverted file over k-means centroids.
 
-The centroid number is a column of the stored vectors, so a search reads the lists of the
-nearest centroids only (partition pruning where the table is partitioned by it) and ranks them
-exactly. Small tables need no index.
+The vectors are stored in folders by list, so a search of few queries reads the lists of the
+nearest centroids only, and ranks them exactly; a search of many queries joins on the list. Small
+tables need no index (``wanted``), and an index is built anew once enough of it has changed (``stale``).
+Lists are not compressed, so there is nothing to refine.
 
 The number of probed lists is measured: a sample of the queries is answered exactly, and as many
 lists are probed as hold ``RECALL`` of those neighbours, never fewer than ``PROBES``.
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import retrieval
@@ -25,6 +26,11 @@ LEAST_ROWS, MOST_LISTS, PROBES = 50_000, 1024, 50
 SAMPLE, MEASURED, RECALL = 20_000, 256, 0.9
 
 
+def stale(changed: int, total: int, share: float = 0.01) -> bool:
+    """Whether so many rows have changed since the index was built that it is to be built anew."""
+    return total > 0 and changed / total >= share
+
+
 @dataclass
 class Index:
     """Vectors with their list, and the centroids (at most ``MOST_LISTS``)."""
@@ -54,8 +60,35 @@ def _nearest(v: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(distance, axis=1, kind="stable")[:, :n]
 
 
+def present(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder holds an index."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/centroids/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def save(index: Index, folder: str) -> None:
+    """Store the lists, a folder each, and then the centroids, which make the index complete."""
+    spark = index.lists.sparkSession
+    drop(spark, folder)
+    index.lists.repartition("list").write.partitionBy("list").parquet(f"{folder}/lists")
+    rows = [(i, c.tolist()) for i, c in enumerate(index.centroids)]
+    spark.createDataFrame(rows, "list int, centroid array<double>").coalesce(1).write.parquet(f"{folder}/centroids")
+
+
+def load(spark: SparkSession, folder: str) -> Index:
+    rows = spark.read.parquet(f"{folder}/centroids").orderBy("list").collect()  # at most ``MOST_LISTS``
+    lists = spark.read.parquet(f"{folder}/lists").select("id", "vector", "list")
+    return Index(lists, np.array([r.centroid for r in rows], np.float64))
+
+
 def build(vectors: DataFrame, lists: int | None = None) -> Index:
-    """An index of all vectors; the centroids come from a sample of at most ``SAMPLE`` rows."""
+    """An index of all vectors of one length; null ones are left out. The centroids come from a sample of at most ``SAMPLE`` rows."""
+    vectors = vectors.where("vector IS NOT NULL")
     rows = vectors.count()
     lists = lists or max(1, min(MOST_LISTS, math.isqrt(rows)))
     some = vectors.orderBy(F.xxhash64("id")).limit(SAMPLE).select("vector").collect()
@@ -109,7 +142,7 @@ def search(index: Index, queries: DataFrame, k: int, probes: int | None = None)
 
         return pd.Series(list(_nearest(np.stack(v.to_numpy()).astype(np.float64), c, probes))) if len(v) else pd.Series([], dtype=object)
 
-    asked = queries.select("qid", F.col("vector").alias("q")).withColumn("list", F.explode(near("q")))
+    asked = queries.where("vector IS NOT NULL").select("qid", F.col("vector").alias("q")).withColumn("list", F.explode(near("q")))
     met = index.lists.join(asked, "list")
     distance = F.aggregate(F.zip_with("q", "vector", lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
     scored = met.select("qid", "id", F.round(1 / (1 + distance), 6).alias("score"))

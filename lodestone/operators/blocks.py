@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections.abc import Iterable
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 
+#: Kinds of blocks that begin a section (fixed values).
+HEADINGS = ("title", "section_header", "heading")
+
 
 def block_content() -> Column:
     """Distinct forms of a block's content, normalised, in one line."""
@@ -30,67 +29,51 @@ def neighbours(blocks: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
     return spread.join(blocks.select("block_id", "doc_id", "page_num", "reading_order"), ["doc_id", "page_num", "reading_order"]).select("anchor_id", "block_id", "reading_order")
 
 
-def expand_hits(hits: DataFrame, chunk_blocks: DataFrame, blocks: DataFrame, window: int = 1) -> DataFrame:
-    """Blocks of retrieved chunks with their neighbours, each at its first place.
-
-    ``hits(chunk_id, rank)``, ``chunk_blocks(chunk_id, block_id, ordinal)``.
-    """
-    own = hits.join(chunk_blocks, "chunk_id").select("rank", "ordinal", "block_id")
-    near = neighbours(blocks, own.join(blocks, "block_id").select("block_id", "doc_id", "page_num", "reading_order").distinct(), window)
-    every = own.join(near, own["block_id"] == near["anchor_id"]).select("rank", "ordinal", near["block_id"], "reading_order")
-    first = Window.partitionBy("block_id").orderBy("rank", "ordinal", "reading_order")
-    return every.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k").orderBy("rank", "ordinal", "reading_order", "block_id")
-
-
 def pack_blocks(blocks: DataFrame, max_tokens: int, overlap_tokens: int = 0) -> DataFrame:
     """Chunks of at most ``max_tokens`` words, in reading order, with an overlapping tail.
 
     ``blocks(doc_id, page_num, reading_order, block_id, modality, content)``. A chunk is closed by
-    the block that would overflow it and carries the section of the last heading read so far.
-    A document is one fold, bounded by its own length.
+    the block that would overflow it and carries the section of the last heading read so far. Where
+    chunks end depends on all blocks before, so a document's word counts are walked once in an
+    Arrow function; which blocks a chunk holds, its texts and names are a plan over the blocks.
+    Rows (doc_id, chunk_no, chunk_id, block_ids, text, section, duplicate_group, page_start, page_end,
+    modalities, tokens). Blocks without content are skipped.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
-        held: list = []
-        section, total = "", 0
-
-        def close() -> None:
-            raw = " ".join(" ".join(b.content.split()) for b in held)
-            group = "dup_" + hashlib.sha1(re.sub(r"\W+", " ", raw.lower()).encode()).hexdigest()[:16]
-            rows.append((held[0].doc_id, len(rows), [b.block_id for b in held], raw, section, group, held[0].page_num, held[-1].page_num, max(1, len(raw.split()))))
-
-        for b in pdf.sort_values(["page_num", "reading_order", "block_id"]).itertuples(index=False):
-            if not (b.content or "").strip():
-                continue
-            if b.modality in ("title", "section_header", "heading"):
-                section = b.content[:200]
-            cost = max(1, len(b.content.split()))
-            if held and total + cost > max_tokens:
-                close()
-                held, total = _tail(held, overlap_tokens)
-            held.append(b)
-            total += cost
-        if held:
-            close()
-        return pd.DataFrame(rows, columns=["doc_id", "chunk_no", "block_ids", "text", "section", "duplicate_group", "page_start", "page_end", "tokens"])
-
-    kind = blocks.schema["doc_id"].dataType.simpleString()
-    wanted = blocks.select("doc_id", "page_num", "reading_order", "block_id", "modality", "content")
-    return wanted.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, chunk_no int, block_ids array<string>, text string, section string, duplicate_group string, page_start int, page_end int, tokens int")
-
-
-def _tail(held: Iterable, most: int) -> tuple[list, int]:
-    """The last blocks that fit the overlap; the last one always does."""
-    kept: list = []
-    total = 0
-    for b in reversed(list(held) if most > 0 else []):
-        cost = max(1, len(b.content.split()))
-        if kept and total + cost > most:
-            break
-        kept.insert(0, b)
-        total += cost
-    return kept, total
+    @F.pandas_udf("array<struct<begin:int,stop:int>>")
+    def walk(costs: pd.Series) -> pd.Series:
+        def one(cost: list[int]) -> list[dict]:
+            out, begin, held = [], 0, 0
+            for i, c in enumerate(cost):
+                if i > begin and held + c > max_tokens:
+                    out.append({"begin": begin, "stop": i})
+                    begin, held = i, 0
+                    while overlap_tokens > 0 and begin > out[-1]["begin"] and (begin == i or held + cost[begin - 1] <= overlap_tokens):
+                        begin -= 1
+                        held += cost[begin]
+                held += c
+            return [*out, {"begin": begin, "stop": len(cost)}] if len(cost) else out
+
+        return costs.map(one)
+
+    order = ["page_num", "reading_order", "block_id"]
+    flat = blocks.select("doc_id", *order, "modality", tx.normalized(F.col("content")).alias("content")).where("content <> ''")
+    row = F.struct(*order, "modality", "content", tx.word_count(F.col("content")).cast("int").alias("cost"))
+    each = flat.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("b"))
+    cut = each.select("doc_id", "b", F.posexplode(walk(F.col("b.cost"))).alias("chunk_no", "r"))
+    read = F.slice("b", 1, F.least(F.col("r.stop") + 1, F.size("b")))  # the block that closed the chunk has been read too
+    heading = F.filter(read, lambda x: x["modality"].isin(*HEADINGS))
+    chunk = cut.select("doc_id", "chunk_no", F.slice("b", F.col("r.begin") + 1, F.col("r.stop") - F.col("r.begin")).alias("c"), F.coalesce(F.substring(F.try_element_at(heading, F.lit(-1))["content"], 1, 200), F.lit("")).alias("section"))
+    head = lambda x: F.concat(F.lit("[page "), x["page_num"].cast("string"), F.lit(" | "), x["modality"], F.lit(" | "), x["block_id"].cast("string"), F.lit("]"))
+    body = F.array_join(F.transform("c", lambda x: F.concat(head(x), F.lit(" "), x["content"])), " ")
+    text = tx.normalized(F.when(F.col("section") != "", F.concat(F.lit("Section: "), "section", F.lit(" "), body)).otherwise(body))
+    first, last = F.element_at("c", 1), F.element_at("c", -1)
+    named = chunk.withColumns({"text": text, "duplicate_group": tx.duplicate_group(F.array_join(F.col("c.content"), " "))})
+    return named.select(
+        "doc_id", "chunk_no", tx.prefixed_id("chunk", F.col("doc_id"), first["block_id"], last["block_id"], F.col("duplicate_group")).alias("chunk_id"),
+        F.col("c.block_id").alias("block_ids"), "text", "section", "duplicate_group", first["page_num"].alias("page_start"), last["page_num"].alias("page_end"),
+        F.array_sort(F.array_distinct("c.modality")).alias("modalities"), tx.word_count(F.col("text")).alias("tokens"),
+    )
 
 
 def duplicate_groups(chunks: DataFrame, text: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 
 #: Order of the states of an upload (fixed values).
-STATES = ["queued", "uploaded", "ingesting", "ingested", "indexing", "indexed", "failed", "interrupted", "superseded"]
+STATES = ["queued", "saving_uploads", "ingesting", "ingested", "indexing", "indexed", "failed", "interrupted", "superseded"]
 
 
 def trust_warnings(now: Column) -> Column:
@@ -36,6 +36,7 @@ def markdown_counts(text: Column) -> dict[str, Column]:
         "page_markers": F.regexp_count(body, F.lit(r"(?m)^##\s+Page\s+\d+")).cast("long"),
         "enrichment_markers": count("[Vision Analysis]") + count("[Page Image Analysis]"),
         "table_markers": count("|"),
+        "equation_markers": F.regexp_count(body, F.lit(r"(?<!\\)\$[^$\n]{1,160}(?<!\\)\$")).cast("long"),
     }
 
 

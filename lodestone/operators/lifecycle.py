@@ -55,10 +55,26 @@ def assets_in(texts: DataFrame, assets: DataFrame, id_col: str = "id", text_col:
 
 def add_assets(assets: DataFrame, new: DataFrame) -> DataFrame:
     """Assets by their content's id: a known id keeps its first entry."""
-    first = Window.partitionBy("asset_id").orderBy("created_at")
+    first = Window.partitionBy("asset_id").orderBy("created_at", *[c for c in assets.columns if c not in ("asset_id", "created_at")])
     return assets.unionByName(new.select(*assets.columns)).withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
 
 
+def safe_assets(assets: DataFrame, root: str) -> DataFrame:
+    """Assets (asset_id, relative_path) that may be served: a plain id, and a path that stays below the root. Adds ``path``."""
+    plain = F.col("asset_id").rlike("^[A-Za-z0-9_.-]+$")
+    parts = F.split("relative_path", r"[/\\\\]")
+    inside = (F.col("relative_path") != "") & ~F.col("relative_path").rlike(r"^([/\\\\]|[A-Za-z]:)") & ~F.exists(parts, lambda p: p == "..")
+    return assets.where(plain & inside).withColumn("path", F.concat(F.lit(root.rstrip("/") + "/"), "relative_path"))
+
+
+def safe_pdfs(paths: DataFrame, root: str) -> DataFrame:
+    """Adds ``problem`` to PDF paths (path): null for one that lies below the root and ends in .pdf."""
+    full = F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), "path"))
+    outside = ~full.startswith(root.rstrip("/") + "/") | F.exists(F.split(full, "/"), lambda p: p == "..")
+    problem = F.when(F.coalesce("path", F.lit("")) == "", "missing").when(outside, "outside").when(~F.lower("path").endswith(".pdf"), "not a PDF")
+    return paths.withColumn("problem", problem)
+
+
 def asset_id(source_hash: Column, page: Column, data: Column) -> Column:
     return F.concat(F.lit("img_"), F.substring(source_hash, 1, 12), F.lit("_p"), page.cast("string"), F.lit("_"), F.substring(F.sha2(data, 256), 1, 16))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions.vectors import fit_dimension
+from lodestone.sources.staging import discard, stage
 
 #: Columns of an index record and their defaults (fixed values).
 RECORD = {
@@ -85,23 +86,51 @@ def reuse_vectors(new: DataFrame, old: DataFrame, model: str, dim: int) -> DataF
 
 
 def manifest_key() -> Column:
-    filled = [F.nullif(F.trim(c), F.lit("")) for c in ("source_hash", "source_pdf_path", "doc_id")]
+    """A record's source: its hash, else the path of its source or file, else its document."""
+    filled = [F.nullif(F.trim(c), F.lit("")) for c in ("source_hash", "source_pdf_path", "file_path", "doc_id")]
     return F.coalesce(*filled, F.lit("unknown"))
 
 
 def manifest(records: DataFrame) -> DataFrame:
-    """Per source: counts of records, chunks and summaries, characters, and the range of pages."""
-    chunk = F.col("node_type") == "chunk"
+    """Per source: names (those of its first record by id), counts of records, chunks and summaries,
+    characters, the range of pages, and, with a column ``reused``, how many vectors are new and reused."""
+    first = lambda c: F.min_by(F.coalesce(c, F.lit("")), "id").alias(c)
+    known = F.coalesce("reused", F.lit(False)) if "reused" in records.columns else F.lit(False)
     return records.groupBy(manifest_key().alias("source_key")).agg(
+        *map(first, ("source_hash", "source_pdf_name", "source_pdf_path", "file_path")),
         F.count(F.lit(1)).alias("record_count"),
-        F.count_if(chunk).alias("chunk_count"),
-        F.count_if(~chunk).alias("summary_count"),
+        F.count_if(F.col("node_type") == "chunk").alias("chunk_count"),
+        F.count_if(F.col("node_type").endswith("summary")).alias("summary_count"),
+        F.count_if(~known).alias("embedded_count"),
+        F.count_if(known).alias("reused_count"),
         F.sum(F.length("content")).alias("content_char_count"),
         F.coalesce(F.min(F.nullif("page_start", F.lit(0))), F.lit(0)).cast("long").alias("page_start"),
         F.coalesce(F.max("page_end"), F.lit(0)).cast("long").alias("page_end"),
     )
 
 
+def manifest_totals(entries: DataFrame) -> DataFrame:
+    """One row of totals of a manifest. Documents whose vectors were all reused count none as embedded."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return entries.agg(F.count(F.lit(1)).alias("documents"), total("record_count").alias("total_records"), total("embedded_count").alias("embedded_records"), total("reused_count").alias("reused_records"))
+
+
+def manifest_stats(documents: DataFrame, entries: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Documents with the ``columns`` of the manifest entry that the first matching one of several keys names."""
+    out = documents
+    for i, key in enumerate(keys):
+        entry = entries.select(F.col("source_key").alias(f"__key{i}"), F.struct(*columns).alias(f"__entry{i}"))
+        out = out.join(entry, F.col(key) == F.col(f"__key{i}"), "left")
+    held = F.coalesce(*[F.col(f"__entry{i}") for i in range(len(keys))])
+    return out.select(*documents.columns, *[held[c].alias(c) for c in columns])
+
+
+def table_metadata(records: DataFrame, model: str = "nomic-embed-text", dim: int = 768) -> DataFrame:
+    """One row: model and dimension of the first record by id; the defaults for an empty table."""
+    first = records.agg(F.min(F.struct("id", "embedding_model", "embedding_dim")).alias("r"))
+    return first.select(F.coalesce(F.nullif("r.embedding_model", F.lit("")), F.lit(model)).alias("embedding_model"), F.coalesce(F.nullif("r.embedding_dim", F.lit(0)), F.lit(dim)).cast("long").alias("embedding_dim"))
+
+
 def update_manifest(old: DataFrame, records: DataFrame) -> DataFrame:
     """A manifest with the entries of the given records' sources made anew."""
     return replace_by_key(old, manifest(records), "source_key")
@@ -114,26 +143,25 @@ def index_order() -> list[Column]:
 
 
 def top_rows(records: DataFrame) -> DataFrame:
-    """Document summaries; without any, summaries without a parent summary; then root chunks; then all rows."""
+    """Document summaries; without any, summaries without a parent summary; then records without a parent; then all rows."""
     summary = F.col("node_type").isin("document_summary", "section_summary")
     parents = records.where(summary).select(F.col("id").alias("__parent")).distinct()
     marked = records.join(parents, F.col("parent_id") == F.col("__parent"), "left")
     rank = (
         F.when(F.col("node_type") == "document_summary", 0)
         .when(summary & F.col("__parent").isNull(), 1)
-        .when((F.col("node_type") == "chunk") & F.col("__parent").isNull(), 2)
+        .when(F.coalesce("parent_id", F.lit("")) == "", 2)
         .otherwise(3)
     )
     ranked = marked.withColumn("__rank", rank)
-    best = ranked.agg(F.min("__rank").alias("__best"))
-    return ranked.join(F.broadcast(best), F.col("__rank") == F.col("__best")).drop("__rank", "__best", "__parent")  # one row
+    return ranked.where(F.col("__rank") == ranked.agg(F.min("__rank").alias("r")).scalar()).drop("__rank", "__parent")
 
 
 def descendants(edges: DataFrame) -> DataFrame:
     """All (ancestor, node, depth) of a forest of edges (parent, node), nearest depth, safe against cycles.
 
-    Paths double in length each round, so a deep tree takes few joins. The rounds end when no
-    pair is new.
+    Paths double in length each round, so a deep tree takes few joins. Each round is staged in the
+    shared folder; the rounds end when no pair is new.
     """
     known = edges.select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("depth")).where("ancestor <> node").distinct()
     size = -1
@@ -141,18 +169,15 @@ def descendants(edges: DataFrame) -> DataFrame:
         more = known.alias("a").join(known.alias("b"), F.col("a.node") == F.col("b.ancestor"))
         more = more.select(F.col("a.ancestor").alias("ancestor"), F.col("b.node").alias("node"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
         joined = known.unionByName(more.where("ancestor <> node"))
-        least = joined.groupBy("ancestor", "node").agg(F.min("depth").alias("depth"))
-        known = least.checkpoint() if _can_checkpoint(edges) else least.localCheckpoint()  # else plans double each round
+        before, known = known, stage(joined.groupBy("ancestor", "node").agg(F.min("depth").alias("depth")), "descendants")
+        if size >= 0:
+            discard(before)
         now = known.count()
         if now == size:
             return known
         size = now
 
 
-def _can_checkpoint(df: DataFrame) -> bool:
-    return bool(df.sparkSession.conf.get("spark.checkpoint.dir", None)) or df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-
-
 def node_counts(edges: DataFrame) -> DataFrame:
     """Per node: direct children and all descendants."""
     below = descendants(edges)
@@ -174,6 +199,118 @@ def summaries_matching(rows: DataFrame, search: str) -> DataFrame:
     return by_id.unionByName(by_doc.join(by_id.select("id"), "id", "left_anti").select(*by_id.columns))
 
 
+def public_rows(records: DataFrame) -> DataFrame:
+    """Records as they are shown: without vector and with their number of characters."""
+    return records.drop("vector").withColumn("char_count", F.length(F.coalesce("content", F.lit(""))).cast("long"))
+
+
+def of_node(records: DataFrame, parent: dict | None) -> DataFrame:
+    """Records below one node (id, doc_id, node_type): all others of its document below a document summary, else its descendants."""
+    if parent is None:
+        raise KeyError("no such node")
+    if parent["node_type"] == "document_summary":
+        return records.where((F.col("doc_id") == parent["doc_id"]) & (F.col("id") != parent["id"]))
+    edges = records.where(F.col("doc_id") == parent["doc_id"]).where("parent_id <> ''").select(F.col("parent_id").alias("parent"), F.col("id").alias("node"))
+    below = descendants(edges).where(F.col("ancestor") == parent["id"]).select(F.col("node").alias("id"))
+    return records.join(below, "id", "left_semi")
+
+
+def child_page(records: DataFrame, parent_id: str, offset: int = 0, limit: int = 100, search: str = "", most: int = 500) -> DataFrame:
+    """One page of the records below a node, in index order, with ``total`` and ``node_level``; KeyError without the node."""
+    found = records.where(F.col("id") == parent_id).select("id", "doc_id", "node_type", "section_path").first()
+    parent = found.asDict() if found else None
+    below = of_node(records, parent)
+    if search.strip():
+        below = below.where(matches(search))
+    return page(below.withColumn("node_level", node_level(F.col("section_path"), F.lit(parent["section_path"]))), index_order(), offset, limit, most)
+
+
+def node_level(path: Column, parent_path: Column, most: int = 6) -> Column:
+    """How many sections below its parent a record stands, 1 at least and 1 where the paths part."""
+    parts = lambda p: F.filter(F.transform(F.split(F.coalesce(p, F.lit("")), ">"), lambda x: F.trim(x)), lambda x: x != "")
+    own, above = parts(path), parts(parent_path)
+    inside = (F.size(above) > 0) & (F.slice(own, F.lit(1), F.size(above)) == above)
+    return F.least(F.lit(most), F.when(inside, F.greatest(F.lit(1), F.size(own) - F.size(above))).otherwise(1))
+
+
+def hierarchy(records: DataFrame, search: str = "") -> DataFrame:
+    """Per summary: all records below it, how many are summaries, and how many chunks.
+
+    With a search only records that match count. Below a document summary are all others of its document.
+    """
+    seen = records.where(matches(search)) if search.strip() else records
+    row = seen.select(F.col("id").alias("node"), "doc_id", (F.col("node_type") == "chunk").alias("chunk"))
+    tops = records.where("node_type = 'document_summary'").select("id", "doc_id")
+    of_doc = tops.join(row, "doc_id").where("id <> node").select("id", "chunk")
+    edges = records.where("parent_id <> ''").select(F.col("parent_id").alias("parent"), F.col("id").alias("node"))
+    others = records.where("node_type = 'section_summary'").select(F.col("id").alias("ancestor"))
+    below = descendants(edges).join(others, "ancestor", "left_semi").join(row, "node").select(F.col("ancestor").alias("id"), "chunk")
+    counted = of_doc.unionByName(below).groupBy("id").agg(F.count(F.lit(1)).alias("child_count"), F.count_if(~F.col("chunk")).alias("summary_count"), F.count_if("chunk").alias("detail_count"))
+    summaries = records.where("node_type IN ('document_summary', 'section_summary')").select("id")
+    zero = F.lit(0).cast("long")
+    return summaries.join(counted, "id", "left").select("id", *[F.coalesce(c, zero).alias(c) for c in ("child_count", "summary_count", "detail_count")])
+
+
+def known_sources(lists: list[DataFrame], key: str = "source_hash") -> DataFrame:
+    """Distinct source hashes in the order in which they are first seen: (source_hash, place).
+
+    Each list has a column ``seq``; the lists follow each other.
+    """
+    parts = [x.where(F.coalesce(F.col(key), F.lit("")) != "").select(key, F.struct(F.lit(i).alias("list"), F.col("seq").cast("long").alias("seq")).alias("at")) for i, x in enumerate(lists)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    first = every.groupBy(key).agg(F.min("at").alias("at"))
+    lower = first.groupBy("at.list").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("list", "__list")
+    before = lower.select("__list", (F.sum("n").over(Window.orderBy("__list")) - F.col("n")).alias("before"))  # a row for each list
+    place = F.row_number().over(Window.partitionBy("at.list").orderBy("at.seq", key))
+    return first.withColumn("__place", place).join(F.broadcast(before), F.col("at.list") == F.col("__list")).select(key, (F.col("__place") + F.col("before")).alias("place"))
+
+
+def event_stream(records: DataFrame, search: str = ""):
+    """An index as events: its metadata, its rows in order, one by one, and at last how many came.
+
+    Rows leave partition by partition, so the driver holds one partition at a time.
+    """
+    seen = public_rows(records.where(matches(search)) if search.strip() else records)
+    total = seen.count()
+    yield {"type": "metadata", "total": total}
+    received = 0
+    for row in seen.orderBy(*index_order()).toLocalIterator(prefetchPartitions=True):
+        received += 1
+        yield {"type": "row", "row": row.asDict(recursive=True)}
+    yield {"type": "done", "received": received, "total": total}
+
+
+def changed_row(table: DataFrame, record_id: str, content: str, embed, model: str, dim: int) -> DataFrame:
+    """The table with one record's content, vector and model changed; other rows keep theirs.
+
+    ``embed`` makes a column of vectors from a column of texts.
+    """
+    hit = F.col("id") == record_id
+    row = table.where(hit).withColumns({"content": F.lit(content), "vector": fit_dimension(embed(F.lit(content)), dim), "embedding_model": F.lit(model), "embedding_dim": F.lit(dim).cast("long")})
+    return table.where(~hit | F.col("id").isNull()).unionByName(row.select(*table.columns))
+
+
+def with_edit(edits: DataFrame, deletions: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Overrides after some edits (columns of ``edits``): each replaces an edit of its id and takes a deletion back."""
+    wanted = new.where(F.coalesce(F.col("record_id").cast("string"), F.lit("")) != "")
+    kept = edits.join(wanted.select("record_id"), "record_id", "left_anti")
+    return kept.unionByName(wanted.select(*edits.columns)), deletions.join(wanted.select("record_id"), "record_id", "left_anti")
+
+
+def with_deletions(edits: DataFrame, deletions: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Overrides after some deletions (columns of ``deletions``): each takes an edit of its id back."""
+    wanted = gone.where(F.coalesce(F.col("record_id").cast("string"), F.lit("")) != "")
+    kept = deletions.join(wanted.select("record_id"), "record_id", "left_anti")
+    return edits.join(wanted.select("record_id"), "record_id", "left_anti"), kept.unionByName(wanted.select(*deletions.columns))
+
+
+def without_sources(overrides: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Overrides without those of some sources."""
+    return overrides.join(hashes.select("source_hash").where(F.col("source_hash").cast("string") != "").distinct(), "source_hash", "left_anti")
+
+
 def newest(table: DataFrame, key: list[str], order: list[Column], keep: int = 1) -> DataFrame:
     """The newest rows of each key."""
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))

@@ -2,20 +2,26 @@
 
 All operators take any number of queries at once, keyed by ``qid``, so a batch of questions
 is one job.
+
+Defined cases: null vectors and null texts never match; ties go by id, nulls first; repeated
+records count as often as they stand; empty inputs give empty results; other columns are left
+alone where the docstring does not say that they are kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.sources.staging import stage
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -31,79 +37,134 @@ def distance_score(distance: Column) -> Column:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, metric: str = "l2", squared: bool = True) -> DataFrame:
-    """Exact nearest neighbours: rows (qid, id, score), best first, ties by id.
-
-    ``vectors(id, vector)`` stay where they are; queries ``(qid, vector)`` travel in blocks of
-    at most ``QUERY_BLOCK`` rows. Each task keeps its own k best of each query, so what shuffles
-    is k rows for each task and query.
+    """Exact nearest neighbours: rows (qid, id, score, rank), best first, ties by id.
+
+    ``vectors(id, vector)`` are packed into blocks that stay in their partition. Up to
+    ``QUERY_BLOCK`` queries ``(qid, vector)``, a bounded number, travel to them in the tasks' own
+    code. More queries become blocks of a table that is dealt out to the parts of the vectors, so
+    neither the driver nor a task ever holds more than a block of them. Each task keeps its own k
+    best of each query, so what shuffles is k rows for each part and query. A vector of another
+    length than the query's counts over the shorter length.
     """
-    ordered = queries.select("qid", "vector").where(F.col("vector").isNotNull())
-    blocks: list[tuple[list, np.ndarray]] = []
-    held: list = []
-
-    def close() -> None:
-        if held:
-            blocks.append(([r[0] for r in held], np.array([r[1] for r in held], np.float64)))
-            held.clear()
-
-    for row in ordered.toLocalIterator():  # one block at a time, never all vectors
-        held.append(row)
-        if len(held) == QUERY_BLOCK:
-            close()
-    close()
-    id_type = vectors.schema["id"].dataType.simpleString()
-    qid_type = queries.schema["qid"].dataType.simpleString()
-    parts = [_knn_block(vectors, qids, q, k, metric, squared, f"qid {qid_type}, id {id_type}, score double") for qids, q in blocks]
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], f"qid {qid_type}, id {id_type}, score double, rank int")
+    asked = queries.select("qid", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    given = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    id_type, qid_type = (df.schema[c].dataType.simpleString() for df, c in ((given, "id"), (asked, "qid")))
+    schema = f"qid {qid_type}, id {id_type}, score double"
+    few = asked.limit(QUERY_BLOCK + 1).toArrow()
+    if few.num_rows <= QUERY_BLOCK:
+        found = given.mapInArrow(_near_few(few, k, metric, squared), schema)
+    else:
+        parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+        none = lambda kind: F.lit(None).cast(kind)
+        kept = given.select(F.spark_partition_id().alias("at"), "*").select(F.expr(f"at % {parts}").alias("part"), F.lit(0).alias("what"), "id", none(qid_type).alias("qid"), "vector")
+        every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+        sent = asked.select(every, F.lit(1).alias("what"), none(id_type).alias("id"), "qid", "vector")
+        dealt = kept.unionByName(sent).repartitionById(parts, F.col("part")).sortWithinPartitions("what")
+        found = dealt.select("what", "id", "qid", "vector").mapInArrow(_near_many(k, metric, squared), schema)
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of zeros up to the longest, and their lengths."""
+    size = np.diff(np.asarray(column.offsets))
+    flat = np.asarray(column.flatten().fill_null(0.0))
+    out = np.zeros((len(size), int(size.max(initial=0))))
+    out[np.arange(out.shape[1])[None] < size[:, None]] = flat
+    return out, size
+
+
+def _scores(q: np.ndarray, q_size: np.ndarray, v: np.ndarray, v_size: np.ndarray, metric: str, squared: bool) -> np.ndarray:
+    """Scores of all queries against all vectors, over the shorter length of each pair."""
+    out = np.empty((len(q), len(v)))
+    for n in np.unique(q_size):
+        own = np.flatnonzero(q_size == n)
+        for m in np.unique(v_size):
+            other = np.flatnonzero(v_size == m)
+            a, b = q[own][:, : min(n, m)], v[other][:, : min(n, m)]
+            if metric == "cosine":
+                scale = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None]
+                score = np.divide(a @ b.T, scale, out=np.zeros((len(a), len(b))), where=scale > 0)
+            else:
+                distance = np.stack([((b - x) ** 2).sum(1) for x in a])
+                score = 1.0 / (1.0 + (distance if squared else np.sqrt(distance)))
+            out[np.ix_(own, other)] = score
+    return out
+
 
+def _best(qids: pa.Array, ids: pa.Array, score: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best of each row, ties by id."""
+    order = np.asarray(pc.array_sort_indices(ids, null_placement="at_start")) if len(ids) else np.empty(0, np.int64)
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    top = np.lexsort((np.broadcast_to(rank, score.shape), -score), axis=1)[:, :k]
+    row = np.repeat(np.arange(len(qids)), top.shape[1])
+    return pa.record_batch([qids.take(pa.array(row)), ids.take(pa.array(top.ravel())), pa.array(score[row, top.ravel()])], names=["qid", "id", "score"])
+
+
+def _whole(columns: list[pa.Array]) -> pa.Array:
+    return pa.concat_arrays(columns)
+
+
+def _near_few(queries: pa.Table, k: int, metric: str, squared: bool):
+    """Tasks that hold all queries and a running choice of ids that some query has among its k best."""
 
-def _knn_block(vectors: DataFrame, qids: list, q: np.ndarray, k: int, metric: str, squared: bool, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_norm = (q * q).sum(1)
-        ids: list = []
-        best: list[np.ndarray] = []
+        asked = queries.combine_chunks()
+        if not asked.num_rows:
+            return
+        qids = _whole(asked.column(0).chunks)
+        q = _matrix(_whole(asked.column(1).chunks))
+        ids, best = None, None
         for b in batches:
             if not b.num_rows:
                 continue
-            wanted = b.filter(b.column(1).is_valid())
-            v = np.stack([np.asarray(x, np.float64) for x in wanted.column(1).to_numpy(zero_copy_only=False)]) if wanted.num_rows else np.empty((0, q.shape[1]))
-            product = q @ v.T
-            if metric == "cosine":
-                scale = np.sqrt(q_norm)[:, None] * np.sqrt((v * v).sum(1))[None]
-                score = np.divide(product, scale, out=np.zeros_like(product), where=scale > 0)
-            else:
-                distance = np.stack([((v - x) ** 2).sum(1) for x in q]) if len(v) else product
-                score = 1.0 / (1.0 + (distance if squared else np.sqrt(distance)))
-            ids += wanted.column(0).to_pylist()
-            best.append(score)
+            score = _scores(*q, *_matrix(b.column(1)), metric, squared)
+            ids = b.column(0) if ids is None else _whole([ids, b.column(0)])
+            best = score if best is None else np.concatenate([best, score], axis=1)
             if len(ids) > 8 * k:
-                ids, best = _keep(ids, best, k)
-        if best and ids:
-            score = np.concatenate(best, axis=1)
-            order = np.lexsort((np.broadcast_to(_ranks(ids), score.shape), -score), axis=1)[:, :k]
-            rows = [(qids[i], ids[j], float(score[i, j])) for i in range(len(qids)) for j in order[i]]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["qid", "id", "score"]), preserve_index=False)
+                kept = np.unique(np.argpartition(-best, k - 1, axis=1)[:, :k]) if not _tied(best, k) else np.unique(np.lexsort((np.broadcast_to(_rank(ids), best.shape), -best), axis=1)[:, :k])
+                ids, best = ids.take(pa.array(kept)), best[:, kept]
+        if ids is not None:
+            yield _best(qids, ids, best, k)
 
-    return vectors.select("id", "vector").mapInArrow(run, schema)
+    return run
 
 
-def _ranks(ids: list) -> np.ndarray:
+def _rank(ids: pa.Array) -> np.ndarray:
     out = np.empty(len(ids), np.int64)
-    out[np.array(sorted(range(len(ids)), key=ids.__getitem__), np.int64)] = np.arange(len(ids))
+    out[np.asarray(pc.array_sort_indices(ids, null_placement="at_start"))] = np.arange(len(ids))
     return out
 
 
-def _keep(ids: list, best: list[np.ndarray], k: int) -> tuple[list, list[np.ndarray]]:
-    """Only the columns that some query has among its k best."""
-    score = np.concatenate(best, axis=1)
-    if score.shape[1] <= k:
-        return ids, [score]
-    ranks = np.broadcast_to(_ranks(ids), score.shape)
-    used = np.unique(np.lexsort((ranks, -score), axis=1)[:, :k])
-    return [ids[i] for i in used], [score[:, used]]
+def _tied(score: np.ndarray, k: int) -> bool:
+    """Whether the k-th best score of some row stands again beyond the first k."""
+    last = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+    return bool(((score >= last).sum(axis=1) > k).any())
+
+
+def _near_many(k: int, metric: str, squared: bool):
+    """Tasks that hold their part of the vectors and meet the queries in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[pa.Array] = []
+        held: list[pa.Array] = []
+        ready = None
+        for b in batches:
+            what = b.column(0).to_numpy()
+            mine = b.filter(pa.array(what == 0))
+            if mine.num_rows:
+                ids.append(mine.column(1))
+                held.append(mine.column(3))
+            asked = b.filter(pa.array(what == 1))
+            if not asked.num_rows or not ids:
+                continue
+            ready = ready or (_whole(ids), *_matrix(_whole(held)))
+            for at in range(0, asked.num_rows, QUERY_BLOCK // 8):
+                block = asked.slice(at, QUERY_BLOCK // 8)
+                yield _best(block.column(2), ready[0], _scores(*_matrix(block.column(3)), *ready[1:], metric, squared), k)
+
+    return run
 
 
 def postings(docs: DataFrame, text: Column, id_col: str = "id") -> DataFrame:
@@ -112,25 +173,66 @@ def postings(docs: DataFrame, text: Column, id_col: str = "id") -> DataFrame:
     return words.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
 
 
+@dataclass
+class Matches:
+    """What BM25 and overlaps are computed from: the postings of the queries' terms, and the corpus's numbers."""
+
+    hits: DataFrame  # qid, id, term, dl
+    terms: DataFrame  # term, df
+    n: int
+    mean_dl: float
+
+
+def matched(docs: DataFrame, text: Column, queries: DataFrame) -> Matches:
+    """One pass over the texts of ``docs(id, ...)``: postings of the terms of ``queries(qid, question)``, staged.
+
+    Only postings of terms that some query has leave the pass; the number and mean length of all
+    documents are counted on the way.
+    """
+    asked = queries.select("qid", F.explode(tx.keywords(F.col("question"))).alias("term"))
+    seen = Observation("lengths")
+    words = docs.select("id", tx.keywords(text).alias("terms")).withColumn("dl", F.size("terms"))
+    words = words.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))
+    each = words.select("id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    kept = stage(each, "postings")
+    n, total = seen.get["n"], seen.get["total"]
+    df = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return Matches(kept.join(asked, "term").select("qid", "id", "term", "dl"), df, n, (total or 0) / n if n else 0.0)
+
+
+def _bm25_weight(n: Column, df: Column, dl: Column, mean_dl: Column, k1: float, b: float) -> Column:
+    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    mean = F.when(mean_dl <= 0, 1.0).otherwise(mean_dl)
+    return idf * (k1 + 1) / (1 + k1 * (1 - b + b * dl / mean))
+
+
+def bm25_of(found: Matches, k1: float = K1, b: float = B) -> DataFrame:
+    """Rows (qid, id, bm25) of the documents that hold a query term."""
+    weight = _bm25_weight(F.lit(found.n), F.col("df"), F.col("dl"), F.lit(float(found.mean_dl)), k1, b)
+    return found.hits.join(found.terms, "term").groupBy("qid", "id").agg(F.sum(weight).alias("bm25"))
+
+
+def overlaps_of(found: Matches) -> DataFrame:
+    """Rows (qid, id, hits): how many distinct terms of the query a document holds."""
+    return found.hits.groupBy("qid", "id").agg(F.count(F.lit(1)).alias("hits"))
+
+
 def bm25(docs: DataFrame, text: Column, queries: DataFrame, k1: float = K1, b: float = B, pool: list[str] | None = None) -> DataFrame:
     """BM25 with each keyword counted once: rows (qid, id, bm25) of documents with a query keyword.
 
     ``queries(qid, question)``. Statistics are those of all documents, or, with ``pool`` naming
-    columns of ``docs`` (such as qid), those of each pool. Only postings of query terms join.
+    columns of ``docs`` (such as qid), those of each pool.
     """
-    by = pool or []
-    words = docs.select(*by, "id", tx.keywords(text).alias("terms")).withColumn("dl", F.size("terms"))
-    stats = words.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean_dl"))
+    if not pool:
+        return bm25_of(matched(docs, text, queries), k1, b)
+    words = stage(docs.select(*pool, "id", tx.keywords(text).alias("terms")).withColumn("dl", F.size("terms")), "pool-terms")
+    stats = words.groupBy(*pool).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean_dl"))
     asked = queries.select("qid", F.explode(tx.keywords(F.col("question"))).alias("term"))
-    each = words.select(*by, "id", "dl", F.explode("terms").alias("term"))
-    hits = each.join(asked, ["qid", "term"] if "qid" in by else ["term"])
-    df = each.join(asked.select("term").distinct(), "term", "left_semi").groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
-    full = hits.join(df, [*by, "term"])
-    full = full.join(stats, by) if by else full.withColumns({"n": stats.select("n").scalar(), "mean_dl": stats.select("mean_dl").scalar()})
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    mean = F.when(F.col("mean_dl") <= 0, 1.0).otherwise(F.col("mean_dl"))
-    weight = idf * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("dl") / mean))
-    return full.groupBy("qid", "id").agg(F.sum(weight).alias("bm25"))
+    key = ["qid", "term"] if "qid" in pool else ["term"]
+    hits = words.select(*pool, "id", "dl", F.explode("terms").alias("term")).join(asked, key)
+    df = hits.groupBy(*pool, "term").agg(F.count_distinct("id").alias("df"))
+    full = hits.join(df, [*pool, "term"]).join(stats, pool)
+    return full.groupBy("qid", "id").agg(F.sum(_bm25_weight(F.col("n"), F.col("df"), F.col("dl"), F.col("mean_dl"), k1, b)).alias("bm25"))
 
 
 def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
@@ -157,6 +259,22 @@ def lexical_overlap(query_terms: Column, doc_terms: Column, title_terms: Column)
     return F.least(F.lit(1.0), F.size(F.array_intersect(query_terms, doc_terms)) / n + 0.15 * F.size(F.array_intersect(query_terms, title_terms)) / n)
 
 
+def pool_scores(candidates: DataFrame, queries: DataFrame, rrf_k: int = RRF_K) -> DataFrame:
+    """Adds to candidates (qid, id, score, content) what blending needs: rrf, the query's max_rrf and best
+    score, and whether any candidate of the query has a lexical match."""
+    lexical = bm25(candidates, F.col("content"), queries, pool=["qid"]).where("bm25 > 0")
+    some = lexical.select("qid").distinct().withColumn("lexical", F.lit(True))
+    rrf = fuse([ranked(candidates.select("qid", "id", "score"), "score"), ranked(lexical, "bm25")], rrf_k)
+    pool = Window.partitionBy("qid")
+    joined = candidates.join(rrf, ["qid", "id"]).join(some, "qid", "left").withColumn("lexical", F.coalesce("lexical", F.lit(False)))
+    return joined.withColumns({"max_rrf": F.max("rrf").over(pool), "best": F.max("score").over(pool)})
+
+
+def blended(vector: Column, rrf: Column, max_rrf: Column, lexical: Column, weight: float = LEXICAL_WEIGHT) -> Column:
+    """Vector score with a share of the fused rank; the vector score alone where no candidate matches a word."""
+    return F.when(lexical, (1 - weight) * vector + weight * rrf / max_rrf).otherwise(vector)
+
+
 def hybrid(candidates: DataFrame, queries: DataFrame, weight: float = LEXICAL_WEIGHT, rrf_k: int = RRF_K, min_score: float = MIN_SCORE, relative: float = RELATIVE_CUTOFF) -> DataFrame:
     """Hybrid ranking of nearest neighbours.
 
@@ -164,78 +282,99 @@ def hybrid(candidates: DataFrame, queries: DataFrame, weight: float = LEXICAL_WE
     with the vector ranking, blended into the vector score, times the source's weight; then the
     gate on the vector score. Rows (qid, id, vector_score, hybrid_score, score, rank).
     """
-    lexical = bm25(candidates, F.col("content"), queries, pool=["qid"]).where("bm25 > 0")
-    some = lexical.select("qid").distinct().withColumn("lexical", F.lit(True))
-    rrf = fuse([ranked(candidates.select("qid", "id", "score"), "score"), ranked(lexical, "bm25")], rrf_k)
-    pool = Window.partitionBy("qid")
-    joined = candidates.join(rrf, ["qid", "id"]).join(some, "qid", "left").withColumn("max_rrf", F.max("rrf").over(pool)).withColumn("best", F.max("score").over(pool))
-    blended = F.when(F.col("lexical"), (1 - weight) * F.col("score") + weight * F.col("rrf") / F.col("max_rrf")).otherwise(F.col("score"))
-    scored = joined.select(
-        "qid", "id", F.round("score", 4).alias("vector_score"), F.round(blended, 4).alias("hybrid_score"),
-        F.round(blended * source_weight(F.col("source_group")), 4).alias("final"), F.greatest(F.lit(min_score), F.col("best") * relative).alias("cutoff"),
+    return gated(pool_scores(candidates, queries, rrf_k), weight, min_score, relative)
+
+
+def gated(pool: DataFrame, weight: float = LEXICAL_WEIGHT, min_score: float = MIN_SCORE, relative: float = RELATIVE_CUTOFF) -> DataFrame:
+    """The ranking of ``hybrid`` from the rows of ``pool_scores``."""
+    blend = blended(F.col("score"), F.col("rrf"), F.col("max_rrf"), F.col("lexical"), weight)
+    scored = pool.select(
+        "qid", "id", F.round("score", 4).alias("vector_score"), F.round(blend, 4).alias("hybrid_score"),
+        F.round(blend * source_weight(F.col("source_group")), 4).alias("final"), F.greatest(F.lit(min_score), F.col("best") * relative).alias("cutoff"),
     )
     order = Window.partitionBy("qid").orderBy(F.desc("final"), F.desc("vector_score"), "id")
     return scored.where(F.col("vector_score") >= F.col("cutoff")).select("qid", "id", "vector_score", "hybrid_score", F.col("final").alias("score"), F.row_number().over(order).alias("rank"))
 
 
-def expand_summaries(ranking: DataFrame, records: DataFrame, most: int = CANDIDATES) -> DataFrame:
+def children(parents: DataFrame, records: DataFrame) -> DataFrame:
+    """Rows (parent, child, chunk_index) of the chunks below summaries.
+
+    ``parents(id, doc_id, node_type, section_path)``; ``records`` with id, doc_id, parent_id, node_type,
+    chunk_index and section_path. Below a document summary are the chunks of its document, below
+    another summary those that name it as parent; where there are none, those of its document whose
+    section path begins with its own.
+    """
+    tops = parents.where("node_type <> 'chunk'").select(F.col("id").alias("parent"), "doc_id", F.col("node_type").alias("__type"), F.col("section_path").alias("__path")).distinct()
+    chunks = records.where("node_type = 'chunk'").select(F.col("id").alias("child"), "doc_id", "parent_id", "chunk_index", "section_path")
+    of_doc = tops.where("__type = 'document_summary'").join(chunks, "doc_id").select("parent", "child", "chunk_index")
+    own = tops.where("__type <> 'document_summary'").join(chunks.drop("doc_id"), F.col("parent") == F.col("parent_id")).select("parent", "child", "chunk_index")
+    found = of_doc.unionByName(own)
+    bare = tops.join(found.select("parent").distinct(), "parent", "left_anti")
+    below = bare.join(chunks, "doc_id").where(F.col("section_path").startswith(F.col("__path"))).select("parent", "child", "chunk_index")
+    return found.unionByName(below)
+
+
+def expand_summaries(ranking: DataFrame, records: DataFrame, most: int = CANDIDATES, child_order: list[Column] | None = None, scores: DataFrame | None = None) -> DataFrame:
     """Chunks in the order of admission: a chunk stands for itself, a summary for its children.
 
-    ``ranking(qid, id, rank, vector_score)``; ``records(id, doc_id, parent_id, node_type,
-    chunk_index)``. Children of a document summary join by document, of others by parent. The
-    first place of a chunk counts. Rows (qid, id, vector_score, place).
+    ``ranking(qid, id, rank, vector_score)``; for ``records`` see ``children``. Children go by chunk
+    number, or by ``child_order`` over the columns of ``scores(qid, parent, child, ...)``. The first
+    place of a chunk counts. Rows (qid, id, vector_score, place).
     """
-    top = ranking.join(records.select("id", "doc_id", "node_type"), "id")
-    chunks = records.where("node_type = 'chunk'").select(F.col("id").alias("child"), F.col("doc_id").alias("child_doc"), "parent_id", "chunk_index")
+    top = ranking.join(records.select("id", "doc_id", "node_type", "section_path"), "id")
     own = top.where("node_type = 'chunk'").select("qid", "id", "vector_score", "rank", F.lit(0).cast("long").alias("within"))
-    of_doc = top.where("node_type = 'document_summary'").join(chunks, F.col("doc_id") == F.col("child_doc"))
-    of_node = top.where("node_type NOT IN ('chunk', 'document_summary')").join(chunks, F.col("id") == F.col("parent_id"))
-    order = Window.partitionBy("qid", "id").orderBy("chunk_index", "child")
-    children = of_doc.unionByName(of_node).withColumn("within", F.row_number().over(order).cast("long")).where(F.col("within") <= most)
-    every = own.unionByName(children.select("qid", F.col("child").alias("id"), "vector_score", "rank", "within"))
-    first = Window.partitionBy("qid", "id").orderBy("rank", "within")
-    once = every.withColumn("k", F.row_number().over(first)).where("k = 1")
-    place = F.row_number().over(Window.partitionBy("qid").orderBy("rank", "within", "id"))
-    return once.select("qid", "id", "vector_score", place.alias("place"))
-
-
-def within_budget(offered: DataFrame, budget: int) -> DataFrame:
+    met = top.select("qid", F.col("id").alias("parent"), "vector_score", "rank").join(children(top, records), "parent")
+    if scores is not None:
+        met = met.join(scores, ["qid", "parent", "child"])
+    first = Window.partitionBy("qid", "parent").orderBy("chunk_index", "child")
+    kept = met.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most)
+    order = Window.partitionBy("qid", "parent").orderBy(*(child_order or [F.col("chunk_index")]), "child")
+    below = kept.withColumn("within", F.row_number().over(order).cast("long"))
+    every = own.unionByName(below.select("qid", F.col("child").alias("id"), "vector_score", "rank", "within"))
+    once = every.groupBy("qid", "id").agg(F.min(F.struct("rank", "within", "vector_score")).alias("f"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("f.rank", "f.within", "id"))
+    return once.select("qid", "id", "f.vector_score", place.alias("place"))
+
+
+def within_budget(offered: DataFrame, budget: int | Column) -> DataFrame:
     """Texts of each query, in order, up to a token budget; the one that crosses it is cut.
 
-    ``offered(qid, id, place, content)``. A text that no longer fits and can't be cut is dropped
-    and later, smaller ones still count, so this folds over the at most few hundred candidates
-    of a query. Rows (qid, id, place, content, tokens, truncated).
+    ``offered(qid, id, place, content)``, with ``ordinal`` where a query stands for several planned
+    ones: each of these has the whole budget, in the order of the ordinals, and none admits an id
+    that one before has. A text that no longer fits and can't be cut is dropped and later, smaller
+    ones still count, so the walk depends on all before it: it is a fold over the array of a
+    query's offers, at most some hundred. Rows (qid, ordinal if given, id, place, content, tokens,
+    truncated); ``budget`` may be a column that is one value for each query.
     """
-    least, over, notice = tx.LEAST_BLOCK_TOKENS, tx.OVERHEAD_TOKENS, tx.TRUNCATION_NOTICE
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, rows = 0, []
-        for row in pdf.sort_values(["place", "id"]).itertuples(index=False):
-            left = budget - used
-            if left <= 0:
-                break
-            content = row.content or ""
-            cost, cut = -(-len(content) // 4) + over, False
-            if cost > left:
-                if left < least:
-                    continue
-                short = content[: max(0, 4 * (left - over) - len(notice))].rstrip()
-                if not short:
-                    continue
-                content, cut = short + notice, True
-                cost = -(-len(content) // 4) + over
-            used += cost
-            rows.append((row.qid, row.id, row.place, content, cost, cut))
-        return pd.DataFrame(rows, columns=["qid", "id", "place", "content", "tokens", "truncated"])
-
-    kind = {c: offered.schema[c].dataType.simpleString() for c in ("qid", "id")}
-    return offered.select("qid", "id", "place", "content").groupBy("qid").applyInPandas(fold, f"qid {kind['qid']}, id {kind['id']}, place int, content string, tokens long, truncated boolean")
+    several = "ordinal" in offered.columns
+    limit = (budget if isinstance(budget, Column) else F.lit(budget)).cast("long")
+    ordinal = F.col("ordinal").cast("int") if several else F.lit(0)
+    offer = F.struct(ordinal.alias("ordinal"), "place", "id", F.coalesce("content", F.lit("")).alias("content"))
+    each = offered.withColumn("__limit", limit).groupBy("qid").agg(F.sort_array(F.collect_list(offer)).alias("offers"), F.max("__limit").alias("limit"))
+    kind = {c: offered.schema[c].dataType.simpleString() for c in ("id", "place")}
+    none = F.array().cast(f"array<struct<ordinal:int,id:{kind['id']},place:{kind['place']},content:string,tokens:bigint,truncated:boolean>>")
+
+    def admit(state: Column, x: Column) -> Column:
+        used = F.when(x["ordinal"] == state["ordinal"], state["used"]).otherwise(0)
+        left = F.col("limit") - used
+        whole = tx.context_estimate(x["content"]) <= left
+        text = F.when(whole, x["content"]).otherwise(tx.fitted(x["content"], left))
+        cost = tx.context_estimate(text)
+        known = F.exists(state["kept"], lambda k: k["id"].eqNullSafe(x["id"]))
+        good = (left > 0) & (whole | (text != "")) & ~known
+        row = F.struct(x["ordinal"].alias("ordinal"), x["id"].alias("id"), x["place"].alias("place"), text.alias("content"), cost.alias("tokens"), (~whole).alias("truncated"))
+        kept = F.when(good, F.concat(state["kept"], F.array(row))).otherwise(state["kept"])
+        return F.struct(x["ordinal"].alias("ordinal"), (used + F.when(good, cost).otherwise(0)).alias("used"), kept.alias("kept"))
+
+    start = F.struct(F.lit(0).alias("ordinal"), F.lit(0).cast("long").alias("used"), none.alias("kept"))
+    out = each.select("qid", F.inline(F.aggregate("offers", start, admit, lambda s: s["kept"])))
+    return out if several else out.drop("ordinal")
 
 
 def merge_queries(results: DataFrame) -> DataFrame:
     """Results of several planned queries (ordinal, id, score, vector_score): an id counts for the first query that has it."""
     first = Window.partitionBy("id").orderBy("ordinal")
-    once = results.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
+    once = results.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
     return once.orderBy(F.desc("score"), F.desc("vector_score"), "id")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -47,6 +48,21 @@ def extractive_answer(records: DataFrame, most: int = 4, chars: int = 300) -> Da
     return first.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("answer"))
 
 
+def message_parts(reply: Column) -> dict[str, Column]:
+    """Content, thinking, reason of the end and number of tool calls of a model's reply in JSON.
+
+    The message stands in ``message``; thinking may have three names, in it or beside it.
+    """
+    names = ("thinking", "reasoning", "reasoning_content")
+    filled = lambda path: F.nullif(F.get_json_object(reply, path), F.lit(""))
+    thinking = [filled(f"$.message.{n}") for n in names] + [filled(f"$.{n}") for n in names]
+    calls = F.from_json(F.get_json_object(reply, "$.message.tool_calls"), "array<string>")
+    return {
+        "content": F.coalesce(F.get_json_object(reply, "$.message.content"), F.lit("")), "thinking": F.coalesce(*thinking, F.lit("")),
+        "done_reason": F.coalesce(F.get_json_object(reply, "$.done_reason"), F.lit("")), "tool_calls": F.coalesce(F.size(calls), F.lit(0)),
+    }
+
+
 def json_tokens(value: object) -> int:
     return -(-len(json.dumps(value, ensure_ascii=False)) // 4) + tx.OVERHEAD_TOKENS
 
@@ -55,20 +71,21 @@ def fitted_field(item: dict, field: str, budget: int, flag: str = "content_trunc
     """The item with one text field cut so that its JSON keeps to a budget; None if not even an empty one does."""
     if json_tokens(item) <= budget:
         return item, False
-    text = str(item.get(field) or "")
-    made = lambda n: {**item, field: text[:n].rstrip() + tx.TRUNCATION_NOTICE, flag: True}
-    if budget < tx.LEAST_BLOCK_TOKENS or json_tokens(made(0)) > budget:
+    if budget < tx.LEAST_BLOCK_TOKENS:
         return None, True
-    low, high = 0, len(text)
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if json_tokens(made(mid)) <= budget else (low, mid - 1)
-    return made(low), True
+    text = str(item.get(field) or "")
+    bare = {**item, field: tx.TRUNCATION_NOTICE, flag: True}
+    room = 4 * (budget - tx.OVERHEAD_TOKENS) - len(json.dumps(bare, ensure_ascii=False))
+    # the characters of the text, escaped as JSON does, as far as there is room
+    sizes = itertools.accumulate(len(json.dumps(c, ensure_ascii=False)) - 2 for c in text)
+    kept = text[: sum(1 for _ in itertools.takewhile(lambda n: n <= room, sizes))].rstrip()
+    return ({**bare, field: kept + tx.TRUNCATION_NOTICE}, True) if kept else (None, True)
 
 
 def prompt_tokens(messages: DataFrame) -> DataFrame:
-    """Tokens of each conversation's messages (conv_id, role, content)."""
-    each = tx.OVERHEAD_TOKENS + tx.token_estimate(F.col("role")) + tx.token_estimate(F.col("content"))
+    """Tokens of each conversation's messages (conv_id, role, content, and name, tool_name, tool_calls where given)."""
+    keys = [c for c in ("role", "content", "name", "tool_name", "tool_calls") if c in messages.columns]
+    each = tx.OVERHEAD_TOKENS + sum((tx.token_estimate(F.col(c)) for c in keys), F.lit(0))
     return messages.groupBy("conv_id").agg(F.sum(each).alias("tokens"))
 
 
@@ -99,8 +116,3 @@ def planned_queries(replies: DataFrame, most: int = 4) -> DataFrame:
 
     kind = replies.schema["qid"].dataType.simpleString()
     return replies.select("qid", "question", "reply").mapInPandas(run, f"qid {kind}, ordinal int, question string")
-
-
-def late_scores(children: DataFrame, query_terms: Column, terms: Column, rrf_k: int = 60) -> DataFrame:
-    """Adds ``rrf`` of children that were not in the pool: that of a first rank if they share a word with the query."""
-    return children.withColumn("rrf", F.when(F.size(F.array_intersect(query_terms, terms)) > 0, F.lit(1.0) / (rrf_k + 1)).otherwise(0.0))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone import corpus
@@ -15,25 +13,14 @@ from lodestone.functions import hints
 from lodestone.operators import ann, blocks, documents, lifecycle, retrieval
 from lodestone.operators import records as rec
 from lodestone.plans import context, sections
+from lodestone.plans.registry import query
 from lodestone.sources import files
 from lodestone.streaming import incremental
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 WS = r"[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+"
 FLAT = rf"trim(regexp_replace(coalesce(text, ''), '{WS}', ' ', 'g'))"
 
 
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 # --- scalar functions
 
 
@@ -223,22 +210,23 @@ def bm25_scores(spark, sf):
     x AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9) DESC, id) AS rank FROM b), y AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, id) AS rank FROM o)
     SELECT qid, id, round(sum(1.0 / (60 + rank)), 6) AS rrf FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY ALL""")
 def rrf_fuse(spark, sf):
-    docs, asked = _texts(spark, sf), _asked(spark, sf)
-    scored = retrieval.bm25(docs, F.col("text"), asked).withColumn("bm25", F.round("bm25", 9))
-    terms = asked.select("qid", F.explode(tx.keywords(F.col("question"))).alias("term"))
-    overlap = retrieval.postings(docs, F.col("text")).join(terms, "term").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("hits"))
-    return retrieval.fuse([retrieval.ranked(scored, "bm25"), retrieval.ranked(overlap, "hits")]).select("qid", "id", F.round("rrf", 6).alias("rrf"))
+    found = retrieval.matched(_texts(spark, sf), F.col("text"), _asked(spark, sf))
+    scored = retrieval.bm25_of(found).withColumn("bm25", F.round("bm25", 9))
+    lists = [retrieval.ranked(scored, "bm25"), retrieval.ranked(retrieval.overlaps_of(found), "hits")]
+    return retrieval.fuse(lists).select("qid", "id", F.round("rrf", 6).alias("rrf"))
 
 
 @query(f"""WITH q AS (SELECT item_id AS qid, {keywords_sql('text')} AS qs FROM benchmark), d AS (SELECT doc_id AS id, {keywords_sql('text')} AS ws, {keywords_sql('source')} AS ts FROM documents),
     pairs AS (SELECT qid, id FROM (SELECT qid, unnest(qs) AS term FROM q) JOIN (SELECT id, unnest(ws) AS term FROM d) USING (term) GROUP BY ALL)
     SELECT qid, id, round(least(1.0, len(list_intersect(qs, ws)) / greatest(len(qs), 1) + 0.15 * len(list_intersect(qs, ts)) / greatest(len(qs), 1)), 6) AS overlap FROM pairs JOIN q USING (qid) JOIN d USING (id)""")
 def lexical_overlap(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tx.keywords(F.col("text")).alias("ws"), tx.keywords(F.col("source")).alias("ts"))
-    asked = _asked(spark, sf).select("qid", tx.keywords(F.col("question")).alias("qs"))
-    pairs = docs.select("id", F.explode("ws").alias("term")).join(asked.select("qid", F.explode("qs").alias("term")), "term").select("qid", "id").distinct()
-    score = retrieval.lexical_overlap(F.col("qs"), F.col("ws"), F.col("ts"))
-    return pairs.join(docs, "id").join(asked, "qid").select("qid", "id", F.round(score, 6).alias("overlap"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", tx.keywords(F.col("source")).alias("ts"))
+    asked = _asked(spark, sf)
+    hits = retrieval.overlaps_of(retrieval.matched(docs, F.col("text"), asked))
+    terms = asked.select("qid", tx.keywords(F.col("question")).alias("qs"))
+    n = F.greatest(F.size("qs"), F.lit(1))
+    score = F.least(F.lit(1.0), F.col("hits") / n + 0.15 * F.size(F.array_intersect("qs", "ts")) / n)
+    return hits.join(docs.select("id", "ts"), "id").join(terms, "qid").select("qid", "id", F.round(score, 6).alias("overlap"))
 
 
 _POOL = f"""c AS (SELECT qid, id, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS k FROM
@@ -275,14 +263,6 @@ def hybrid_retrieve(spark, sf):
     return retrieval.hybrid(pool, asked).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
-def context_budget(spark, sf):
-    """Contexts of all questions within a budget of 2048 tokens each."""
-    pool, asked = _candidates(spark, sf)
-    best = retrieval.hybrid(pool, asked, min_score=0.0, relative=0.0).withColumn("place", F.col("rank"))
-    return retrieval.within_budget(best.join(pool.select("qid", "id", "content"), ["qid", "id"]), 2048)
-
-
 @query(f"""WITH {RECORDS_SQL}, top AS (SELECT source_hash AS qid, id, doc_id, node_type, row_number() OVER (PARTITION BY source_hash ORDER BY number DESC, node_type, chunk_index, id) AS rank FROM records),
     e AS (SELECT qid, id, rank, 0 AS within FROM top WHERE node_type = 'chunk' UNION ALL SELECT qid, c.id, rank, row_number() OVER (PARTITION BY qid, top.id ORDER BY c.chunk_index, c.id) FROM top JOIN chunks c USING (doc_id) WHERE top.node_type = 'document_summary'),
     o AS (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY rank, within) AS k FROM e WHERE within <= 80) SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank, within, id) AS place FROM o WHERE k = 1""")
@@ -297,16 +277,16 @@ def children_expand(spark, sf):
 # --- aggregates, hierarchies, documents
 
 
-@query(f"""WITH {RECORDS_SQL} SELECT source_hash AS source_key, count(*) AS record_count, count(*) FILTER (node_type = 'chunk') AS chunk_count, count(*) FILTER (node_type <> 'chunk') AS summary_count,
-    sum(length(content))::BIGINT AS content_char_count, min(nullif(page_start, 0)) AS page_start, max(page_end) AS page_end FROM records GROUP BY ALL""")
+@query(f"""WITH {RECORDS_SQL} SELECT source_hash AS source_key, arg_min(source_hash, id) AS source_hash, arg_min(source_pdf_name, id) AS source_pdf_name, arg_min(source_pdf_path, id) AS source_pdf_path, arg_min(file_path, id) AS file_path,
+    count(*) AS record_count, count(*) FILTER (node_type = 'chunk') AS chunk_count, count(*) FILTER (node_type <> 'chunk') AS summary_count, count(*) FILTER (number % 3 <> 0) AS embedded_count, count(*) FILTER (number % 3 = 0) AS reused_count,
+    sum(length(content))::BIGINT AS content_char_count, min(nullif(page_start, 0)) AS page_start, max(page_end) AS page_end FROM records GROUP BY records.source_hash""")
 def manifest(spark, sf):
-    return rec.manifest(corpus.records(spark, sf))
+    return rec.manifest(corpus.records(spark, sf).withColumn("reused", F.col("number") % 3 == 0))
 
 
-@query(f"""WITH {RECORDS_SQL} SELECT count(*) AS records, count(DISTINCT source_hash) AS sources, count(DISTINCT doc_id) AS documents, sum(length(content))::BIGINT AS chars FROM records""")
+@query(f"""WITH {RECORDS_SQL} SELECT count(DISTINCT source_hash) AS documents, count(*) AS total_records, count(*) FILTER (number % 3 <> 0) AS embedded_records, count(*) FILTER (number % 3 = 0) AS reused_records FROM records""")
 def manifest_totals(spark, sf):
-    every = corpus.records(spark, sf)
-    return every.agg(F.count(F.lit(1)).alias("records"), F.count_distinct("source_hash").alias("sources"), F.count_distinct("doc_id").alias("documents"), F.sum(F.length("content")).alias("chars"))
+    return rec.manifest_totals(manifest(spark, sf))
 
 
 @query(rf"""SELECT 'dup_' || substr(sha1(regexp_replace(lower({FLAT}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), 1, 16) AS duplicate_group, count(*) AS members, min(doc_id) AS first_id FROM documents GROUP BY 1""")
@@ -328,12 +308,6 @@ def adjacent_blocks(spark, sf):
     return blocks.neighbours(b, b, 1)
 
 
-@query()
-def block_packing(spark, sf):
-    """Turns of all conversations packed into chunks of 60 words with an overlap of 10."""
-    return blocks.pack_blocks(_blocks(spark, sf), 60, 10)
-
-
 _EDGES = "e AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS node FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier)"
 
 
@@ -380,7 +354,7 @@ def trust_warnings(spark, sf):
 def document_quality(spark, sf):
     warned = _trust(spark, sf).select("source", documents.trust_warnings(F.current_timestamp()).alias("trust"))
     d = table(spark, sf, "documents").withColumns({"status": F.when(F.col("doc_id") % 5 == 0, "queued").otherwise("indexed"), "chunk_count": F.col("doc_id") % 7} | documents.markdown_counts(F.col("text")))
-    w = d.join(F.broadcast(warned), "source").withColumn("w", documents.quality_warnings(F.col("trust")))  # a row for each of 20 sources
+    w = d.join(warned, "source").withColumn("w", documents.quality_warnings(F.col("trust")))
     return w.select("doc_id", "table_markers", F.array_join("w", " ").alias("warnings"), documents.quality_label(F.col("w")).alias("label"))
 
 
@@ -389,12 +363,12 @@ def registry_latest(spark, sf):
     return documents.latest_state(table(spark, sf, "events"), "user_id", ["ts", "event_id"], ["ts", "event_type"]).select("user_id", F.col("event_type").alias("status"), "ts")
 
 
-@query("""WITH s AS (SELECT list_sort(list(DISTINCT event_type)) AS s FROM events), r AS (SELECT user_id AS job_id, min(list_position(s, event_type)) AS rank, count(*) AS uploads FROM events, s GROUP BY user_id)
+@query(f"""WITH s AS (SELECT {documents.STATES} AS s), r AS (SELECT user_id AS job_id, min(event_id % 9 + 1) AS rank, count(*) AS uploads FROM events GROUP BY user_id)
     SELECT job_id, rank::INT AS rank, uploads, s[rank] AS resume_at FROM r, s""")
 def recovery_jobs(spark, sf):
     e = table(spark, sf, "events")
-    states = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]  # a row for each kind of event
-    return documents.recovery_jobs(e.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status")), states)
+    status = F.element_at(F.array(*map(F.lit, documents.STATES)), (F.col("event_id") % 9 + 1).cast("int"))
+    return documents.recovery_jobs(e.select(F.col("user_id").alias("job_id"), status.alias("status")))
 
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id DESC) = 1 AS active FROM documents")
@@ -431,31 +405,26 @@ def unknown_citations(spark, sf):
     return documents.unknown_citations(a, valid)
 
 
-@query()
+@query(rf"""WITH c AS (SELECT conv_id, turn, text FROM conversations), a AS (SELECT conv_id || ':' || turn AS answer_id, 'Indeed ' || regexp_replace(text, '[^A-Za-z ]+', '', 'g') || ' [S1]' AS claim, conv_id, turn FROM c WHERE turn > 0 AND text IS NOT NULL),
+    s AS (SELECT a.*, lower(CASE WHEN a.turn % 2 = 0 THEN regexp_replace(p.text, '[^A-Za-z ]+', '', 'g') || ' indeed ' || claim ELSE regexp_replace(p.text, '[^A-Za-z ]+', '', 'g') END) AS source FROM a JOIN c p ON p.conv_id = a.conv_id AND p.turn = a.turn - 1 AND p.text IS NOT NULL),
+    k AS (SELECT answer_id, {keywords_sql("claim")} AS ws, source FROM s)
+    SELECT answer_id, round(len(list_filter(ws, lambda w: contains(source, w))) / len(ws), 6) AS share FROM k WHERE len(ws) >= 4 AND len(list_filter(ws, lambda w: contains(source, w))) < 0.25 * len(ws)""")
 def weak_claims(spark, sf):
-    """Claims of all answers that their sources support too little; the source is the turn before."""
-    c = table(spark, sf, "conversations")
-    sources = c.select(F.concat_ws(":", "conv_id", F.col("turn") + 1).alias("answer_id"), F.concat(F.lit("[S"), (F.col("turn") + 1) % 4 + 1, F.lit("]")).alias("label"), F.col("text").alias("content"))
-    return documents.weak_claims(_answers(spark, sf), sources)
+    """Claims that the turn before supports too little; every other claim is part of its source."""
+    letters = lambda c: F.regexp_replace(c, "[^A-Za-z ]+", "")
+    c = table(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", letters(F.col("text")).alias("text"))
+    claim = F.concat(F.lit("Indeed "), "text", F.lit(" [S1]"))
+    answers = c.where("turn > 0").select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("answer_id"), claim.alias("claim"))
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), "text")
+    body = F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(" indeed "), "claim")).otherwise(F.col("text"))
+    sources = answers.join(before, ["conv_id", "turn"]).select("answer_id", F.lit("[S1]").alias("label"), body.alias("content"))
+    weak = documents.weak_claims(answers.select("answer_id", F.col("claim").alias("text")), sources)
+    return weak.select("answer_id", F.round("share", 6).alias("share"))
 
 
 # --- sections, sources, streams
 
 
-def _marked(spark, sf):
-    """Pages with their HTML headings as Markdown headings."""
-    body = F.regexp_replace(F.regexp_replace("html", "(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>", "\n§$1 $2\n"), "(?s)<[^>]*>", " ")
-    for n in range(6, 0, -1):
-        body = F.regexp_replace(body, f"(?m)^§{n} ", "#" * n + " ")
-    return table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.concat(F.lit("Page "), "page_id").alias("title"), body.alias("content"))
-
-
-@query()
-def section_records(spark, sf):
-    """Summary and chunk records of all pages."""
-    return sections.records(_marked(spark, sf))
-
-
 @query(r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h([1-6])[^>]*>', 1)) AS level, unnest(range(0, len(regexp_extract_all(html, '(?is)<h([1-6])[^>]*>', 1)))) AS ord FROM pages),
     x AS (SELECT page_id AS doc_id, ord::INT AS ord, level::INT AS level FROM h)
     SELECT a.doc_id, a.ord, a.level, coalesce((SELECT max(b.ord) FROM x b WHERE b.doc_id = a.doc_id AND b.ord < a.ord AND b.level < a.level), -1) AS parent_ord,
@@ -463,7 +432,7 @@ def section_records(spark, sf):
 def section_tree(spark, sf):
     levels = F.regexp_extract_all("html", F.lit("(?is)<h([1-6])[^>]*>"), F.lit(1))
     heads = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(levels).alias("ord", "level")).withColumn("level", F.col("level").cast("int"))
-    return sections.section_tree(heads).withColumn("next_ord", F.coalesce("next_ord", F.lit(-1)))
+    return sections.section_tree(heads).drop("has_children").withColumn("next_ord", F.coalesce("next_ord", F.lit(-1)))
 
 
 @query(f"WITH {RECORDS_SQL} SELECT id, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1)::BIGINT AS number FROM chunks")
@@ -481,12 +450,6 @@ def page_range_join(spark, sf):
     return met.groupBy("conv_id", "page_start").agg(F.count(F.lit(1)).alias("pages"), F.md5(body).alias("body"))
 
 
-@query()
-def split_texts(spark, sf):
-    """All documents packed into chunks of 800 characters, lines as paragraphs."""
-    return sections.split_texts(table(spark, sf, "documents"), 800, 80, separator="\n")
-
-
 @query("SELECT page_id AS doc_id, 1 AS page_no, html AS text FROM pages")
 def sidecar_round_trip(spark, sf):
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page_no"), F.col("html").alias("text"))
@@ -513,12 +476,6 @@ def code_hint(spark, sf):
     return table(spark, sf, "documents").select("doc_id", hints.suggests_code(F.col("text")).alias("code_like"))
 
 
-@query()
-def asset_hints(spark, sf):
-    """Kinds of assets that every document's text suggests."""
-    return table(spark, sf, "documents").select("doc_id", hints.asset_hints(F.col("text"), F.col("doc_id") % 4 == 0).alias("kinds"))
-
-
 @query("""WITH n AS (SELECT user_id, arg_max(event_type, (ts, event_type)) AS status, min(ts) AS recorded_at FROM events GROUP BY user_id)
     SELECT user_id AS job_id, status FROM n WHERE status NOT IN ('purchase', 'click')""")
 def ledger_pending(spark, sf):
@@ -578,13 +535,6 @@ def planned_queries(spark, sf):
     return context.planned_queries(b.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), reply.alias("reply")))
 
 
-@query()
-def extractive_answers(spark, sf):
-    """Answers of all questions from the records within their budgets."""
-    kept = context_budget(spark, sf)
-    return context.extractive_answer(kept.withColumn("label", F.concat(F.lit("[S"), "place", F.lit("]"))))
-
-
 @query(f"WITH {RECORDS_SQL} SELECT id FROM summaries WHERE doc_id IN (SELECT doc_id FROM records WHERE contains(lower(concat_ws(chr(10), id, content, title, section_path, summary, file_path, source_hash, source_pdf_name, source_pdf_path, doc_id, array_to_string(tags, ' '))), 'license'))")
 def summary_search(spark, sf):
     return rec.summaries_matching(corpus.records(spark, sf), "license").select("id")

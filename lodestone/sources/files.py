@@ -35,16 +35,6 @@ def folder_bytes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("length").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
-def output_names(files: DataFrame) -> DataFrame:
-    """Adds output_name: the stem, made unique by a part of the path's hash where stems clash."""
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    named = files.withColumn("__stem", stem)
-    clash = named.groupBy(F.lower("__stem").alias("__low")).agg((F.count(F.lit(1)) > 1).alias("__clash"))
-    joined = named.join(clash, F.lower("__stem") == F.col("__low"))
-    name = F.when(F.col("__clash"), F.concat("__stem", F.lit("__"), F.substring(F.sha1("path"), 1, 12))).otherwise(F.col("__stem"))
-    return joined.withColumn("output_name", F.concat(name, F.lit(".md"))).drop("__stem", "__low", "__clash")
-
-
 def text_blocks(docs: DataFrame) -> DataFrame:
     """Paragraphs of text files as blocks: (doc_id, page_num, reading_order, block_id, modality, content)."""
     parts = F.filter(F.transform(F.split("content", r"\n\s*\n"), tx.normalized), lambda x: x != "")
@@ -67,7 +57,8 @@ def from_sidecar(sidecars: DataFrame) -> DataFrame:
 
 
 def zip_members(archives: DataFrame, max_entries: int = 500, max_bytes: int = 1 << 30, suffix: str = ".pdf") -> DataFrame:
-    """Members of ZIP files (path, content): (path, name, bytes), without folders, hidden and unsafe names.
+    """Members of ZIP files (path, content): (path, name, bytes), without folders, hidden and unsafe names;
+    a name that occurs again, in any archive, gets a number.
 
     An archive over a limit is an error, not a shorter result.
     """
@@ -79,10 +70,14 @@ def zip_members(archives: DataFrame, max_entries: int = 500, max_bytes: int = 1
                     wanted = [e for e in z.infolist() if not e.is_dir() and e.filename.lower().endswith(suffix) and not any(p in ("..", "__MACOSX") or p.startswith(".") for p in e.filename.split("/"))]
                     if len(wanted) > max_entries or sum(e.file_size for e in wanted) > max_bytes:
                         raise ValueError(f"{path}: too many or too large members")
-                    for e in wanted:
-                        yield pd.DataFrame({"path": [path], "name": [e.filename.rsplit("/", 1)[-1]], "bytes": [z.read(e)]})
-
-    return archives.select("path", "content").mapInPandas(run, "path string, name string, bytes binary")
+                    for i, e in enumerate(wanted):
+                        yield pd.DataFrame({"path": [path], "place": [i], "name": [e.filename.rsplit("/", 1)[-1]], "bytes": [z.read(e)]})
+
+    read = archives.select("path", "content").mapInPandas(run, "path string, place int, name string, bytes binary")
+    number = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("path", "place"))
+    stem, tail = F.regexp_replace("name", r"\.[^.]*$", ""), F.regexp_extract("name", r"(\.[^.]*)$", 1)
+    unique = F.when(F.col("__n") == 1, F.col("name")).otherwise(F.concat(stem, F.lit("_"), F.col("__n"), tail))
+    return read.withColumn("__n", number).select("path", unique.alias("name"), "bytes")
 
 
 class _Results(HTMLParser):

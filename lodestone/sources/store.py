@@ -1,80 +1,133 @@
-"""A versioned table of records: staged writes, a pointer to the current version, backups.
+"""A versioned table of records in buckets of sources.
 
-Parquet has no row-level delete, so each change writes a new version folder and then a small
-pointer file. Readers follow the pointer and see the old or the new table, never half of one.
+Parquet has no row-level change, so a change writes the touched buckets anew and then one small
+state file that lists, for each bucket, the folders that hold it. Buckets that a change does not
+touch stay where they are. A state file appears by a rename, so readers see the old or the new
+table, never half of one; the newest state is the table.
+
+Defined cases: a table that was never written has no state, and reading it gives None; an empty
+table keeps its schema; replacing a source again changes nothing; ids or sources that are not there
+are an error where the docstring says so.
 """
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.operators import records as rec
+from lodestone.operators import retrieval
+
+BUCKETS = 64
 
 
 class ChunkStore:
     """Records below ``root``, in any file system that Spark writes to."""
 
-    def __init__(self, spark: SparkSession, root: str, keep: int = 5):
-        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
+    def __init__(self, spark: SparkSession, root: str, keep: int = 5, buckets: int = BUCKETS):
+        self.spark, self.root, self.keep, self.buckets = spark, root.rstrip("/"), keep, buckets
+
+    # --- states
 
     def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def versions(self) -> list[str]:
-        """Names of the complete versions, newest first."""
-        fs, p = self._fs(self.root)
+        """Names of the states, newest first."""
+        fs, p = self._fs(f"{self.root}/states")
         if not fs.exists(p):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = [n for n in names if n.startswith("v-") and fs.exists(self._fs(f"{self.root}/{n}/_SUCCESS")[1])]
-        return sorted(done, reverse=True)
+        return sorted((n[: -len(".json")] for n in names if n.startswith("v-") and n.endswith(".json")), reverse=True)
 
     def current(self) -> str | None:
-        fs, p = self._fs(f"{self.root}/CURRENT")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0]
+        return next(iter(self.versions()), None)
 
-    def read(self) -> DataFrame | None:
-        name = self.current()
-        return self.spark.read.parquet(f"{self.root}/{name}") if name else None
+    def _state(self, name: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.root}/states/{name}.json", wholetext=True).first()[0])
 
-    def publish(self, records: DataFrame) -> str:
-        """Write a version, point to it, and drop all but the newest ``keep`` versions."""
+    def _commit(self, state: dict) -> str:
         name = f"v-{time.time_ns():020d}"
-        records.write.parquet(f"{self.root}/{name}")
-        self.restore(name)
-        for old in self.versions()[self.keep :]:
-            fs, p = self._fs(f"{self.root}/{old}")
-            fs.delete(p, True)
+        path = f"{self.root}/states/{name}.json"
+        fs, part = self._fs(path + ".part")
+        out = fs.create(part, True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if not fs.rename(part, self._fs(path)[1]):
+            raise OSError(f"{path} could not be put in place")
+        self._drop_old()
         return name
 
-    def restore(self, name: str) -> None:
-        if name not in self.versions():
-            raise KeyError(name)
-        fs, p = self._fs(f"{self.root}/CURRENT")
-        out = fs.create(p, True)
-        out.write(bytearray(name.encode()))
-        out.close()
+    def _drop_old(self) -> None:
+        """Delete the states beyond the newest ``keep``, and the folders that only they use."""
+        names = self.versions()
+        kept = {d for n in names[: self.keep] for dirs in self._state(n)["buckets"].values() for d in dirs}
+        for n in names[self.keep :]:
+            for folder in {d for dirs in self._state(n)["buckets"].values() for d in dirs} - kept:
+                fs, p = self._fs(f"{self.root}/{folder}")
+                fs.delete(p, True)
+            fs, p = self._fs(f"{self.root}/states/{n}.json")
+            fs.delete(p, False)
 
-    def replace_source(self, records: DataFrame) -> str:
-        old = self.read()
-        return self.publish(records if old is None else rec.replace_by_key(old, records))
+    def _read(self, state: dict, buckets: set[str] | None = None) -> DataFrame:
+        dirs = [f"{self.root}/{d}" for b, found in state["buckets"].items() if buckets is None or b in buckets for d in found]
+        schema = StructType.fromJson(state["schema"])
+        return self.spark.read.schema(schema).parquet(*dirs) if dirs else self.spark.createDataFrame([], schema)
 
-    def append(self, records: DataFrame) -> str:
-        old = self.read()
-        return self.publish(records if old is None else old.unionByName(records.select(*old.columns)))
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.coalesce("source_hash", F.lit(""))), F.lit(self.buckets)).cast("string")
+
+    def _write(self, records: DataFrame) -> dict[str, list[str]]:
+        """New folders of the buckets that the records fall into."""
+        name = f"data/{uuid.uuid4().hex}"
+        records.withColumn("__bucket", self._bucket()).repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.root}/{name}")
+        fs, p = self._fs(f"{self.root}/{name}")
+        folders = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+        return {f.split("=", 1)[1]: [f"{name}/{f}"] for f in folders if f.startswith("__bucket=")}
+
+    def _touched(self, rows: DataFrame) -> set[str]:
+        return {r[0] for r in rows.select(self._bucket().alias("b")).distinct().collect()}  # at most ``buckets`` rows
 
-    def delete(self, ids: DataFrame) -> str:
-        old = self.read()
-        if old is None:
+    def _state_or_error(self) -> dict:
+        name = self.current()
+        if name is None:
             raise KeyError("the table is empty")
-        return self.publish(rec.delete_ids(old, ids))
+        return self._state(name)
+
+    # --- reading
+
+    def exists(self, required: list[str] = ("id", "content", "source_hash")) -> bool:
+        """Whether there is a table, with the columns that are needed."""
+        name = self.current()
+        return name is not None and set(required) <= {f["name"] for f in self._state(name)["schema"]["fields"]}
+
+    def read(self) -> DataFrame | None:
+        name = self.current()
+        return self._read(self._state(name)) if name else None
+
+    def count(self) -> int:
+        table = self.read()
+        return table.count() if table is not None else 0
+
+    def size(self) -> int:
+        """Bytes of the folders of the table."""
+        state = self._state_or_error()
+        total = 0
+        for d in {d for dirs in state["buckets"].values() for d in dirs}:
+            fs, p = self._fs(f"{self.root}/{d}")
+            total += fs.getContentSummary(p).getLength()
+        return total
+
+    def metadata(self) -> tuple[str, int]:
+        """Model and dimension of the vectors."""
+        return tuple(rec.table_metadata(self._read(self._state_or_error())).first())
 
     def get(self, record_id: str) -> dict:
         """One record; KeyError if absent."""
@@ -84,14 +137,133 @@ class ChunkStore:
             raise KeyError(record_id)
         return row.asDict(recursive=True)
 
+    def of_sources(self, hashes: list[str]) -> DataFrame:
+        """Records of some sources; only their buckets are read."""
+        wanted = self.spark.createDataFrame([(h,) for h in hashes], "source_hash string")
+        return self._read(self._state_or_error(), self._touched(wanted)).where(F.col("source_hash").isin(*hashes))
+
     def search(self, query: str, offset: int = 0, limit: int = 50) -> DataFrame:
-        table = self.read()
-        if table is None:
-            raise KeyError("the table is empty")
+        table = self._read(self._state_or_error())
         return rec.page(table.where(rec.matches(query)) if query.strip() else table, rec.index_order(), offset, limit)
 
-    def compact(self, files: int) -> str:
+    def batches(self, size: int = 500, search: str = "") -> Iterator[list[dict]]:
+        """Rows in index order in lists of ``size``; the driver holds one partition at a time."""
+        table = rec.public_rows(self._read(self._state_or_error()))
+        held: list[dict] = []
+        for row in (table.where(rec.matches(search)) if search.strip() else table).orderBy(*rec.index_order()).toLocalIterator(prefetchPartitions=True):
+            held.append(row.asDict(recursive=True))
+            if len(held) == size:
+                yield held
+                held = []
+        if held:
+            yield held
+
+    def nearest(self, queries: DataFrame, k: int = retrieval.CANDIDATES, metric: str = "l2") -> DataFrame:
+        return retrieval.knn(self._read(self._state_or_error()).select("id", "vector"), queries, k, metric)
+
+    def children(self, parent_id: str, limit: int = 80) -> DataFrame:
+        """Chunks below one summary, by number."""
+        table = self._read(self._state_or_error())
+        below = retrieval.children(table.where(F.col("id") == parent_id), table)
+        return below.orderBy("chunk_index", "child").limit(limit).join(table, F.col("child") == F.col("id")).select(*table.columns)
+
+    # --- changing
+
+    def publish(self, records: DataFrame) -> str:
+        """The whole table anew; also the way to empty it."""
+        return self._commit({"schema": records.schema.jsonValue(), "buckets": self._write(records)})
+
+    def append(self, records: DataFrame) -> str:
+        """Adds rows without reading those that are there."""
+        name = self.current()
+        if name is None:
+            return self.publish(records)
+        state = self._state(name)
+        columns = [f["name"] for f in state["schema"]["fields"]]
+        for bucket, dirs in self._write(records.select(*columns)).items():
+            state["buckets"].setdefault(bucket, []).extend(dirs)
+        return self._commit(state)
+
+    def _rewrite(self, state: dict, touched: set[str], change: Callable[[DataFrame], DataFrame]) -> str:
+        kept = {b: d for b, d in state["buckets"].items() if b not in touched}
+        return self._commit({"schema": state["schema"], "buckets": kept | self._write(change(self._read(state, touched)))})
+
+    def replace_source(self, records: DataFrame) -> str:
+        """The sources of the rows replaced by them; other buckets are not read."""
+        name = self.current()
+        if name is None:
+            return self.publish(records)
+        return self._rewrite(self._state(name), self._touched(records), lambda old: rec.replace_by_key(old, records))
+
+    def delete_sources(self, hashes: list[str]) -> dict:
+        """Without the records of some sources: how many went and how many are left."""
+        state = self._state_or_error()
+        gone = self.of_sources(hashes).count()
+        wanted = self.spark.createDataFrame([(h,) for h in hashes], "source_hash string")
+        if gone:
+            self._rewrite(state, self._touched(wanted), lambda old: old.where(~F.coalesce(F.col("source_hash"), F.lit("")).isin(*hashes)))
+        return {"deleted": gone, "remaining": self.count()}
+
+    def delete(self, ids: DataFrame) -> dict:
+        """Without some ids: how many went and how many are left; KeyError if none is there."""
+        state = self._state_or_error()
+        hit = self._read(state).join(ids.select("id").distinct(), "id", "left_semi")
+        touched, gone = self._touched(hit), hit.count()
+        if not gone:
+            raise KeyError("none of the ids exists")
+        self._rewrite(state, touched, lambda old: rec.delete_ids(old, ids))
+        return {"deleted": gone, "remaining": self.count()}
+
+    def update(self, record_id: str, content: str, embed: Callable[[Column], Column], model: str, dim: int) -> str:
+        """One record's content and vector changed; KeyError if absent."""
+        source = self.get(record_id)["source_hash"]
+        touched = self._touched(self.spark.createDataFrame([(source,)], "source_hash string"))
+        return self._rewrite(self._state_or_error(), touched, lambda old: rec.changed_row(old, record_id, content, embed, model, dim))
+
+    def reindex(self, requested: DataFrame, records: DataFrame) -> str:
+        """Requested sources (source_hash) replaced by their new records; those without any go."""
+        gone = [r[0] for r in requested.select("source_hash").distinct().join(records.select("source_hash"), "source_hash", "left_anti").collect()]  # sources named by the caller
+        if gone and self.current():
+            self.delete_sources(gone)
+        return self.replace_source(records)
+
+    # --- upkeep
+
+    def restore(self, name: str) -> str:
+        """The table as it was in a state; what it is now stays as the state before. KeyError for an unknown or unsafe name."""
+        if name not in self.versions():
+            raise KeyError(name)
+        return self._commit(self._state(name))
+
+    def compact(self, files: int = 1) -> dict:
+        """Every bucket in few files: bytes before and after."""
+        before = self.size()
         table = self.read()
-        if table is None:
-            raise KeyError("the table is empty")
-        return self.publish(table.repartition(files, "source_hash"))
+        self._commit({"schema": table.schema.jsonValue(), "buckets": self._write(table.coalesce(max(1, files)))})
+        return {"bytes_before": before, "bytes_after": self.size()}
+
+
+#: Columns of the tables of the block index (fixed values).
+TABLES = {
+    "documents": "doc_id string, title string, source_path string, source_sha256 string, created_at string, status string, page_count int, metadata_json string",
+    "pages": "doc_id string, page_num int, text string, kind string, metadata_json string",
+    "blocks": "block_id string, doc_id string, page_num int, modality string, reading_order int, text string, markdown string, latex string, table_json string, bbox_json string, confidence double, asset_id string, metadata_json string",
+    "assets": "asset_id string, doc_id string, block_id string, page_num int, asset_type string, path string, mime_type string, bbox_json string, metadata_json string",
+    "chunks": "chunk_id string, doc_id string, text string, token_count int, section_path string, duplicate_group_id string, metadata_json string, created_at string",
+    "chunk_blocks": "chunk_id string, block_id string, ordinal int",
+    "chunk_vectors": "chunk_id string, vector array<float>",
+}
+
+
+def initialise(spark: SparkSession, database: str) -> list[str]:
+    """Create the tables of the block index that are missing."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for name, columns in TABLES.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
+    return list(TABLES)
+
+
+def reset(spark: SparkSession, database: str, tables: list[str] | None = None) -> None:
+    """Empty the tables, or some of them."""
+    for name in tables or list(TABLES):
+        spark.sql(f"TRUNCATE TABLE {database}.{name}")

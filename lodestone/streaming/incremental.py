@@ -5,30 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.sources.store import ChunkStore
 
+#: What begins a progress line (fixed value).
 PROGRESS_MARK = "__RAG_PROGRESS__ "
 
 
 def incremental_build(stream: DataFrame, store: ChunkStore, to_records: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Each micro-batch replaces the records of its sources. Doing a batch again gives the same table."""
+    """Each micro-batch replaces the records of its sources; of several rows of one source the largest by all
+    columns counts. Doing a batch again gives the same table, and only the touched buckets are written.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            store.replace_source(to_records(batch.dropDuplicates(["source_hash"])))
+            last = batch.groupBy("source_hash").agg(F.max(F.struct(*[c for c in batch.columns if c != "source_hash"])).alias("r"))
+            store.replace_source(to_records(last.select("source_hash", "r.*").select(*batch.columns)))
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
-def split_thinking(stream: DataFrame, key: str = "conv_id", order: str = "seq", text: str = "content") -> DataFrame:
+def split_thinking(stream: DataFrame, key: str = "conv_id", order: str = "seq", text: str = "content", done: str | None = None) -> DataFrame:
     """Rows (key, seq, kind, content) of a token stream with <think> parts; the state is carried between batches.
 
-    A tag may be cut anywhere: what could be the beginning of one is held back.
+    A tag may be cut anywhere: what could be the beginning of one is held back. ``done`` names a
+    column that marks the last row of a conversation; with it comes what was held back.
     """
 
     def run(keys: tuple, frames, state: GroupState):
@@ -37,6 +42,8 @@ def split_thinking(stream: DataFrame, key: str = "conv_id", order: str = "seq",
         for f in frames:
             for row in f.sort_values(order).itertuples(index=False):
                 parts, inside, held = think_parts(held + (getattr(row, text) or ""), inside)
+                if done and getattr(row, done) and held:
+                    parts, held = [*parts, ("thinking" if inside else "answer", held)], ""
                 out += [(keys[0], getattr(row, order), kind, part) for kind, part in parts]
         state.update((inside, held))
         yield pd.DataFrame(out, columns=[key, order, "kind", "content"])
@@ -46,6 +53,13 @@ def split_thinking(stream: DataFrame, key: str = "conv_id", order: str = "seq",
     return stream.groupBy(key).applyInPandasWithState(run, schema, "inside boolean, held string", "append", GroupStateTimeout.NoTimeout)
 
 
+def thinking_and_answer(text: Column) -> tuple[Column, Column]:
+    """The thinking and the answer of whole texts; a part that is not closed goes to the end."""
+    body = F.coalesce(text, F.lit(""))
+    part = r"(?s)<think>(.*?)(?:</think>|\z)"
+    return F.array_join(F.regexp_extract_all(body, F.lit(part), F.lit(1)), ""), F.regexp_replace(body, part, "")
+
+
 def think_parts(text: str, inside: bool) -> tuple[list[tuple[str, str]], bool, str]:
     """Pieces of a text as (thinking or answer, piece), whether it ends inside, and what is held back."""
     out = []

@@ -89,11 +89,13 @@ def test_fitted_field():
     assert context.fitted_field(item, "content", 10) == (None, True) and context.fitted_field({"content": "x"}, "content", 256)[1] is False
 
 
-def test_heading_trims():
-    assert sections.without_front_matter("Cover\n1 Contents here\nx\n2 Real Start\nbody") == "2 Real Start\nbody"
-    assert sections.without_front_matter("# Only\n\ntext") == "# Only\n\ntext"
-    assert sections.between_headings("lead\n7.1 Review\ntext\n7.2 Changes\nmore", "Review", "Changes") == "7.1 Review\ntext"
-    assert sections.collapsed_blank_lines("a  \r\n\n\n\nb") == "a\n\nb"
+def test_heading_trims(spark):
+    rows = ["Cover\n1 Contents here\nx\n2 Real Start\nbody", "# Only\n\ntext", None, ""]
+    t = F.col("t")
+    assert [r.x for r in texts(spark, *rows).orderBy("id").select(sections.without_front_matter(t).alias("x")).collect()] == ["2 Real Start\nbody", "# Only\n\ntext", "", ""]
+    cut = sections.heading_span(t, F.lit("Review"), F.lit("Changes"))
+    assert [r.x for r in texts(spark, "lead\n7.1 Review\ntext\n7.2 Changes\nmore", "no heading", "", None).orderBy("id").select(cut.alias("x")).collect()] == ["7.1 Review\ntext", "no heading", "", None]
+    assert texts(spark, "a  \r\n\n\n\nb").select(sections.single_blank_lines(t).alias("x")).first().x == "a\n\nb"
 
 
 def test_folder_bytes(spark, tmp_path):

@@ -167,7 +167,7 @@ def test_text_functions(spark):
     assert one(spark, tx.suggests_table(F.lit("A  B  C\n1  2  3\n4  5  6\n7  8  9"))) and one(spark, tx.suggests_equation(F.lit("E = m * c ^ 2")))
     assert one(spark, tx.unwrapped_url(F.lit("//s.example/l/?uddg=https%3A%2F%2Fexample.com%2Fpaper&x=1"))) == "https://example.com/paper"
     assert one(spark, tx.normalized_heading(F.lit("7.2 Changes at  Test time 206"))) == "changesattesttime"
-    assert one(spark, tx.normalize_page(F.lit("Head\r\n12\nbody\nHead\nmore\nHead"))) == "body\nHead\nmore"
+    assert one(spark, tx.normalize_page(F.lit("Head\r\n12\nbody\nHead\nmore\nHead"))) == "body\nHead\nmore\nHead"
     assert one(spark, tx.fitted(F.lit("word " * 1000), F.lit(200))).endswith(tx.TRUNCATION_NOTICE)
     assert one(spark, tx.safe_component(F.lit("../a b?.pdf"), "x")) == "a-b-.pdf" and one(spark, tx.safe_component(F.lit(None).cast("string"), "x")) == "x"
 
@@ -180,20 +180,22 @@ def test_claims(spark):
 
 
 def test_sections(spark):
-    assert sections.toc_entry("7.2 Changes at test time . . . . . . . . . 206") == ("7.2", "Changes at test time", 206)
-    assert len(sections.packed_paragraphs("alpha " * 500, 200, 20)) > 1
+    toc = sections.toc_entries(spark.createDataFrame([("d", "7.2 Changes at test time . . . . . . . . . 206")], "doc_id string, text string")).first()
+    assert (toc.number, toc.title, toc.page) == ("7.2", "Changes at test time", 206)
+    assert sections.split_texts(spark.createDataFrame([("d", "alpha " * 500), ("e", None)], "doc_id string, text string"), 200, 20).count() > 1
     docs = spark.createDataFrame([("k", "Book", "# Overview\n\nalpha\n\n## Details\n\nbeta"), ("e", "Empty", None)], "doc_id string, title string, content string")
     got = sections.records(docs).collect()
     chunks = [r for r in got if r.node_type == "chunk"]
-    assert [r.section_path for r in chunks] == ["Book > Details"] and "beta" in chunks[0].content and not any("alpha" in r.content for r in chunks)
+    assert [r.section_path for r in chunks] == ["Overview > Details"] and "beta" in chunks[0].content and not any("alpha" in r.content for r in chunks)
     tree = {r["ord"]: r for r in sections.section_tree(sections.headings(docs)).collect()}
     assert tree[1].parent_ord == 0 and tree[0].parent_ord == -1 and tree[0].next_ord is None
 
 
 def test_page_ends(spark):
-    rows = [("d", 0, 0, 4, 3), ("d", 1, 1, 4, 2), ("d", 2, 1, 6, 3), ("d", 3, 0, 10, None)]
-    got = sections.page_ends(spark.createDataFrame(rows, "doc_id string, ord int, level int, page_start int, next_ord int"), F.lit(12)).orderBy("ord").collect()
-    assert [r.page_end for r in got] == [9, 5, 9, 12]
+    rows = [("d", 0, 0, "a", 4), ("d", 1, 1, "b", 4), ("d", 2, 1, "c", 6), ("d", 3, 0, "e", 10)]
+    tree = sections.section_tree(spark.createDataFrame(rows, "doc_id string, ord int, level int, title string, page_start int"))
+    got = sections.with_page_ends(tree, F.lit(12)).orderBy("ord").collect()
+    assert [r.page_end for r in got] == [9, 5, 9, 12] and [r.next_title for r in got] == [""] * 4
 
 
 def test_sources(spark, tmp_path):
