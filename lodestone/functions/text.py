@@ -1,4 +1,7 @@
-"""Scalar text functions as column expressions; all run inside generated JVM code."""
+"""Scalar text functions as column expressions; all run inside generated JVM code.
+
+Defined cases: a null text counts as empty unless a function says otherwise; texts may be of any length.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Vector functions. Simple ones are column expressions; the embedder is an Arrow UDF."""
+"""Vector functions. Simple ones are column expressions; the embedder is an Arrow UDF.
+
+Defined cases: a null vector gives null; vectors of different length count over the shorter one; a
+vector of length 0 has similarity 0 and stays as it is when normalised; null texts are empty.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -33,7 +37,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def squared_l2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, v: s + v)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(F.pow(x.cast("double") - y.cast("double"), F.lit(2.0)), F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
 
 
 def fit_dimension(v: Column, dim: int) -> Column:
@@ -56,6 +60,14 @@ def hash_vector(text: str, dim: int) -> np.ndarray:
     return v / (length or 1.0)
 
 
+def embedded(records: DataFrame, embed_texts, content: str = "content") -> DataFrame:
+    """Adds ``vector`` to records; equal texts, anywhere in the table, are embedded once."""
+    known = F.sha2(F.coalesce(F.col(content), F.lit("")), 256)
+    texts = records.groupBy(known.alias("__text")).agg(F.first(content).alias("__content"))
+    made = texts.select("__text", embed_texts(F.col("__content")).alias("vector"))
+    return records.withColumn("__text", known).join(made, "__text").drop("__text")
+
+
 def embed(text: Column, dim: int = 64, prefix: str = DOCUMENT_PREFIX) -> Column:
     """Vectors of texts in Arrow batches; equal texts of a batch are computed once."""
 

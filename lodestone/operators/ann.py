@@ -5,6 +5,9 @@ nearest centroids only, and ranks them exactly; a search of many queries joins o
 tables need no index (``wanted``), and an index is built anew once enough of it has changed (``stale``).
 Lists are not compressed, so there is nothing to refine.
 
+Defined cases: null vectors are in no list and find nothing; all vectors have one length; ties go by
+id; an empty table has no lists.
+
 The number of probed lists is measured: a sample of the queries is answered exactly, and as many
 lists are probed as hold ``RECALL`` of those neighbours, never fewer than ``PROBES``.
 """

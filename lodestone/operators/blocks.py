@@ -1,4 +1,9 @@
-"""Blocks of documents: neighbours within a band, chunk packing, duplicate groups."""
+"""Blocks of documents: neighbours within a band, chunk packing, duplicate groups.
+
+Defined cases: blocks with null or blank content are skipped in chunks; of blocks at one place the
+smaller id comes first; blocks with a null document, page or place have no neighbours; repeated
+blocks stand as often as they are given; empty tables give no rows; further columns are left alone.
+"""
 
 from __future__ import annotations
 

@@ -142,6 +142,15 @@ def fallback_answers(context: DataFrame, most: int = 4, chars: int = 300) -> Dat
     return each.select("qid", F.when(F.size("l") == 0, none).otherwise(F.concat(intro, F.array_join(shown, "\n"))).alias("answer"))
 
 
+#: Orders in which the tables are listed (fixed values).
+LISTED = {"documents": ["title", "doc_id"], "blocks": ["doc_id", "page_num", "reading_order"], "chunks": ["doc_id", "chunk_id"]}
+
+
+def listing(name: str, table: DataFrame) -> DataFrame:
+    """A table of the index in its own order."""
+    return table.orderBy(*LISTED[name])
+
+
 def store_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows (name, n) of some tables."""
     counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()]

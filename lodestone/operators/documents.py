@@ -1,4 +1,9 @@
-"""Document management: trust, quality, registry states, duplicates, recovery, answers' citations."""
+"""Document management: trust, quality, registry states, duplicates, recovery, answers' citations.
+
+Defined cases: null statuses count as unreviewed, null dates never expire; a null or empty text has
+no marks and no claims; keys that are null match nothing; of rows with equal order the largest
+key counts as last; empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Tables that follow a document's life: upserts, ledgers, cascading deletes, assets, trust entries."""
+"""Tables that follow a document's life: upserts, ledgers, cascading deletes, assets, trust entries.
+
+Defined cases: rows with a null key are never deleted by key; null texts mention no asset; of several
+new rows with one key the largest by all columns counts; empty tables change nothing.
+"""
 
 from __future__ import annotations
 
@@ -59,6 +63,35 @@ def add_assets(assets: DataFrame, new: DataFrame) -> DataFrame:
     return assets.unionByName(new.select(*assets.columns)).withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
 
 
+def save_images(images: DataFrame, folder: str) -> DataFrame:
+    """Write images (source_hash, page_no, description, data) under names made of their content; their entries.
+
+    An image that comes again is written to the same name with the same bytes, so tasks may be repeated.
+    """
+    name = asset_id(F.col("source_hash"), F.coalesce("page_no", F.lit(0)), F.col("data"))
+    key = F.coalesce(F.nullif("source_hash", F.lit("")), F.lit("unknown-source"))
+    rows = images.where("data IS NOT NULL").select(name.alias("asset_id"), "source_hash", F.coalesce("page_no", F.lit(0)).cast("long").alias("page_no"), "description", F.concat(key, F.lit("/"), name, F.lit(".png")).alias("relative_path"), "data")
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            for path, data in zip(b.column("relative_path").to_pylist(), b.column("data"), strict=True):
+                store.create_dir(f"{at}/{path.rsplit('/', 1)[0]}", recursive=True)
+                with store.open_output_stream(f"{at}/{path}", compression=None) as out:
+                    out.write(data.as_buffer())
+            yield b.select(["asset_id", "source_hash", "page_no", "description", "relative_path"])
+
+    return rows.mapInArrow(run, "asset_id string, source_hash string, page_no long, description string, relative_path string")
+
+
+def linked(assets: DataFrame, links: DataFrame) -> DataFrame:
+    """Assets (asset_id, block_id, ...) with the block that ``links(asset_id, block_id)`` names, where it names one."""
+    new = links.groupBy("asset_id").agg(F.max("block_id").alias("__block"))
+    return assets.join(new, "asset_id", "left").withColumn("block_id", F.coalesce("__block", "block_id")).select(*assets.columns)
+
+
 def safe_assets(assets: DataFrame, root: str) -> DataFrame:
     """Assets (asset_id, relative_path) that may be served: a plain id, and a path that stays below the root. Adds ``path``."""
     plain = F.col("asset_id").rlike("^[A-Za-z0-9_.-]+$")

@@ -1,6 +1,11 @@
 """Operators on index records: search, paging, replacement, overrides, reuse, manifest, hierarchy.
 
 A record has the columns of ``RECORD``; a missing column takes its default in ``conform``.
+
+Defined cases: null texts never match a search and count no characters; rows with a null key stay
+where rows are deleted or replaced by key; ties go by id; repeated rows count as often as they
+stand; empty tables give empty results (and totals of 0); further columns ride along. A page needs
+a column name ``total`` of its own: one that the rows have is replaced.
 """
 
 from __future__ import annotations

@@ -1,4 +1,8 @@
-"""From retrieved records to a cited context: budgets, labels, planned queries, extractive answers."""
+"""From retrieved records to a cited context: budgets, labels, planned queries, extractive answers.
+
+Defined cases: null texts are empty; a record keeps the number of its first appearance, of several at
+one place the smaller key comes first; a reply that can't be read gives the question alone.
+"""
 
 from __future__ import annotations
 

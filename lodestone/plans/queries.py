@@ -107,10 +107,11 @@ def page_slice(spark, sf):
     return rec.page(corpus.records(spark, sf).select("id", "chunk_index"), [F.col("id")], 50, 25)
 
 
-@query(f"""WITH {RECORDS_SQL} SELECT id, row_number() OVER (PARTITION BY source_hash ORDER BY coalesce(nullif(source_pdf_name, ''), file_path), section_path,
-    CASE node_type WHEN 'document_summary' THEN 0 WHEN 'section_summary' THEN 1 WHEN 'chunk' THEN 2 ELSE 3 END, coalesce(chunk_index, -1), id) AS place FROM records""")
+@query(f"""WITH {RECORDS_SQL} SELECT id, (SELECT count(*) FROM records) AS total FROM records ORDER BY coalesce(nullif(source_pdf_name, ''), file_path), section_path,
+    CASE node_type WHEN 'document_summary' THEN 0 WHEN 'section_summary' THEN 1 WHEN 'chunk' THEN 2 ELSE 3 END, coalesce(chunk_index, -1), id LIMIT 200 OFFSET 300""")
 def index_order(spark, sf):
-    return corpus.records(spark, sf).select("id", F.row_number().over(Window.partitionBy("source_hash").orderBy(*rec.index_order())).cast("long").alias("place"))
+    """A page of all records in index order."""
+    return rec.page(corpus.records(spark, sf), rec.index_order(), 300, 200).select("id", "total")
 
 
 @query(f"""WITH {RECORDS_SQL}, fresh AS (SELECT * REPLACE ('new ' || content AS content) FROM records WHERE source_hash = 'src3')
@@ -263,14 +264,15 @@ def hybrid_retrieve(spark, sf):
     return retrieval.hybrid(pool, asked).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"""WITH {RECORDS_SQL}, top AS (SELECT source_hash AS qid, id, doc_id, node_type, row_number() OVER (PARTITION BY source_hash ORDER BY number DESC, node_type, chunk_index, id) AS rank FROM records),
+@query(f"""WITH {RECORDS_SQL}, top AS (SELECT number % 997 AS qid, id, doc_id, node_type, row_number() OVER (PARTITION BY number % 997 ORDER BY number DESC, node_type, chunk_index, id) AS rank FROM records),
     e AS (SELECT qid, id, rank, 0 AS within FROM top WHERE node_type = 'chunk' UNION ALL SELECT qid, c.id, rank, row_number() OVER (PARTITION BY qid, top.id ORDER BY c.chunk_index, c.id) FROM top JOIN chunks c USING (doc_id) WHERE top.node_type = 'document_summary'),
     o AS (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY rank, within) AS k FROM e WHERE within <= 80) SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank, within, id) AS place FROM o WHERE k = 1""")
 def children_expand(spark, sf):
-    """All records of each source as one ranking, summaries before chunks of later documents."""
+    """Rankings of the records of some documents each, summaries before chunks of later documents."""
     every = corpus.records(spark, sf)
-    rank = F.row_number().over(Window.partitionBy("source_hash").orderBy(F.desc("number"), "node_type", "chunk_index", "id"))
-    top = every.select(F.col("source_hash").alias("qid"), "id", rank.alias("rank"), F.lit(1.0).alias("vector_score"))
+    qid = F.col("number") % 997
+    rank = F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("number"), "node_type", "chunk_index", "id"))
+    top = every.select(qid.alias("qid"), "id", rank.alias("rank"), F.lit(1.0).alias("vector_score"))
     return retrieval.expand_summaries(top, every).select("qid", "id", F.col("place").cast("long").alias("place"))
 
 

@@ -1,4 +1,9 @@
-"""Scans: Markdown and text files, binary files, page sidecars, result pages of a web search."""
+"""Scans: Markdown and text files, binary files, page sidecars, result pages of a web search.
+
+Defined cases: an empty folder gives no rows; empty files are empty texts; a sidecar that is null,
+damaged or of another version gives no pages; a result page without links gives no rows; an archive
+over a limit is an error.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Streaming: incremental index builds, event logs, thinking and answer streams, progress lines."""
+"""Streaming: incremental index builds, event logs, thinking and answer streams, progress lines.
+
+Defined cases: an empty micro-batch changes nothing, and one that comes again gives the same table;
+null texts are empty; a tag cut by the end of a conversation is text; lines that are no progress
+lines give no rows.
+"""
 
 from __future__ import annotations
 

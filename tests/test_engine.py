@@ -7,13 +7,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.engine import Engine
 from lodestone.functions import hints
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vec
-from lodestone.operators import ann, blocks, classic, documents, intake, jobs, retrieval
+from lodestone.operators import ann, blocks, classic, documents, intake, jobs, lifecycle, retrieval
 from lodestone.operators import records as rec
 from lodestone.plans import ask, queries_ask, sections
-from lodestone.sources import config, files
+from lodestone.sources import config, files, json_files
 from lodestone.sources.store import ChunkStore, initialise, reset
 from lodestone.streaming import incremental
 
@@ -371,6 +372,49 @@ def test_jobs_of_empty_tables(spark):
     assert documents.recovery_jobs(entries.select("job_id", "status")).count() == 2
 
 
+def test_json_files_and_overrides(spark, tmp_path):
+    path = f"file://{tmp_path}/o.json"
+    assert json_files.load(spark, path, {"a": 1}) == {"a": 1} and [t.count() for t in json_files.overrides(spark, path)] == [0, 0]
+    for n in (1, 2):
+        json_files.write(spark, path, {"edits": {"x": {"content": f"é{n}", "odd": 1}, "": {"content": "b"}, "y": 3}, "deletions": [1]})
+    edits, deletions = json_files.overrides(spark, path)
+    assert [(r.record_id, r.content, r.doc_id) for r in edits.collect()] == [("x", "é2", None)] and deletions.count() == 0
+    edits, deletions = rec.with_deletions(edits, deletions, spark.createDataFrame([("x", "s", "d", "f", "now")], json_files.DELETION))
+    json_files.write_overrides(spark, path, edits, deletions)
+    assert [t.count() for t in json_files.overrides(spark, path)] == [0, 1]
+    (tmp_path / "bad.json").write_text("{no")
+    assert json_files.load(spark, f"file://{tmp_path}/bad.json", []) == []
+    with pytest.raises(ValueError):
+        json_files.load(spark, f"file://{tmp_path}/bad.json", strict=True)
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["bad.json", "o.json"]
+
+
+def test_images_are_stored_by_content(spark, tmp_path):
+    rows = [("s1", 1, "a", bytearray(b"x")), ("s1", 1, "again", bytearray(b"x")), ("", 2, "b", bytearray(b"y")), ("s2", None, None, None)]
+    images = spark.createDataFrame(rows, "source_hash string, page_no int, description string, data binary")
+    entries = lifecycle.save_images(images, f"file://{tmp_path}/assets").collect()
+    names = {r.asset_id for r in entries}
+    assert len(entries) == 3 and names == {f"img_s1_p1_{hashlib.sha256(b'x').hexdigest()[:16]}", f"img__p2_{hashlib.sha256(b'y').hexdigest()[:16]}"}
+    assert all((tmp_path / "assets" / r.relative_path).exists() for r in entries)
+    assets = spark.createDataFrame([("a", None), ("b", "old"), (None, "n")], "asset_id string, block_id string")
+    links = spark.createDataFrame([("a", "b1")], "asset_id string, block_id string")
+    assert {(r.asset_id, r.block_id) for r in lifecycle.linked(assets, links).collect()} == {("a", "b1"), ("b", "old"), (None, "n")}
+
+
+def test_engine_answers(spark, tmp_path):
+    engine = Engine(ChunkStore(spark, f"file://{tmp_path}/t", buckets=4), spark.createDataFrame([("s1", "official")], "source_hash string, source_group string"), config.Settings(retrieval=config.Retrieval(min_score=0.0, relative_cutoff=0.0)))
+    assert engine.metrics()["total_records"] == 0 and engine.preflight() and not engine.preflight(3)
+    rows = [("a", "s1", "ridge regression uses a penalty"), ("b", "s1", "the pump cools the accumulator"), ("c", "s2", "the pump cools the accumulator")]
+    engine.index(rec.conform(spark.createDataFrame(rows, "id string, source_hash string, content string")))
+    engine.index(rec.conform(spark.createDataFrame([("c", "s2", "a new pump text")], "id string, source_hash string, content string")))
+    asked = spark.createDataFrame([(1, "ridge regression penalty?"), (2, "zzz qqq")], "qid long, question string")
+    got = engine.search(asked).where("qid = 1").orderBy("rank").collect()
+    assert got[0].chunk_id == "a" and got[0].citation == "[S1]" and len(got) == 3
+    assert engine.answer(asked).where("qid = 1").first().answer.startswith("[S1] ridge regression")
+    m = engine.metrics()
+    assert (m["total_records"], m["documents"]) == (3, 2) and m["index_bytes"] > 0
+
+
 def test_json_fields_fit_their_budget():
     from lodestone.plans import context
 
