@@ -1,4 +1,8 @@
-"""Connected components of a graph of long ids, by alternating large and small stars."""
+"""Connected components of a graph of long ids, by alternating large and small stars.
+
+Defined cases: an edge from a node to itself is left out; repeated edges count once; no edges give
+no components; a null end is no node.
+"""
 
 from __future__ import annotations
 

@@ -4,6 +4,9 @@ Words are the maximal byte runs outside ``[\\x20\\x09-\\x0D]``. A word's hash is
 polynomial over its bytes, cut out of one running sum for the whole batch, and then
 mixed with its length; words of over 512 bytes are hashed one by one instead, because a
 polynomial modulo 2**64 is weak on very long inputs.
+
+Defined cases: a null text is empty and has no words; so is a text of white space alone; texts and
+words of any length are read in blocks, without a change of their hashes; an empty column has no words.
 """
 
 from __future__ import annotations

@@ -151,6 +151,27 @@ def test_held_out_accuracy(spark):
     assert len(none) == len(got) and all(r.score == 0 for r in none)
 
 
+def test_toxicity_of_awkward_rows(spark):
+    """Empty tables, repeated rows, clashing columns and very long texts; scores don't depend on what stands beside a row."""
+    from pyspark.sql import functions as F
+
+    g = random.Random(8)
+    words = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join(g.choice(words) for _ in range(30)) + (" zorkish zork" if i % 3 == 0 else "")) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    rows += [rows[0], rows[1], (900, "quiet " * 60_000), (901, "quiet " * 60_000 + "zorkish zork")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted((str(r.doc_id), round(r.score, 6), r.predicted) for r in toxicity.judge(docs, labels).collect())
+    clash = docs.withColumns({c: F.lit("x") for c in ("score", "predicted", "held_out", "toxic", "n")})
+    assert sorted((str(r.doc_id), round(r.score, 6), r.predicted) for r in toxicity.judge(clash, labels).collect()) == plain
+    assert len(plain) == len(rows) and len({p for p in plain if p[0] == "0"}) == 1
+    by_id = {p[0]: p[1] for p in plain}
+    assert by_id["901"] > by_id["900"]
+    kept = toxicity.keep_clean(clash, labels)
+    assert kept.columns == clash.columns and 0 < kept.count() < len(rows)
+    assert toxicity.judge(docs.where("false"), labels).count() == 0 and toxicity.keep_clean(docs.where("false"), labels).count() == 0
+
+
 @pytest.fixture(scope="module")
 def sentencepiece_pair():
     import sentencepiece
@@ -199,6 +220,23 @@ def test_character_map_takes_the_longest_prefix():
     assert m.longest(b"abc", 0) == (2, b"YZ") and m.longest(b"ac", 0) == (1, b"X") and m.longest(b"c", 0) is None
 
 
+def test_codec_of_long_texts_and_clashing_columns(spark, sentencepiece_pair):
+    """Texts of megabytes, repeated rows and columns with names used inside, against the library."""
+    from pyspark.sql import functions as F
+
+    _, library = sentencepiece_pair
+    g = random.Random(4)
+    long = " ".join(g.choice(["alpha", "běta", "日本", "x1", "\n", "  "]) for _ in range(250_000))
+    rows = [(1, long), (2, "a  b"), (2, "a  b"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("n_tokens", "ids", "starts", "spans_sha256")})
+    got = digest_column(docs, tokenizer_file("piece_bpe_32k.model")).collect()
+    assert len(got) == 4
+    for d, text in rows:
+        ids = library.encode(text or "")
+        r = next(x for x in got if x.doc_id == d)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+
+
 def test_codec_columns(spark):
     path = tokenizer_file("piece_bpe_32k.model")
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "héllo"), (3, "héllo"), (None, "x " * 5000)], "doc_id long, text string")
