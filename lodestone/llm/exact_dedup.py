@@ -70,16 +70,16 @@ def with_maybe(df: DataFrame, plane: DataFrame, words: int) -> DataFrame:
     return joined.withColumn("__maybe", F.expr("coalesce((__twice & __mask) = __mask, false)")).drop("__word", "__mask", "__twice")
 
 
-def joined_groups(rows: DataFrame, groups: DataFrame, size: str, every: int) -> DataFrame:
-    """Rows with the columns of their group, by ``__digest``. ``size``: the column of a group's number of rows.
+def joined_groups(rows: DataFrame, groups: DataFrame, size: str, every: int, key: str = "__digest") -> DataFrame:
+    """Rows with the columns of their group, by ``key``. ``size``: the column of a group's number of rows.
 
     Groups of more than ``every / HOT`` rows are fewer than ``HOT`` and are broadcast.
     """
     hot = F.col(size) * HOT > every
-    names = [*rows.columns, *(c for c in groups.columns if c != "__digest")]
-    marked = rows.join(F.broadcast(groups.where(hot).withColumn("__hot", F.lit(True))), "__digest", "left")
+    names = [*rows.columns, *(c for c in groups.columns if c != key)]
+    marked = rows.join(F.broadcast(groups.where(hot).withColumn("__hot", F.lit(True))), key, "left")
     large = marked.where("__hot").select(*names)
-    rest = marked.where("__hot IS NULL").select(*rows.columns).join(groups.where(~hot), "__digest").select(*names)
+    rest = marked.where("__hot IS NULL").select(*rows.columns).join(groups.where(~hot), key).select(*names)
     return large.unionByName(rest)
 
 

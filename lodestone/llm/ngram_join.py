@@ -25,7 +25,9 @@ link is verified on the whole sets of 64-bit n-gram hashes.
    pairs.
 5. A neighbourhood of too many members is dealt out in blocks that each hold its smallest class;
    only if its members are not one component after that, the summaries of pairs of blocks meet too.
-6. Connected components of the links, by alternating stars, with checkpoints.
+6. Connected components of the links, by alternating stars, with checkpoints. Each class takes the
+   smallest id of its component; classes and components of very many members join by a broadcast of
+   bounded size.
 
 Defined cases: null and empty texts have an empty set and link with nothing; a text of fewer
 than n words has its whole sequence as the one member of its set; repeated rows are in one
@@ -43,6 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
+from lodestone.llm.exact_dedup import joined_groups
 from lodestone.llm.packed import FINE, by_part, parted
 from lodestone.llm.storage import partitions, row_key, stage
 from lodestone.llm.wordhash import Ranges, mix, slices, words_of
@@ -510,10 +513,14 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """One row per document: doc_id, n_shingles, component_id (smallest id that links reach)."""
     classed, found = similar_classes(docs, words, percent, id_col, text_col, most_members)
     alone = classed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    linked = classed.where("n > 0").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", F.coalesce("component", "cls").alias("component"))
-    low = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = linked.join(low, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return named.unionByName(alone)
+    every = classed.count()
+    classes = classed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows"))
+    joined = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left")
+    named = stage(joined.select("cls", "low", "rows", F.coalesce("component", "cls").alias("component")), "ngram-classes")
+    parts = stage(named.groupBy("component").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("classes")), "ngram-components")
+    table = stage(joined_groups(named, parts, "classes", every, "component").select("cls", "component_id", "rows"), "ngram-named")
+    linked = joined_groups(classed.where("n > 0"), table, "rows", every, "cls")
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,11 +8,11 @@ import re
 import numpy as np
 import pytest
 
-from lodestone.llm import exact_dedup, line_dedup, ngram_join, queries, substring_dedup
+from lodestone.llm import exact_dedup, line_dedup, ngram_join, packed, queries, substring_dedup
 from lodestone.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-EDGES = [(900, None), (901, ""), (902, "  \n\t"), (903, "one"), (903, "one"), (None, "lost id"), (904, "One"), (905, "x" * 3000 + " " + "y " * 40)]
+EDGES = [(900, None), (901, ""), (902, "  \n\t"), (903, "one"), (903, "one"), (None, "lost id"), (904, "One"), (905, "x" * 3000 + " " + "y " * 40), (906, "z" * 700 + " " + " ".join(f"long{i % 5000}" for i in range(12_000)))]
 
 
 def frame(spark, rows):
@@ -131,11 +131,47 @@ def brute_lines(rows, run):
 def test_lines_match_brute_force(spark, run):
     g = random.Random(run)
     rows = [(i, "\n".join(g.choice(["common", f"l{g.randint(0, 9)}", "", f"own {i} {k}"]) for k in range(g.randint(0, 14)))) for i in range(120)]
-    rows += [(900, None), (901, ""), (902, " \n\t\n"), (None, "common\nl1\nl2\nl3\nl4")]
+    rows += [(900, None), (901, ""), (902, " \n\t\n"), (None, "common\nl1\nl2\nl3\nl4"), (903, "\n".join(f"l{i % 10}" if i % 7 else "x" * 400 for i in range(6000)))]
     got = line_dedup.remove_lines(awkward(frame(spark, rows)), run).drop("kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == brute_lines(rows, run)
 
 
+def test_line_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError, match="whole numbers"):
+        line_dedup.remove_lines(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_substring_ids_may_be_of_any_kind(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    got = substring_dedup.remove_repeats(spark.createDataFrame([("a", text), ("b", text), (None, "x")], "doc_id string, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == {"a": (40, 40, ""), "b": (40, 40, ""), None: (1, 0, "x")}
+
+
+def test_parts_are_settled_one_by_one():
+    """Records come part by part; rows that are passed on keep their place."""
+    import pyarrow as pa
+
+    kind = np.dtype("<i4")
+    rows = [packed.deal(0, np.arange(10, dtype=kind), np.arange(10) % 3), packed.deal(0, np.arange(3, dtype=kind), np.zeros(3)), packed.deal(1, np.arange(2, dtype=kind), np.ones(2))]
+    table = pa.Table.from_batches(rows).sort_by("part")
+    got = list(packed.split(table.to_batches(), {0: kind}, (1,)))
+    assert [sorted(g[0].tolist()) for g in got if isinstance(g, dict)] == [[0, 0, 1, 2, 3, 6, 9], [1, 4, 7], [2, 5, 8]]
+    assert sum(g.num_rows for g in got if not isinstance(g, dict)) == 1
+    assert list(packed.split([], {0: kind})) == []
+
+
+def test_large_groups_join_by_broadcast(spark, monkeypatch):
+    """Groups on either side of the bound, nulls and ties give the same rows."""
+    g = random.Random(9)
+    rows = [(i if g.random() > 0.1 else None, g.choice(["hot"] * 6 + [f"t{k}" for k in range(40)])) for i in range(500)] + EDGES
+    wanted = None
+    for hot in (1, 8, 4096):
+        monkeypatch.setattr(exact_dedup, "HOT", hot)
+        got = sorted(map(str, exact_dedup.decisions(frame(spark, rows)).collect()))
+        wanted = wanted or got
+        assert got == wanted
+
+
 def test_registered_query_removes_single_lines(spark, tmp_path):
     rows = [(1, "once\ncommon"), (2, "common"), (3, "other\n\ncommon\nonce"), (4, "common")]
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
@@ -191,7 +227,7 @@ def test_near_copies_match_brute_force(spark, monkeypatch, members, hot):
         for _ in range(g.randint(0, 4)):
             words[g.randrange(50)] = f"m{g.randrange(300)}"
         rows.append((d, " ".join(words if g.random() < 0.7 else words[: g.randint(1, 50)])))
-    rows += [r for r in EDGES if r[0] is not None]
+    rows += EDGES + [(None, rows[0][1]), (None, "nobody knows who wrote these few words")]
     got = ngram_join.similar_groups(awkward(frame(spark, rows)), most_members=members).collect()
     assert sorted(map(tuple, got), key=str) == brute_groups(rows)
 
