@@ -94,17 +94,58 @@ def test_queries_are_registered():
 
 
 def test_pipeline_stages(spark):
+    """Each stage against plain code over its own input: nulls, empty and very long texts, ties, repeated rows."""
+    import re
+
     import corpus_pipeline
+    from lodestone.llm import packing, pii
+    from lodestone.llm.queries import tokenizer_file
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
+    odd = [(9001, None), (9002, ""), (9003, "  "), (9004, "mail me at ann@x.example"), (9004, "mail me at ann@x.example"), (9005, "word " * 30_000), (9006, None), (None, "lost id")]
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    odd += [(9010, near), (9011, near + " again")]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'src1' AS source", "cast(length(text) AS long) AS n_chars"))
+    form = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    seen = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs.count()
+        before = docs.collect()
         docs = corpus_pipeline.stage(stage(spark, docs, sf), f"test-{name}")
-        assert docs.columns == columns and 0 < docs.count() <= before
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert packed.select("doc_id").distinct().count() == docs.count()
+        after = docs.collect()
+        assert docs.columns == columns and 0 < len(after) <= len(before)
+        seen[name] = before, after
+    before, after = seen["toxicity"]
+    assert {r.doc_id for r in before} - {r.doc_id for r in after} <= {r.doc_id for r in before if r.text} and {9001, 9002, 9003} <= {r.doc_id for r in after}
+    before, after = seen["exact_dedup"]
+    groups = {}
+    for r in before:
+        groups.setdefault(form(r.text), []).append(r.doc_id)
+    first = {t: min((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    assert sorted(map(str, ((r.doc_id, form(r.text)) for r in after))) == sorted(map(str, ((i, t) for t, i in first.items())))
+    before, after = seen["ngram_jaccard_join"]
+
+    def grams(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets = {r.doc_id: grams(r.text) for r in before}
+    gone = {r.doc_id for r in before} - {r.doc_id for r in after}
+    assert 9011 in gone and 9010 not in gone
+    for i in gone:
+        assert any(j is not None and j < i and 100 * len(sets[i] & s) >= 75 * len(sets[i] | s) for j, s in sets.items() if s)
+    kept = [s for i, s in sets.items() if i not in gone and s]
+    assert not any(100 * len(a & b) >= 75 * len(a | b) for k, a in enumerate(kept) for b in kept[:k])
+    before, after = seen["pii"]
+    texts = {r.doc_id: r.text for r in after}
+    assert len(before) == len(after) and texts[9004] == "mail me at <EMAIL>" and all(r.n_chars == (None if r.text is None else len(r.text)) for r in after)
+    assert not any(pii.base_spans(t) for t in texts.values() if t and "<" not in t)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    e = packing.encoder(tokenizer_file("byte_bpe_50k.json"))
+    assert {r.doc_id: r.doc_tokens for r in packed} == {i: len(e.encode(t or "")) + 1 for i, t in texts.items()}
+    assert sum(r.length for r in packed) == sum(len(e.encode(t or "")) + 1 for t in texts.values())
+
 
 
 def test_appends_add_and_overwrites_replace(spark):
