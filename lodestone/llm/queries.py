@@ -124,6 +124,15 @@ ORACLE_SQL = {
                coalesce((SELECT count(*) FROM g WHERE g.doc_id = d.doc_id), 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
         FROM documents d LEFT JOIN t USING (doc_id)
     """,
+    "op7_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS lead FROM p),
+        v AS (SELECT *, list_transform(range(0, 8), lambda i: list_reduce(list_transform(range(1, 6), lambda j: instr('0123456789abcdef', substr(h, 5 * i + j, 1)) - 1), lambda a, b: a * 16 + b)) AS vs FROM d)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(vs, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x >> s) & 31 AS INT) + 1, 1)), '')), '') AS payload_digest,
+               CASE WHEN lead IS NULL OR lead = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN lead <> page_id THEN lead END AS refers_to
+        FROM v
+    """,
     "op6_single_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p
                    FROM documents WHERE text IS NOT NULL AND text <> ''),

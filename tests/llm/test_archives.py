@@ -30,6 +30,19 @@ def test_warc_round_trip(spark):
     assert all(least[i] == "response" for i, _, html in rows if len((html or "").encode()) < 20)
 
 
+def test_warc_matches_sql(spark):
+    import duckdb
+
+    from lodestone.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    oracle = duckdb.connect()
+    oracle.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    got = queries.QUERIES["op7_warc"](spark, sf).select(names).collect()
+    assert sorted(map(tuple, got)) == sorted(oracle.sql(queries.ORACLE_SQL["op7_warc"]).select(*names).fetchall())
+
+
 def test_warc_repeated_rows_and_null_ids(spark):
     pages = spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (None, "u", "a"), (None, None, "b")], "page_id long, url string, html string")
     got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc_normaliser.warc_round_trip(pages).collect()), key=str)
