@@ -261,7 +261,9 @@ def lexical_overlap(query_terms: Column, doc_terms: Column, title_terms: Column)
 
 def pool_scores(candidates: DataFrame, queries: DataFrame, rrf_k: int = RRF_K) -> DataFrame:
     """Adds to candidates (qid, id, score, content) what blending needs: rrf, the query's max_rrf and best
-    score, and whether any candidate of the query has a lexical match."""
+    score, and whether any candidate of the query has a lexical match. Candidates, at most some hundred
+    a query, are staged, so they are found once."""
+    candidates = stage(candidates, "candidates")
     lexical = bm25(candidates, F.col("content"), queries, pool=["qid"]).where("bm25 > 0")
     some = lexical.select("qid").distinct().withColumn("lexical", F.lit(True))
     rrf = fuse([ranked(candidates.select("qid", "id", "score"), "score"), ranked(lexical, "bm25")], rrf_k)
