@@ -54,7 +54,7 @@ def term_search(chunks: DataFrame, questions: DataFrame, k: int = TERM_HITS) ->
     each = words.select("chunk_id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     counted = stage(each.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "term-postings")
     df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, total = seen.get["n"], seen.get["total"] or 0
+    n, total = retrieval.observed(seen)
     idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.lit(max(total / n if n else 0.0, 1e-9))))
     scored = asked.join(counted, "term").join(df, "term").groupBy("qid", "chunk_id").agg(F.sum(part).alias("score"))

@@ -17,6 +17,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -160,8 +161,8 @@ def _near_many(k: int, metric: str, squared: bool):
             if not asked.num_rows or not ids:
                 continue
             ready = ready or (_whole(ids), *_matrix(_whole(held)))
-            for at in range(0, asked.num_rows, QUERY_BLOCK // 8):
-                block = asked.slice(at, QUERY_BLOCK // 8)
+            for at in range(0, asked.num_rows, max(1, QUERY_BLOCK // 8)):
+                block = asked.slice(at, max(1, QUERY_BLOCK // 8))
                 yield _best(block.column(2), ready[0], _scores(*_matrix(block.column(3)), *ready[1:], metric, squared), k)
 
     return run
@@ -195,9 +196,17 @@ def matched(docs: DataFrame, text: Column, queries: DataFrame) -> Matches:
     words = words.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))
     each = words.select("id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     kept = stage(each, "postings")
-    n, total = seen.get["n"], seen.get["total"]
+    n, total = observed(seen)
     df = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return Matches(kept.join(asked, "term").select("qid", "id", "term", "dl"), df, n, (total or 0) / n if n else 0.0)
+    return Matches(kept.join(asked, "term").select("qid", "id", "term", "dl"), df, n, total / n if n else 0.0)
+
+
+def observed(seen: Observation) -> tuple[int, int]:
+    """Number and total length that a pass has counted; zeros where the pass was found empty before it ran, as then nothing is left to weigh."""
+    try:
+        return seen.get["n"], seen.get["total"] or 0
+    except Py4JJavaError:
+        return 0, 0
 
 
 def _bm25_weight(n: Column, df: Column, dl: Column, mean_dl: Column, k1: float, b: float) -> Column:
@@ -264,7 +273,7 @@ def pool_scores(candidates: DataFrame, queries: DataFrame, rrf_k: int = RRF_K) -
     score, and whether any candidate of the query has a lexical match. Candidates, at most some hundred
     a query, are staged, so they are found once."""
     candidates = stage(candidates, "candidates")
-    lexical = bm25(candidates, F.col("content"), queries, pool=["qid"]).where("bm25 > 0")
+    lexical = bm25(candidates, F.col("content"), queries, pool=["qid"]).where("bm25 > 0").withColumn("bm25", F.round("bm25", 9))
     some = lexical.select("qid").distinct().withColumn("lexical", F.lit(True))
     rrf = fuse([ranked(candidates.select("qid", "id", "score"), "score"), ranked(lexical, "bm25")], rrf_k)
     pool = Window.partitionBy("qid")
@@ -302,12 +311,13 @@ def children(parents: DataFrame, records: DataFrame) -> DataFrame:
     """Rows (parent, child, chunk_index) of the chunks below summaries.
 
     ``parents(id, doc_id, node_type, section_path)``; ``records`` with id, doc_id, parent_id, node_type,
-    chunk_index and section_path. Below a document summary are the chunks of its document, below
+    chunk_index and section_path (without that column no path matches). Below a document summary are the chunks of its document, below
     another summary those that name it as parent; where there are none, those of its document whose
     section path begins with its own.
     """
-    tops = parents.where("node_type <> 'chunk'").select(F.col("id").alias("parent"), "doc_id", F.col("node_type").alias("__type"), F.col("section_path").alias("__path")).distinct()
-    chunks = records.where("node_type = 'chunk'").select(F.col("id").alias("child"), "doc_id", "parent_id", "chunk_index", "section_path")
+    path = lambda df: (F.col("section_path") if "section_path" in df.columns else F.lit(None).cast("string"))
+    tops = parents.where("node_type <> 'chunk'").select(F.col("id").alias("parent"), "doc_id", F.col("node_type").alias("__type"), path(parents).alias("__path")).distinct()
+    chunks = records.where("node_type = 'chunk'").select(F.col("id").alias("child"), "doc_id", "parent_id", "chunk_index", path(records).alias("section_path"))
     of_doc = tops.where("__type = 'document_summary'").join(chunks, "doc_id").select("parent", "child", "chunk_index")
     own = tops.where("__type <> 'document_summary'").join(chunks.drop("doc_id"), F.col("parent") == F.col("parent_id")).select("parent", "child", "chunk_index")
     found = of_doc.unionByName(own)
@@ -323,7 +333,7 @@ def expand_summaries(ranking: DataFrame, records: DataFrame, most: int = CANDIDA
     number, or by ``child_order`` over the columns of ``scores(qid, parent, child, ...)``. The first
     place of a chunk counts. Rows (qid, id, vector_score, place).
     """
-    top = ranking.join(records.select("id", "doc_id", "node_type", "section_path"), "id")
+    top = ranking.join(records.select("id", "doc_id", "node_type", *[c for c in records.columns if c == "section_path"]), "id")
     own = top.where("node_type = 'chunk'").select("qid", "id", "vector_score", "rank", F.lit(0).cast("long").alias("within"))
     met = top.select("qid", F.col("id").alias("parent"), "vector_score", "rank").join(children(top, records), "parent")
     if scores is not None:

@@ -251,7 +251,7 @@ _HYBRID = f"""{_POOL}, w AS (SELECT qid, id, {keywords_sql('content')} AS ws FRO
     q AS (SELECT qid, unnest({keywords_sql('question')}) AS term FROM asked), t AS (SELECT qid, id, len(ws) AS dl, unnest(ws) AS term FROM w), f AS (SELECT qid, term, count(*) AS df FROM t GROUP BY ALL),
     b AS (SELECT qid, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / CASE WHEN mean <= 0 THEN 1 ELSE mean END))) AS bm25 FROM t JOIN q USING (qid, term) JOIN f USING (qid, term) JOIN s USING (qid) GROUP BY ALL),
     r AS (SELECT qid, id, sum(1.0 / (60 + k)) AS rrf FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS k FROM p
-          UNION ALL SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, id) FROM b WHERE bm25 > 0) GROUP BY ALL),
+          UNION ALL SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9) DESC, id) FROM b WHERE bm25 > 0) GROUP BY ALL),
     m AS (SELECT p.qid, p.id, score, weight, CASE WHEN p.qid IN (SELECT qid FROM b WHERE bm25 > 0) THEN 0.8 * score + 0.2 * rrf / max(rrf) OVER o ELSE score END AS blend, greatest(0.5, 0.72 * max(score) OVER o) AS cutoff
           FROM p JOIN r USING (qid, id) WINDOW o AS (PARTITION BY p.qid)),
     h AS (SELECT qid, id, round(score, 4) AS vector_score, round(blend, 4) AS hybrid_score, round(blend * weight, 4) AS score, cutoff FROM m),

@@ -146,7 +146,7 @@ _ASK = f"""n AS (SELECT vec_id AS n, 'v' || vec_id AS id, CASE WHEN vec_id % 20
     c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS k FROM (SELECT qid, question, n.*, 1 / (1 + list_sum(list_transform(list_zip(q, embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))) AS score FROM a, n)) WHERE k <= 80),
     w AS (SELECT qid, id, {keywords_sql('content')} AS ws, {keywords_sql('question')} AS qs FROM c), st AS (SELECT qid, count(*) AS n, avg(len(ws)) AS mean FROM w GROUP BY qid), t AS (SELECT qid, id, len(ws) AS dl, unnest(ws) AS term, qs FROM w),
     df AS (SELECT qid, term, count(*) AS df FROM t GROUP BY ALL), b AS (SELECT t.qid, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / CASE WHEN mean <= 0 THEN 1 ELSE mean END))) AS bm25 FROM t JOIN df USING (qid, term) JOIN st USING (qid) WHERE list_contains(qs, term) GROUP BY ALL),
-    r AS (SELECT qid, id, sum(1.0 / (60 + k)) AS rrf FROM (SELECT qid, id, k FROM c UNION ALL SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, id) FROM b) GROUP BY ALL),
+    r AS (SELECT qid, id, sum(1.0 / (60 + k)) AS rrf FROM (SELECT qid, id, k FROM c UNION ALL SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9) DESC, id) FROM b) GROUP BY ALL),
     m AS (SELECT c.qid, id, n, kind, weight, question, score, rrf, max(rrf) OVER o AS mx, c.qid IN (SELECT qid FROM b) AS lex, greatest(0.5, 0.72 * max(score) OVER o) AS cutoff FROM c JOIN r USING (qid, id) WINDOW o AS (PARTITION BY c.qid)),
     top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final DESC, vs DESC, id) AS rank FROM (SELECT *, round(score, 4) AS vs, round(CASE WHEN lex THEN 0.8 * score + 0.2 * rrf / mx ELSE score END * weight, 4) AS final FROM m) WHERE vs >= cutoff),
     kids AS (SELECT *, row_number() OVER (PARTITION BY qid, parent ORDER BY cf DESC, id) AS within FROM (SELECT p.qid, p.id AS parent, p.rank, p.vs, x.id, round(CASE WHEN p.lex THEN 0.8 * p.vs + 0.2 * coalesce(m.rrf, CASE WHEN list_has_any({keywords_sql('p.question')}, {keywords_sql('x.content')}) THEN 1.0 / 61 ELSE 0 END) / p.mx ELSE p.vs END * x.weight, 4) AS cf
