@@ -50,12 +50,24 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(length == 0, 1.0).otherwise(length))
 
 
-def hash_vector(text: str, dim: int) -> np.ndarray:
-    """Signed counts of hashed tokens, scaled to length 1: the deterministic stand-in for a model."""
-    v = np.zeros(dim)
-    for token in _TOKEN.findall(text.lower()):
+class _Codes(dict):
+    """Twice the bucket of a token, plus 1 for a negative sign; each token is hashed once."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
         h = hashlib.blake2b(token.encode(), digest_size=8).digest()
-        v[int.from_bytes(h[:4], "little") % dim] += -1.0 if h[4] & 1 else 1.0
+        code = self[token] = 2 * (int.from_bytes(h[:4], "little") % self.dim) + (h[4] & 1)
+        return code
+
+
+def hash_vector(text: str, dim: int, codes: _Codes | None = None) -> np.ndarray:
+    """Signed counts of hashed tokens, scaled to length 1: the deterministic stand-in for a model."""
+    known = _Codes(dim) if codes is None else codes
+    code = np.fromiter(map(known.__getitem__, _TOKEN.findall(text.lower())), np.int64)
+    v = np.bincount(code >> 1, weights=1.0 - 2.0 * (code & 1), minlength=dim)
     length = float(np.sqrt((v * v).sum()))
     return v / (length or 1.0)
 
@@ -69,12 +81,13 @@ def embedded(records: DataFrame, embed_texts, content: str = "content") -> DataF
 
 
 def embed(text: Column, dim: int = 64, prefix: str = DOCUMENT_PREFIX) -> Column:
-    """Vectors of texts in Arrow batches; equal texts of a batch are computed once."""
+    """Vectors of texts in Arrow batches; equal texts and equal tokens of a batch are computed once."""
 
     @F.pandas_udf(ArrayType(FloatType()))
     def run(texts: pd.Series) -> pd.Series:
         values = texts.fillna("")
-        known = {t: hash_vector(prefix + t, dim).astype(np.float32) for t in values.unique()}
+        codes = _Codes(dim)
+        known = {t: hash_vector(prefix + t, dim, codes).astype(np.float32) for t in values.unique()}
         return values.map(known)
 
     return run(text)
