@@ -57,7 +57,7 @@ SEGMENT = 1 << 16
 HOT_CELLS, LEAST_HOT = 1 << 16, 32
 BITMAP = 2048
 FAN = 16
-MOST_MEMBERS = 1024
+MOST_MEMBERS = 256
 MOST_NGRAMS = 4 << 20
 DENSE = 64 << 20
 SLICE = 2 << 20
