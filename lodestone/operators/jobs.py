@@ -40,11 +40,12 @@ def queue_counts(jobs: DataFrame) -> DataFrame:
     return jobs.agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("status").isin(*ACTIVE)).alias("active"), *[count(s) for s in lifecycle.TERMINAL])
 
 
-def next_jobs(jobs: DataFrame) -> DataFrame:
-    """Queued jobs (id, kind, created_at) in the order in which they are run: questions first, then by age; ``writes`` marks those that wait for the one writer."""
-    order = Window.orderBy(F.when(F.col("kind") == "query", 0).otherwise(1), "created_at", "id")
+def next_jobs(jobs: DataFrame, most: int = 100) -> DataFrame:
+    """The next ``most`` queued jobs (id, kind, created_at) in the order in which they are run: questions
+    first, then by age; ``writes`` marks those that wait for the one writer."""
+    order = [F.when(F.col("kind") == "query", 0).otherwise(1), F.col("created_at"), F.col("id")]
     queued = jobs.where("status = 'queued'").select("id", "kind", "created_at", (F.col("kind") != "query").alias("writes"))
-    return queued.withColumn("place", F.row_number().over(order))
+    return queued.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # ``most`` rows
 
 
 def after_event(entries: DataFrame, events: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def queue_counts(spark, sf):
     return jobs.queue_counts(_jobs(spark, sf))
 
 
-@query(f"WITH {_JOBS} SELECT id, row_number() OVER (ORDER BY CASE WHEN phase = '1-URGENT' THEN 0 ELSE 1 END, created_at, id) AS place, phase <> '1-URGENT' AS writes FROM j WHERE status = 'queued'")
+@query(f"WITH {_JOBS} SELECT id, row_number() OVER (ORDER BY CASE WHEN phase = '1-URGENT' THEN 0 ELSE 1 END, created_at, id) AS place, phase <> '1-URGENT' AS writes FROM j WHERE status = 'queued' ORDER BY place LIMIT 100")
 def next_jobs(spark, sf):
     j = _jobs(spark, sf).withColumn("kind", F.when(F.col("phase") == "1-URGENT", "query").otherwise("ingest"))
     return jobs.next_jobs(j).select("id", F.col("place").cast("long").alias("place"), "writes")
