@@ -3,6 +3,13 @@
 All but the last return the columns of ``documents``; the last returns the pieces of packed
 sequences. ``run`` stages each result in the shared folder, so a lost executor costs the stage
 that runs and nothing before it.
+
+Defined cases, stage by stage: null and empty texts are never toxic; null, empty and equal texts are
+copies of each other, and the row with the smallest id stays (a row with a null id only if all its
+copies have none); texts without words are near copies of nothing, rows that share an id go
+together and rows without one stay; a null text stays null when masked and is a document of one
+closing id when packed. Repeated rows are copies. An empty table passes every stage empty. Texts of
+any length are read whole; further columns of the table ride along up to the last stage.
 """
 
 from __future__ import annotations
