@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, line_dedup, media_columns, ngram_join, packing, pii, sentencepiece_codec, substring_dedup, toxicity, warc_normaliser
+from lodestone.llm import exact_dedup, line_dedup, media_columns, ngram_join, packing, pii, sentencepiece_codec, sharding, substring_dedup, toxicity, warc_normaliser
 
 
 def tokenizer_file(name: str) -> str:
@@ -66,6 +67,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.media_columns(_documents(spark, sf_dir))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards_of(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -78,8 +83,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_media": op10_media,
+    "op12_sharding": op12_sharding,
 }
 
+#: Remainders of the four-bit values by the CRC-32 polynomial.
+_NIBBLES = [reduce(lambda x, _: (x >> 1) ^ (0xEDB88320 * (x & 1)), range(4), i) for i in range(16)]
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes, four bits at a time."""
+    halves = rf"string_split(regexp_replace(hex(encode({text})), '(.)(.)', '\2\1', 'g'), '')"
+    values = f"list_transform(list_filter({halves}, lambda x: x <> ''), lambda x: instr('0123456789ABCDEF', x)::BIGINT - 1)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {values}), lambda a, x: xor(a >> 4, ({_NIBBLES}::BIGINT[])[1 + (xor(a, x) & 15)])), 4294967295::BIGINT)"
+
+
 ORACLE_SQL = {
     "op1_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -142,4 +159,15 @@ ORACLE_SQL = {
         SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
         FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
     """,
+    "op12_sharding": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, {crc32_sql("coalesce(text, '')")} AS text_crc32, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        k AS (SELECT DISTINCT h, ('0x' || substr(h, 1, 16))::UBIGINT::HUGEINT AS key FROM d),
+        w AS (SELECT h, key, 0::BIGINT AS j FROM k
+              UNION ALL
+              SELECT h, n, floor((j + 1) * (2147483648::DOUBLE / ((n >> 33) + 1)::DOUBLE))::BIGINT FROM (SELECT h, j, (key * {sharding.MULTIPLIER}::HUGEINT + 1) % 18446744073709551616::HUGEINT AS n FROM w WHERE j <= {sharding.SHARDS})),
+        s AS (SELECT h, max(j) FILTER (j < {sharding.SHARDS}) AS shard, max(j) FILTER (j <= {sharding.SHARDS}) AS grown FROM w GROUP BY h)
+        SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INT AS shard,
+               row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(h, 17, 8))::BIGINT % {sharding.BUCKETS}, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown::INT AS grown_shard
+        FROM d JOIN s USING (h)
+    """,
 }
