@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, line_dedup, media_columns, ngram_join, packing, pii, sentencepiece_codec, sharding, substring_dedup, toxicity, warc_normaliser
+from lodestone.llm import conversation_trie, exact_dedup, line_dedup, media_columns, ngram_join, packing, pii, sentencepiece_codec, sharding, substring_dedup, toxicity, warc_normaliser
 
 
 def tokenizer_file(name: str) -> str:
@@ -67,6 +67,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.media_columns(_documents(spark, sf_dir))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards_of(_documents(spark, sf_dir))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_media": op10_media,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_sharding": op12_sharding,
 }
 
@@ -159,6 +164,22 @@ ORACLE_SQL = {
         SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
         FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
     """,
+    "op11_conversation_trie": f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT conv_id, turn, substr(sha256(length(role)::VARCHAR || ':' || role || text), 1, 32) AS k, length(text) AS chars FROM t),
+        c AS (SELECT conv_id, list({{'k': k, 'chars': chars}} ORDER BY turn NULLS FIRST, k) AS ts FROM o GROUP BY conv_id),
+        h AS (SELECT c.conv_id, c.ts, coalesce(b.ts, []) AS bs, {crc32_sql("c.conv_id::VARCHAR")} % 6 AS h FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100),
+        r AS (SELECT conv_id, list_concat(bs[1:h], ts[h + 1:]) AS s FROM h),
+        p AS (SELECT conv_id, len(s) AS n, unnest(range(0, len(s) + 1)) AS d, s FROM r),
+        q AS (SELECT conv_id, n, d, list_transform(s[1:d], lambda x: x.k) AS node, coalesce(s[d].chars, 0) AS chars FROM p),
+        g AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d) AS ends FROM q GROUP BY node, d),
+        w AS (SELECT g.*, NOT EXISTS (SELECT 1 FROM g x WHERE x.d = g.d + 1 AND x.node[1:g.d] = g.node) AS leaf FROM g),
+        u AS (SELECT node[1:k] AS node, leaf, n_convs, chars FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM w)),
+        s AS (SELECT node, count(*) FILTER (leaf) AS n_leaves, sum((n_convs - 1) * chars) AS saved FROM u GROUP BY node),
+        k AS (SELECT node[1:d - 1] AS node, count(*) AS n FROM g WHERE d > 0 GROUP BY ALL)
+        SELECT g.conv_id, g.d AS depth, b.conv_id AS parent_conv_id, g.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(g.ends, '')) AS ends_sha256
+        FROM g JOIN s USING (node) LEFT JOIN k USING (node) LEFT JOIN g b ON g.d > 0 AND b.d = g.d - 1 AND b.node = g.node[1:g.d - 1]
+    """,
     "op12_sharding": f"""
         WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, {crc32_sql("coalesce(text, '')")} AS text_crc32, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
         k AS (SELECT DISTINCT h, ('0x' || substr(h, 1, 16))::UBIGINT::HUGEINT AS key FROM d),
