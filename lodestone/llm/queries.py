@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import conversation_trie, exact_dedup, line_dedup, media_columns, ngram_join, packing, pii, sentencepiece_codec, sharding, substring_dedup, toxicity, warc_normaliser
+from lodestone.llm import conversation_trie, exact_dedup, lexical_search, line_dedup, media_columns, ngram_join, packing, pii, sentencepiece_codec, sharding, substring_dedup, toxicity, warc_normaliser
 
 
 def tokenizer_file(name: str) -> str:
@@ -75,6 +75,11 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards_of(_documents(spark, sf_dir))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build(_documents(spark, sf_dir))
+    return lexical_search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media": op10_media,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_sharding": op12_sharding,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 #: Remainders of the four-bit values by the CRC-32 polynomial.
@@ -191,4 +197,16 @@ ORACLE_SQL = {
                row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(h, 17, 8))::BIGINT % {sharding.BUCKETS}, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown::INT AS grown_shard
         FROM d JOIN s USING (h)
     """,
+    "op13_lexical_search": r"""
+        WITH t AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+        c AS (SELECT count(*) FILTER (len(ws) > 0) AS n, sum(len(ws))::BIGINT AS l FROM t),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        w AS (SELECT row, doc_id, len(ws) AS n, unnest(ws) AS term FROM t),
+        p AS (SELECT row, doc_id, n, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        g AS (SELECT term, floor(1000 * ln((2 * c.n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM f, c),
+        s AS (SELECT item_id, row, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * p.n * c.n) // c.l))))::BIGINT AS score FROM q JOIN p USING (term) JOIN g USING (term), c GROUP BY ALL),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 50
+    """,
 }
