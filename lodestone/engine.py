@@ -29,7 +29,7 @@ class Engine:
 
     def index(self, records: DataFrame, model: str = "hash", dim: int = 64) -> str:
         """Replace the sources of some records; vectors of unchanged contents are kept, each new text is embedded once."""
-        old = self.store.read()
+        old = self.store.beside(records) if self.store.current() else None  # the buckets of the records' sources
         known = rec.reuse_vectors(records, old if old is not None else records.sparkSession.createDataFrame([], "id string, content string, vector array<float>, embedding_model string"), model, dim)
         fresh = vec.embedded(known.where("NOT reused").drop("vector"), lambda t: self.embed(t, vec.DOCUMENT_PREFIX))
         return self.store.replace_source(rec.conform(known.where("reused").unionByName(fresh), model, dim))

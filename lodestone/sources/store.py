@@ -1,9 +1,13 @@
 """A versioned table of records in buckets of sources.
 
 Parquet has no row-level change, so a change writes the touched buckets anew and then one small
-state file that lists, for each bucket, the folders that hold it. Buckets that a change does not
-touch stay where they are. A state file appears by a rename, so readers see the old or the new
-table, never half of one; the newest state is the table.
+state (``states.States``) that lists, for each bucket, the folders that hold it. Buckets that a change
+does not touch stay where they are. A writer that finds another one ahead reads the newest state
+and redoes its own change, so writers at the same time lose nothing.
+
+Scale: buckets double when they hold more than ``ROWS_A_BUCKET`` rows on average, so a point edit reads and
+writes about as much in a large table as in a small one; a task writes one bucket. A source is never
+split, as it is replaced as a whole.
 
 Defined cases: a table that was never written has no state, and reading it gives None; an empty
 table keeps its schema; replacing a source again changes nothing; ids or sources that are not there
@@ -12,8 +16,6 @@ are an error where the docstring says so.
 
 from __future__ import annotations
 
-import json
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,77 +25,85 @@ from pyspark.sql.types import StructType
 
 from lodestone.operators import records as rec
 from lodestone.operators import retrieval
+from lodestone.sources.states import States
 
-BUCKETS = 64
+BUCKETS = 16
+ROWS_A_BUCKET = 200_000
+MOST_BUCKETS = 1 << 16
 
 
 class ChunkStore:
-    """Records below ``root``, in any file system that Spark writes to."""
+    """Records below ``root``, in any file system that Spark writes to. ``buckets``: how many a new table has."""
 
-    def __init__(self, spark: SparkSession, root: str, keep: int = 5, buckets: int = BUCKETS):
-        self.spark, self.root, self.keep, self.buckets = spark, root.rstrip("/"), keep, buckets
+    def __init__(self, spark: SparkSession, root: str, keep: int = 5, buckets: int = BUCKETS, rows_a_bucket: int = ROWS_A_BUCKET):
+        self.spark, self.states, self.keep, self.buckets, self.rows_a_bucket = spark, States(spark, root), keep, buckets, rows_a_bucket
+        self.root, self._fs = self.states.root, self.states.fs
 
     # --- states
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
     def versions(self) -> list[str]:
         """Names of the states, newest first."""
-        fs, p = self._fs(f"{self.root}/states")
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted((n[: -len(".json")] for n in names if n.startswith("v-") and n.endswith(".json")), reverse=True)
+        return self.states.names()
 
     def current(self) -> str | None:
-        return next(iter(self.versions()), None)
+        return self.states.current()
 
     def _state(self, name: str) -> dict:
-        return json.loads(self.spark.read.text(f"{self.root}/states/{name}.json", wholetext=True).first()[0])
-
-    def _commit(self, state: dict) -> str:
-        name = f"v-{time.time_ns():020d}"
-        path = f"{self.root}/states/{name}.json"
-        fs, part = self._fs(path + ".part")
-        out = fs.create(part, True)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        if not fs.rename(part, self._fs(path)[1]):
-            raise OSError(f"{path} could not be put in place")
-        self._drop_old()
-        return name
+        return self.states.read(name)
+
+    @staticmethod
+    def _folders(state: dict) -> set[str]:
+        return {d for dirs in state["buckets"].values() for d in dirs}
 
-    def _drop_old(self) -> None:
-        """Delete the states beyond the newest ``keep``, and the folders that only they use."""
-        names = self.versions()
-        kept = {d for n in names[: self.keep] for dirs in self._state(n)["buckets"].values() for d in dirs}
-        for n in names[self.keep :]:
-            for folder in {d for dirs in self._state(n)["buckets"].values() for d in dirs} - kept:
+    def _change(self, make: Callable[[dict | None], dict]) -> str:
+        """Commit a change of the newest state; buckets that have grown too large are doubled with it."""
+        before: set[str] = set()
+
+        def made(state: dict | None) -> dict:
+            before.clear()
+            before.update(self._folders(state) if state else ())
+            return self._grown(make(state))
+
+        def undone(state: dict) -> None:
+            for folder in self._folders(state) - before:
                 fs, p = self._fs(f"{self.root}/{folder}")
                 fs.delete(p, True)
-            fs, p = self._fs(f"{self.root}/states/{n}.json")
-            fs.delete(p, False)
+
+        name = self.states.change(made, undone)
+        self.states.drop_old(self.keep, self._folders)
+        return name
+
+    def _grown(self, state: dict) -> dict:
+        wanted = state["width"]
+        while sum(state["rows"].values()) > wanted * self.rows_a_bucket and wanted < MOST_BUCKETS:
+            wanted *= 2
+        return state if wanted == state["width"] else self._table(self._read(state), wanted)
+
+    def _table(self, records: DataFrame, width: int) -> dict:
+        """State of a whole table written anew."""
+        return {"schema": records.schema.jsonValue(), "width": width, **self._write(records, width)}
 
     def _read(self, state: dict, buckets: set[str] | None = None) -> DataFrame:
         dirs = [f"{self.root}/{d}" for b, found in state["buckets"].items() if buckets is None or b in buckets for d in found]
         schema = StructType.fromJson(state["schema"])
         return self.spark.read.schema(schema).parquet(*dirs) if dirs else self.spark.createDataFrame([], schema)
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(F.coalesce("source_hash", F.lit(""))), F.lit(self.buckets)).cast("string")
+    @staticmethod
+    def _bucket(width: int) -> Column:
+        return F.pmod(F.xxhash64(F.coalesce("source_hash", F.lit(""))), F.lit(width)).cast("string")
 
-    def _write(self, records: DataFrame) -> dict[str, list[str]]:
-        """New folders of the buckets that the records fall into."""
+    def _write(self, records: DataFrame, width: int) -> dict:
+        """New folders of the buckets that the records fall into, and how many rows each has."""
         name = f"data/{uuid.uuid4().hex}"
-        records.withColumn("__bucket", self._bucket()).repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.root}/{name}")
+        records.withColumn("__bucket", self._bucket(width)).repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.root}/{name}")
         fs, p = self._fs(f"{self.root}/{name}")
-        folders = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-        return {f.split("=", 1)[1]: [f"{name}/{f}"] for f in folders if f.startswith("__bucket=")}
+        found = [f.split("=", 1)[1] for f in (s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if f.startswith("__bucket=")]
+        schema = StructType(records.schema.fields).add("__bucket", "string")
+        counts = self.spark.read.schema(schema).parquet(f"{self.root}/{name}").groupBy("__bucket").count().collect() if found else []  # MOST_BUCKETS rows at most
+        return {"buckets": {b: [f"{name}/__bucket={b}"] for b in found}, "rows": {r[0]: r[1] for r in counts}}
 
-    def _touched(self, rows: DataFrame) -> set[str]:
-        return {r[0] for r in rows.select(self._bucket().alias("b")).distinct().collect()}  # at most ``buckets`` rows
+    def _touched(self, rows: DataFrame, width: int) -> set[str]:
+        return {r[0] for r in rows.select(self._bucket(width).alias("b")).distinct().collect()}  # at most ``width`` rows
 
     def _state_or_error(self) -> dict:
         name = self.current()
@@ -139,8 +149,15 @@ class ChunkStore:
 
     def of_sources(self, hashes: list[str]) -> DataFrame:
         """Records of some sources; only their buckets are read."""
-        wanted = self.spark.createDataFrame([(h,) for h in hashes], "source_hash string")
-        return self._read(self._state_or_error(), self._touched(wanted)).where(F.col("source_hash").isin(*hashes))
+        return self.beside(self._named(hashes)).where(F.col("source_hash").isin(*hashes))
+
+    def beside(self, rows: DataFrame) -> DataFrame:
+        """Records of the buckets that the sources of some rows fall into."""
+        state = self._state_or_error()
+        return self._read(state, self._touched(rows, state["width"]))
+
+    def _named(self, hashes: list[str]) -> DataFrame:
+        return self.spark.createDataFrame([(h,) for h in hashes], "source_hash string")
 
     def search(self, query: str, offset: int = 0, limit: int = 50) -> DataFrame:
         table = self._read(self._state_or_error())
@@ -171,61 +188,69 @@ class ChunkStore:
 
     def publish(self, records: DataFrame) -> str:
         """The whole table anew; also the way to empty it."""
-        return self._commit({"schema": records.schema.jsonValue(), "buckets": self._write(records)})
+        return self._change(lambda state: self._table(records, state["width"] if state else self.buckets))
 
     def append(self, records: DataFrame) -> str:
         """Adds rows without reading those that are there."""
-        name = self.current()
-        if name is None:
-            return self.publish(records)
-        state = self._state(name)
-        columns = [f["name"] for f in state["schema"]["fields"]]
-        for bucket, dirs in self._write(records.select(*columns)).items():
-            state["buckets"].setdefault(bucket, []).extend(dirs)
-        return self._commit(state)
 
-    def _rewrite(self, state: dict, touched: set[str], change: Callable[[DataFrame], DataFrame]) -> str:
-        kept = {b: d for b, d in state["buckets"].items() if b not in touched}
-        return self._commit({"schema": state["schema"], "buckets": kept | self._write(change(self._read(state, touched)))})
+        def more(state: dict | None) -> dict:
+            if state is None:
+                return self._table(records, self.buckets)
+            new = self._write(records.select(*[f["name"] for f in state["schema"]["fields"]]), state["width"])
+            buckets = {b: state["buckets"].get(b, []) + new["buckets"].get(b, []) for b in {**state["buckets"], **new["buckets"]}}
+            rows = {b: state["rows"].get(b, 0) + new["rows"].get(b, 0) for b in {**state["rows"], **new["rows"]}}
+            return state | {"buckets": buckets, "rows": rows}
+
+        return self._change(more)
+
+    def _rewrite(self, touched: Callable[[dict], set[str]], change: Callable[[DataFrame], DataFrame], first: Callable[[], dict] | None = None) -> str:
+        """Commit the touched buckets changed; the others are not read. ``first`` makes a table that is not there yet."""
+
+        def made(state: dict | None) -> dict:
+            if state is None:
+                if first is None:
+                    raise KeyError("the table is empty")
+                return first()
+            hit = touched(state)
+            new = self._write(change(self._read(state, hit)), state["width"])
+            kept = lambda part: {b: v for b, v in state[part].items() if b not in hit}
+            return state | {part: kept(part) | new[part] for part in ("buckets", "rows")}
+
+        return self._change(made)
 
     def replace_source(self, records: DataFrame) -> str:
         """The sources of the rows replaced by them; other buckets are not read."""
-        name = self.current()
-        if name is None:
-            return self.publish(records)
-        return self._rewrite(self._state(name), self._touched(records), lambda old: rec.replace_by_key(old, records))
+        return self._rewrite(lambda s: self._touched(records, s["width"]), lambda old: rec.replace_by_key(old, records), lambda: self._table(records, self.buckets))
 
     def delete_sources(self, hashes: list[str]) -> dict:
         """Without the records of some sources: how many went and how many are left."""
-        state = self._state_or_error()
         gone = self.of_sources(hashes).count()
-        wanted = self.spark.createDataFrame([(h,) for h in hashes], "source_hash string")
         if gone:
-            self._rewrite(state, self._touched(wanted), lambda old: old.where(~F.coalesce(F.col("source_hash"), F.lit("")).isin(*hashes)))
+            self._rewrite(lambda s: self._touched(self._named(hashes), s["width"]), lambda old: old.where(~F.coalesce(F.col("source_hash"), F.lit("")).isin(*hashes)))
         return {"deleted": gone, "remaining": self.count()}
 
     def delete(self, ids: DataFrame) -> dict:
         """Without some ids: how many went and how many are left; KeyError if none is there."""
-        state = self._state_or_error()
-        hit = self._read(state).join(ids.select("id").distinct(), "id", "left_semi")
-        touched, gone = self._touched(hit), hit.count()
+        found = lambda state: self._read(state).join(ids.select("id").distinct(), "id", "left_semi")
+        gone = found(self._state_or_error()).count()
         if not gone:
             raise KeyError("none of the ids exists")
-        self._rewrite(state, touched, lambda old: rec.delete_ids(old, ids))
+        self._rewrite(lambda s: self._touched(found(s), s["width"]), lambda old: rec.delete_ids(old, ids))
         return {"deleted": gone, "remaining": self.count()}
 
     def update(self, record_id: str, content: str, embed: Callable[[Column], Column], model: str, dim: int) -> str:
         """One record's content and vector changed; KeyError if absent."""
         source = self.get(record_id)["source_hash"]
-        touched = self._touched(self.spark.createDataFrame([(source,)], "source_hash string"))
-        return self._rewrite(self._state_or_error(), touched, lambda old: rec.changed_row(old, record_id, content, embed, model, dim))
+        return self._rewrite(lambda s: self._touched(self._named([source]), s["width"]), lambda old: rec.changed_row(old, record_id, content, embed, model, dim))
 
     def reindex(self, requested: DataFrame, records: DataFrame) -> str:
-        """Requested sources (source_hash) replaced by their new records; those without any go."""
-        gone = [r[0] for r in requested.select("source_hash").distinct().join(records.select("source_hash"), "source_hash", "left_anti").collect()]  # sources named by the caller
-        if gone and self.current():
-            self.delete_sources(gone)
-        return self.replace_source(records)
+        """Requested sources (source_hash) replaced by their new records, in one commit; those without any go."""
+        both = requested.select("source_hash").unionByName(records.select("source_hash")).distinct()
+
+        def changed(old: DataFrame) -> DataFrame:
+            return old.join(both, "source_hash", "left_anti").unionByName(records.select(*old.columns))
+
+        return self._rewrite(lambda s: self._touched(both, s["width"]), changed, lambda: self._table(records, self.buckets))
 
     # --- upkeep
 
@@ -233,13 +258,22 @@ class ChunkStore:
         """The table as it was in a state; what it is now stays as the state before. KeyError for an unknown or unsafe name."""
         if name not in self.versions():
             raise KeyError(name)
-        return self._commit(self._state(name))
+        wanted = self._state(name)
+        return self._change(lambda _: wanted)
 
-    def compact(self, files: int = 1) -> dict:
-        """Every bucket in few files: bytes before and after."""
+    def compact(self) -> dict:
+        """Buckets of several folders or files in one file each, the others as they are: bytes before and after."""
         before = self.size()
-        table = self.read()
-        self._commit({"schema": table.schema.jsonValue(), "buckets": self._write(table.coalesce(max(1, files)))})
+
+        def scattered(state: dict) -> set[str]:
+            def files(folder: str) -> int:
+                fs, p = self._fs(f"{self.root}/{folder}")
+                return sum(s.getPath().getName().endswith(".parquet") for s in fs.listStatus(p))
+
+            return {b for b, dirs in state["buckets"].items() if len(dirs) > 1 or files(dirs[0]) > 1}
+
+        if scattered(self._state_or_error()):
+            self._rewrite(scattered, lambda old: old)
         return {"bytes_before": before, "bytes_after": self.size()}
 
 
