@@ -45,8 +45,8 @@ from lodestone.llm.wordhash import mix, slices, words_of
 
 BEST = 50
 SAMPLE, SAMPLE_TERMS, VOCABULARY, LEVELS, SWAPS = 4096, 256, 32768, 5, 10
-SLICE_BYTES = 16 << 20
-SHARD_DOCS = 8192
+SLICE_BYTES = 6 << 20
+SHARD_DOCS = 2048
 GROUP = 8
 ITEMS = 1024
 FIRST = 2
@@ -62,10 +62,12 @@ NO_ID = np.iinfo(np.int64).max
 def _lists(texts: pa.Array) -> tuple[np.ndarray, ...]:
     """Inverted lists of a text column: (term, row, tf) by term and row, and the rows' numbers of terms."""
     words = words_of(texts, lower=True, apart=_APART)
-    lengths = np.diff(words.row)
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    order = np.argsort(words.hash, kind="stable")
-    term, row = words.hash[order], row[order]
+    lengths, term = np.diff(words.row), words.hash
+    del words
+    row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    order = np.argsort(term, kind="stable")
+    term, row = term[order], row[order]
+    del order
     at = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (row[1:] != row[:-1])])) if len(term) else np.empty(0, np.int64)
     return term[at], row[at], np.diff(np.append(at, len(term))), lengths
 
@@ -221,7 +223,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array([x], k) for x, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in SHARD.split(", ")])
 
     for b in batches:
-        for p in b.to_pylist():
+        for i in range(b.num_rows):
+            p = {name: b.column(name)[i].as_py() for name in b.schema.names}
             n = len(p["docs"]) // 8
             if held and ((p["cluster"], p["part"]) != key or size + n > SHARD_DOCS):
                 yield shard()
