@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.sources import staging
+from lodestone.sources.term_index import TermIndex
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept_index(spark: SparkSession, sf_dir: str, terms: Callable[[Column], Column], documents: DataFrame) -> TermIndex:
+    """The stored index of the documents' texts, made at the first question of a session and again once the table's files change.
+
+    ``documents(id, source_hash, text)`` of the table ``documents``.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    mark = hashlib.sha1("\n".join([terms.__name__, *sorted(seen)]).encode()).hexdigest()
+    index = TermIndex(spark, f"{staging.folder(spark)}/terms-{mark}", terms)
+    if not index.exists():
+        index.build(documents)
+    return index
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for each line of a document that is not blank."""
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")

@@ -11,13 +11,12 @@ whose document is missing is titled by its id; empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import blocks as bk
 from lodestone.operators import retrieval
-from lodestone.sources.staging import stage
 
 VECTOR_HITS = TERM_HITS = 24
 RERANKED = 12
@@ -45,18 +44,16 @@ def term_search(chunks: DataFrame, questions: DataFrame, k: int = TERM_HITS) ->
 
     A chunk qualifies by any of the question's first 16 terms. k1 is 1.2, b 0.75 and the least idf
     1e-6, as in SQLite's full-text index. One pass over the texts stages the postings of the
-    questions' terms and counts chunks and lengths on the way.
+    questions' terms and a row for each chunk. A stored ``TermIndex`` gives the same without reading texts.
     """
     asked = questions.select("qid", F.explode(query_terms(F.col("question"))).alias("term"))
-    seen = Observation("chunks")
-    words = chunks.select("chunk_id", tx.terms(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
-    words = words.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))
-    each = words.select("chunk_id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    counted = stage(each.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "term-postings")
+    words = chunks.select(F.col("chunk_id").alias("id"), tx.terms(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
+    kept = retrieval.with_lengths(words, asked)
+    n, mean = retrieval.lengths_of(kept)
+    counted = kept.where("term IS NOT NULL").groupBy(F.col("id").alias("chunk_id"), "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, total = retrieval.observed(seen)
     idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.lit(max(total / n if n else 0.0, 1e-9))))
+    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.lit(max(mean, 1e-9))))
     scored = asked.join(counted, "term").join(df, "term").groupBy("qid", "chunk_id").agg(F.sum(part).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

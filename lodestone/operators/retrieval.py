@@ -17,8 +17,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
@@ -168,12 +167,6 @@ def _near_many(k: int, metric: str, squared: bool):
     return run
 
 
-def postings(docs: DataFrame, text: Column, id_col: str = "id") -> DataFrame:
-    """Rows (id, term, dl) of the distinct keywords of each document."""
-    words = docs.select(F.col(id_col).alias("id"), tx.keywords(text).alias("terms"))
-    return words.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-
-
 @dataclass
 class Matches:
     """What BM25 and overlaps are computed from: the postings of the queries' terms, and the corpus's numbers."""
@@ -184,29 +177,34 @@ class Matches:
     mean_dl: float
 
 
+def with_lengths(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows (id, dl, term) of ``words(id, dl, terms)``, staged: the asked terms that a text has, with
+    repeats, and one with a null term for every text, so that numbers and lengths are counted from stored rows."""
+    every = F.concat(F.lit("\0"), F.pmod(F.xxhash64("id"), F.lit(1024)))  # no term; spread over many keys of the join
+    each = words.select("id", "dl", F.explode(F.concat(F.array(every), "terms")).alias("term"))
+    wanted = asked.select("term").distinct().withColumn("__wanted", F.lit(True))
+    whole = F.col("term").startswith("\0")
+    met = each.join(wanted, "term", "left").where(F.col("__wanted").isNotNull() | whole)
+    return stage(met.select("id", "dl", F.when(~whole, F.col("term")).alias("term")), "postings")
+
+
+def lengths_of(kept: DataFrame) -> tuple[int, float]:
+    """Number and mean length of the texts behind the rows of ``with_lengths``."""
+    n, total = kept.where("term IS NULL").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    return n, total / n if n else 0.0
+
+
 def matched(docs: DataFrame, text: Column, queries: DataFrame) -> Matches:
     """One pass over the texts of ``docs(id, ...)``: postings of the terms of ``queries(qid, question)``, staged.
 
-    Only postings of terms that some query has leave the pass; the number and mean length of all
-    documents are counted on the way.
+    Only postings of terms that some query has leave the pass, and a row for each document, from which
+    the number and mean length of all are counted. A ``TermIndex`` gives the same without a pass.
     """
     asked = queries.select("qid", F.explode(tx.keywords(F.col("question"))).alias("term"))
-    seen = Observation("lengths")
-    words = docs.select("id", tx.keywords(text).alias("terms")).withColumn("dl", F.size("terms"))
-    words = words.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))
-    each = words.select("id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    kept = stage(each, "postings")
-    n, total = observed(seen)
-    df = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return Matches(kept.join(asked, "term").select("qid", "id", "term", "dl"), df, n, total / n if n else 0.0)
-
-
-def observed(seen: Observation) -> tuple[int, int]:
-    """Number and total length that a pass has counted; zeros where the pass was found empty before it ran, as then nothing is left to weigh."""
-    try:
-        return seen.get["n"], seen.get["total"] or 0
-    except Py4JJavaError:
-        return 0, 0
+    kept = with_lengths(docs.select("id", tx.keywords(text).alias("terms")).withColumn("dl", F.size("terms")), asked)
+    n, mean = lengths_of(kept)
+    df = kept.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return Matches(kept.join(asked, "term").select("qid", "id", "term", "dl"), df, n, mean)
 
 
 def _bm25_weight(n: Column, df: Column, dl: Column, mean_dl: Column, k1: float, b: float) -> Column:

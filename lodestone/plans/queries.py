@@ -202,16 +202,22 @@ def _texts(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
+def _keyword_index(spark, sf):
+    docs = table(spark, sf, "documents")
+    return corpus.kept_index(spark, sf, tx.keywords, docs.select(F.col("doc_id").alias("id"), F.col("source").alias("source_hash"), "text"))
+
+
 @query(f"WITH {_BM25} SELECT qid, id, round(bm25, 6) AS bm25 FROM b")
 def bm25_scores(spark, sf):
-    return retrieval.bm25(_texts(spark, sf), F.col("text"), _asked(spark, sf)).select("qid", "id", F.round("bm25", 6).alias("bm25"))
+    """Scores of all documents with a keyword of a question, from the stored index of keywords."""
+    return retrieval.bm25_of(_keyword_index(spark, sf).matches(_asked(spark, sf))).select("qid", "id", F.round("bm25", 6).alias("bm25"))
 
 
 @query(f"""WITH {_BM25}, o AS (SELECT t.qid, t.id, count(*) AS hits FROM (SELECT DISTINCT qid, id, term FROM t JOIN q USING (term)) t GROUP BY ALL),
     x AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9) DESC, id) AS rank FROM b), y AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, id) AS rank FROM o)
     SELECT qid, id, round(sum(1.0 / (60 + rank)), 6) AS rrf FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY ALL""")
 def rrf_fuse(spark, sf):
-    found = retrieval.matched(_texts(spark, sf), F.col("text"), _asked(spark, sf))
+    found = _keyword_index(spark, sf).matches(_asked(spark, sf))
     scored = retrieval.bm25_of(found).withColumn("bm25", F.round("bm25", 9))
     lists = [retrieval.ranked(scored, "bm25"), retrieval.ranked(retrieval.overlaps_of(found), "hits")]
     return retrieval.fuse(lists).select("qid", "id", F.round("rrf", 6).alias("rrf"))

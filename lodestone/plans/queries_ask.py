@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from lodestone.functions import vectors as vec
 from lodestone.operators import ann, classic, retrieval
 from lodestone.plans import ask, context
 from lodestone.plans.registry import query
+from lodestone.sources import staging
+from lodestone.sources.term_index import TermIndex
 
 # --- texts
 
@@ -266,6 +270,29 @@ def _asked(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
+@query(f"WITH {_FTS} SELECT qid, chunk_id, rank, round(score, 6) AS score FROM x")
+def stored_term_search(spark, sf):
+    """The same from the stored index of terms: blocks by their bounds, no text."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("source").alias("source_hash"), "text")
+    found = corpus.kept_index(spark, sf, tx.terms, docs).search(_asked(spark, sf), classic.TERM_HITS, most=classic.MOST_TERMS)
+    return found.select("qid", F.col("id").alias("chunk_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+_CHANGED = "ch AS (SELECT doc_id AS chunk_id, source AS doc_id, CASE WHEN source = 'src1' THEN 'license ' || text ELSE text END AS text FROM documents WHERE text IS NOT NULL AND coalesce(source, '') <> 'src2')"
+
+
+@query(f"WITH {_FTS.replace(_CHUNKS, _CHANGED)} SELECT qid, chunk_id, rank, round(score, 6) AS score FROM x")
+def stored_search_after_changes(spark, sf):
+    """A search of a stored index after one source was replaced and another deleted: their postings only were written."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("source").alias("source_hash"), "text")
+    index = TermIndex(spark, f"{staging.folder(spark)}/changed-{uuid.uuid4().hex}")
+    index.build(docs)
+    index.replace_sources(docs.where("source_hash = 'src1'").withColumn("text", F.concat(F.lit("license "), "text")))
+    index.delete_sources(["src2"])
+    found = index.search(_asked(spark, sf), classic.TERM_HITS, most=classic.MOST_TERMS)
+    return found.select("qid", F.col("id").alias("chunk_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_FTS} SELECT qid, chunk_id, rank, round(score, 6) AS score FROM x")
 def term_search(spark, sf):
     return classic.term_search(_chunks(spark, sf), _asked(spark, sf)).select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
