@@ -8,7 +8,7 @@ down this tree by the sums of its terms' weights and so finds its cluster; the d
 next to each other in the index.
 
 *Index.* A row is a shard: documents of one cluster, at most ``SHARD_DOCS``, with the inverted lists
-of all their terms as packed columns, and for each list the largest count and the least ratio of
+of all their terms, packed, and in its head for each list the largest count and the least ratio of
 length to count. These bound what a term can add in the shard whatever the corpus's statistics are.
 A cluster of any share of all documents is many shards: its pieces are dealt out by map task as well.
 
@@ -46,16 +46,16 @@ from lodestone.llm.wordhash import mix, slices, words_of
 BEST = 50
 SAMPLE, SAMPLE_TERMS, VOCABULARY, LEVELS, SWAPS = 4096, 256, 32768, 5, 10
 SLICE_BYTES = 6 << 20
-SHARD_DOCS = 2048
+SHARD_DOCS = 1024
 GROUP = 8
 ITEMS = 1024
 FIRST = 2
 _APART = np.zeros(256, bool)
 for _low, _high in ((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)):
     _APART[_low : _high + 1] = True
-_PACKED = "docs binary, lengths binary, terms binary, counts binary, places binary, tfs binary"
-PIECE = f"cluster int, part int, {_PACKED}"
-SHARD = f"shard long, cluster int, n_docs long, n_words long, {_PACKED}, most binary, ratio binary"
+PIECE = "cluster int, part int, n_docs long, n_terms long, n_postings long, body binary"
+SHARD = "shard long, cluster int, n_docs long, n_words long, n_terms long, n_postings long, head binary, body binary"
+HEAD = ["shard", "n_terms", "head"]
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -163,8 +163,23 @@ def fitted(docs: DataFrame) -> Tree:
     return Tree(terms[chosen], bisected(doc[kept], new[at][kept], len(rows), len(chosen)))
 
 
-def _small(places: np.ndarray) -> bytes:
-    return places.astype(np.uint16).tobytes()
+def _packed(*arrays: tuple[np.ndarray, type]) -> bytes:
+    """Arrays one after the other in some types, compressed."""
+    return pa.compress(b"".join(a.astype(kind).tobytes() for a, kind in arrays), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, *sizes: tuple[int, type]) -> list[np.ndarray]:
+    whole = pa.decompress(blob, sum(n * np.dtype(kind).itemsize for n, kind in sizes), codec="zstd")
+    out, at = [], 0
+    for n, kind in sizes:
+        out.append(np.frombuffer(whole, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def _piece(n_docs: int, n_terms: int, n_postings: int, body: bytes) -> list[np.ndarray]:
+    """Docs, lengths, terms, counts, places and tfs of a piece."""
+    return _unpacked(body, (n_docs, np.int64), (n_docs, np.int64), (n_terms, np.uint64), (n_terms, np.uint32), (n_postings, np.uint16), (n_postings, np.uint32))
 
 
 def _cut(tree: Tree):
@@ -189,9 +204,11 @@ def _cut(tree: Tree):
                         inside = (place >= k) & (place < k + SHARD_DOCS)
                         terms, counts = np.unique(term[mine][inside], return_counts=True)
                         few = own[k : k + SHARD_DOCS]
-                        rows.append((int(c), part, ids[few].tobytes(), lengths[few].astype(np.int64).tobytes(), terms.tobytes(), counts.astype(np.uint32).tobytes(), _small(place[inside] - k), tf[mine][inside].astype(np.uint32).tobytes()))
+                        body = _packed((ids[few], np.int64), (lengths[few], np.int64), (terms, np.uint64), (counts, np.uint32), (place[inside] - k, np.uint16), (tf[mine][inside], np.uint32))
+                        rows.append((int(c), part, len(few), len(terms), int(counts.sum()), body))
                 if rows:
-                    yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), [pa.int32(), pa.int32()] + [pa.binary()] * 6, strict=True)], names=["cluster", "part", "docs", "lengths", "terms", "counts", "places", "tfs"])
+                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PIECE.split(", ")])
 
     return run
 
@@ -203,34 +220,31 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def shard() -> pa.RecordBatch:
         nonlocal made
-        docs, lengths = (np.concatenate([np.frombuffer(p[k], np.int64) for p in held]) for k in ("docs", "lengths"))
-        counts = [np.frombuffer(p["counts"], np.uint32) for p in held]
-        term = np.concatenate([np.repeat(np.frombuffer(p["terms"], np.uint64), c) for p, c in zip(held, counts, strict=True)])
-        begins = np.cumsum([0] + [len(p["docs"]) // 8 for p in held])
-        place = np.concatenate([np.frombuffer(p["places"], np.uint16).astype(np.int64) + begin for p, begin in zip(held, begins, strict=False)])
-        tf = np.concatenate([np.frombuffer(p["tfs"], np.uint32) for p in held])
+        docs, lengths = (np.concatenate([p[k] for p in held]) for k in (0, 1))
+        term = np.concatenate([np.repeat(p[2], p[3]) for p in held])
+        begins = np.cumsum([0] + [len(p[0]) for p in held])
+        place = np.concatenate([p[4].astype(np.int64) + begin for p, begin in zip(held, begins, strict=False)])
+        tf = np.concatenate([p[5] for p in held])
         order = np.argsort(term, kind="stable")
         term, place, tf = term[order], place[order], tf[order]
         at = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
         ratio = np.nextafter(np.minimum.reduceat(lengths[place] / tf, at).astype(np.float32), np.float32(0))
-        columns = [
-            base + made, key[0], len(docs), int(lengths.sum()), docs.tobytes(), lengths.tobytes(), term[at].tobytes(), np.diff(np.append(at, len(term))).astype(np.uint32).tobytes(),
-            _small(place), tf.tobytes(), np.maximum.reduceat(tf, at).tobytes(), ratio.tobytes(),
-        ]
+        head = _packed((term[at], np.uint64), (np.diff(np.append(at, len(term))), np.uint32), (np.maximum.reduceat(tf, at), np.uint32), (ratio, np.float32))
+        body = _packed((docs, np.int64), (lengths, np.int64), (place, np.uint16), (tf, np.uint32))
+        columns = [base + made, key[0], len(docs), int(lengths.sum()), len(at), len(term), head, body]
         made += 1
         held.clear()
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 8
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         return pa.record_batch([pa.array([x], k) for x, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in SHARD.split(", ")])
 
     for b in batches:
         for i in range(b.num_rows):
-            p = {name: b.column(name)[i].as_py() for name in b.schema.names}
-            n = len(p["docs"]) // 8
-            if held and ((p["cluster"], p["part"]) != key or size + n > SHARD_DOCS):
+            cluster, part, n, n_terms, n_postings, body = (b.column(k)[i].as_py() for k in range(6))
+            if held and ((cluster, part) != key or size + n > SHARD_DOCS):
                 yield shard()
             if not held:
-                key, size = (p["cluster"], p["part"]), 0
-            held.append(p)
+                key, size = (cluster, part), 0
+            held.append(_piece(n, n_terms, n_postings, body))
             size += n
     if held:
         yield shard()
@@ -242,7 +256,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     pieces = given.mapInArrow(_cut(fitted(given)), PIECE)
     spark = docs.sparkSession
     dealt = pieces.repartition(partitions(spark), "cluster", "part").sortWithinPartitions("cluster", "part")
-    return stage(dealt.mapInArrow(_merged, SHARD), "lexical-index")
+    return stage(dealt.mapInArrow(_merged, SHARD), "lexical-index", "none")  # its columns are compressed already
 
 
 @dataclass
@@ -280,17 +294,20 @@ def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([b.column(0).take(pa.array(row)), pa.array(term.view(np.int64))], names=["item", "term"])
 
 
-def _numbers(b: pa.RecordBatch, i: int, name: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b.column(name)[i].as_py(), kind)
+def _heads(b: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """For each shard its row and its terms, list lengths, largest counts and least ratios."""
+    for i in range(b.num_rows):
+        n = b.column("n_terms")[i].as_py()
+        yield i, _unpacked(b.column("head")[i].as_py(), (n, np.uint64), (n, np.uint32), (n, np.uint32), (n, np.float32))
 
 
 def _counted(asked: Asked):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(asked.terms), np.int64)
         for b in batches:
-            for i in range(b.num_rows):
-                here, at = asked.present(_numbers(b, i, "terms", np.uint64))
-                df[here] += _numbers(b, i, "counts", np.uint32)[at]
+            for _, (terms, counts, _, _) in _heads(b):
+                here, at = asked.present(terms)
+                df[here] += counts[at]
         found = np.flatnonzero(df)
         yield pa.record_batch([pa.array(found), pa.array(df[found])], names=["at", "df"])
 
@@ -303,8 +320,8 @@ def _bounded(asked: Asked, first: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, bounds = [], []
         for b in batches:
-            for i in range(b.num_rows):
-                bounds.append(asked.bounds(*(_numbers(b, i, n, k) for n, k in (("terms", np.uint64), ("most", np.uint32), ("ratio", np.float32)))))
+            for i, (terms, _, most, ratio) in _heads(b):
+                bounds.append(asked.bounds(terms, most, ratio))
                 shards.append(b.column("shard")[i].as_py())
                 if first and len(shards) >= 8 * first + 64:  # keep those that are among the best of some item
                     kept = np.unique(np.argpartition(-np.stack(bounds), first - 1, axis=0)[:first])
@@ -338,19 +355,18 @@ def _scored(asked: Asked, k: int, chosen: dict[int, list[int]], least: np.ndarra
         floor = np.ones(len(asked.items), np.int64) if least is None else least.copy()
         ends = np.append(asked.begin, len(asked.of))
         for b in batches:
-            for i in range(b.num_rows):
+            for i, (terms, counts, most, ratio) in _heads(b):
                 mine = chosen.get(b.column("shard")[i].as_py(), [])
-                terms = _numbers(b, i, "terms", np.uint64)
                 if least is not None:
-                    bound = asked.bounds(terms, _numbers(b, i, "most", np.uint32), _numbers(b, i, "ratio", np.float32))
+                    bound = asked.bounds(terms, most, ratio)
                     mine = np.setdiff1d(np.flatnonzero((bound >= floor) & (bound > 0)), np.array(mine, np.int64))
                 if not len(mine):
                     continue
-                docs, lengths = _numbers(b, i, "docs", np.int64), _numbers(b, i, "lengths", np.int64)
+                n, size = b.column("n_docs")[i].as_py(), b.column("n_postings")[i].as_py()
+                docs, lengths, place, tfs = _unpacked(b.column("body")[i].as_py(), (n, np.int64), (n, np.int64), (size, np.uint16), (size, np.uint32))
                 middle = 50 + (50 * lengths * asked.n) // asked.total
                 here, at = asked.present(terms)
-                edge = np.concatenate([[0], np.cumsum(_numbers(b, i, "counts", np.uint32), dtype=np.int64)])
-                place, tfs = _numbers(b, i, "places", np.uint16), _numbers(b, i, "tfs", np.uint32)
+                edge = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
                 lists: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(asked.terms)
                 wanted = np.zeros(len(asked.terms), bool)
                 for q in mine:
@@ -397,7 +413,7 @@ def asked_blocks(index: DataFrame, queries: DataFrame, id_col: str, text_col: st
         terms, of = np.unique(few.column("term").to_numpy().view(np.uint64), return_inverse=True)
         asked = Asked([names[i] for i in begin], terms, of, begin, None, n, total)
         df = np.zeros(len(terms), np.int64)
-        for r in index.select("terms", "counts").mapInArrow(_counted(asked), "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).collect():  # a row for each term asked
+        for r in index.select(*HEAD).mapInArrow(_counted(asked), "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).collect():  # a row for each term asked
             df[r["at"]] = r["df"]
         asked.weight = np.array([math.floor(1000 * math.log((2 * n + 2) / (2 * int(x) + 1))) for x in df], np.int64)
         yield asked
@@ -410,7 +426,7 @@ def _ranked(rows: DataFrame, by: list, k: int) -> DataFrame:
 def _found(index: DataFrame, asked: Asked, k: int) -> DataFrame:
     """Rows (item, doc, score, rank) of the k best of each item of a block, by its number there."""
     rows = "item long, doc long, score long"
-    some = index.select("shard", "terms", "most", "ratio").mapInArrow(_bounded(asked, FIRST), "item long, shard long, bound long")
+    some = index.select(*HEAD).mapInArrow(_bounded(asked, FIRST), "item long, shard long, bound long")
     chosen: dict[int, list[int]] = {}
     for r in _ranked(some, [F.desc("bound"), "shard"], FIRST).collect():  # FIRST rows for each item of the block
         chosen.setdefault(r["shard"], []).append(r["item"])

@@ -82,10 +82,10 @@ def test_bounds_hold_and_shards_are_skipped(spark, monkeypatch):
     assert index.agg(F.sum("n_docs")).first()[0] == sum(bool(terms(t)) for _, t in docs)
     items = spark.createDataFrame([(1, "alpha1 alpha2 alpha3"), (2, "gamma4 gamma5 gamma6 x1")], "item_id long, text string")
     (asked,) = ls.asked_blocks(index, items, "item_id", "text")
-    bounds = index.select("shard", "terms", "most", "ratio").mapInArrow(ls._bounded(asked, None), "item long, shard long, bound long").toPandas()
+    bounds = index.select(*ls.HEAD).mapInArrow(ls._bounded(asked, None), "item long, shard long, bound long").toPandas()
     every = index.mapInArrow(ls._scored(asked, 10**6, {s.shard: [0, 1] for s in index.select("shard").collect()}, None), "item long, doc long, score long")
     best = ls._found(index, asked, 10).groupBy("item").agg(F.min("score").alias("least")).toPandas().set_index("item").least
-    of = {d: s.shard for s in index.select("shard", "docs").collect() for d in np.frombuffer(s.docs, np.int64).tolist()}
+    of = {d: s.shard for s in index.collect() for d in ls._unpacked(s.body, (s.n_docs, np.int64), (s.n_docs, np.int64), (s.n_postings, np.uint16), (s.n_postings, np.uint32))[0].tolist()}
     limit = {(r.item, r.shard): r.bound for r in bounds.itertuples()}
     assert all(r.score <= limit[r.item, of[r.doc]] for r in every.collect())
     shards = index.count()
