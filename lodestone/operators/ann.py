@@ -3,7 +3,9 @@
 The vectors are stored in folders by list, so a search of few queries reads the lists of the
 nearest centroids only, and ranks them exactly; a search of many queries joins on the list. Small
 tables need no index (``wanted``), and an index is built anew once enough of it has changed (``stale``).
-Lists are not compressed, so there is nothing to refine.
+Beside the lists there are codes: a vector's place in each of ``PARTS`` sub-spaces as one byte,
+so that a search reads 16 bytes in place of 256 for vectors of 64 numbers, scores by table lookup, and
+ranks the ``REFINE * k`` best of each query exactly (``coded``, ``search_coded``).
 
 Defined cases: null vectors are in no list and find nothing; all vectors have one length; ties go by
 id; an empty table has no lists.
@@ -24,9 +26,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import retrieval
+from lodestone.sources.staging import stage
 
 LEAST_ROWS, MOST_LISTS, PROBES = 50_000, 1024, 50
 SAMPLE, MEASURED, RECALL = 20_000, 256, 0.9
+PARTS, REFINE, CODED_BLOCK = 16, 20, 4096
 
 
 def stale(changed: int, total: int, share: float = 0.01) -> bool:
@@ -107,19 +111,19 @@ def build(vectors: DataFrame, lists: int | None = None) -> Index:
     return Index(vectors.select("id", F.col("vector").cast("array<float>")).mapInArrow(assign, schema), centroids)
 
 
-def probes_for(index: Index, queries: DataFrame, k: int) -> int:
-    """The least number of lists, from ``PROBES`` on, that keeps ``RECALL`` of the exact neighbours.
+def probes_for(index: Index, queries: DataFrame, k: int, least: int = PROBES, recall: float = RECALL) -> int:
+    """The least number of lists, from ``least`` on, that keeps ``recall`` of the exact neighbours.
 
     Measured on at most ``MEASURED`` queries, spread by hash; three standard errors of the mean
     stand against the error of the sample.
     """
     c = index.centroids
-    if len(c) <= PROBES:
-        return PROBES
+    if len(c) <= least:
+        return least
     some = queries.select("qid", "vector").where(F.col("vector").isNotNull()).orderBy(F.xxhash64("qid"), "qid").limit(MEASURED)
     asked = some.collect()
     if not asked:
-        return PROBES
+        return least
     exact = retrieval.knn(index.lists, queries.sparkSession.createDataFrame(asked, some.schema), k).select("qid", "id")
     near = index.lists.select("id", "list").join(F.broadcast(exact), "id").select("qid", "list").collect()  # MEASURED * k rows
     order = np.argsort(_nearest(np.array([r.vector for r in asked], np.float64), c, len(c)), axis=1)
@@ -127,9 +131,9 @@ def probes_for(index: Index, queries: DataFrame, k: int) -> int:
     at = np.array([row[r.qid] for r in near], np.int64)
     place = order[at, [r.list for r in near]]  # how many lists are nearer than the neighbour's
     each = np.bincount(at, minlength=len(asked))
-    for probes in range(PROBES, len(c)):
+    for probes in range(least, len(c)):
         share = np.bincount(at[place < probes], minlength=len(asked)) / np.maximum(each, 1)
-        if share.mean() - 3 * share.std() / math.sqrt(len(share)) >= RECALL:
+        if share.mean() - 3 * share.std() / math.sqrt(len(share)) >= recall:
             return probes
     return len(c)
 
@@ -151,3 +155,124 @@ def search(index: Index, queries: DataFrame, k: int, probes: int | None = None)
     scored = met.select("qid", "id", F.round(1 / (1 + distance), 6).alias("score"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+@dataclass
+class Codebooks:
+    """Centroids of the lists and, for each sub-space, of its numbers: (parts, 256 at most, numbers)."""
+
+    centroids: np.ndarray
+    books: np.ndarray
+
+    def codes(self, v: np.ndarray) -> np.ndarray:
+        sub = self.books.shape[2]
+        return np.stack([_nearest(v[:, j * sub : (j + 1) * sub], b, 1)[:, 0] for j, b in enumerate(self.books)], axis=1).astype(np.uint8)
+
+    def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Squared distances of some queries to coded vectors, by lookup in a table for each query."""
+        out = np.zeros((len(q), len(codes)))
+        sub = self.books.shape[2]
+        for j, book in enumerate(self.books):
+            out += ((q[:, None, j * sub : (j + 1) * sub] - book[None]) ** 2).sum(2)[:, codes[:, j]]
+        return out
+
+
+@dataclass
+class Coded:
+    """Blocks (block, list, n, ids, codes) of at most ``CODED_BLOCK`` coded vectors of one list, and the index that they code."""
+
+    blocks: DataFrame
+    index: Index
+    books: Codebooks
+
+
+def coded(index: Index, parts: int = PARTS) -> Coded:
+    """Codes of all vectors of an index. Codebooks come from a sample of at most ``SAMPLE`` vectors.
+
+    The number of parts is lowered to the next one that divides the vectors' length.
+    """
+    some = [r[0] for r in index.lists.orderBy(F.xxhash64("id")).limit(SAMPLE).select("vector").collect()]
+    kind = index.lists.schema["id"].dataType.simpleString()
+    schema = f"block long, list int, n int, ids array<{kind}>, codes binary"
+    if not some:
+        return Coded(index.lists.sparkSession.createDataFrame([], schema), index, Codebooks(index.centroids, np.empty((0, 0, 0))))
+    sample = np.array(some, np.float64)
+    parts = next(p for p in range(min(parts, sample.shape[1]), 0, -1) if sample.shape[1] % p == 0)
+    books = np.stack([_filled(centroids_of(x, 256)) for x in np.split(sample, parts, axis=1)])
+    made = Codebooks(index.centroids, books)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base, count = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            lists = b.column("list").to_numpy()
+            cuts = np.flatnonzero(lists[1:] != lists[:-1]) + 1
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(lists)], strict=True):
+                for k in range(a, z, CODED_BLOCK):
+                    few = b.slice(k, min(CODED_BLOCK, z - k))
+                    v = np.stack(few.column("vector").to_numpy(zero_copy_only=False)).astype(np.float64)
+                    ids = pa.ListArray.from_arrays(pa.array([0, few.num_rows], pa.int32()), few.column("id"))
+                    yield pa.record_batch([pa.array([base + count]), pa.array([lists[a]], pa.int32()), pa.array([few.num_rows], pa.int32()), ids, pa.array([made.codes(v).tobytes()], pa.binary())], names=["block", "list", "n", "ids", "codes"])
+                    count += 1
+
+    count = max(1, int(index.lists.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    dealt = index.lists.repartitionByRange(count, "list", "id").sortWithinPartitions("list", "id")
+    return Coded(stage(dealt.mapInArrow(packed, schema), "vector-codes"), index, made)
+
+
+def _filled(book: np.ndarray) -> np.ndarray:
+    """A codebook of 256 rows; those that few vectors leave over repeat the first."""
+    return np.concatenate([book, np.repeat(book[:1], 256 - len(book), axis=0)])
+
+
+def search_coded(table: Coded, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+    """Nearest neighbours by codes within the probed lists, the best ``REFINE * k`` ranked exactly: rows (qid, id, score, rank).
+
+    Without ``probes`` as many lists are probed as hold 0.95 of a sample's exact neighbours, which leaves
+    room for what the codes lose. A query travels to the blocks of its lists and to no other.
+    """
+    probes = probes or probes_for(table.index, queries, k, 1, 0.95)
+    books, parts = table.books, max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    kinds = {"qid": queries.schema["qid"].dataType.simpleString(), "ids": table.blocks.schema["ids"].dataType.simpleString()}
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                near = _nearest(np.stack(b.column(1).to_numpy(zero_copy_only=False)), books.centroids, probes)
+                row = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
+                yield pa.record_batch([b.column(0).take(row), b.column(1).take(row), pa.array(near.ravel(), pa.int32())], names=["qid", "vector", "list"])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            block, what = b.column("block").to_numpy(), b.column("what").to_numpy()
+            i = 0
+            while i < b.num_rows:
+                if what[i] == 0:
+                    held = (block[i], b.column("ids")[i].values, np.frombuffer(b.column("codes")[i].as_py(), np.uint8).reshape(-1, len(books.books)))
+                    i += 1
+                    continue
+                same = (block[i : i + 64] == block[i]) & (what[i : i + 64] == 1)
+                j = i + (len(same) if same.all() else int(np.argmin(same)))
+                if held is not None and held[0] == block[i]:
+                    asked = b.slice(i, j - i)
+                    distance = books.distances(np.stack(asked.column("vector").to_numpy(zero_copy_only=False)), held[2])
+                    few = np.argsort(distance, axis=1, kind="stable")[:, : REFINE * k]
+                    row = np.repeat(np.arange(j - i), few.shape[1])
+                    yield pa.record_batch([asked.column("qid").take(pa.array(row)), held[1].take(pa.array(few.ravel())), pa.array(distance[row, few.ravel()])], names=["qid", "id", "far"])
+                i = j
+
+    asked = queries.select("qid", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    pairs = asked.mapInArrow(lists, f"qid {kinds['qid']}, vector array<double>, list int").join(table.blocks.select("block", "list"), "list")
+    none = lambda kind: F.lit(None).cast(kind)
+    own = table.blocks.select("block", F.lit(0).alias("what"), "ids", "codes", none(kinds["qid"]).alias("qid"), none("array<double>").alias("vector"))
+    sent = pairs.select("block", F.lit(1).alias("what"), none(kinds["ids"]).alias("ids"), none("binary").alias("codes"), "qid", "vector")
+    met = own.unionByName(sent).repartition(parts, "block").sortWithinPartitions("block", "what")
+    near = met.mapInArrow(scored, f"qid {kinds['qid']}, id {kinds['ids'][6:-1]}, far double")
+    few = near.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("far", "id"))).where(F.col("r") <= REFINE * k)
+    exact = few.join(table.index.lists.select("id", "vector"), "id").join(asked.withColumnRenamed("vector", "q"), "qid")
+    distance = F.aggregate(F.zip_with("q", "vector", lambda x, y: F.pow(x - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    scored_rows = exact.select("qid", "id", F.round(1 / (1 + distance), 6).alias("score"))
+    return scored_rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -39,28 +39,22 @@ def distance_score(distance: Column) -> Column:
 def knn(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, metric: str = "l2", squared: bool = True) -> DataFrame:
     """Exact nearest neighbours: rows (qid, id, score, rank), best first, ties by id.
 
-    ``vectors(id, vector)`` are packed into blocks that stay in their partition. Up to
-    ``QUERY_BLOCK`` queries ``(qid, vector)``, a bounded number, travel to them in the tasks' own
-    code. More queries become blocks of a table that is dealt out to the parts of the vectors, so
-    neither the driver nor a task ever holds more than a block of them. Each task keeps its own k
-    best of each query, so what shuffles is k rows for each part and query. A vector of another
-    length than the query's counts over the shorter length.
+    Up to ``QUERY_BLOCK`` queries ``(qid, vector)``, a bounded number, travel to ``vectors(id, vector)`` in
+    the tasks' own code; each task keeps its own k best of each query, so what shuffles is k rows
+    for each part and query. More queries meet the vectors in parts with bounds (``nearest``), so that each
+    travels only to the parts that can hold a neighbour; a qid is then one query. A vector of
+    another length than the query's counts over the shorter length.
     """
     asked = queries.select("qid", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
     given = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
     id_type, qid_type = (df.schema[c].dataType.simpleString() for df, c in ((given, "id"), (asked, "qid")))
     schema = f"qid {qid_type}, id {id_type}, score double"
     few = asked.limit(QUERY_BLOCK + 1).toArrow()
-    if few.num_rows <= QUERY_BLOCK:
-        found = given.mapInArrow(_near_few(few, k, metric, squared), schema)
-    else:
-        parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-        none = lambda kind: F.lit(None).cast(kind)
-        kept = given.select(F.spark_partition_id().alias("at"), "*").select(F.expr(f"at % {parts}").alias("part"), F.lit(0).alias("what"), "id", none(qid_type).alias("qid"), "vector")
-        every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-        sent = asked.select(every, F.lit(1).alias("what"), none(id_type).alias("id"), "qid", "vector")
-        dealt = kept.unionByName(sent).repartitionById(parts, F.col("part")).sortWithinPartitions("what")
-        found = dealt.select("what", "id", "qid", "vector").mapInArrow(_near_many(k, metric, squared), schema)
+    if few.num_rows > QUERY_BLOCK:
+        from lodestone.operators import nearest
+
+        return nearest.knn(given, asked, k, metric, squared)
+    found = given.mapInArrow(_near_few(few, k, metric, squared), schema)
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -143,30 +137,6 @@ def _tied(score: np.ndarray, k: int) -> bool:
     return bool(((score >= last).sum(axis=1) > k).any())
 
 
-def _near_many(k: int, metric: str, squared: bool):
-    """Tasks that hold their part of the vectors and meet the queries in blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[pa.Array] = []
-        held: list[pa.Array] = []
-        ready = None
-        for b in batches:
-            what = b.column(0).to_numpy()
-            mine = b.filter(pa.array(what == 0))
-            if mine.num_rows:
-                ids.append(mine.column(1))
-                held.append(mine.column(3))
-            asked = b.filter(pa.array(what == 1))
-            if not asked.num_rows or not ids:
-                continue
-            ready = ready or (_whole(ids), *_matrix(_whole(held)))
-            for at in range(0, asked.num_rows, max(1, QUERY_BLOCK // 8)):
-                block = asked.slice(at, max(1, QUERY_BLOCK // 8))
-                yield _best(block.column(2), ready[0], _scores(*_matrix(block.column(3)), *ready[1:], metric, squared), k)
-
-    return run
-
-
 @dataclass
 class Matches:
     """What BM25 and overlaps are computed from: the postings of the queries' terms, and the corpus's numbers."""

@@ -10,11 +10,12 @@ from lodestone.corpus import RECORDS_SQL, keywords_sql, table
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vec
 from lodestone.functions import hints
-from lodestone.operators import ann, blocks, documents, lifecycle, retrieval
+from lodestone.operators import ann, blocks, documents, lifecycle, nearest, retrieval
 from lodestone.operators import records as rec
 from lodestone.plans import context, sections
 from lodestone.plans.registry import query
 from lodestone.sources import files
+from lodestone.sources.staging import stage
 from lodestone.streaming import incremental
 
 WS = r"[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+"
@@ -149,22 +150,63 @@ def content_hash_reuse(spark, sf):
 # --- vectors
 
 
-@query("""WITH d AS (SELECT q.vec_id AS qid, v.vec_id AS id, 1 / (1 + list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))) AS s
-    FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) SELECT qid, id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM d) WHERE rank <= 80""")
+_KNN = """WITH d AS (SELECT q.vec_id AS qid, v.vec_id AS id, 1 / (1 + list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))) AS s
+    FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) SELECT qid, id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM d) WHERE rank <= 80"""
+
+
+@query(_KNN)
 def knn_topk(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     q = v.where("id % 20 = 0").select(F.col("id").alias("qid"), "vector")
     return retrieval.knn(v, q).select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("""WITH d AS (SELECT q.vec_id AS qid, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
-    SELECT qid, id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM d) WHERE rank <= 24""")
+_COSINE_KNN = """WITH d AS (SELECT q.vec_id AS qid, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
+    SELECT qid, id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM d) WHERE rank <= 24"""
+
+
+@query(_COSINE_KNN)
 def cosine_topk(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     q = v.where("id % 20 = 0").select(F.col("id").alias("qid"), "vector")
     return retrieval.knn(v, q, 24, "cosine").select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _vectors(spark, sf):
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return v, v.where("id % 20 = 0").select(F.col("id").alias("qid"), "vector")
+
+
+@query(_KNN)
+def knn_in_parts(spark, sf):
+    """The same neighbours by parts with bounds: each query travels only to the parts that can hold one."""
+    return nearest.knn(*_vectors(spark, sf), 80).select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(_COSINE_KNN)
+def cosine_in_parts(spark, sf):
+    return nearest.knn(*_vectors(spark, sf), 24, "cosine").select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def coded_recall(spark, sf):
+    """Share of the exact 10 nearest that codes of 16 bytes find, for all vectors and for half of them, with the
+    probed and all lists and by how much codes are smaller than vectors (tested against a bound of 0.9)."""
+    v, _ = _vectors(spark, sf)
+    out = []
+    for name, part in (("all", v), ("half", v.where("id % 2 = 0"))):
+        asked = part.where("id % 20 = 0").select(F.col("id").alias("qid"), "vector")
+        index = ann.build(part)
+        index.lists = stage(index.lists, "lists")
+        probes = ann.probes_for(index, asked, 10, 1, 0.95)
+        coded = ann.coded(index)
+        found = ann.search_coded(coded, asked, 10, probes).select("qid", "id", F.lit(1).alias("hit"))
+        exact = retrieval.knn(part, asked, 10).select("qid", "id").join(found, ["qid", "id"], "left")
+        sizes = coded.blocks.agg((F.sum(F.col("n") * 4 * v.select(F.max(F.size("vector"))).scalar()) / F.sum(F.length("codes"))).alias("f")).scalar()
+        out.append(exact.agg((F.count("hit") / F.count(F.lit(1))).alias("recall")).select(F.lit(name).alias("part"), "recall", F.lit(probes).alias("probes"), F.lit(len(index.centroids)).alias("lists"), sizes.alias("smaller")))
+    return out[0].unionByName(out[1])
+
+
 @query("""WITH t AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM t)
     SELECT vec_id, round(v[1] / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS first, round(v[16] / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS last, 16::BIGINT AS dim FROM n""")
 def mrl_truncate(spark, sf):

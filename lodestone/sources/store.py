@@ -19,12 +19,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lodestone.operators import ann, retrieval
 from lodestone.operators import records as rec
-from lodestone.operators import retrieval
 from lodestone.sources.states import States
 
 BUCKETS = 16
@@ -178,6 +178,34 @@ class ChunkStore:
     def nearest(self, queries: DataFrame, k: int = retrieval.CANDIDATES, metric: str = "l2") -> DataFrame:
         return retrieval.knn(self._read(self._state_or_error()).select("id", "vector"), queries, k, metric)
 
+    def neighbours(self, queries: DataFrame, k: int = retrieval.CANDIDATES, least_rows: int = ann.LEAST_ROWS) -> DataFrame:
+        """Nearest records by the stored index of lists, which is built once there are ``least_rows`` records and built
+        anew once 1 % of them have changed; exact below that. Records of buckets that have changed since are
+        searched beside it, so nothing that is gone is found and nothing new is missed."""
+        state = self._state_or_error()
+        rows = sum(state["rows"].values())
+        if rows < least_rows:
+            return self.nearest(queries, k).withColumn("score", F.round("score", 6))
+        built = States(self.spark, f"{self.root}/ann")
+        known = built.read(built.current()) if built.current() else None
+        changed = lambda of: {b for b in {**of["buckets"], **state["buckets"]} if of["buckets"].get(b) != state["buckets"].get(b)}
+        if known is None or known["width"] != state["width"] or ann.stale(sum(max(state["rows"].get(b, 0), known["rows"].get(b, 0)) for b in changed(known)), rows):
+            known = {part: state[part] for part in ("buckets", "rows", "width")} | {"folder": f"ann/{uuid.uuid4().hex}"}
+            named = self._read(state).select(F.concat(self._bucket(state["width"]), F.lit("|"), "id").alias("id"), "vector")
+            ann.save(ann.build(named), f"{self.root}/{known['folder']}")
+            built.commit(known, built.current())
+            built.drop_old(1, lambda s: {s["folder"]})
+        index = ann.load(self.spark, f"{self.root}/{known['folder']}")
+        gone = changed(known)
+        if gone:
+            index = ann.Index(index.lists.where(~F.substring_index("id", "|", 1).isin(sorted(gone))), index.centroids)
+        found = ann.search(index, queries, k).withColumn("id", F.expr("substring(id, instr(id, '|') + 1)"))
+        if gone:
+            fresh = self._read(state, gone).select("id", "vector")
+            found = found.unionByName(retrieval.knn(fresh, queries, k).withColumn("score", F.round("score", 6)))
+        best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
     def children(self, parent_id: str, limit: int = 80) -> DataFrame:
         """Chunks below one summary, by number."""
         table = self._read(self._state_or_error())
