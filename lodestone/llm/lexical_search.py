@@ -50,6 +50,7 @@ SHARD_DOCS = 1024
 GROUP = 8
 ITEMS = 1024
 FIRST = 2
+TERMS_A_FILE = 1 << 20
 _APART = np.zeros(256, bool)
 for _low, _high in ((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)):
     _APART[_low : _high + 1] = True
@@ -254,9 +255,9 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """The index of all rows of ``docs``, staged: a row for each shard (``SHARD``)."""
     given = docs.select(whole_number_ids(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = given.mapInArrow(_cut(fitted(given)), PIECE)
-    spark = docs.sparkSession
-    dealt = pieces.repartition(partitions(spark), "cluster", "part").sortWithinPartitions("cluster", "part")
-    return stage(dealt.mapInArrow(_merged, SHARD), "lexical-index", "none")  # its columns are compressed already
+    dealt = pieces.repartition(partitions(docs.sparkSession), "cluster", "part").sortWithinPartitions("cluster", "part")
+    files = 1 + given.rdd.getNumPartitions() // 4
+    return stage(dealt.mapInArrow(_merged, SHARD).coalesce(files), "lexical-index", "none")  # its columns are compressed already
 
 
 @dataclass
@@ -401,7 +402,8 @@ def asked_blocks(index: DataFrame, queries: DataFrame, id_col: str, text_col: st
     spark = index.sparkSession
     given = queries.select(F.col(id_col).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = given.schema["item"].dataType.simpleString()
-    words = stage(given.mapInArrow(_terms_of, f"item {kind}, term long").distinct(), "asked-terms")
+    words = given.mapInArrow(_terms_of, f"item {kind}, term long").distinct()
+    words = stage(words.coalesce(1 + words.count() // TERMS_A_FILE), "asked-terms")
     blocks = 1 + words.select("item").distinct().count() // ITEMS
     n, total = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     for k in range(blocks if n else 0):
@@ -431,7 +433,8 @@ def _found(index: DataFrame, asked: Asked, k: int) -> DataFrame:
     for r in _ranked(some, [F.desc("bound"), "shard"], FIRST).collect():  # FIRST rows for each item of the block
         chosen.setdefault(r["shard"], []).append(r["item"])
     order = [F.desc("score"), "doc"]
-    begun = stage(_ranked(index.where(F.col("shard").isin(list(chosen))).mapInArrow(_scored(asked, k, chosen, None), rows), order, k), "lexical-first")
+    begun = _ranked(index.where(F.col("shard").isin(list(chosen))).mapInArrow(_scored(asked, k, chosen, None), rows), order, k)
+    begun = stage(begun.coalesce(8), "lexical-first")  # k rows for each item of the block
     least = np.ones(len(asked.items), np.int64)
     for r in begun.where(F.col("rank") == k).collect():  # a row for each item of the block
         least[r["item"]] = r["score"]
