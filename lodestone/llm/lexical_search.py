@@ -257,7 +257,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     pieces = given.mapInArrow(_cut(fitted(given)), PIECE)
     dealt = pieces.repartition(partitions(docs.sparkSession), "cluster", "part").sortWithinPartitions("cluster", "part")
     files = 1 + given.rdd.getNumPartitions() // 4
-    return stage(dealt.mapInArrow(_merged, SHARD).coalesce(files), "lexical-index", "none")  # its columns are compressed already
+    return stage(dealt.coalesce(files).mapInArrow(_merged, SHARD), "lexical-index", "none")  # its columns are compressed already
 
 
 @dataclass
