@@ -16,6 +16,7 @@ from lodestone.operators import records as rec
 from lodestone.plans import ask, context
 from lodestone.sources.config import Settings
 from lodestone.sources.store import ChunkStore
+from lodestone.sources.vector_cache import VectorCache
 
 
 @dataclass
@@ -26,12 +27,17 @@ class Engine:
     trust: DataFrame
     settings: Settings = Settings()
     embed: Callable[[Column, str], Column] = lambda text, prefix: vec.embed(text, 64, prefix)
+    cache: VectorCache | None = None
 
     def index(self, records: DataFrame, model: str = "hash", dim: int = 64) -> str:
-        """Replace the sources of some records; vectors of unchanged contents are kept, each new text is embedded once."""
+        """Replace the sources of some records; vectors of unchanged contents are kept, each new text is embedded once.
+
+        Vectors come from the records of the same sources and, with a ``cache``, from any text that was embedded before.
+        """
         old = self.store.beside(records) if self.store.current() else None  # the buckets of the records' sources
         known = rec.reuse_vectors(records, old if old is not None else records.sparkSession.createDataFrame([], "id string, content string, vector array<float>, embedding_model string"), model, dim)
-        fresh = vec.embedded(known.where("NOT reused").drop("vector"), lambda t: self.embed(t, vec.DOCUMENT_PREFIX))
+        new, embed = known.where("NOT reused").drop("vector"), lambda t: self.embed(t, vec.DOCUMENT_PREFIX)
+        fresh = self.cache.embedded(new, embed, f"{model} {dim}", vec.DOCUMENT_PREFIX) if self.cache else vec.embedded(new, embed)
         return self.store.replace_source(rec.conform(known.where("reused").unionByName(fresh), model, dim))
 
     def search(self, questions: DataFrame, budget: int | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ Defined cases: a null text counts as empty unless a function says otherwise; tex
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ TRUNCATION_NOTICE = "\n\n[Context truncated to fit prompt budget.]"
 LEAST_BLOCK_TOKENS = 96
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def stable_id(*parts: Column | str) -> Column:
     """First 24 hex digits of the SHA-1 of the parts joined by NUL."""
     return F.substring(F.sha1(F.concat_ws("\0", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])), 1, 24)
@@ -145,12 +152,20 @@ def normalize_page(text: Column) -> Column:
     """Lines without trailing space, noise lines, or a first or last line that occurs over twice."""
     raw = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n")
     lines = F.filter(F.transform(raw, right_stripped), lambda x: ~is_noise_line(x))
-    count = lambda v: F.size(F.filter(lines, lambda x: F.trim(x) == F.trim(v)))
-    size, first = F.size(lines), F.try_element_at(lines, F.lit(1))
-    first_goes = count(first) > 2  # and then counts no more for the last line
-    last_goes = lambda v: count(v) - F.when(first_goes & (F.trim(first) == F.trim(v)), 1).otherwise(0) > 2
-    kept = F.filter(lines, lambda x, i: (F.trim(x) != "") & ~((i == 0) & first_goes) & ~((i == size - 1) & last_goes(x)))
-    return stripped(F.array_join(F.when(size < 4, lines).otherwise(kept), "\n"))
+    bare = bound(lines, lambda x: F.struct(x.alias("lines"), F.transform(x, lambda y: F.trim(y)).alias("bare")))
+
+    def counted(s: Column) -> Column:
+        count = lambda v: F.size(F.filter(s["bare"], lambda x: x == v))
+        first, last = F.try_element_at(s["bare"], F.lit(1)), F.try_element_at(s["bare"], F.lit(-1))
+        first_goes = F.coalesce(count(first) > 2, F.lit(False))  # and then counts no more for the last line
+        ends = bound(first_goes, lambda f: F.struct(f.alias("first"), F.coalesce(count(last) - F.when(f & (first == last), 1).otherwise(0) > 2, F.lit(False)).alias("last")))
+        return F.struct(s["lines"].alias("lines"), F.size(s["lines"]).alias("n"), ends.alias("goes"))
+
+    def kept(s: Column) -> Column:
+        stays = lambda x, i: (F.trim(x) != "") & ~((i == 0) & s["goes"]["first"]) & ~((i == s["n"] - 1) & s["goes"]["last"])
+        return F.array_join(F.when(s["n"] < 4, s["lines"]).otherwise(F.filter(s["lines"], stays)), "\n")
+
+    return stripped(bound(bound(bare, counted), kept))
 
 
 def is_usable_text(text: Column, least: int = 20, alnum: float = 0.35) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions.vectors import fit_dimension
+from lodestone.operators import trees
 from lodestone.sources.staging import discard, stage
 
 #: Columns of an index record and their defaults (fixed values).
@@ -184,9 +185,37 @@ def descendants(edges: DataFrame) -> DataFrame:
 
 
 def node_counts(edges: DataFrame) -> DataFrame:
-    """Per node: direct children and all descendants."""
-    below = descendants(edges)
-    return below.groupBy(F.col("ancestor").alias("node")).agg(F.count_if(F.col("depth") == 1).alias("child_count"), F.count(F.lit(1)).alias("descendant_count"))
+    """Per node with something below it: direct children and all descendants, as differences of interval labels.
+
+    Nodes on a cycle or below one have no label; theirs are counted from pairs.
+    """
+    found = trees.labels(edges)
+    if found.cyclic.isEmpty():
+        return trees.counts(found)
+    below = descendants(edges.join(found.cyclic, "node", "left_semi"))
+    rest = below.groupBy(F.col("ancestor").alias("node")).agg(F.count_if(F.col("depth") == 1).alias("child_count"), F.count(F.lit(1)).alias("descendant_count"))
+    return trees.counts(found).unionByName(rest)
+
+
+def below_sums(records: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Per record sums of some values over all records below it, by ``parent_id``: (id, *values).
+
+    A parent that is no record passes its children's sums on to nobody. Records on a cycle, or below one,
+    have the sums of the pairs.
+    """
+    given = records.select("id", "parent_id", *[v.cast("long").alias(n) for n, v in values.items()])
+    each = given.groupBy(F.col("id").alias("node")).agg(F.max(F.nullif("parent_id", F.lit(""))).alias("parent"), *[F.sum(n).alias(n) for n in values]).where("node IS NOT NULL")
+    tree = each.withColumn("parent", F.when(F.col("parent") != F.col("node"), F.col("parent")))
+    known = tree.select(F.col("node").alias("parent")).withColumn("__known", F.lit(True))
+    tree = stage(tree.join(known, "parent", "left").withColumn("parent", F.when(F.col("__known"), F.col("parent"))).drop("__known"), "tree")
+    sums, cyclic = trees.subtree_sums(tree, list(values))
+    own = tree.select("node", *[F.col(n).alias(f"__{n}") for n in values])
+    out = sums.join(own, "node").select(F.col("node").alias("id"), *[(F.col(n) - F.col(f"__{n}")).alias(n) for n in values])
+    if cyclic.isEmpty():
+        return out
+    pairs = descendants(tree.join(cyclic, "node", "left_semi").where("parent IS NOT NULL").select("parent", "node"))
+    rest = pairs.join(tree.drop("parent"), "node").groupBy(F.col("ancestor").alias("id")).agg(*[F.sum(n).alias(n) for n in values])
+    return out.unionByName(rest)
 
 
 def summaries_matching(rows: DataFrame, search: str) -> DataFrame:
@@ -195,8 +224,7 @@ def summaries_matching(rows: DataFrame, search: str) -> DataFrame:
     Below a document summary are all records of its document, below others their descendants.
     """
     hits = rows.where(matches(search)).select("id", "doc_id")
-    above = descendants(rows.where("parent_id <> ''").select(F.col("parent_id").alias("parent"), F.col("id").alias("node")))
-    over = above.join(hits.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("ancestor").alias("id"))
+    over = below_sums(rows, {"hits": matches(search)}).where("hits > 0").select("id")
     docs = hits.select("doc_id").distinct().withColumn("node_type", F.lit("document_summary"))
     summary = rows.where(F.col("node_type") != "chunk")
     by_id = summary.join(hits.select("id").unionByName(over).distinct(), "id", "left_semi")
@@ -216,8 +244,13 @@ def of_node(records: DataFrame, parent: dict | None) -> DataFrame:
     if parent["node_type"] == "document_summary":
         return records.where((F.col("doc_id") == parent["doc_id"]) & (F.col("id") != parent["id"]))
     edges = records.where(F.col("doc_id") == parent["doc_id"]).where("parent_id <> ''").select(F.col("parent_id").alias("parent"), F.col("id").alias("node"))
-    below = descendants(edges).where(F.col("ancestor") == parent["id"]).select(F.col("node").alias("id"))
-    return records.join(below, "id", "left_semi")
+    found = trees.labels(edges)
+    own = found.rows.where(F.col("node") == parent["id"]).first()
+    if own is not None:
+        below = found.rows.where((F.col("top") == own["top"]) & F.col("pre").between(own["pre"] + 1, own["last"]))
+    else:  # on a cycle, or without anything below
+        below = descendants(edges.join(found.cyclic, "node", "left_semi")).where(F.col("ancestor") == parent["id"])
+    return records.join(below.select(F.col("node").alias("id")), "id", "left_semi")
 
 
 def child_page(records: DataFrame, parent_id: str, offset: int = 0, limit: int = 100, search: str = "", most: int = 500) -> DataFrame:
@@ -246,11 +279,11 @@ def hierarchy(records: DataFrame, search: str = "") -> DataFrame:
     seen = records.where(matches(search)) if search.strip() else records
     row = seen.select(F.col("id").alias("node"), "doc_id", (F.col("node_type") == "chunk").alias("chunk"))
     tops = records.where("node_type = 'document_summary'").select("id", "doc_id")
-    of_doc = tops.join(row, "doc_id").where("id <> node").select("id", "chunk")
-    edges = records.where("parent_id <> ''").select(F.col("parent_id").alias("parent"), F.col("id").alias("node"))
-    others = records.where("node_type = 'section_summary'").select(F.col("id").alias("ancestor"))
-    below = descendants(edges).join(others, "ancestor", "left_semi").join(row, "node").select(F.col("ancestor").alias("id"), "chunk")
-    counted = of_doc.unionByName(below).groupBy("id").agg(F.count(F.lit(1)).alias("child_count"), F.count_if(~F.col("chunk")).alias("summary_count"), F.count_if("chunk").alias("detail_count"))
+    of_doc = tops.join(row, "doc_id").where("id <> node").groupBy("id").agg(F.count(F.lit(1)).alias("child_count"), F.count_if("chunk").alias("detail_count"))
+    hit = F.coalesce(matches(search), F.lit(False)) if search.strip() else F.lit(True)
+    sums = below_sums(records, {"child_count": hit, "detail_count": hit & (F.col("node_type") == "chunk")})
+    others = records.where("node_type = 'section_summary'").select("id").distinct()
+    counted = of_doc.unionByName(sums.join(others, "id", "left_semi")).withColumn("summary_count", F.col("child_count") - F.col("detail_count"))
     summaries = records.where("node_type IN ('document_summary', 'section_summary')").select("id")
     zero = F.lit(0).cast("long")
     return summaries.join(counted, "id", "left").select("id", *[F.coalesce(c, zero).alias(c) for c in ("child_count", "summary_count", "detail_count")])

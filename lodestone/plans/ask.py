@@ -104,10 +104,11 @@ def tool_result(ranked: DataFrame, records: DataFrame, known: DataFrame | None =
 def web_result(results: DataFrame, budget: int | Column) -> DataFrame:
     """Rows of a web search within a budget: (qid, place, url, title, snippet, tokens, truncated, citation).
 
-    ``results(qid, place, title, url, snippet)``. The title's and url's tokens are part of a row's cost.
+    ``results(qid, place, title, url, snippet)``, and ``budget`` where that differs. The title's and url's tokens are part of a row's cost.
     """
     head = F.concat_ws("\n", F.coalesce("title", F.lit("")), "url")
-    kept = retrieval.within_budget(results.select("qid", "place", F.col("url").alias("id"), F.concat(head, F.lit("\n"), F.coalesce("snippet", F.lit(""))).alias("content")), budget)
+    own = [c for c in results.columns if c == "budget"]
+    kept = retrieval.within_budget(results.select("qid", "place", F.col("url").alias("id"), F.concat(head, F.lit("\n"), F.coalesce("snippet", F.lit(""))).alias("content"), *own), budget)
     cited = context.cited(kept.select(F.col("qid").alias("conv_id"), F.col("place").alias("seq"), F.col("id").alias("key")), "W")
     labels = cited.select(F.col("conv_id").alias("qid"), F.col("key").alias("id"), "label")
     joined = kept.join(labels, ["qid", "id"]).join(results.select("qid", F.col("url").alias("id"), "title", F.length(head).alias("__head")), ["qid", "id"])

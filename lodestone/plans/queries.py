@@ -10,7 +10,7 @@ from lodestone.corpus import RECORDS_SQL, keywords_sql, table
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vec
 from lodestone.functions import hints
-from lodestone.operators import ann, blocks, documents, lifecycle, nearest, retrieval
+from lodestone.operators import ann, blocks, documents, lifecycle, nearest, retrieval, trees
 from lodestone.operators import records as rec
 from lodestone.plans import context, sections
 from lodestone.plans.registry import query
@@ -368,11 +368,26 @@ def _edges(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(s.select(name("n", "s_nationkey").alias("parent"), name("s", "s_suppkey").alias("node")))
 
 
-@query(f"WITH RECURSIVE {_EDGES}, d AS (SELECT parent AS ancestor, node, 1 AS depth FROM e UNION ALL SELECT d.ancestor, e.node, depth + 1 FROM d JOIN e ON d.node = e.parent) SELECT ancestor, node, depth FROM d")
+_CLOSURE = f"WITH RECURSIVE {_EDGES}, d AS (SELECT parent AS ancestor, node, 1 AS depth FROM e UNION ALL SELECT d.ancestor, e.node, depth + 1 FROM d JOIN e ON d.node = e.parent) SELECT ancestor, node, depth FROM d"
+
+
+@query(_CLOSURE)
 def hierarchy_descendants(spark, sf):
     return rec.descendants(_edges(spark, sf))
 
 
+@query(_CLOSURE)
+def hierarchy_pairs(spark, sf):
+    """The same pairs from interval labels: each interval as aligned blocks, met by equality."""
+    return trees.pairs(trees.labels(_edges(spark, sf)))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, d AS (SELECT node, parent AS up, 1 AS depth FROM e UNION ALL SELECT d.node, e.parent, depth + 1 FROM d JOIN e ON d.up = e.node), n AS (SELECT node FROM e UNION SELECT parent FROM e), b AS (SELECT up AS node, count(*) AS below FROM d GROUP BY ALL) SELECT node, coalesce((SELECT max(depth) FROM d WHERE d.node = n.node), 0) AS depth, coalesce(below, 0) AS below FROM n LEFT JOIN b USING (node)")
+def hierarchy_labels(spark, sf):
+    """Depth of every node and how many are below it, as the difference of its labels."""
+    return trees.labels(_edges(spark, sf)).rows.select("node", "depth", (F.col("last") - F.col("pre")).alias("below"))
+
+
 @query(f"WITH RECURSIVE {_EDGES}, d AS (SELECT parent AS ancestor, node, 1 AS depth FROM e UNION ALL SELECT d.ancestor, e.node, depth + 1 FROM d JOIN e ON d.node = e.parent) SELECT ancestor AS node, count(*) FILTER (depth = 1) AS child_count, count(*) AS descendant_count FROM d GROUP BY ALL")
 def hierarchy_counts(spark, sf):
     return rec.node_counts(_edges(spark, sf))

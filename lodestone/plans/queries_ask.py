@@ -37,29 +37,34 @@ def bounded_numbers(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.whole_number(given, 40, 1, 200).alias("n"), F.round(tx.share(part, 0.25), 6).alias("share"))
 
 
-@query("""SELECT doc_id, CASE WHEN ceil(length(t) / 4.0) + 64 <= b THEN length(t) WHEN b < 96 THEN 0 ELSE 4 * (b - 64) END::BIGINT AS chars, ceil(length(t) / 4.0) + 64 > b AND b >= 96 AS cut FROM (SELECT doc_id, repeat('x', (doc_id * 7) % 900) AS t, 80 + doc_id % 200 AS b FROM documents)""")
+@query(r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, 80 + doc_id % 400 AS b FROM documents), c AS (SELECT *, ceil(length(t) / 4.0) + 64 <= b AS fits, regexp_replace(substr(t, 1, greatest(0, 4 * (b - 64) - 43)::BIGINT), '[\s\x0B\x{00A0}\x{2000}-\x{200A}\x{3000}]+$', '') AS cut FROM t)
+    SELECT doc_id, md5(CASE WHEN fits THEN t WHEN b < 96 OR cut = '' THEN '' ELSE cut || chr(10) || chr(10) || '[Context truncated to fit prompt budget.]' END) AS text FROM c""")
 def fitted_texts(spark, sf):
-    d = F.col("doc_id")
-    text, budget = F.repeat(F.lit("x"), ((d * 7) % 900).cast("int")), 80 + d % 200
-    out = tx.fitted(text, budget)
-    return table(spark, sf, "documents").select("doc_id", F.length(out).cast("long").alias("chars"), F.contains(out, F.lit("truncated")).alias("cut"))
+    """Whole documents fitted to budgets of 80 to 479 tokens."""
+    out = tx.fitted(F.coalesce("text", F.lit("")), 80 + F.col("doc_id") % 400)
+    return table(spark, sf, "documents").select("doc_id", F.md5(out).alias("text"))
 
 
-@query(r"""SELECT answer_id, unnest(fs) AS fragment, unnest(range(0, len(fs)))::INT AS fragment_no FROM (SELECT conv_id || ':' || turn AS answer_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z .!?\n]', '', 'g'), '([.!?])[ \n]+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> '') AS fs FROM conversations WHERE role = 'assistant')""")
+@query(r"""SELECT answer_id, unnest(fs) AS fragment, unnest(range(0, len(fs)))::INT AS fragment_no FROM (SELECT conv_id || ':' || turn AS answer_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])[\s\x0B]+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> '') AS fs FROM conversations WHERE role = 'assistant')""")
 def claim_fragments(spark, sf):
+    """Sentences and lines of all answers, in every language."""
     c = table(spark, sf, "conversations").where("role = 'assistant'")
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z .!?\n]", "")
-    return c.select(F.concat_ws(":", "conv_id", "turn").alias("answer_id"), F.posexplode(tx.claim_fragments(text)).alias("fragment_no", "fragment"))
+    return c.select(F.concat_ws(":", "conv_id", "turn").alias("answer_id"), F.posexplode(tx.claim_fragments(F.coalesce("text", F.lit("")))).alias("fragment_no", "fragment"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'plan' || turn || 'more' ELSE 'open' END AS thinking, CASE WHEN turn % 2 = 0 THEN 'a ' || role || ' b' ELSE role || ' ' END AS answer FROM conversations""")
+@query("""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS t, length(coalesce(text, '')) // 3 AS n FROM conversations), p AS (SELECT *, substr(t, 1, n) AS a, substr(t, n + 1, n) AS b, substr(t, 2 * n + 1) AS c FROM t)
+    SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN b WHEN 1 THEN a || c ELSE b || c END AS thinking, CASE turn % 3 WHEN 0 THEN a || c WHEN 1 THEN b ELSE a END AS answer FROM p""")
 def thinking_parts(spark, sf):
-    """Thinking and answers of whole replies; what is not closed goes to the end."""
-    t = F.col("turn")
-    text = F.when(t % 2 == 0, F.concat(F.lit("a <think>plan"), t, F.lit("</think>"), "role", F.lit("<think>more</think> b"))).otherwise(F.concat("role", F.lit(" <think>open")))
+    """Thinking and answers of all turns, of which some third or two, or all from some place on, is thought."""
     from lodestone.streaming.incremental import thinking_and_answer
 
-    thinking, answer = thinking_and_answer(text)
+    text = F.coalesce("text", F.lit(""))
+    n = F.floor(F.length(text) / 3).cast("int")
+    a, b, c = F.substring(text, F.lit(1), n), F.substring(text, n + 1, n), F.substring(text, 2 * n + 1, F.length(text))
+    t = F.col("turn") % 3
+    think = lambda x: F.concat(F.lit("<think>"), x, F.lit("</think>"))
+    given = F.when(t == 0, F.concat(a, think(b), c)).when(t == 1, F.concat(think(a), b, think(c))).otherwise(F.concat(a, F.lit("<think>"), b, c))
+    thinking, answer = thinking_and_answer(given)
     return table(spark, sf, "conversations").select("conv_id", "turn", thinking.alias("thinking"), answer.alias("answer"))
 
 
@@ -138,14 +143,14 @@ def _records(spark, sf):
     summary = n % 20 == 7
     rows = e.join(texts, "vec_id", "left").select(
         name(n).alias("id"), F.lit("book").alias("doc_id"), F.when(summary, "").otherwise(name(F.floor(n / 20) * 20 + 7)).alias("parent_id"), F.when(summary, "section_summary").otherwise("chunk").alias("node_type"),
-        n.alias("chunk_index"), F.substring(F.coalesce("text", F.lit("")), 1, 600).alias("content"), F.concat(F.lit("Part "), F.floor(n / 20)).alias("section_path"), F.concat(F.lit("src"), F.col("label") % 4).alias("source_hash"),
+        n.alias("chunk_index"), F.coalesce("text", F.lit("")).alias("content"), F.concat(F.lit("Part "), F.floor(n / 20)).alias("section_path"), F.concat(F.lit("src"), F.col("label") % 4).alias("source_hash"),
         F.lit("book.pdf").alias("source_pdf_name"), F.lit("").alias("source_pdf_path"), F.lit("").alias("file_path"), n.alias("page_start"), n.alias("page_end"), F.col("embedding").alias("vector"),
     )
     groups = [(f"src{i}", g) for i, g in enumerate(retrieval.SOURCE_WEIGHTS)]
     return rows, spark.createDataFrame(groups, "source_hash string, source_group string")
 
 
-_ASK = f"""n AS (SELECT vec_id AS n, 'v' || vec_id AS id, CASE WHEN vec_id % 20 = 7 THEN 's' ELSE 'c' END AS kind, substr(coalesce(text, ''), 1, 600) AS content, CASE label % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.8 ELSE 0.1 END::DOUBLE AS weight, embedding FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+_ASK = f"""n AS (SELECT vec_id AS n, 'v' || vec_id AS id, CASE WHEN vec_id % 20 = 7 THEN 's' ELSE 'c' END AS kind, coalesce(text, '') AS content, CASE label % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.8 ELSE 0.1 END::DOUBLE AS weight, embedding FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
     a AS (SELECT vec_id AS qid, embedding AS q, b.text AS question FROM embeddings JOIN benchmark b ON b.item_id = (vec_id // 20) % 40 WHERE vec_id % 20 = 0),
     c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS k FROM (SELECT qid, question, n.*, 1 / (1 + list_sum(list_transform(list_zip(q, embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))) AS score FROM a, n)) WHERE k <= 80),
     w AS (SELECT qid, id, {keywords_sql('content')} AS ws, {keywords_sql('question')} AS qs FROM c), st AS (SELECT qid, count(*) AS n, avg(len(ws)) AS mean FROM w GROUP BY qid), t AS (SELECT qid, id, len(ws) AS dl, unnest(ws) AS term, qs FROM w),
@@ -175,7 +180,7 @@ def ask_offers(spark, sf):
 @query(rf"""WITH RECURSIVE {_ASK}, l AS MATERIALIZED (SELECT qid, place, o.id, content, (ceil(length(content) / 4.0) + 64)::BIGINT AS cost FROM o JOIN n USING (id) WHERE o.id NOT IN ('v1', 'v3')), z AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) AS i FROM l),
     f AS (SELECT qid, 0 AS i, 0::BIGINT AS used, NULL::VARCHAR AS id, 0::BIGINT AS tokens, false AS cut FROM (SELECT DISTINCT qid FROM z) UNION ALL
       SELECT qid, i, used + tokens, CASE WHEN tokens > 0 THEN id END, tokens, cut FROM (SELECT f.qid, z.i, f.used, z.id, z.cost > 1024 - f.used AS cut, CASE WHEN 1024 - f.used <= 0 THEN 0 WHEN z.cost <= 1024 - f.used THEN z.cost WHEN 1024 - f.used < 96 THEN 0
-        ELSE ceil((length(rtrim(substr(z.content, 1, (4 * (1024 - f.used - 64) - 43)::BIGINT), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))) + 43) / 4.0)::BIGINT + 64 END AS tokens FROM f JOIN z ON z.qid = f.qid AND z.i = f.i + 1))
+        ELSE ceil((length(regexp_replace(substr(z.content, 1, (4 * (1024 - f.used - 64) - 43)::BIGINT), '[\s\x0B\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+$', '')) + 43) / 4.0)::BIGINT + 64 END AS tokens FROM f JOIN z ON z.qid = f.qid AND z.i = f.i + 1))
     SELECT qid, id, tokens, cut AS truncated FROM f WHERE id IS NOT NULL""")
 def context_budget(spark, sf):
     """What a budget of 1024 tokens admits of each question's chunks, two known ids left out."""

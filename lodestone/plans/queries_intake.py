@@ -11,6 +11,12 @@ from lodestone.operators import blocks, intake
 from lodestone.plans import sections
 from lodestone.plans.registry import query
 
+_STRIP = r"regexp_replace({0}, '^[\s\x0B\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+|[\s\x0B\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+$', '', 'g')"
+_RSTRIP = r"regexp_replace({0}, '[\s\x0B\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+$', '')"
+_TITLE = r"trim(regexp_replace(trim(regexp_replace(replace(replace({0}, 'ﬁ', 'fi'), 'ﬂ', 'fl'), '[\s\x0B]+', ' ', 'g')), '[\s\x0B]+[0-9]{{1,4}}$', ''))"
+_PLAIN = r"regexp_replace(lower(regexp_replace(" + _TITLE + r", '^[0-9]+(\.[0-9]+)*[\s\x0B]+', '')), '[^a-z0-9]+', '', 'g')"
+
+
 # --- files
 
 
@@ -88,11 +94,13 @@ def described_pages(spark, sf):
     return intake.described_pages(rows, 2)
 
 
-@query(r"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN false ELSE doc_id % 4 <> 3 END AS usable FROM documents")
+@query(r"SELECT conv_id, turn, trim(t) <> '' AND trim(t) NOT IN ('[Image description failed]', '[Image description empty]', '[Vision analysis disabled]') AS usable FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN ' [Vision analysis disabled] ' WHEN 2 THEN '[Image description failed]' || substr(coalesce(text, ''), 1, (conv_id % 2)::BIGINT) ELSE coalesce(text, '') END AS t FROM conversations)")
 def usable_descriptions(spark, sf):
-    d = F.col("doc_id")
-    text = F.when(d % 4 == 0, " ").when(d % 4 == 3, " [Vision analysis disabled]").otherwise("a chart")
-    return table(spark, sf, "documents").select("doc_id", tx.usable_description(text).alias("usable"))
+    """Texts of conversations as descriptions of images, some of which failed, and some of these with a letter more."""
+    t, text = F.col("turn") % 4, F.coalesce("text", F.lit(""))
+    failed = F.concat(F.lit("[Image description failed]"), F.substring(text, F.lit(1), (F.col("conv_id") % 2).cast("int")))
+    given = F.when(t == 3, " [Vision analysis disabled] ").when(t == 2, failed).otherwise(text)
+    return table(spark, sf, "conversations").select("conv_id", "turn", tx.usable_description(given).alias("usable"))
 
 
 # --- parsed items
@@ -140,11 +148,24 @@ def document_states(spark, sf):
 # --- hints
 
 
-@query(r"""SELECT doc_id, contains(t, '\frac') OR regexp_matches(t, '\$[^$\n]{2,}\$') OR regexp_matches(t, '\\\[[\s\S]{2,}?\\\]') OR doc_id % 5 = 3 AS formula FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'plain words here' WHEN 1 THEN 'say \frac now' WHEN 2 THEN 'cost $ab$ each' WHEN 3 THEN 'x = y * z' ELSE 'see \[ab\]' END AS t FROM documents)""")
+_FORMULA = r"""list_has_any([contains(TEXT, m) FOR m IN [LATEX]], [true]) OR regexp_matches(TEXT, '(?:^|[^$])\$[^$\n]{2,}\$(?:[^$]|$)') OR regexp_matches(TEXT, '\\\[[\s\S]{2,}?\\\]|\\\([\s\S]{2,}?\\\)')
+    OR len(list_filter(list_filter(list_transform(string_split(TEXT, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 6), lambda x: (len(regexp_extract_all(x, '[=+\-*/^_∑∫√≤≥≈≠]')) >= 2 AND regexp_matches(x, '[A-Za-z0-9]')) OR regexp_matches(x, '(?:^|[^\p{L}\p{N}_])[A-Za-z][\s\x0B]*=[\s\x0B]*[^=]+')
+        OR (length(replace(x, ' ', '')) >= 4 AND len(regexp_extract_all(replace(x, ' ', ''), '<=|>=|!=|==|[=+\-*/^_<>]')) >= 2 AND length(regexp_replace(replace(x, ' ', ''), '[\p{L}\p{N}]', '', 'g')) >= 0.2 * length(replace(x, ' ', '')))
+        OR (regexp_matches(x, '[\x{FFFD}\x{25A1}]') AND regexp_matches(x, '[A-Za-z0-9=+\-*/^_<>()\[\]{}]')))) > 0""".replace("TEXT", "t").replace("LATEX", ", ".join(f"'{m}'" for m in hints.LATEX))
+_MIXED = r"CASE doc_id % 7 WHEN 0 THEN coalesce(text, '') || ' see \frac now' WHEN 1 THEN coalesce(text, '') || ' cost $ab$ each' WHEN 2 THEN coalesce(text, '') || chr(10) || 'x = y * z' WHEN 3 THEN coalesce(text, '') || ' see \[ab\] $$' WHEN 4 THEN coalesce(text, '') || chr(10) || '□ = ab' ELSE coalesce(text, '') END"
+
+
+def _mixed(n):
+    """A text as it is, or, for some rows, with a formula of some kind behind it."""
+    text = F.coalesce("text", F.lit(""))
+    tails = [r" see \frac now", " cost $ab$ each", "\nx = y * z", r" see \[ab\] $$", "\n□ = ab", "", ""]
+    return F.concat(text, F.element_at(F.array(*map(F.lit, tails)), (n % 7 + 1).cast("int")))
+
+
+@query(f"SELECT doc_id, {_FORMULA} AS formula FROM (SELECT doc_id, {_MIXED} AS t FROM documents)")
 def formula_hint(spark, sf):
-    texts = ["plain words here", r"say \frac now", "cost $ab$ each", "x = y * z", r"see \[ab\]"]
-    text = F.element_at(F.array(*map(F.lit, texts)), (F.col("doc_id") % 5 + 1).cast("int"))
-    return table(spark, sf, "documents").select("doc_id", hints.suggests_formula(text).alias("formula"))
+    """Whether texts hold formulas: whole documents, five in seven with a sign of one added."""
+    return table(spark, sf, "documents").select("doc_id", hints.suggests_formula(_mixed(F.col("doc_id"))).alias("formula"))
 
 
 @query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'picture' WHEN 1 THEN 'code' ELSE 'formula' END AS auto, CASE doc_id % 3 WHEN 0 THEN 'picture,table' WHEN 1 THEN 'code' ELSE 'formula' END AS every, CASE WHEN doc_id % 3 = 0 THEN 'picture' ELSE '' END AS images, doc_id % 3 <> 0 AS careful FROM documents""")
@@ -161,34 +182,45 @@ def asset_hints(spark, sf):
 # --- texts as lines
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '[ \t\x0B\f\r]+$', '')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ' || chr(9)) AS text FROM
-    (SELECT doc_id, 'a  ' || chr(10) || chr(10) || ' ' || chr(10) || chr(10) || coalesce(regexp_replace(text, '[^A-Za-z\n ]', '', 'g'), '') || chr(10) || 'end' AS text FROM documents)""")
+@query(rf"""SELECT doc_id, md5({_STRIP.format("regexp_replace(array_to_string(list_transform(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)), lambda x: " + _RSTRIP.format("x") + "), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')").replace('{{3,}}', '{3,}')}) AS text FROM
+    (SELECT doc_id, 'a  ' || chr(10) || chr(10) || ' ' || chr(10) || chr(10) || replace(coalesce(text, ''), '. ', '. ' || chr(10) || chr(12288) || chr(10) || chr(10)) || chr(10) || 'end' AS text FROM documents)""")
 def single_blank_lines(spark, sf):
-    body = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z\n ]", "")
-    return table(spark, sf, "documents").select("doc_id", sections.single_blank_lines(F.concat(F.lit("a  \n\n \n\n"), body, F.lit("\nend"))).alias("text"))
+    """Whole documents with blank lines of several kinds between their sentences."""
+    body = F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(". \n　\n\n"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(sections.single_blank_lines(F.concat(F.lit("a  \n\n \n\n"), body, F.lit("\nend")))).alias("text"))
 
 
-@query("SELECT doc_id, '1.2 Alpha ' || doc_id || chr(10) || 'body' || chr(10) || 'more' AS text FROM documents")
+@query(rf"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, ls, list_transform(ls, lambda x: {_PLAIN.format('x')}) AS ps, {_PLAIN.format("'3.2 ' || ls[len(ls) // 3 + 1]")} AS a, {_PLAIN.format("coalesce(ls[2 * len(ls) // 3 + 1], '')")} AS z, coalesce(ls[2 * len(ls) // 3 + 1], '') AS nxt FROM l),
+    b AS (SELECT *, coalesce(list_position(list_transform(ps, lambda p: a <> '' AND (contains(p, a) OR (contains(a, p) AND p <> ''))), true), 0) AS i FROM n), c AS (SELECT *, CASE WHEN i > 0 THEN ls[i:] ELSE ls END AS kept, CASE WHEN i > 0 THEN ps[i:] ELSE ps END AS kps FROM b),
+    d AS (SELECT *, CASE WHEN nxt <> '' THEN coalesce(list_position(list_transform(kps[2:], lambda p: z <> '' AND (contains(p, z) OR (contains(z, p) AND p <> ''))), true), 0) ELSE 0 END AS j FROM c)
+    SELECT doc_id, md5({_STRIP.format("array_to_string(CASE WHEN j > 0 THEN kept[1:j] ELSE kept END, chr(10))")}) AS text FROM d""")
 def heading_span(spark, sf):
-    """The lines of one section of a page that holds several."""
-    title = F.concat(F.lit("1.2 Alpha "), "doc_id")
-    page = F.concat(F.lit("intro\n"), title, F.lit("\nbody\nmore\n1.3 Beta\nrest"))
-    return table(spark, sf, "documents").select("doc_id", sections.heading_span(page, title, F.lit("Beta")).alias("text"))
+    """The lines of every document from a line in its first third, named with a number before it, to one in its second."""
+    d = table(spark, sf, "documents").where("text IS NOT NULL").withColumn("ls", F.split("text", "\n"))
+    at = lambda k: F.try_element_at("ls", (F.floor(F.size("ls") * k / 3) + 1).cast("int"))
+    span = sections.heading_span(F.col("text"), F.concat(F.lit("3.2 "), at(1)), F.coalesce(at(2), F.lit("")), strict=True)
+    return d.select("doc_id", F.md5(span).alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '2 Main part' || chr(10) || 'text ' || doc_id ELSE '7' || chr(10) || '1 Only one' || chr(10) || 'text ' || doc_id END AS text FROM documents")
+@query(rf"""WITH t AS (SELECT doc_id, string_split(CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(10) || '2.1 ') ELSE text END, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT doc_id, ls, list_filter(list_transform(ls, lambda x, i: CASE WHEN regexp_matches(trim(x), '^[0-9]+(?:\.[0-9]+)*[\s\x0B]+[A-Za-z][^\n.]{{2,}}$') AND NOT regexp_matches(lower(trim(x)), '^(?:\[begin lecture [^\]]+\]\s*)?\(?[0-9]+\)?$') THEN i END), lambda i: i IS NOT NULL) AS found FROM t)
+    SELECT doc_id, md5({_STRIP.format("array_to_string(CASE WHEN len(found) >= 2 THEN ls[found[2]:] ELSE ls END, chr(10))")}) AS text FROM p""")
 def front_matter(spark, sf):
-    d = F.col("doc_id")
-    text = F.when(d % 2 == 0, F.concat(F.lit("cover\n1 Contents list\n(12)\n2 Main part\ntext "), d)).otherwise(F.concat(F.lit("7\n1 Only one\ntext "), d))
-    return table(spark, sf, "documents").select("doc_id", sections.without_front_matter(text).alias("text"))
+    """Whole documents from their second numbered line on; in every second one all lines have numbers."""
+    text = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\n2.1 "))).otherwise(F.col("text"))
+    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.md5(sections.without_front_matter(text)).alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'first ' || doc_id || chr(10) || 'head' || chr(10) || 'second' || chr(10) || 'head' ELSE 'head' || chr(10) || chr(10) || 'text' END AS text FROM documents")
+@query(rf"""WITH t AS (SELECT doc_id, coalesce(CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN replace(string_split(text, chr(10))[1] || chr(10) || '12' || chr(10) || text || chr(10) || 'Contents ' || chr(10) || string_split(text, chr(10))[1], chr(10), chr(13) || chr(10)) ELSE text || chr(10) || 'foot' || chr(10) || ' foot' || chr(10) || chr(10) || 'foot  ' END, '') AS t FROM documents),
+    l AS (SELECT doc_id, list_filter(list_transform(string_split(replace(t, chr(13) || chr(10), chr(10)), chr(10)), lambda x: {_RSTRIP.format('x')}), lambda x: NOT (regexp_matches(trim(x), '^[0-9]{{1,4}}$') OR lower(trim(x)) IN ('contents', 'table of contents'))) AS ls FROM t),
+    c AS (SELECT doc_id, ls, len(ls) AS n, list_transform(ls, lambda x: trim(x)) AS bs FROM l), d AS (SELECT *, len(list_filter(bs, lambda x: x = bs[1])) > 2 AS head, len(list_filter(bs, lambda x: x = bs[n])) - CASE WHEN len(list_filter(bs, lambda x: x = bs[1])) > 2 AND bs[1] = bs[n] THEN 1 ELSE 0 END > 2 AS foot FROM c)
+    SELECT doc_id, md5({_STRIP.format("array_to_string(CASE WHEN n < 4 THEN ls ELSE list_filter(ls, lambda x, i: trim(x) <> '' AND NOT (i = 1 AND head) AND NOT (i = n AND foot)) END, chr(10))")}) AS text FROM d""")
 def normal_pages(spark, sf):
-    """Page texts without page numbers, and without a first line that stands there too often."""
-    d = F.col("doc_id")
-    busy = F.concat(F.lit("head\r\nfirst "), d, F.lit("  \n12\nhead\n\nsecond\nhead\nContents"))
-    return table(spark, sf, "documents").select("doc_id", tx.normalize_page(F.when(d % 2 == 0, busy).otherwise("head\n\ntext")).alias("text"))
+    """Whole documents as pages: as they are, with a first line that stands there too often and page numbers, or with such a last line."""
+    d, first = F.col("doc_id") % 3, F.element_at(F.split("text", "\n"), 1)
+    busy = F.replace(F.concat(first, F.lit("\n12\n"), "text", F.lit("\nContents \n"), first), F.lit("\n"), F.lit("\r\n"))
+    text = F.when(d == 0, F.col("text")).when(d == 1, busy).otherwise(F.concat("text", F.lit("\nfoot\n foot\n\nfoot  ")))
+    return table(spark, sf, "documents").select("doc_id", F.md5(tx.normalize_page(text)).alias("text"))
 
 
 @query("""SELECT doc_id, ord::INT AS ord, number, title, page FROM (SELECT doc_id, 0 AS ord, '7.2' AS number, 'Changes ' || 'x' || doc_id AS title, (doc_id % 900 + 1)::BIGINT AS page FROM documents UNION ALL SELECT doc_id, 1, 'B', 'Plain entry', 12 FROM documents)""")
@@ -198,18 +230,22 @@ def toc_entries(spark, sf):
     return sections.toc_entries(table(spark, sf, "documents").select("doc_id", text.alias("text")))
 
 
-@query("SELECT doc_id, 'Find flow ' || lang AS title, 'findflow' || regexp_replace(lower(lang), '[^a-z0-9]+', '', 'g') AS plain FROM documents WHERE lang IS NOT NULL")
+@query(rf"SELECT doc_id, {_TITLE.format('t')} AS title, {_PLAIN.format('t')} AS plain FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '3.1  ' ELSE '' END || string_split(replace(text, 'fi', 'ﬁ'), chr(10))[1] || '  ' || (doc_id % 3000) AS t FROM documents WHERE text IS NOT NULL)")
 def clean_titles(spark, sf):
-    title = F.concat(F.lit("Find  flow "), "lang", F.lit("  12"))
-    numbered = F.concat(F.lit("3.1 ﬁnd ﬂow "), "lang")
-    return table(spark, sf, "documents").where("lang IS NOT NULL").select("doc_id", tx.clean_title(title).alias("title"), tx.normalized_heading(numbered).alias("plain"))
+    """First lines of all documents as titles, with ligatures, page numbers behind and, for some, section numbers before them."""
+    d = F.col("doc_id")
+    first = F.element_at(F.split(F.replace("text", F.lit("fi"), F.lit("ﬁ")), "\n"), 1)
+    title = F.concat(F.when(d % 2 == 0, "3.1  ").otherwise(""), first, F.lit("  "), d % 3000)
+    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", tx.clean_title(title).alias("title"), tx.normalized_heading(title).alias("plain"))
 
 
-@query("SELECT doc_id, doc_id % 3 = 0 OR doc_id % 5 = 0 AS enriched FROM documents")
+@query("SELECT doc_id, contains(t, '[Vision Analysis]') OR contains(t, '[Page Image Analysis]') AS enriched FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(coalesce(text, ''), ' the ', ' [Vision Analysis] ') WHEN doc_id % 3 = 1 THEN replace(coalesce(text, ''), chr(10), '[Page Image Analysis]') ELSE replace(coalesce(text, ''), ' ', '[Image]') END AS t FROM documents)")
 def enriched_texts(spark, sf):
-    d = F.col("doc_id")
-    text = F.concat_ws(" ", F.when(d % 3 == 0, "[Vision Analysis]"), F.when(d % 5 == 0, "[Page Image Analysis]"), F.lit("[Image]"))
-    return table(spark, sf, "documents").select("doc_id", sections.is_enriched(text).alias("enriched"))
+    """Whole documents in which a frequent word, or the ends of lines, are marks."""
+    d, text = F.col("doc_id") % 3, F.coalesce("text", F.lit(""))
+    swap = lambda a, b: F.replace(text, F.lit(a), F.lit(b))
+    given = F.when(d == 0, swap(" the ", " [Vision Analysis] ")).when(d == 1, swap("\n", "[Page Image Analysis]")).otherwise(swap(" ", "[Image]"))
+    return table(spark, sf, "documents").select("doc_id", sections.is_enriched(given).alias("enriched"))
 
 
 # --- sections

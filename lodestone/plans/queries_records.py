@@ -245,13 +245,15 @@ def resume_check(spark, sf):
     return names.agg(F.count(F.lit(1)).alias("inputs")).select(jobs.resumable(names.where("name % 2 = 0"), done).alias("resumable"), "inputs")
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(t, '(?m)^##\s+Page\s+[0-9]+'))::BIGINT AS page_markers, 2::BIGINT AS enrichment_markers, (len(regexp_extract_all(t, '\$x_[0-9]+\$')))::BIGINT AS equation_markers
-    FROM (SELECT doc_id, '## Page 1' || chr(10) || '[Vision Analysis] $x_' || doc_id || '$ and $5' || chr(10) || '## Page ' || doc_id || chr(10) || '[Page Image Analysis]' AS t FROM documents)""")
+@query(r"""SELECT doc_id, length(regexp_replace(t, '^[\s\x0B]+|[\s\x0B]+$', '', 'g'))::BIGINT AS markdown_char_count, len(regexp_extract_all(t, '(?m)^##[\s\x0B]+Page[\s\x0B]+[0-9]+'))::BIGINT AS page_markers, ((length(t) - length(replace(t, '[Vision Analysis]', ''))) // 17)::BIGINT AS enrichment_markers, (length(t) - length(replace(t, '|', '')))::BIGINT AS table_markers,
+    len(regexp_extract_all(t, '\$[^$\n]{1,160}\$'))::BIGINT AS equation_markers FROM (SELECT doc_id, replace(replace(replace(replace(replace(coalesce(text, ''), '$', ''), chr(92), ''), chr(10), chr(10) || '## Page 3 '), ' the ', ' | $x$ '), ' und ', ' [Vision Analysis] ') AS t FROM documents)""")
 def markdown_marks(spark, sf):
-    d = F.col("doc_id")
-    text = F.concat(F.lit("## Page 1\n[Vision Analysis] $x_"), d, F.lit("$ and $5\n## Page "), d, F.lit("\n[Page Image Analysis]"))
+    """Marks of whole documents, with frequent words and the ends of lines turned into marks."""
+    text = F.coalesce("text", F.lit(""))
+    for a, b in (("$", ""), ("\\", ""), ("\n", "\n## Page 3 "), (" the ", " | $x$ "), (" und ", " [Vision Analysis] ")):
+        text = F.replace(text, F.lit(a), F.lit(b))
     counts = documents.markdown_counts(text)
-    return table(spark, sf, "documents").select("doc_id", *[counts[c].alias(c) for c in ("page_markers", "enrichment_markers", "equation_markers")])
+    return table(spark, sf, "documents").select("doc_id", *[counts[c].alias(c) for c in ("markdown_char_count", "page_markers", "enrichment_markers", "table_markers", "equation_markers")])
 
 
 @query("""WITH p AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'data/a.pdf' WHEN 1 THEN '/srv/data/b.PDF' WHEN 2 THEN '/srv/data/../x.pdf' ELSE 'notes.txt' END AS path FROM customer)

@@ -65,19 +65,24 @@ def heading_span(text: Column, title: Column, next_title: Column | None = None,
     A line is like a title if either holds the other once case, leading numbers and signs are gone.
     So a blank line is like every title that has a letter, unless the search is ``strict``.
     """
-    lines = F.split(text, "\n")
-
-    def place(where: Column, name: Column) -> Column:
-        wanted = tx.normalized_heading(name)
-        inside = lambda x: F.contains(wanted, tx.normalized_heading(x)) & (F.lit(not strict) | (tx.normalized_heading(x) != ""))
-        like = F.transform(where, lambda x: (wanted != "") & (F.contains(tx.normalized_heading(x), wanted) | inside(x)))
-        return F.array_position(like, F.lit(True)).cast("int")
-
-    begin = place(lines, title)
-    kept = F.when(begin > 0, F.slice(lines, begin, F.size(lines))).otherwise(lines)
-    if next_title is not None:
-        stop = F.when(next_title != "", place(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), next_title)).otherwise(0)
-        kept = F.when(stop > 0, F.slice(kept, 1, stop)).otherwise(kept)
+    def place(plain: Column, wanted: Column) -> Column:
+        inside = lambda x: F.contains(wanted, x) & (F.lit(not strict) | (x != ""))
+        return F.array_position(F.transform(plain, lambda x: (wanted != "") & (F.contains(x, wanted) | inside(x))), F.lit(True)).cast("int")
+
+    def from_place(s: Column) -> Column:
+        cut = lambda begin: F.when(begin > 0, F.struct(F.slice(s["lines"], begin, F.size(s["lines"])).alias("lines"), F.slice(s["plain"], begin, F.size(s["plain"])).alias("plain"))).otherwise(F.struct(s["lines"].alias("lines"), s["plain"].alias("plain")))
+        return tx.bound(place(s["plain"], s["title"]), cut)
+
+    def to_place(s: Column, until: Column) -> Column:
+        stop = place(F.slice(s["plain"], 2, F.greatest(F.size(s["plain"]) - 1, F.lit(0))), until)
+        return tx.bound(stop, lambda n: F.when(n > 0, F.slice(s["lines"], 1, n)).otherwise(s["lines"]))
+
+    whole = tx.bound(F.split(text, "\n"), lambda x: F.struct(x.alias("lines"), F.transform(x, tx.normalized_heading).alias("plain"), tx.normalized_heading(title).alias("title")))
+    kept = tx.bound(whole, from_place)
+    if next_title is None:
+        kept = kept["lines"]
+    else:
+        kept = tx.bound(F.struct(kept.alias("s"), tx.normalized_heading(next_title).alias("z")), lambda x: F.when(next_title != "", to_place(x["s"], x["z"])).otherwise(x["s"]["lines"]))
     return tx.stripped(F.array_join(kept, "\n"))
 
 
