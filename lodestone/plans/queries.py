@@ -592,14 +592,6 @@ def prompt_budget(spark, sf):
     return used.withColumn("budget", context.context_budget(F.lit(8192), F.lit(0.9), F.col("tokens")))
 
 
-@query()
-def planned_queries(spark, sf):
-    """Search queries of all benchmark items, from replies in the forms that planners give."""
-    b = table(spark, sf, "benchmark")
-    reply = F.when(F.col("item_id") % 3 == 0, F.to_json(F.array(F.lit("alpha?"), F.col("text")))).when(F.col("item_id") % 3 == 1, F.lit('```json\n["beta"]\n```')).otherwise("gamma\ndelta")
-    return context.planned_queries(b.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), reply.alias("reply")))
-
-
 @query(f"WITH {RECORDS_SQL} SELECT id FROM summaries WHERE doc_id IN (SELECT doc_id FROM records WHERE contains(lower(concat_ws(chr(10), id, content, title, section_path, summary, file_path, source_hash, source_pdf_name, source_pdf_path, doc_id, array_to_string(tags, ' '))), 'license'))")
 def summary_search(spark, sf):
     return rec.summaries_matching(corpus.records(spark, sf), "license").select("id")

@@ -12,7 +12,7 @@ from lodestone.corpus import RECORDS_SQL, keywords_sql, table
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vec
 from lodestone.operators import ann, classic, retrieval
-from lodestone.plans import ask, context
+from lodestone.plans import ask, context, sql_functions
 from lodestone.plans.registry import query
 from lodestone.sources import staging
 from lodestone.sources.term_index import TermIndex
@@ -79,9 +79,12 @@ def reply_parts(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", *[v.alias(k) for k, v in parts.items()])
 
 
-@query("""WITH b AS (SELECT item_id, trim(text) AS q, item_id % 3 AS k FROM benchmark WHERE trim(text) <> ''), f AS (SELECT item_id, q, [q] AS l FROM b),
+_PLANNED = """WITH b AS (SELECT item_id, trim(text) AS q, item_id % 3 AS k FROM benchmark WHERE trim(text) <> ''), f AS (SELECT item_id, q, [q] AS l FROM b),
     a AS (SELECT item_id AS qid, CASE k WHEN 0 THEN [q, 'alpha?'] WHEN 1 THEN [q, 'beta'] ELSE [q, 'gamma', 'delta'] END AS qs FROM b)
-    SELECT qid, unnest(range(0, len(qs)))::INT AS ordinal, unnest(qs) AS question FROM a""")
+    SELECT qid, unnest(range(0, len(qs)))::INT AS ordinal, unnest(qs) AS question FROM a"""
+
+
+@query(_PLANNED)
 def planned_queries(spark, sf):
     """Search queries of all benchmark items, from replies in the forms that planners give; the question comes first, each once."""
     b = table(spark, sf, "benchmark").where("trim(text) <> ''")
@@ -89,6 +92,14 @@ def planned_queries(spark, sf):
     return context.planned_queries(b.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), reply.alias("reply")))
 
 
+@query(_PLANNED)
+def sql_planned_queries(spark, sf):
+    """The same through SQL: a table function called with LATERAL for each item."""
+    sql_functions.register(spark)
+    reply = """CASE item_id % 3 WHEN 0 THEN to_json(array('alpha?', text)) WHEN 1 THEN '```json\\n["beta"]\\n```' ELSE 'gamma\\ndelta' END"""
+    return spark.sql(f"SELECT b.item_id AS qid, p.ordinal, p.query AS question FROM {{items}} b, LATERAL plan_queries({reply}, b.text, 4) p WHERE trim(b.text) <> ''", items=table(spark, sf, "benchmark"))
+
+
 # --- records and their children
 
 _TREE = """t AS (SELECT 'd' || c_nationkey AS doc_id, 'c' || c_custkey AS id, 'chunk' AS node_type, CASE WHEN c_custkey % 4 = 0 THEN 's' || c_nationkey || ':' || (c_custkey % 8) ELSE '' END AS parent_id, c_custkey AS chunk_index, 'Book > Part ' || (c_custkey % 3) || ' > x' AS section_path FROM customer),
@@ -177,11 +188,14 @@ def ask_offers(spark, sf):
     return offered.select("qid", "id", F.col("place").cast("long").alias("place"), "vector_score")
 
 
-@query(rf"""WITH RECURSIVE {_ASK}, l AS MATERIALIZED (SELECT qid, place, o.id, content, (ceil(length(content) / 4.0) + 64)::BIGINT AS cost FROM o JOIN n USING (id) WHERE o.id NOT IN ('v1', 'v3')), z AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) AS i FROM l),
+_BUDGET = rf"""WITH RECURSIVE {_ASK}, l AS MATERIALIZED (SELECT qid, place, o.id, content, (ceil(length(content) / 4.0) + 64)::BIGINT AS cost FROM o JOIN n USING (id) WHERE o.id NOT IN ('v1', 'v3')), z AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) AS i FROM l),
     f AS (SELECT qid, 0 AS i, 0::BIGINT AS used, NULL::VARCHAR AS id, 0::BIGINT AS tokens, false AS cut FROM (SELECT DISTINCT qid FROM z) UNION ALL
       SELECT qid, i, used + tokens, CASE WHEN tokens > 0 THEN id END, tokens, cut FROM (SELECT f.qid, z.i, f.used, z.id, z.cost > 1024 - f.used AS cut, CASE WHEN 1024 - f.used <= 0 THEN 0 WHEN z.cost <= 1024 - f.used THEN z.cost WHEN 1024 - f.used < 96 THEN 0
         ELSE ceil((length(regexp_replace(substr(z.content, 1, (4 * (1024 - f.used - 64) - 43)::BIGINT), '[\s\x0B\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+$', '')) + 43) / 4.0)::BIGINT + 64 END AS tokens FROM f JOIN z ON z.qid = f.qid AND z.i = f.i + 1))
-    SELECT qid, id, tokens, cut AS truncated FROM f WHERE id IS NOT NULL""")
+    SELECT qid, id, tokens, cut AS truncated FROM f WHERE id IS NOT NULL"""
+
+
+@query(_BUDGET)
 def context_budget(spark, sf):
     """What a budget of 1024 tokens admits of each question's chunks, two known ids left out."""
     records, trust = _records(spark, sf)
@@ -191,6 +205,19 @@ def context_budget(spark, sf):
     return ask.retrieved(offered, records, 1024, known).select("qid", "id", "tokens", "truncated")
 
 
+@query(_BUDGET)
+def sql_context_budget(spark, sf):
+    """The same through SQL: a table function over the offers, parted by question and ordered by place."""
+    sql_functions.register(spark)
+    records, trust = _records(spark, sf)
+    offered = ask.offers(records.select("id", "vector"), records, trust, _questions(spark, sf)).select("qid", "place", "id")
+    return spark.sql(
+        """SELECT qid, id, tokens, truncated FROM fit_context(
+             TABLE(SELECT o.qid, o.place, o.id, r.content FROM {offered} o JOIN {records} r USING (id) WHERE o.id NOT IN ('v1', 'v3')), 1024)""",
+        offered=offered, records=records.select("id", "content"),
+    )
+
+
 def _admitted(spark, sf):
     records, trust = _records(spark, sf)
     asked = _questions(spark, sf)

@@ -14,6 +14,8 @@ def query(sql: str | None = None):
     """Registers a function under its name, with SQL that gives the same rows."""
 
     def register(f: Callable[[SparkSession, str], DataFrame]):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there are two queries named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = sql
