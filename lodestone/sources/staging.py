@@ -45,3 +45,9 @@ def discard(df: DataFrame) -> None:
         if "/lodestone-engine/" in path:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(hadoop).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has staged; results that still read it must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
