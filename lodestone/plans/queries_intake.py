@@ -290,17 +290,21 @@ def section_tag_lists(spark, sf):
     return got.select("section_path", "doc_id", F.array_join(F.array_sort("tags"), " ").alias("tags"))
 
 
-@query(r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(regexp_replace(text, '[^A-Za-z0-9 .,;\n]', '', 'g'), ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents),
+#: White space at either end, as Python strips it.
+_ENDS = r"^[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$"
+
+
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, 'ENDS', '', 'g')), lambda x: x <> '') AS ps FROM documents),
     f AS (SELECT doc_id, ps, 1 AS i, 0 AS chunk, '' AS held, NULL::VARCHAR AS closed FROM d UNION ALL
       SELECT doc_id, ps, i + 1, CASE WHEN length(held) > 0 AND (length(ps[i]) > 800 OR length(held) + 2 + length(ps[i]) > 800) THEN chunk + 1 ELSE chunk END + CASE WHEN length(ps[i]) > 800 THEN 1 ELSE 0 END,
         CASE WHEN length(ps[i]) > 800 THEN '' WHEN length(held) > 0 AND length(held) + 2 + length(ps[i]) <= 800 THEN held || chr(10) || chr(10) || ps[i] ELSE ps[i] END,
         CASE WHEN length(held) > 0 AND (length(ps[i]) > 800 OR length(held) + 2 + length(ps[i]) > 800) THEN held END FROM f WHERE i <= len(ps)),
     small AS (SELECT doc_id, closed AS content FROM f WHERE closed IS NOT NULL UNION ALL SELECT doc_id, held FROM f WHERE i > len(ps) AND held <> ''),
-    big AS (SELECT doc_id, unnest(list_transform(range(0, (length(p) - 80)::BIGINT, 720), lambda a: trim(substr(p, a + 1, 800)))) AS content FROM (SELECT doc_id, unnest(ps) AS p FROM d) WHERE length(p) > 800)
-    SELECT doc_id, md5(content) AS content, count(*) AS n FROM (SELECT * FROM small UNION ALL SELECT * FROM big WHERE content <> '') GROUP BY ALL""")
+    big AS (SELECT doc_id, unnest(list_transform(range(0, (length(p) - 80)::BIGINT, 720), lambda a: regexp_replace(substr(p, a + 1, 800), 'ENDS', '', 'g'))) AS content FROM (SELECT doc_id, unnest(ps) AS p FROM d) WHERE length(p) > 800)
+    SELECT doc_id, md5(content) AS content, count(*) AS n FROM (SELECT * FROM small UNION ALL SELECT * FROM big WHERE content <> '') GROUP BY ALL""".replace("ENDS", _ENDS))
 def split_texts(spark, sf):
     """All documents packed into chunks of 800 characters, lines as paragraphs."""
-    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[^A-Za-z0-9 .,;\n]", "").alias("text"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
     return sections.split_texts(d, 800, 80, separator="\n").groupBy("doc_id", F.md5("content").alias("content")).agg(F.count(F.lit(1)).alias("n"))
 
 
