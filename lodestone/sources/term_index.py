@@ -1,6 +1,6 @@
 """A stored inverted index: postings by term in segments, searched by blocks with score bounds.
 
-A segment is a Parquet table sorted by term. Its rows are blocks: for a term, a source and a run of at
+A segment is a Parquet table in folders by a hash of the term. Its rows are blocks: for a term, a source and a run of at
 most ``BLOCK`` documents of that source the ids, counts and lengths, and, beside them, how many there
 are, the largest count and the least length. The empty term has every document, so numbers and lengths
 of the corpus come from stored rows. A search reads no text: it reads the heads of its terms' blocks,
@@ -12,7 +12,9 @@ then on, so nothing else is rewritten. ``compact`` writes the living ones into o
 index of more than ``MOST_DEAD`` dead sources or ``MOST_SEGMENTS`` segments compacts itself.
 
 Scale: what a search broadcasts is bounded by ``MOST_DEAD`` (the dead sources); terms meet postings in
-joins that adaptive execution plans by size. A source of any share of all documents is many runs.
+joins that adaptive execution plans by size. A source of any share of all documents is many runs; runs are made
+where the documents lie after one shuffle of the texts, and one more deals out the blocks, those of a term
+in every document to many tasks.
 
 Defined cases: null and empty texts have no terms and count with length 0; null sources are one source
 of their own, the empty name; an id names one document, so rows that share one are not kept apart; a question
@@ -21,10 +23,15 @@ without terms finds nothing; ties go by id; an index without a segment is a KeyE
 
 from __future__ import annotations
 
+import itertools
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +44,7 @@ BLOCK = 256
 FIRST = 4
 MOST_DEAD, MOST_SEGMENTS = 1000, 32
 FEW_TERMS = 2000
+TERM_BUCKETS = 16
 _KEY = ["source", "segment", "block"]
 
 
@@ -57,6 +65,52 @@ FULL_TEXT = Ranking(lambda n, df: F.greatest(F.lit(1e-6), F.log((n - df + 0.5) /
 POOL = Ranking(lambda n, df: F.log(1 + (n - df + 0.5) / (df + 0.5)), 1.5)
 
 
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (id, source, terms) by source to blocks of at most ``BLOCK`` of one source: a row for each of their terms."""
+    base, made = TaskContext.get().partitionId() << 32, 0
+    held: list[pa.RecordBatch] = []
+
+    def block() -> pa.RecordBatch:
+        nonlocal made
+        t = pa.Table.from_batches(held).combine_chunks()
+        ids, lists = (t.column(c).combine_chunks() for c in ("id", "terms"))
+        dl = np.asarray(lists.value_lengths(), np.int64)
+        n = len(dl)
+        coded = lists.flatten().dictionary_encode()
+        pair, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), dl), return_counts=True)
+        term, doc = pair // n, pair % n
+        at = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.empty(0, np.int64)
+        names = pa.concat_arrays([coded.dictionary.take(pa.array(term[at])).cast(pa.string()), pa.array([""], pa.string())])
+        doc, tf = np.concatenate([doc, np.arange(n)]), np.concatenate([tf, np.ones(n, np.int64)])
+        at = np.append(at, len(term))  # and, as a last list, all documents
+        each = pa.StructArray.from_arrays([ids.take(pa.array(doc)), pa.array(tf, pa.int32()), pa.array(dl[doc], pa.int32())], names=["id", "tf", "dl"])
+        offsets = np.append(at, len(doc))
+        columns = [
+            names, pa.array([held[0].column("source")[0].as_py()] * len(at), pa.string()), pa.array(np.full(len(at), base + made)), pa.array(np.diff(offsets)),
+            pa.array(np.maximum.reduceat(tf, at), pa.int32()), pa.array(np.minimum.reduceat(dl[doc], at), pa.int32()), pa.array(np.add.reduceat(dl[doc], at)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each),
+        ]
+        made += 1
+        held.clear()
+        return pa.record_batch(columns, names=["term", "source", "block", "n", "most", "least", "total", "postings"])
+
+    for b in batches:
+        source = b.column("source").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(source[1:] != source[:-1]) + 1).tolist(), b.num_rows]
+        for a, z in itertools.pairwise(cuts):
+            while a < z:
+                if held and (held[0].column("source")[0].as_py() != source[a] or sum(x.num_rows for x in held) >= BLOCK):
+                    yield block()
+                take = min(z - a, BLOCK - sum(x.num_rows for x in held))
+                held.append(b.slice(a, take))
+                a += take
+    if held:
+        yield block()
+
+
 class TermIndex:
     """An index below ``root`` of ``documents(id, source_hash, text)`` by the terms that ``terms`` makes of a text."""
 
@@ -68,15 +122,19 @@ class TermIndex:
 
     def _written(self, docs: DataFrame) -> str:
         """A new segment of documents; its name."""
-        words = docs.select(F.col("id"), F.coalesce(F.col("source_hash").cast("string"), F.lit("")).alias("source"), F.expr(f"monotonically_increasing_id() div {BLOCK}").alias("block"), self.terms(F.col("text")).alias("terms"))
-        near = words.withColumn("dl", F.size("terms")).repartition("source", "block")
-        each = near.select("id", "source", "block", "dl", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
-        counted = each.groupBy("source", "block", "term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-        lists = counted.groupBy("source", "block", "term").agg(
-            F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), F.sum("dl").alias("total"), F.collect_list(F.struct("id", "tf", "dl")).alias("postings")
-        )
+        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions", "200")))
+        given = docs.select("id", F.coalesce(F.col("source_hash").cast("string"), F.lit("")).alias("source"), "text")
+        near = given.repartitionByRange(parts, "source", "id").sortWithinPartitions("source", "id")
+        kind = docs.schema["id"].dataType.simpleString()
+        words = near.select("id", "source", self.terms(F.col("text")).alias("terms"))
+        return self._laid_out(words.mapInArrow(_blocks, f"term string, source string, block long, n long, most int, least int, total long, postings array<struct<id:{kind},tf:int,dl:int>>"))
+
+    def _laid_out(self, blocks: DataFrame) -> str:
+        """Blocks as a segment: folders by a hash of the term, sorted by term; the documents' share keeps a task bounded."""
         name = f"segments/{uuid.uuid4().hex}"
-        lists.repartitionByRange("term").sortWithinPartitions("term", "source", "block").write.option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.root}/{name}")
+        placed = blocks.withColumn("bucket", _bucket(F.col("term")))
+        dealt = placed.repartition("bucket", F.expr("shiftright(block, 36)")).sortWithinPartitions("bucket", "term", "source", "block")
+        dealt.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.root}/{name}")
         return name
 
     def _change(self, make: Callable[[dict], dict]) -> str:
@@ -115,9 +173,8 @@ class TermIndex:
         """All living postings in one segment."""
 
         def make(state: dict) -> dict:
-            name = f"segments/{uuid.uuid4().hex}"
-            living = self._postings(state).withColumn("block", F.xxhash64("segment", "block")).drop("segment")
-            living.repartitionByRange("term").sortWithinPartitions("term", "source", "block").write.option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.root}/{name}")
+            spread = self._postings(state).withColumn("block", F.shiftleft(F.col("segment"), 52).bitwiseXOR(F.col("block"))).drop("segment", "bucket")
+            name = self._laid_out(spread)
             return {"segments": [{"name": name, "at": state["next"]}], "dead": {}, "next": state["next"] + 1}
 
         return self._change(make)
@@ -133,9 +190,21 @@ class TermIndex:
     def exists(self) -> bool:
         return self.states.current() is not None
 
+    def _schema(self, state: dict):
+        """Columns of the segments, read from the first that has files; a segment without documents has none."""
+        from pyspark.sql.types import IntegerType, StructType
+
+        for s in state["segments"]:
+            try:
+                found = self.spark.read.parquet(f"{self.root}/{s['name']}").schema
+            except AnalysisException:  # no file to take columns from
+                continue
+            return StructType([f if f.name != "bucket" else f.__class__("bucket", IntegerType()) for f in found])
+        return "term string, source string, block long, n long, most int, least int, total long, postings array<struct<id:long,tf:int,dl:int>>, bucket int"
+
     def _postings(self, state: dict) -> DataFrame:
         """The living blocks of all segments, with the segment's number."""
-        parts = [self.spark.read.parquet(f"{self.root}/{s['name']}").withColumn("segment", F.lit(s["at"]).cast("long")) for s in state["segments"]]
+        parts = [self.spark.read.schema(self._schema(state)).parquet(f"{self.root}/{s['name']}").withColumn("segment", F.lit(s["at"]).cast("long")) for s in state["segments"]]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -147,10 +216,11 @@ class TermIndex:
     def _of_terms(self, asked: DataFrame) -> tuple[DataFrame, int, float]:
         """Blocks of the asked terms, number of documents, mean length. Few terms go into the scan's filter."""
         every = self._postings(self._state())
-        n, total = every.where("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+        n, total = every.where((F.col("bucket") == _bucket(F.lit(""))) & (F.col("term") == "")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
         few = [r[0] for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
         if len(few) <= FEW_TERMS:
-            found = every.where(F.col("term").isin(few))
+            buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in few], "term string").select(_bucket(F.col("term"))).distinct().collect()]
+            found = every.where(F.col("bucket").isin(buckets) & F.col("term").isin(few))
         else:
             found = every.join(asked.select("term").distinct(), "term", "left_semi")
         return found.where("term <> ''"), n, total / n if n else 0.0
