@@ -351,13 +351,6 @@ def within_budget(offered: DataFrame, budget: int | Column) -> DataFrame:
     return out if several else out.drop("ordinal")
 
 
-def merge_queries(results: DataFrame) -> DataFrame:
-    """Results of several planned queries (ordinal, id, score, vector_score): an id counts for the first query that has it."""
-    first = Window.partitionBy("id").orderBy("ordinal")
-    once = results.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
-    return once.orderBy(F.desc("score"), F.desc("vector_score"), "id")
-
-
 def trusted_groups(records: DataFrame, trust: DataFrame) -> DataFrame:
     """Adds ``source_group``: the record's own, else that of its source's trust entry, else ungrouped."""
     known = trust.select("source_hash", F.col("source_group").alias("__trusted"))
