@@ -40,7 +40,7 @@ from lodestone.operators import retrieval
 from lodestone.sources.staging import stage
 from lodestone.sources.states import States
 
-BLOCK = 256
+BLOCK = 1024
 FIRST = 4
 MOST_DEAD, MOST_SEGMENTS = 1000, 32
 FEW_TERMS = 2000
@@ -69,6 +69,11 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
 
 
+def _opened() -> Column:
+    """A row (id, tf, dl) for each document of a block."""
+    return F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl")))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (id, source, terms) by source to blocks of at most ``BLOCK`` of one source: a row for each of their terms."""
     base, made = TaskContext.get().partitionId() << 32, 0
@@ -87,15 +92,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.concat_arrays([coded.dictionary.take(pa.array(term[at])).cast(pa.string()), pa.array([""], pa.string())])
         doc, tf = np.concatenate([doc, np.arange(n)]), np.concatenate([tf, np.ones(n, np.int64)])
         at = np.append(at, len(term))  # and, as a last list, all documents
-        each = pa.StructArray.from_arrays([ids.take(pa.array(doc)), pa.array(tf, pa.int32()), pa.array(dl[doc], pa.int32())], names=["id", "tf", "dl"])
         offsets = np.append(at, len(doc))
+        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x) for x in (ids.take(pa.array(doc)), pa.array(tf, pa.int32()), pa.array(dl[doc], pa.int32()))]
         columns = [
             names, pa.array([held[0].column("source")[0].as_py()] * len(at), pa.string()), pa.array(np.full(len(at), base + made)), pa.array(np.diff(offsets)),
-            pa.array(np.maximum.reduceat(tf, at), pa.int32()), pa.array(np.minimum.reduceat(dl[doc], at), pa.int32()), pa.array(np.add.reduceat(dl[doc], at)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each),
+            pa.array(np.maximum.reduceat(tf, at), pa.int32()), pa.array(np.minimum.reduceat(dl[doc], at), pa.int32()), pa.array(np.add.reduceat(dl[doc], at)), *lists,
         ]
         made += 1
         held.clear()
-        return pa.record_batch(columns, names=["term", "source", "block", "n", "most", "least", "total", "postings"])
+        return pa.record_batch(columns, names=["term", "source", "block", "n", "most", "least", "total", "ids", "tfs", "dls"])
 
     for b in batches:
         source = b.column("source").to_numpy(zero_copy_only=False)
@@ -127,7 +132,7 @@ class TermIndex:
         near = given.repartitionByRange(parts, "source", "id").sortWithinPartitions("source", "id")
         kind = docs.schema["id"].dataType.simpleString()
         words = near.select("id", "source", self.terms(F.col("text")).alias("terms"))
-        return self._laid_out(words.mapInArrow(_blocks, f"term string, source string, block long, n long, most int, least int, total long, postings array<struct<id:{kind},tf:int,dl:int>>"))
+        return self._laid_out(words.mapInArrow(_blocks, f"term string, source string, block long, n long, most int, least int, total long, ids array<{kind}>, tfs array<int>, dls array<int>"))
 
     def _laid_out(self, blocks: DataFrame) -> str:
         """Blocks as a segment: folders by a hash of the term, sorted by term; the documents' share keeps a task bounded."""
@@ -200,7 +205,7 @@ class TermIndex:
             except AnalysisException:  # no file to take columns from
                 continue
             return StructType([f if f.name != "bucket" else f.__class__("bucket", IntegerType()) for f in found])
-        return "term string, source string, block long, n long, most int, least int, total long, postings array<struct<id:long,tf:int,dl:int>>, bucket int"
+        return "term string, source string, block long, n long, most int, least int, total long, ids array<bigint>, tfs array<int>, dls array<int>, bucket int"
 
     def _postings(self, state: dict) -> DataFrame:
         """The living blocks of all segments, with the segment's number."""
@@ -235,7 +240,7 @@ class TermIndex:
         asked = self.asked(questions)
         found, n, mean = self._of_terms(asked)
         df = found.groupBy("term").agg(F.sum("n").alias("df"))
-        hits = found.select("term", F.inline("postings")).join(asked, "term").select("qid", "id", "term", F.col("dl"))
+        hits = found.select("term", _opened()).join(asked, "term").select("qid", "id", "term", "dl")
         return retrieval.Matches(hits, df, n, mean)
 
     def _bounded(self, questions: DataFrame, ranking: Ranking, most: int | None) -> tuple[DataFrame, DataFrame, DataFrame, float]:
@@ -252,7 +257,7 @@ class TermIndex:
     def _scored(self, pairs: DataFrame, weighted: DataFrame, found: DataFrame, ranking: Ranking, mean: float) -> DataFrame:
         """Scores (qid, id, score) of the documents of some runs; only these runs' blocks are opened."""
         wanted = pairs.select("qid", *_KEY).join(weighted, "qid")
-        each = found.join(wanted.select("term", *_KEY).distinct(), ["term", *_KEY], "left_semi").select("term", *_KEY, F.inline("postings"))
+        each = found.join(wanted.select("term", *_KEY).distinct(), ["term", *_KEY], "left_semi").select("term", *_KEY, _opened())
         part = F.col("idf") * ranking.part(F.col("tf"), F.col("dl"), mean)
         return each.join(wanted, ["term", *_KEY]).groupBy("qid", "id").agg(F.sum(part).alias("score"))
 
