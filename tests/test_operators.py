@@ -172,6 +172,13 @@ def test_text_functions(spark):
     assert one(spark, tx.safe_component(F.lit("../a b?.pdf"), "x")) == "a-b-.pdf" and one(spark, tx.safe_component(F.lit(None).cast("string"), "x")) == "x"
 
 
+def test_sizes_round_ties_to_even(spark):
+    sizes = [0, 1023, 1024, 1280, 1792, 2304, 2305, 60113, 1024**2 * 5 // 4, 1024**3 * 9 // 4]
+    shown = spark.createDataFrame([(n,) for n in sizes], "n long").select(tx.human_bytes(F.col("n"))).collect()
+    wanted = ["0 B", "1023 B", *(f"{n / 1024:.1f} KB" for n in sizes[2:8]), "1.2 MB", "2.2 GB"]
+    assert [r[0] for r in shown] == wanted
+
+
 def test_claims(spark):
     answers = spark.createDataFrame([("a", "The report discusses spring stiffness and damping ratios [S1]. Aerodynamic vortices define accumulator voltage limits [S1].")], "answer_id string, text string")
     source = spark.createDataFrame([("a", "[S1]", "The suspension report discusses spring stiffness and damping ratios.")], "answer_id string, label string, content string")
