@@ -172,7 +172,7 @@ def descendants(edges: DataFrame) -> DataFrame:
     known = edges.select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("depth")).where("ancestor <> node").distinct()
     size = -1
     while True:
-        more = known.alias("a").join(known.alias("b"), F.col("a.node") == F.col("b.ancestor"))
+        more = known.alias("a").join(known.alias("b").hint("merge"), F.col("a.node") == F.col("b.ancestor"))
         more = more.select(F.col("a.ancestor").alias("ancestor"), F.col("b.node").alias("node"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
         joined = known.unionByName(more.where("ancestor <> node"))
         before, known = known, stage(joined.groupBy("ancestor", "node").agg(F.min("depth").alias("depth")), "descendants")

@@ -66,3 +66,17 @@ def test_a_chain_takes_rounds_of_its_logarithm(spark, monkeypatch):
     row = trees.counts(found).agg(F.sum("descendant_count").alias("s"), F.count(F.lit(1)).alias("n")).first()
     assert (row.s, row.n) == (n * (n - 1) // 2, n - 1)
     assert found.rows.where((F.col("depth") != F.col("node")) | (F.col("pre") != F.col("node")) | (F.col("last") != n - 1)).isEmpty()
+
+
+def test_pairs_shuffle_and_blocks_have_a_largest_size(spark, monkeypatch):
+    """A staged table is small as a file: no join of pairs may broadcast it, and no block takes more than its share of nodes."""
+    parents = some_forest(3, 120)
+    edges = spark.createDataFrame([(p, i) for i, p in parents.items() if p is not None], "parent long, node long")
+    found = trees.labels(edges)
+    plain = trees.pairs(found)
+    assert "Broadcast" not in plain._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(trees, "LEVELS", 2)
+    wanted = sorted((a, i, k) for i in parents for k, a in enumerate(ancestors(parents, i), 1))
+    assert sorted(map(tuple, trees.pairs(found).collect())) == sorted(map(tuple, plain.collect())) == wanted
+    blocks = spark.range(1).select(F.inline(trees._blocks(F.lit(3).cast("long"), F.lit(30).cast("long")))).collect()
+    assert sorted(x for b in blocks for x in range(b["at"] << b["size"], (b["at"] + 1) << b["size"])) == list(range(3, 30)) and max(b["size"] for b in blocks) == 2
