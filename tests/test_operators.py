@@ -102,6 +102,36 @@ def test_ann_recall_with_many_lists(spark):
     assert ann.search(index, queries.where("false"), 10).count() == 0
 
 
+def test_ann_search_by_parts_is_the_plain_one(spark, monkeypatch):
+    """Lists of several parts and parts of several lists give what a loop over the probed lists gives, copies by id."""
+    monkeypatch.setattr(ann, "PART_ROWS", 60)
+    monkeypatch.setattr(ann, "TOGETHER", 7)
+    v = np.random.default_rng(6).standard_normal((900, 6)).astype(np.float32)
+    v[:200] = v[0]  # copies, more than a part holds
+    df = spark.createDataFrame([(f"v{i:03}", x.tolist()) for i, x in enumerate(v)] + [("none", None)], "id string, vector array<float>")
+    queries = df.where("id LIKE 'v%0' OR id = 'none'").select(F.col("id").alias("qid"), "vector")
+    index = ann.build(df, 20)
+    own = {r.id: r["list"] for r in index.lists.collect()}
+    found = {}
+    for r in ann.search(index, queries, 12, probes=5).orderBy("qid", "rank").collect():
+        found.setdefault(r.qid, []).append((r.id, r.score))
+    assert len(found) == 90
+    for qid, rows in found.items():
+        q = v[int(qid[1:])].astype(float)
+        lists = ann._nearest(q[None], index.centroids, 5)[0]
+        each = [(-round(1 / (1 + float(((q - x.astype(float)) ** 2).sum())), 6), f"v{i:03}") for i, x in enumerate(v) if own[f"v{i:03}"] in lists]
+        assert rows == [(i, -s) for s, i in sorted(each)[:12]]
+
+
+def test_bounded_sample_is_the_one_of_all(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 50)
+    rows = spark.range(5000).select("id", F.array(F.col("id").cast("double")).alias("vector"))
+    wanted = [r[0] for r in rows.orderBy(F.xxhash64("id")).limit(50).select("vector").collect()]
+    assert ann.sample_of(rows, ["id"], 5000) == wanted == ann.sample_of(rows, ["id"], 100)
+    same = rows.select(F.lit(7).alias("id"), "vector")
+    assert len(ann.sample_of(same, ["id"], 5000)) == 50
+
+
 def test_vectors(spark):
     pair = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0], [3.0, 4.0, 9.0])], "a array<float>, z array<float>, w array<float>")
     row = pair.select(vec.cosine(F.col("a"), F.col("z")).alias("zero"), vec.cosine(F.col("a"), F.col("w")).alias("same"), vec.normalised(F.col("z")).alias("n"), vec.fit_dimension(F.col("a"), 3).alias("f")).first()
