@@ -44,17 +44,22 @@ def term_search(chunks: DataFrame, questions: DataFrame, k: int = TERM_HITS) ->
 
     A chunk qualifies by any of the question's first 16 terms. k1 is 1.2, b 0.75 and the least idf
     1e-6, as in SQLite's full-text index. One pass over the texts stages the postings of the
-    questions' terms and a row for each chunk. A stored ``TermIndex`` gives the same without reading texts.
+    questions' terms and a row for each chunk; postings shuffle once, by chunk, and up to ``retrieval.FEW_TERMS``
+    rows of questions and terms travel to them, so that scores are summed where a chunk lies. A
+    stored ``TermIndex`` gives the same without reading texts.
     """
     asked = questions.select("qid", F.explode(query_terms(F.col("question"))).alias("term"))
     words = chunks.select(F.col("chunk_id").alias("id"), tx.terms(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
     kept = retrieval.with_lengths(words, asked)
     n, mean = retrieval.lengths_of(kept)
-    counted = kept.where("term IS NOT NULL").groupBy(F.col("id").alias("chunk_id"), "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    near = kept.where("term IS NOT NULL").select(F.col("id").alias("chunk_id"), "dl", "term").repartition("chunk_id")
+    counted = near.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.lit(max(mean, 1e-9))))
-    scored = asked.join(counted, "term").join(df, "term").groupBy("qid", "chunk_id").agg(F.sum(part).alias("score"))
+    weights = asked.join(df, "term").select("qid", "term", idf.alias("idf"))
+    weights = F.broadcast(weights) if asked.count() <= retrieval.FEW_TERMS else weights
+    part = F.col("idf") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.lit(max(mean, 1e-9))))
+    scored = counted.join(weights, "term").groupBy("qid", "chunk_id").agg(F.sum(part).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 
 import numpy as np
 import pytest
@@ -212,6 +213,19 @@ def test_ann_index_is_stored_and_found(spark, tmp_path):
     assert sum(recall) / len(recall) >= 0.9
 
 
+def test_term_scores_are_summed_where_a_chunk_lies(spark, monkeypatch):
+    """No row of a question and a chunk shuffles before the choice of the best; with many terms the same is found by joins."""
+    chunks = spark.createDataFrame([(i, f"common {'rare ' * (i % 3)}word{i % 5}") for i in range(40)] + [(99, None)], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "common rare"), (2, "word3 word4"), (3, "")], "qid long, question string")
+    found = classic.term_search(chunks, asked, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(chunk_id#" in plan and not re.search(r"hashpartitioning\(qid#\w+, chunk_id#", plan)
+    rows = sorted(map(tuple, found.select("qid", "chunk_id", "rank", F.round("score", 9)).collect()))
+    monkeypatch.setattr(retrieval, "FEW_TERMS", 0)
+    again = classic.term_search(chunks, asked, 5).select("qid", "chunk_id", "rank", F.round("score", 9))
+    assert sorted(map(tuple, again.collect())) == rows and [r[0] for r in rows] == [1] * 5 + [2] * 5
+
+
 def test_terms_and_modes(spark):
     chunks = spark.createDataFrame([("a", "d1", "Cooling pump pump"), ("b", "d2", "cooling fan"), ("c", "d1", None), ("d", "d3", "")], "chunk_id string, doc_id string, text string")
     asked = spark.createDataFrame([(1, "pump cooling?"), (2, "???"), (3, None)], "qid long, question string")
