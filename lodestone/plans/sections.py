@@ -13,8 +13,10 @@ documents of any number of headings take time in proportion to it.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ NUMBERED_LINE = r"^\d+(?:\.\d+)*\s+[A-Za-z][^\n.]{2,}$"
 #: Marks of text that a vision model has added (fixed values).
 ENRICHED = ("[Vision Analysis]", "[Page Image Analysis]")
 TOC_PAGES = 8
+TOGETHER = 1 << 22
 LISTED_TITLES = 80
 
 NODE = "doc_id, ord, level, title, node_id, page_start, page_end, next_title"
@@ -234,13 +237,16 @@ def split_texts(docs: DataFrame, max_chars: int, overlap_chars: int, text_col: s
     """Rows (doc_id, chunk_index, content): paragraphs packed greedily up to ``max_chars``.
 
     A paragraph that is too long stands alone, in slices that overlap. Greedy packing depends on all
-    that came before in the text, so a text is one pass over its paragraphs.
+    that came before in the text, so a text is one pass over its paragraphs. Chunks leave a task in batches
+    of some ``TOGETHER`` characters, so it holds the text of one batch and little beside it.
     """
 
-    @F.pandas_udf("array<string>")
-    def pack(texts: pd.Series) -> pd.Series:
+    step = max(1, max_chars - overlap_chars)
+    given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = given.schema["doc_id"].dataType.simpleString()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         breaks = re.compile(separator)
-        step = max(1, max_chars - overlap_chars)
 
         def one(text: str) -> list[str]:
             groups: list[list[str]] = []
@@ -259,9 +265,21 @@ def split_texts(docs: DataFrame, max_chars: int, overlap_chars: int, text_col: s
                     room = max_chars - len(part)
             return [x for x in map("\n\n".join, groups) if x]
 
-        return texts.fillna("").map(one)
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(pack(F.col(text_col))).alias("chunk_index", "content"))
+        for b in batches:
+            row, at, held, size = [], [], [], 0
+            for i, text in enumerate(b.column(1)):
+                chunks = one(text.as_py())
+                row += [i] * len(chunks)
+                at += range(len(chunks))
+                held += chunks
+                size += sum(map(len, chunks))
+                if size >= TOGETHER:
+                    yield pa.record_batch([b.column(0).take(pa.array(row)), pa.array(at, pa.int32()), pa.array(held, pa.string())], names=["doc_id", "chunk_index", "content"])
+                    row, at, held, size = [], [], [], 0
+            if row:
+                yield pa.record_batch([b.column(0).take(pa.array(row)), pa.array(at, pa.int32()), pa.array(held, pa.string())], names=["doc_id", "chunk_index", "content"])
+
+    return given.mapInArrow(packed, f"doc_id {kind}, chunk_index int, content string")
 
 
 def records_of(docs: DataFrame, outline: DataFrame, pages: DataFrame, target_tokens: int = 400, overlap_tokens: int = 40, mode: str = "hybrid", strict: bool = False) -> DataFrame:

@@ -254,6 +254,16 @@ def outline(spark, rows):
     return {(r.doc_id, r.ord): r for r in rows.collect()}
 
 
+def test_chunks_leave_in_small_batches(spark, monkeypatch):
+    """Texts of one Arrow batch give the same chunks in many batches as in one, nulls and blank texts none."""
+    rows = [(i, "\n\n".join(f"part {i} {j} " + "x" * (i * 7 % 90) for j in range(i % 6))) for i in range(60)] + [(90, None), (91, " \n ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = sorted(map(tuple, sections.split_texts(docs, 80, 10).collect()))
+    monkeypatch.setattr(sections, "TOGETHER", 100)
+    assert sorted(map(tuple, sections.split_texts(docs, 80, 10).collect())) == whole
+    assert {r[0] for r in whole} == {i for i in range(60) if i % 6} and all(len(r[2]) <= 80 for r in whole)
+
+
 def test_outlines_by_source(spark):
     docs = spark.createDataFrame([("m", "M", "text"), ("t", "T", "text"), ("h", "H", "text"), ("v", "V", "# Seen\n\n[Vision Analysis] x"), ("n", "N", "plain"), ("z", "Z", None)], "doc_id string, doc_title string, content string")
     pages = [("m", i, f"page {i}") for i in range(1, 13)] + [("t", 1, "Contents\n1 Intro .... 3\n1.1 Scope .... 4"), ("t", 2, "x"), ("t", 3, "1 Intro\nbody"), ("t", 4, "1.1 Scope\nmore")]
