@@ -52,8 +52,8 @@ class Search:
         asked = calls.select("qid", F.col("query").alias("question"), self.embed(F.col("query")).alias("vector"))
         offered = ask.offers(self.records.select("id", "vector"), self.records, self.trust, asked, self.candidates)
         left = offered.join(known.select("qid", "id").distinct(), ["qid", "id"], "left_anti")
-        texts = left.select("qid", "ordinal", "place", "id").join(self.records.select("id", "content"), "id").join(calls.select("qid", "budget"), "qid")
-        ranked = ask.merged(retrieval.within_budget(texts, F.col("budget")), offered)
+        left = left.select("qid", "ordinal", "place", "id").join(calls.select("qid", "budget"), "qid")
+        ranked = ask.merged(retrieval.admitted(left, self.records, F.col("budget")), offered)
         rows = ask.tool_result(ranked, self.records)
         return rows.select("qid", "rank", F.col("chunk_id").alias("id"), "score", "location", "content")
 

@@ -24,3 +24,21 @@ def test_candidates_travel_without_texts(spark, monkeypatch):
     assert ask.offers(records.select("id", "vector"), records, trust, queries_ask._questions(spark, SF)).count()
     assert "content" not in set().union(*staged.values())
     assert [tag for tag, columns in staged.items() if "words" in columns] == ["record-words"]  # once for each record
+
+
+@pytest.mark.parametrize("several", [True, False])
+def test_budget_walks_few_texts_and_gives_what_all_give(spark, monkeypatch, several):
+    """Offers of which most can't be admitted, cuts that end in long white space, empty and repeated texts."""
+    g = np.random.default_rng(6)
+    texts = [(f"d{i}", "w" * int(g.integers(0, 2500))) for i in range(30)] + [("blank", " " * 3000), ("tail", "w" * 200 + " " * 3000), ("empty", None), ("twice", "w" * 900), ("twice", "w" * 90)]
+    names = sorted({t for t, _ in texts})
+    rows = [(q, o, p, names[i]) for q in range(40) for o in range(2 if several else 1) for p, i in enumerate(g.permutation(len(names))[: 3 * (q % 9)])]
+    offered = spark.createDataFrame(rows, "qid long, ordinal int, place int, id string")
+    offered = (offered if several else offered.drop("ordinal")).withColumn("limit", 300 + F.col("qid") * 7)
+    known = spark.createDataFrame(texts, "id string, content string")
+    walked, fold = [], retrieval.within_budget
+    monkeypatch.setattr(retrieval, "within_budget", lambda df, budget: walked.append(df) or fold(df, budget))
+    got = retrieval.admitted(offered, known, F.col("limit"))
+    want = fold(offered.join(known, "id"), F.col("limit"))
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 40
+    assert 0 < walked[0].count() < 0.5 * len(rows) and walked[1].select("qid").distinct().count() > 0
