@@ -13,8 +13,7 @@ index of more than ``MOST_DEAD`` dead sources or ``MOST_SEGMENTS`` segments comp
 
 Scale: what a search broadcasts is bounded by ``MOST_DEAD`` (the dead sources); terms meet postings in
 joins that adaptive execution plans by size. A source of any share of all documents is many runs; runs are made
-where the documents lie after one shuffle of the texts, and one more deals out the blocks, those of a term
-in every document to many tasks.
+and written where the documents lie, so a new segment shuffles nothing, unless a task has few documents of each source.
 
 Defined cases: null and empty texts have no terms and count with length 0; null sources are one source
 of their own, the empty name; an id names one document, so rows that share one are not kept apart; a question
@@ -40,7 +39,7 @@ from lodestone.operators import retrieval
 from lodestone.sources.staging import stage
 from lodestone.sources.states import States
 
-BLOCK = 1024
+BLOCK, LEAST_RUN = 1024, 256
 FIRST = 4
 MOST_DEAD, MOST_SEGMENTS = 1000, 32
 FEW_TERMS = 2000
@@ -126,20 +125,34 @@ class TermIndex:
     # --- changing
 
     def _written(self, docs: DataFrame) -> str:
-        """A new segment of documents; its name."""
+        """A new segment of documents; its name.
+
+        Runs are made where the documents lie, and each task writes its own blocks, so neither texts nor postings shuffle. Only where
+        sources are so many that a task has few documents of each do documents meet by source first."""
         parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions", "200")))
         given = docs.select("id", F.coalesce(F.col("source_hash").cast("string"), F.lit("")).alias("source"), "text")
-        near = given.repartitionByRange(parts, "source", "id").sortWithinPartitions("source", "id")
+        if self._scattered(given):
+            given = given.repartitionByRange(parts, "source", "id")
+        near = given.sortWithinPartitions("source", "id")
         kind = docs.schema["id"].dataType.simpleString()
         words = near.select("id", "source", self.terms(F.col("text")).alias("terms"))
-        return self._laid_out(words.mapInArrow(_blocks, f"term string, source string, block long, n long, most int, least int, total long, ids array<{kind}>, tfs array<int>, dls array<int>"))
+        blocks = words.mapInArrow(_blocks, f"term string, source string, block long, n long, most int, least int, total long, ids array<{kind}>, tfs array<int>, dls array<int>")
+        return self._laid_out(blocks)
+
+    @staticmethod
+    def _scattered(given: DataFrame) -> bool:
+        """Whether runs made where documents lie would be mostly short, and fewer once documents meet by source."""
+        tasks = given.select("source", F.spark_partition_id().alias("task")).groupBy("source", "task").agg(F.count(F.lit(1)).alias("n"))
+        runs = F.ceil(F.col("n") / BLOCK)
+        each = tasks.groupBy("source").agg(F.sum(runs).alias("here"), F.ceil(F.sum("n") / BLOCK).alias("met"), F.sum("n").alias("n"))
+        here, met, rows = each.agg(F.sum("here"), F.sum("met"), F.sum("n")).first()
+        return rows is not None and here > 2 * met and rows < here * LEAST_RUN
 
     def _laid_out(self, blocks: DataFrame) -> str:
-        """Blocks as a segment: folders by a hash of the term, sorted by term; the documents' share keeps a task bounded."""
+        """Blocks as a segment: folders by a hash of the term, a file of each from a task, sorted by term."""
         name = f"segments/{uuid.uuid4().hex}"
-        placed = blocks.withColumn("bucket", _bucket(F.col("term")))
-        dealt = placed.repartition("bucket", F.expr("shiftright(block, 36)")).sortWithinPartitions("bucket", "term", "source", "block")
-        dealt.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.root}/{name}")
+        placed = blocks.withColumn("bucket", _bucket(F.col("term"))).sortWithinPartitions("bucket", "term", "source", "block")
+        placed.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.root}/{name}")
         return name
 
     def _change(self, make: Callable[[dict], dict]) -> str:
@@ -179,7 +192,7 @@ class TermIndex:
 
         def make(state: dict) -> dict:
             spread = self._postings(state).withColumn("block", F.shiftleft(F.col("segment"), 52).bitwiseXOR(F.col("block"))).drop("segment", "bucket")
-            name = self._laid_out(spread)
+            name = self._laid_out(spread.repartition(F.expr(f"pmod(xxhash64(term), {TERM_BUCKETS})"), F.expr("shiftright(block, 36)")))
             return {"segments": [{"name": name, "at": state["next"]}], "dead": {}, "next": state["next"] + 1}
 
         return self._change(make)

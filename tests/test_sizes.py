@@ -42,3 +42,19 @@ def test_budget_walks_few_texts_and_gives_what_all_give(spark, monkeypatch, seve
     want = fold(offered.join(known, "id"), F.col("limit"))
     assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 40
     assert 0 < walked[0].count() < 0.5 * len(rows) and walked[1].select("qid").distinct().count() > 0
+
+
+def test_a_segment_is_written_where_its_documents_lie(spark, tmp_path, monkeypatch):
+    """No text and no posting shuffles, unless a task has few documents of each source."""
+    from lodestone.sources.term_index import TermIndex
+
+    plans, laid = [], TermIndex._laid_out
+    monkeypatch.setattr(TermIndex, "_laid_out", lambda self, blocks: plans.append(blocks._jdf.queryExecution().executedPlan().toString()) or laid(self, blocks))
+    docs = spark.range(0, 3000, 1, 3).select("id", F.concat(F.lit("s"), F.col("id") % 2).alias("source_hash"), F.concat_ws(" ", F.lit("common"), F.concat(F.lit("w"), F.col("id") % 50)).alias("text"))
+    asked = spark.createDataFrame([(1, "common w7"), (2, "w9")], "qid long, question string")
+    found = []
+    for name, given in (("few", docs), ("many", docs.withColumn("source_hash", (F.col("id") % 100).cast("string")))):
+        index = TermIndex(spark, f"file://{tmp_path}/{name}")
+        index.build(given)
+        found.append(sorted((r.qid, r.id, r["rank"], round(r.score, 9)) for r in index.search(asked, 20).collect()))
+    assert "Exchange" not in plans[0] and "Exchange" in plans[1] and found[0] == found[1] and len(found[0]) == 40
