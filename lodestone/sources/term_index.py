@@ -40,6 +40,7 @@ from lodestone.sources.staging import stage
 from lodestone.sources.states import States
 
 BLOCK, LEAST_RUN = 1024, 256
+QUESTIONS = 4096
 FIRST = 4
 MOST_DEAD, MOST_SEGMENTS = 1000, 32
 FEW_TERMS = 2000
@@ -129,10 +130,9 @@ class TermIndex:
 
         Runs are made where the documents lie, and each task writes its own blocks, so neither texts nor postings shuffle. Only where
         sources are so many that a task has few documents of each do documents meet by source first."""
-        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions", "200")))
         given = docs.select("id", F.coalesce(F.col("source_hash").cast("string"), F.lit("")).alias("source"), "text")
         if self._scattered(given):
-            given = given.repartitionByRange(parts, "source", "id")
+            given = given.repartitionByRange(self._parts(), "source", "id")
         near = given.sortWithinPartitions("source", "id")
         kind = docs.schema["id"].dataType.simpleString()
         words = near.select("id", "source", self.terms(F.col("text")).alias("terms"))
@@ -253,7 +253,8 @@ class TermIndex:
         asked = self.asked(questions)
         found, n, mean = self._of_terms(asked)
         df = found.groupBy("term").agg(F.sum("n").alias("df"))
-        hits = found.select("term", _opened()).join(asked, "term").select("qid", "id", "term", "dl")
+        runs = found.select("term", *_KEY, "ids", "tfs", "dls").repartition(self._parts(), *_KEY)  # so that what is summed for a document is summed in its run's task
+        hits = runs.select("term", _opened()).join(asked, "term").select("qid", "id", "term", "dl")
         return retrieval.Matches(hits, df, n, mean)
 
     def _bounded(self, questions: DataFrame, ranking: Ranking, most: int | None) -> tuple[DataFrame, DataFrame, DataFrame, float]:
@@ -270,9 +271,17 @@ class TermIndex:
     def _scored(self, pairs: DataFrame, weighted: DataFrame, found: DataFrame, ranking: Ranking, mean: float) -> DataFrame:
         """Scores (qid, id, score) of the documents of some runs; only these runs' blocks are opened."""
         wanted = pairs.select("qid", *_KEY).join(weighted, "qid")
-        each = found.join(wanted.select("term", *_KEY).distinct(), ["term", *_KEY], "left_semi").select("term", *_KEY, _opened())
+        groups = max(1, -(-weighted.select("qid").distinct().count() // QUESTIONS))
+        group = F.pmod(F.xxhash64("qid"), F.lit(groups))
+        lists = wanted.groupBy("term", *_KEY, group.alias("group")).agg(F.collect_list(F.struct("qid", "idf")).alias("asked"))
+        # a run's blocks meet as arrays, so that its documents' scores are summed before they shuffle
+        runs = found.join(lists, ["term", *_KEY]).repartition(self._parts(), *_KEY, "group")
         part = F.col("idf") * ranking.part(F.col("tf"), F.col("dl"), mean)
-        return each.join(wanted, ["term", *_KEY]).groupBy("qid", "id").agg(F.sum(part).alias("score"))
+        each = runs.select("asked", _opened()).select("id", "tf", "dl", F.inline("asked"))
+        return each.groupBy("qid", "id").agg(F.sum(part).alias("score"))
+
+    def _parts(self) -> int:
+        return max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
     def _visits(self, questions: DataFrame, k: int, ranking: Ranking, most: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(scores of the first runs, bounds, bounds of the runs that must be visited after them)."""
