@@ -261,7 +261,7 @@ def bm25_scores(spark, sf):
 def rrf_fuse(spark, sf):
     found = _keyword_index(spark, sf).matches(_asked(spark, sf))
     scored = retrieval.bm25_of(found).withColumn("bm25", F.round("bm25", 9))
-    lists = [retrieval.ranked(scored, "bm25"), retrieval.ranked(retrieval.overlaps_of(found), "hits")]
+    lists = [retrieval.ranked_wide(scored, "bm25"), retrieval.ranked_wide(retrieval.overlaps_of(found), "hits")]
     return retrieval.fuse(lists).select("qid", "id", F.round("rrf", 6).alias("rrf"))
 
 

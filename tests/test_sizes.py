@@ -58,3 +58,14 @@ def test_a_segment_is_written_where_its_documents_lie(spark, tmp_path, monkeypat
         index.build(given)
         found.append(sorted((r.qid, r.id, r["rank"], round(r.score, 9)) for r in index.search(asked, 20).collect()))
     assert "Exchange" not in plans[0] and "Exchange" in plans[1] and found[0] == found[1] and len(found[0]) == 40
+
+
+def test_wide_ranking_is_the_ranking_in_many_tasks(spark, monkeypatch):
+    """A query with most rows is ranked by several tasks; ties and null ids go as in ``ranked``."""
+    staged = []
+    monkeypatch.setattr(retrieval, "stage", lambda df, tag: staged.append(staging.stage(df, tag)) or staged[-1])
+    rows = spark.range(4000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 3).alias("qid"), F.when(F.col("id") > 2, F.col("id")).alias("id"), (F.col("id") % 7 / 2.0).alias("score"))
+    same = lambda df: sorted(map(tuple, df.where("id IS NOT NULL").collect()), key=str)
+    got = retrieval.ranked_wide(rows, "score")
+    assert same(got) == same(retrieval.ranked(rows, "score"))
+    assert max(r[0] for r in staged[0].groupBy("__task").count().select("count").collect()) < 2000 < rows.where("qid IS NULL").count()
